@@ -5,9 +5,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, media, packing, quality_rules, secrets
 from .common import table
 
+#: Whole words of a public vocabulary, in its order, are the dictionary of the guess costs.
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: fixed patterns and costly values in a credential's place."""
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), WORDS))
+
+
+def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the base rules' verdict and the trees'."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_packing_spf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, with_ids=False).drop("ids")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a stored payload, with digests and features of what is read back."""
+    return media.media_columns(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "width", "height", "bit_depth", "shard", "offset",
+    )
+
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded bytes of every document, as digests."""
@@ -16,6 +44,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_quality_gbt": op3_quality_gbt,
+    "op6_packing_spf": op6_packing_spf,
+    "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
