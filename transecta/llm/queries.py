@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, media, packing, quality_rules, secrets
-from .common import table
+from . import byte_bpe, ftrl, media, packing, quality_rules, secrets
+from .common import fold_column, table
 
 #: Whole words of a public vocabulary, in its order, are the dictionary of the guess costs.
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +30,18 @@ def op6_packing_spf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, with_ids=False).drop("ids")
 
 
+def _scored(scores: DataFrame, parts: int, held: int) -> DataFrame:
+    held_out = (fold_column(F.col("doc_id"), parts) == held).alias("held_out")
+    return scores.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labelled ones outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    model = ftrl.train(docs, table(spark, sf_dir, "labels"), "quality", 5, 0)
+    return _scored(ftrl.score(docs, model), 5, 0)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a stored payload, with digests and features of what is read back."""
     return media.media_columns(table(spark, sf_dir, "documents")).select(
@@ -47,6 +60,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_gbt": op3_quality_gbt,
     "op6_packing_spf": op6_packing_spf,
+    "op8_quality_ftrl": op8_quality_ftrl,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
 }
