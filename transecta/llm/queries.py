@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ftrl, media, packing, quality_rules, secrets
+from . import byte_bpe, ftrl, media, packing, quality_rules, secrets, simhash, toxicity
 from .common import fold_column, table
 
 #: Whole words of a public vocabulary, in its order, are the dictionary of the guess costs.
@@ -14,6 +14,11 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _scored(scores: DataFrame, parts: int, held: int) -> DataFrame:
+    held_out = (fold_column(F.col("doc_id"), parts) == held).alias("held_out")
+    return scores.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document: fixed patterns and costly values in a credential's place."""
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), WORDS))
@@ -25,16 +30,23 @@ def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labelled ones outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2)), 4, 2)
+
+
+def op5_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the least id that links of at most three bits reach."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_packing_spf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, with_ids=False).drop("ids")
 
 
-def _scored(scores: DataFrame, parts: int, held: int) -> DataFrame:
-    held_out = (fold_column(F.col("doc_id"), parts) == held).alias("held_out")
-    return scores.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
-
-
 def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from labelled ones outside fold 0 of 5."""
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +71,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_gbt": op3_quality_gbt,
+    "op4_toxicity": op4_toxicity,
+    "op5_simhash_mih": op5_simhash_mih,
     "op6_packing_spf": op6_packing_spf,
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_media_columns": op9_media_columns,
