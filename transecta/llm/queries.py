@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ftrl, media, packing, quality_rules, secrets, simhash, toxicity
+from . import byte_bpe, ftrl, html_main, media, packing, quality_rules, secrets, simhash, toxicity
 from .common import fold_column, table
 
 #: Whole words of a public vocabulary, in its order, are the dictionary of the guess costs.
@@ -47,6 +47,12 @@ def op6_packing_spf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, with_ids=False).drop("ids")
 
 
+def op7_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without its host's templates."""
+    found = html_main.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from labelled ones outside fold 0 of 5."""
     docs = table(spark, sf_dir, "documents")
@@ -74,6 +80,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash_mih": op5_simhash_mih,
     "op6_packing_spf": op6_packing_spf,
+    "op7_html_template": op7_html_template,
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
