@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ftrl, html_main, media, packing, quality_rules, secrets, simhash, toxicity
+from . import byte_bpe, ftrl, html_main, lattice_lm, media, packing, quality_rules, secrets, simhash, toxicity
 from .common import fold_column, table
 
 #: Whole words of a public vocabulary, in its order, are the dictionary of the guess costs.
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -24,6 +25,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), WORDS))
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document over all segmentations, learnt from those outside fold 2 of 7."""
+    return lattice_lm.score(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, the base rules' verdict and the trees'."""
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +82,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_lattice_lm": op2_lattice_lm,
     "op3_quality_gbt": op3_quality_gbt,
     "op4_toxicity": op4_toxicity,
     "op5_simhash_mih": op5_simhash_mih,

@@ -120,5 +120,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, h
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with the least id of their group, one for each group, with all their columns.
+
+    Of several rows with that id one stays, the first by its text. Rows without an id can't be told
+    apart and stay.
+    """
+    columns_ = docs.columns
+    groups = near_duplicates(docs, **options)
+    kept = written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows_")).select(F.col("doc_id").alias("id_"), "rows_"), "kept")
+    out = docs.join(kept.where("rows_ = 1"), F.col("doc_id") == F.col("id_"), "left_semi").unionByName(docs.where("doc_id is null"))
+    several = kept.where("rows_ > 1")
+    if not several.isEmpty():
+        rows = docs.join(several, F.col("doc_id") == F.col("id_"), "left_semi")
+        first = rows.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in columns_ if c not in ("doc_id", "text")))).alias("row_"))
+        out = out.unionByName(first.select("doc_id", "row_.*").select(columns_))
+    return out
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
