@@ -184,6 +184,8 @@ class Matcher:
     def context(text: str, start: int, end: int, words: list[str], i: int) -> float:
         """1 for a plain hit, less in a quotation, more where somebody is addressed."""
         around = [w.strip(".,;:!?\"'“”«»()") for w in words[max(0, i - WINDOW) : i + WINDOW + 1]]
+        if m := WORD.search(text, start, end):  # quotation marks can stand in the token itself
+            start, end = m.span()
         before, after = text[max(0, start - 40) : start], text[end : end + 40]
         quoted = any(c in QUOTES for c in before) and any(c in QUOTES for c in after)
         factor = 0.3 if quoted else 1.0
