@@ -39,7 +39,7 @@ def test_context_lowers_quotation_and_raises_address():
     m = toxicity.Matcher(toxicity.Model(("grobbit",), (1.0,)))
     plain, quoted, said, to_you = (m.features(t)[2] for t in ("a grobbit there", 'a "grobbit" there', "he said grobbit there", "you grobbit there"))
     assert quoted < said < plain < to_you
-    assert m.features("groobbit")[1] > 0 and m.features("gr0bbit!!")[1] > 0 and m.features("rabbit") == [0.0] * toxicity.FEATURES
+    assert m.features("groobbit")[1] > 0 and m.features("gr0bbit!!")[1] > 0 and m.features("rabbit there") == [0.0] * 5 + [2.0]
 
 
 def corpus(spark, make_prose, n=600):

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,9 +134,18 @@ class Model:
     weights: tuple[float, ...]  # of the terms
     coefficients: tuple[float, ...] = (0.0,) * FEATURES
     bias: float = 0.0
+    background: tuple[float, float] = (0.0, 0.0)  # exact and misspelled hits' sums for each token of other documents
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        """Features from a document's sums: hits beyond twice what so long a clean document has by chance."""
+        exact, fuzzy, context, best, terms, tokens = x.T
+        chance = 2 * np.outer(tokens, self.background)
+        left = np.maximum(0, np.stack([exact, fuzzy], 1) - chance)
+        rest = np.maximum(0, context - chance.sum(1))
+        return np.stack([np.log1p(left[:, 0]), np.log1p(left[:, 1]), np.log1p(rest), best * (rest > 0), np.minimum(terms, 4) * (rest > 0), rest / np.sqrt(np.maximum(1, tokens))], 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + x @ np.array(self.coefficients), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.design(x) @ np.array(self.coefficients), -30, 30)))
 
 
 class Matcher:
@@ -161,13 +171,13 @@ class Matcher:
                     self.clean.add(token)
 
     def features(self, text: str) -> list[float]:
-        """Sums over the hits of a text: exact and misspelled terms, in context, plain, and by length."""
+        """Sums over the hits of a text: exact, misspelled, both, the greatest, how many terms; and the text's tokens."""
         low = text.lower()
         tokens = low.split()
         distinct = set(tokens)
         self.look_up(distinct)
         if distinct.isdisjoint(self.hits):
-            return [0.0] * FEATURES
+            return [0.0] * (FEATURES - 1) + [float(len(tokens))]
         exact = fuzzy = context = best = 0.0
         terms = set()
         for i, m in enumerate(TOKEN.finditer(low)):
@@ -178,7 +188,7 @@ class Matcher:
                 context += value
                 best = max(best, value)
                 terms.add(term)
-        return [math.log1p(exact), math.log1p(fuzzy), math.log1p(context), best, float(min(len(terms), 4)), context / math.sqrt(len(tokens))]
+        return [exact, fuzzy, context, best, float(len(terms)), float(len(tokens))]
 
     @staticmethod
     def context(text: str, start: int, end: int, words: list[str], i: int) -> float:
@@ -208,11 +218,18 @@ def _distinct(text: str) -> set[str]:
     return {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40 and not w.isdigit()}
 
 
+def _mark(text: str) -> int:
+    """The least hash of the text's triples of tokens, which near copies mostly have in common."""
+    tokens = text.lower().split()
+    return min((xxhash.xxh64_intdigest(" ".join(tokens[i : i + 3])) for i in range(max(1, len(tokens) - 2))), default=0) >> 1
+
+
 def _words(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            words = [sorted(_distinct(t)) for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string()))], ["words"])
+            found = texts(part)
+            words = [sorted(_distinct(t)) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array([_mark(t) for t in found], pa.int64())], ["words", "mark"])
 
 
 def _counts(batches, candidates):
@@ -236,13 +253,13 @@ def lexicon(sample: DataFrame, least: int = 3, most_toxic: int = 4_000, most: in
     """Terms, best first, and their weights in (0, 1), from sample(doc_id, text, label).
 
     Candidates are the words and stems of at most `most_toxic` toxic documents that at least
-    `least` of them share, near copies (equal longest word) counted once; a stem also needs
+    `least` of them share, near copies (equal mark) counted once; a stem also needs
     `least` words. Kept are those whose likelihood ratio and log odds reach the limits, a stem's
     longer stems left out, at most `most`. The driver holds the toxic documents' words and the
     candidates' counts.
     """
-    rows = sample.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_toxic).mapInArrow(on_workers(_words), "words array<string>")
-    documents = {max(r["words"], key=lambda w: (len(w), w), default=""): r["words"] for r in rows.collect()}
+    rows = sample.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_toxic).mapInArrow(on_workers(_words), "words array<string>, mark long")
+    documents = {r["mark"]: r["words"] for r in rows.collect()}
     by_term: Counter[str] = Counter()
     extensions: dict[str, set[str]] = defaultdict(set)
     for words in documents.values():
@@ -316,16 +333,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     rows = sample.mapInArrow(on_workers(_features, model), f"doc_id {kind}, label int, x array<double>").toArrow()
     if not rows.num_rows:
         return Model((), (), bias=-30.0)
-    x, y = np.array(rows["x"].to_pylist(), float), rows["label"].to_numpy().astype(float)
-    coefficients, bias = regression(x, y)
-    return Model(model.terms, model.weights, tuple(coefficients.tolist()), bias)
+    x, y = np.array(rows["x"].to_pylist(), float).reshape(-1, FEATURES), rows["label"].to_numpy().astype(float)
+    clean = x[y == 0].sum(0) if (y == 0).any() else np.zeros(FEATURES)
+    background = tuple((clean[:2] / max(1.0, clean[-1])).tolist())
+    model = Model(model.terms, model.weights, background=background)
+    coefficients, bias = regression(model.design(x), y)
+    return Model(model.terms, model.weights, tuple(coefficients.tolist()), bias, background)
 
 
 def _score(batches, model):
     m = matcher(model)
     for batch in batches:
         for part in slices(batch, "text"):
-            x = np.array([m.features(t) for t in texts(part)])
+            x = np.array([m.features(t) for t in texts(part)], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*columns(part, "doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
 
@@ -339,7 +359,7 @@ def _keep(batches, model, limit):
     m = matcher(model)
     for batch in batches:
         for part in slices(batch, "text"):
-            x = np.array([m.features(t) for t in texts(part)])
+            x = np.array([m.features(t) for t in texts(part)], float).reshape(-1, FEATURES)
             yield part.filter(pa.array(model.score(x) < limit))
 
 
