@@ -10,8 +10,7 @@ Conventions that hold for every operator of this package unless its docstring sa
 
 from __future__ import annotations
 
-import importlib
-import sys
+import pickle
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,12 +37,16 @@ def on_workers(fn: Callable, *args) -> Callable:
     fn must be a module-level function; it is looked up by name on the executor, so that a
     worker's module-level caches live as long as the worker.
     """
-    module, name, root = fn.__module__, fn.__qualname__, ROOT
+    module, name, root, packed = fn.__module__, fn.__qualname__, ROOT, pickle.dumps(args)
 
     def run(batches):
+        import importlib
+        import pickle
+        import sys
+
         if root not in sys.path:
             sys.path.insert(0, root)
-        yield from getattr(importlib.import_module(module), name)(batches, *args)
+        yield from getattr(importlib.import_module(module), name)(batches, *pickle.loads(packed))
 
     return run
 
