@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from transecta.operators import blocks, dyadic, field, graph, inference, joins, niche, panels, residual, sequence, worlds
+from transecta.operators import blocks, diagnostics, dyadic, field, graph, inference, joins, niche, panels, residual, sequence, worlds
 from transecta.plans.transfer import TransferPlan
 
 
@@ -286,3 +286,39 @@ def test_streamed_batches_score_touched_units(spark, tmp_path):
     query.awaitTermination(120)
     out = spark.read.parquet(f"{tmp_path}/out").groupBy("unit").agg(F.max("v").alias("v")).collect()
     assert {r["unit"]: r["v"] for r in out} == {"a": 4.0, "b": 2.0}
+
+
+def test_worlds_scored_together_equal_each_alone(records):
+    plan = TransferPlan()
+    edges = plan.edges(records).withColumn("other", F.round(F.col("turnover") * F.col("length"), 9))
+    parts = lambda e: (e.where("role = 'train'").drop("role"), e.where("role = 'held'").drop("role"))
+    both = diagnostics.world_scores(*parts(edges.withColumn("turnover", F.array("turnover", "other"))), 0.25)
+    got = {k: {r["unit"]: r["score"] for r in both.where(F.col("world") == k).collect()} for k in (0, 1)}
+    alone = {r["unit"]: r["score"] for r in plan.scores(edges).collect()}
+    other = {r["unit"]: r["score"] for r in plan.scores(edges.withColumn("turnover", F.col("other"))).collect()}
+    assert same(got[0], alone) and same(got[1], other)
+    assert {r["increment"] for r in diagnostics.increments(plan.scores(edges), plan.scores(edges), ["unit"]).collect() if not math.isnan(r["increment"])} == {0.0}
+
+
+@pytest.mark.parametrize("mode", ["pooled", "self", "ratio"])
+def test_transported_weights_add_up_in_every_unit(records, mode):
+    edges = TransferPlan().edges(records)
+    train, held = edges.where("role = 'train'").drop("role"), edges.where("role = 'held'").drop("role")
+    weights = diagnostics.transport_weights(train, held, 0.25, mode)
+    assert weights.count() == train.count()
+    assert all(abs(r["s"] - 1) < 1e-9 for r in weights.groupBy("unit").agg(F.sum("weight").alias("s")).collect())
+    assert all(0 < r["effective"] <= r["edges"] + 1e-9 for r in diagnostics.effective_edges(weights).collect())
+
+
+def test_expected_rank_correlation_is_the_mean_over_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    left, right = rng.integers(0, 5, (3, 6)), rng.normal(size=(4, 6))
+    w = [0.5, 0.3, 0.2]
+    table = lambda m, ws: spark.createDataFrame([(d, e, float(v), ws[d]) for d, row in enumerate(m) for e, v in enumerate(row)], "draw int, entry int, value double, weight double")
+
+    def rho(x, y):
+        a, b = (v - v.mean() for v in (average(list(x)), average(list(y))))
+        return a @ b / math.sqrt((a @ a) * (b @ b))
+
+    want = sum(w[i] * 0.25 * rho(x, y) for i, x in enumerate(left) for y in right)
+    assert abs(diagnostics.expected_rank_correlation(table(left, w), table(right, [1.0] * 4)).first()["expected"] - want) < 1e-9

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks, scalars
-from ..operators import dyadic, field, graph, inference, joins, niche, panels, residual, sequence, worlds
+from ..operators import diagnostics, dyadic, field, graph, inference, joins, niche, panels, residual, sequence, worlds
 from ..sources.readers import genbank_records
 from . import inputs
 from .inputs import DYADS, EDGES, RECORDS, VECTORS, sql_edge_table, sql_near, sql_rank, sql_spearman, table
@@ -236,6 +236,108 @@ def crossfit_residuals(spark, sf):
     return rounded(residual.crossfit_residuals(edges, "length", "difference").drop("turnover"), "observed", "expected", "residual")
 
 
+SELF = f"""pts AS (SELECT unit, a, b, turnover, p, ax + (p + {HALF}) / 5 * (bx - ax) AS px, ay + (p + {HALF}) / 5 * (by_ - ay) AS py FROM edge_table CROSS JOIN generate_series(0, 4) AS g(p)),
+sums AS (SELECT q.unit, q.a, q.b, q.p, sum(exp(-0.5 * ((px - mx) * (px - mx) + (py - my) * (py - my)) / CAST(0.0625 AS DOUBLE)) * t.turnover) / count(*) AS top,
+  sum(exp(-0.5 * ((px - mx) * (px - mx) + (py - my) * (py - my)) / CAST(0.0625 AS DOUBLE))) / count(*) AS low
+  FROM pts q JOIN edge_table t ON q.unit = t.unit AND t.a NOT IN (q.a, q.b) AND t.b NOT IN (q.a, q.b) GROUP BY ALL),
+exposed AS (SELECT unit, a, b, round(avg((top + CAST(0.125 AS DOUBLE)) / (low + CAST(0.25 AS DOUBLE))), 12) AS exposure FROM sums GROUP BY ALL),
+scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e.unit AND x.a = e.a AND x.b = e.b)"""
+
+
+@query(f"WITH {EDGES}, {SELF} {sql_spearman('scored', 'exposure', 'turnover', out='score')}")
+def self_detectability(spark, sf):
+    rows = inputs.records(spark, sf)
+    return rounded(diagnostics.self_scores(graph.edge_table(rows, graph.knn_edges(rows)), 0.25), "score")
+
+
+@query()
+def response_world_scores(spark, sf):
+    rows = inputs.records(spark, sf)
+    plan = TransferPlan()
+    roles = panels.half_split(rows.select("unit").distinct(), plan.tag).select("unit", "role")
+    edges = graph.knn_edges(rows)
+    made = [graph.edge_table(rows, edges, difference=d).withColumnRenamed("turnover", f"t{k}") for k, d in enumerate((F.abs(F.col("l.trait") - F.col("r.trait")), F.pow(F.col("l.trait"), 2) + F.col("r.trait")))]
+    both = made[0].join(made[1].select("unit", "a", "b", "t1"), ["unit", "a", "b"]).withColumn("turnover", F.array("t0", "t1")).join(roles, "unit")
+    train, held = _roles(both)
+    return rounded(diagnostics.world_scores(train, held, plan.bandwidth), "score")
+
+
+@query()
+def conditioning_increments(spark, sf):
+    edges = _edges(spark, sf)
+    plan = TransferPlan()
+    return rounded(diagnostics.increments(plan.scores(edges), plan.length_conditioned_scores(edges), ["unit"]), "increment")
+
+
+@query(
+    f"""WITH {EDGES}, k AS (SELECT t.unit, t.a, t.b, 1 / (sum(exp(-0.5 * ((t.mx - s.mx) * (t.mx - s.mx) + (t.my - s.my) * (t.my - s.my)) / CAST(0.0625 AS DOUBLE))) / count(*)) AS raw
+  FROM edge_table t JOIN edge_table s ON t.unit = s.unit GROUP BY ALL), w AS (SELECT unit, raw / sum(raw) OVER (PARTITION BY unit) AS w FROM k)
+SELECT unit, count(*) AS edges, round(sum(w) * sum(w) / sum(w * w), 6) AS effective FROM w GROUP BY unit"""
+)
+def transport_effective_edges(spark, sf):
+    rows = inputs.records(spark, sf)
+    edges = graph.edge_table(rows, graph.knn_edges(rows))
+    return rounded(diagnostics.effective_edges(diagnostics.transport_weights(edges, edges, 0.25, "self")), "effective")
+
+
+@query()
+def transport_target_ratio(spark, sf):
+    train, held = _roles(_edges(spark, sf))
+    return rounded(diagnostics.effective_edges(diagnostics.transport_weights(train, held, 0.25, "ratio")), "effective")
+
+
+@query(
+    f"""WITH {EDGES}, p AS (SELECT unit, a, b, abs(atan2(sin(atan2(by_ - {HALF}, bx - {HALF}) - atan2(ay - {HALF}, ax - {HALF})), cos(atan2(by_ - {HALF}, bx - {HALF}) - atan2(ay - {HALF}, ax - {HALF})))) / pi() AS propensity FROM edge_table)
+SELECT unit, a, b, round(propensity, 8) AS propensity, round({HALF} * (propensity - avg(propensity) OVER (PARTITION BY unit)), 8) AS expected FROM p"""
+)
+def phase_propensity(spark, sf):
+    rows = inputs.records(spark, sf)
+    out = diagnostics.phase_propensity(graph.edge_table(rows, graph.knn_edges(rows)), (0.5, 0.5))
+    return rounded(out, "propensity", "expected", digits=8).select("unit", "a", "b", "propensity", "expected")
+
+
+@query(
+    f"""WITH {EDGES}, f AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM records), m AS (SELECT unit, median(x) AS ux, median(y) AS uy FROM records GROUP BY unit)
+SELECT unit, a, b, round(sqrt((mx - ux) / sx * ((mx - ux) / sx) + (my - uy) / sy * ((my - uy) / sy)), 6) AS radius FROM edge_table JOIN m USING (unit), f"""
+)
+def midpoint_radial_distance(spark, sf):
+    rows = inputs.records(spark, sf)
+    return rounded(diagnostics.radial_distance(rows, graph.edge_table(rows, graph.knn_edges(rows))), "radius")
+
+
+@query()
+def front_observability(spark, sf):
+    rows = inputs.records(spark, sf)
+    return rounded(diagnostics.observability(graph.edge_table(rows, graph.knn_edges(rows)), rows, 64), "contrast", "share")
+
+
+@query(
+    f"""WITH {RECORDS}, s AS (SELECT unit % 7 AS grp, rho FROM ({sql_spearman('records', 'y', 'trait')})), g AS (SELECT grp, count(*) AS n, avg(rho) AS m, sum(rho) AS s FROM s GROUP BY grp)
+SELECT grp, n, round(m, 6) AS mean, round((sum(s) OVER () - s) / (sum(n) OVER () - n), 6) AS without, n >= 22 AS included, round(sum(s) OVER () / sum(n) OVER (), 6) AS overall, round(avg(CASE WHEN n >= 22 THEN m END) OVER (), 6) AS balanced FROM g"""
+)
+def group_breadth(spark, sf):
+    scores = rounded(ranks.spearman(inputs.records(spark, sf), "y", "trait", ["unit"]), "rho").withColumn("grp", F.col("unit") % 7)
+    return rounded(diagnostics.breadth(scores, "grp", "rho", 22), "mean", "without", "overall", "balanced")
+
+
+@query(
+    f"""WITH d AS (SELECT s_nationkey AS draw, l_linenumber AS entry, round(avg(l_quantity), 6) AS q, round(avg(l_extendedprice), 6) AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+c AS (SELECT draw, entry, {sql_rank('q', 'draw')} - (count(*) OVER (PARTITION BY draw) + 1) / CAST(2 AS DOUBLE) AS u, {sql_rank('p', 'draw')} - (count(*) OVER (PARTITION BY draw) + 1) / CAST(2 AS DOUBLE) AS v FROM d),
+n AS (SELECT draw, entry, u / sqrt(sum(u * u) OVER (PARTITION BY draw)) AS u, v / sqrt(sum(v * v) OVER (PARTITION BY draw)) AS v, count(*) OVER () AS k FROM c),
+m AS (SELECT entry, sum(u) / (SELECT count(DISTINCT draw) FROM d) AS u, sum(v) / (SELECT count(DISTINCT draw) FROM d) AS v FROM n GROUP BY entry)
+SELECT round(sum(u * v), 8) AS expected FROM m"""
+)
+def expected_rank_correlation(spark, sf):
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    draws = lambda c: rows.groupBy(F.col("s_nationkey").alias("draw"), F.col("l_linenumber").alias("entry")).agg(F.round(F.avg(c), 6).alias("value")).withColumn("weight", F.lit(1.0))
+    return rounded(diagnostics.expected_rank_correlation(draws("l_quantity"), draws("l_extendedprice")), "expected", digits=8)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_discount <> 0 AND l_tax <> 0")
+def layer_validity(spark, sf):
+    return diagnostics.finite_rows(table(spark, sf, "lineitem"), {"l_discount": 0.0, "l_tax": 0.0}).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 # ---- joins -------------------------------------------------------------------------------------
 
 NEAR = "(t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) <= CAST(0.02 AS DOUBLE) * CAST(0.02 AS DOUBLE)"
