@@ -31,7 +31,7 @@ def test_forward_recursion_sums_over_all_segmentations():
 
 def test_expected_counts_spell_the_word():
     model = lattice_lm.vocabulary(PATH)
-    counts, octets = {}, lattice_lm.np.zeros(256)
+    counts, octets = Counter(), lattice_lm.np.zeros(256)
     model.expect("thation", 3.0, counts, octets)
     assert math.isclose(sum(n * len(p) for p, n in counts.items()), 3 * len("▁thation"))
     assert octets.sum() == 0

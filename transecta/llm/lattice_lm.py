@@ -13,6 +13,7 @@ meet the corpus' counts, and come back to the chunk as arrays.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,53 +40,57 @@ class Model:
     end: float
 
     def __post_init__(self):
-        prefixes = {p[:i] for p in self.pieces for i in range(1, len(p))}
-        object.__setattr__(self, "prefixes", prefixes - self.pieces.keys())
-
-    def arcs(self, text: str, i: int) -> Iterator[tuple[int, float]]:
-        """Ends and log probabilities of the pieces that start at i; bytes where no piece has the character alone."""
-        pieces, prefixes, j, n = self.pieces, self.prefixes, i + 1, len(text)
-        if text[i] not in pieces:
-            yield j, sum(self.octets[b] for b in text[i].encode())
-        while j <= n:
-            part = text[i:j]
-            p = pieces.get(part)
-            if p is not None:
-                yield j, p
-            elif part not in prefixes:
-                return
-            j += 1
-
-    def forward(self, text: str) -> list[float]:
-        """Log of the total probability of all segmentations of each beginning of text."""
-        alpha = [0.0] + [-math.inf] * len(text)
-        exp, log1p = math.exp, math.log1p
-        for i, a in enumerate(alpha[:-1]):
-            a = alpha[i]
-            for j, p in self.arcs(text, i):
-                x, y = alpha[j], a + p
-                alpha[j] = y if x == -math.inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
-        return alpha
+        # None: no piece, but the start of one
+        table: dict[str, float | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))}
+        object.__setattr__(self, "table", table | self.pieces)
+
+    def lattice(self, text: str) -> tuple[list[float], list[tuple[int, int, float, str]]]:
+        """Log of the total probability of all segmentations of each beginning of text, and the arcs.
+
+        An arc is start, end, log probability of all ways that end with it, and what it spells.
+        A character that is no piece alone has an arc of its bytes' pieces.
+        """
+        n, table, exp, log1p, inf = len(text), self.table, math.exp, math.log1p, -math.inf
+        alpha, arcs = [0.0] + [inf] * n, []
+        for i in range(n):
+            a, j = alpha[i], i + 1
+            part = text[i]
+            p = table.get(part, inf)
+            if p is None or p == inf:
+                y, x = a + sum(self.octets[b] for b in part.encode()), alpha[j]
+                arcs.append((i, j, y, part))
+                alpha[j] = y if x == inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+            while p != inf:
+                if p is not None:
+                    y, x = a + p, alpha[j]
+                    arcs.append((i, j, y, part))
+                    alpha[j] = y if x == inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+                j += 1
+                if j > n:
+                    break
+                part = text[i:j]
+                p = table.get(part, inf)
+        return alpha, arcs
 
     def log_probability(self, word: str) -> float:
-        return self.forward(MARK + word)[-1]
+        return self.lattice(MARK + word)[0][-1]
 
     def expect(self, word: str, times: float, counts: dict[str, float], octets: np.ndarray) -> None:
-        """Add to counts how often each piece is expected in the word's segmentations, times times."""
-        text = MARK + word
-        alpha, beta = self.forward(text), [-math.inf] * len(text) + [0.0]
-        exp, log1p, total = math.exp, math.log1p, alpha[-1]
-        for i in range(len(text) - 1, -1, -1):
-            for j, p in self.arcs(text, i):
-                y, x = beta[j] + p, beta[i]
-                beta[i] = y if x == -math.inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
-                share = times * exp(alpha[i] + y - total)
-                piece = text[i:j]
-                if piece in self.pieces:
-                    counts[piece] = counts.get(piece, 0.0) + share
-                else:
-                    for b in piece.encode():
-                        octets[b] += share
+        """Add to counts how often each piece is expected in the word's segmentations, times times.
+
+        What passes through a node is shared among the arcs that end there by their probability,
+        from the last node to the first.
+        """
+        alpha, arcs = self.lattice(MARK + word)
+        flow, exp, pieces = [0.0] * (len(alpha) - 1) + [float(times)], math.exp, self.pieces
+        for i, j, x, part in reversed(arcs):
+            share = flow[j] * exp(x - alpha[j])
+            flow[i] += share
+            if part in pieces:
+                counts[part] += share
+            else:
+                for b in part.encode():
+                    octets[b] += share
 
 
 def vocabulary(model_file: str) -> Model:
@@ -164,7 +169,7 @@ def _record(chunk: int, what: str, n: int, doc_id: pa.Array, **found) -> pa.Reco
 
 
 def _expect(batches, model):
-    counts: dict[str, float] = {}
+    counts: dict[str, float] = defaultdict(float)
     octets = np.zeros(256)
     for batch in batches:
         for word, n in zip(*(c.to_pylist() for c in columns(batch, "word", "c"))):
