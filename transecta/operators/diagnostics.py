@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import rank_direction, spearman
 from ..functions.scalars import crossing_probability
 from .blocks import blocked, each_pair
-from .field import DIGITS, TINY, kernel_sums, points, training
+from .field import DIGITS, TINY, kernel_sums, own_sums, points, training
 
 
 # ---- many response worlds on one geometry --------------------------------------------------------
@@ -67,9 +67,10 @@ def transport_weights(train: DataFrame, held: DataFrame, bandwidth: float, mode:
     the density of held midpoints over that of training ones. Units count alike in a density.
     """
     at = train.select(F.concat_ws("|", "unit", "a", "b").alias("row"), F.col("unit").cast("string").alias("unit_"), "unit", "a", "b", F.col("mid").alias("at"))
-    density = lambda edges, own=False: kernel_sums(at, training(edges, "length"), bandwidth, by_source=own)
+    density = lambda edges: kernel_sums(at, training(edges, "length"), bandwidth)
     if mode == "self":
-        raw = at.join(density(train, True), "row").where(F.col("source") == F.col("unit_")).select("unit", "a", "b", (1 / F.greatest("low", F.lit(TINY))).alias("raw"))
+        own = own_sums(at.withColumnRenamed("unit_", "source"), training(train, "length"), bandwidth)
+        raw = at.join(own, "row").select("unit", "a", "b", (1 / F.greatest("low", F.lit(TINY))).alias("raw"))
     else:
         raw = at.join(density(train).select("row", F.greatest("low", F.lit(TINY)).alias("t")), "row").withColumn("raw", 1 / F.col("t"))
         if mode == "ratio":

@@ -38,7 +38,7 @@ def _sums(bandwidth: float, by_source: bool):
 
     def run(a, b, _):
         rows, sources, top, low = [], [], [], []
-        names, which = np.unique(b["source"].astype(str), return_inverse=True)
+        names, which = np.unique(b["source"].astype(str) if by_source else np.full(len(b["row"]), ""), return_inverse=True)
         share = np.zeros((len(which), len(names) if by_source else 1))
         share[np.arange(len(which)), which if by_source else 0] = b["w"]
         for i in range(0, len(a["row"]), 512):
@@ -65,6 +65,13 @@ def kernel_sums(at: DataFrame, train: DataFrame, bandwidth: float, by_source: bo
     return found.groupBy("row", "source").agg(F.sum("top").alias("top"), F.sum("low").alias("low"))
 
 
+def own_sums(at: DataFrame, train: DataFrame, bandwidth: float) -> DataFrame:
+    """(row, source, top, low) of kernel_sums() with each point, at(row, source, at), meeting only its own source's edges."""
+    a, b = blocked(at, ["source"], "row", ["at"]), blocked(train, ["source"], "row", ["mid", "w", "u"], name="block_")
+    found = each_pair(a, b, ["source"], _sums(bandwidth, False), "row string, source string, top double, low double")
+    return found.groupBy("row").agg(F.sum("top").alias("top"), F.sum("low").alias("low"))
+
+
 def exposures(at: DataFrame, sums: DataFrame, strength: float, prior: float, keys: list[str]) -> DataFrame:
     """Mean over its points of the field along each edge, by keys, from sums(row, top, low)."""
     field = (F.col("top") + strength * prior) / F.greatest(F.col("low") + strength, F.lit(TINY))

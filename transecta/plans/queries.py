@@ -141,7 +141,7 @@ SELECT unit, count(*) AS n, round(sum(u * v) / sqrt(sum(u * u) * sum(v * v)), 6)
 )
 def midpoint_coherence(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows))), "coherence")
+    return rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows)).persist()), "coherence")
 
 
 @query()
@@ -232,7 +232,7 @@ SELECT unit, a, b, n AS n_training, round(observed, 6) AS observed, round(expect
 @query(_residual_sql())
 def crossfit_residuals(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows))
+    edges = graph.edge_table(rows, graph.knn_edges(rows)).persist()
     return rounded(residual.crossfit_residuals(edges, "length", "difference").drop("turnover"), "observed", "expected", "residual")
 
 
@@ -247,7 +247,7 @@ scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e
 @query(f"WITH {EDGES}, {SELF} {sql_spearman('scored', 'exposure', 'turnover', out='score')}")
 def self_detectability(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(diagnostics.self_scores(graph.edge_table(rows, graph.knn_edges(rows)), 0.25), "score")
+    return rounded(diagnostics.self_scores(graph.edge_table(rows, graph.knn_edges(rows)).persist(), 0.25), "score")
 
 
 @query()
@@ -257,7 +257,7 @@ def response_world_scores(spark, sf):
     roles = panels.half_split(rows.select("unit").distinct(), plan.tag).select("unit", "role")
     edges = graph.knn_edges(rows)
     made = [graph.edge_table(rows, edges, difference=d).withColumnRenamed("turnover", f"t{k}") for k, d in enumerate((F.abs(F.col("l.trait") - F.col("r.trait")), F.pow(F.col("l.trait"), 2) + F.col("r.trait")))]
-    both = made[0].join(made[1].select("unit", "a", "b", "t1"), ["unit", "a", "b"]).withColumn("turnover", F.array("t0", "t1")).join(roles, "unit")
+    both = made[0].join(made[1].select("unit", "a", "b", "t1"), ["unit", "a", "b"]).withColumn("turnover", F.array("t0", "t1")).join(roles, "unit").persist()
     train, held = _roles(both)
     return rounded(diagnostics.world_scores(train, held, plan.bandwidth), "score")
 
@@ -276,7 +276,7 @@ SELECT unit, count(*) AS edges, round(sum(w) * sum(w) / sum(w * w), 6) AS effect
 )
 def transport_effective_edges(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows))
+    edges = graph.edge_table(rows, graph.knn_edges(rows)).persist()
     return rounded(diagnostics.effective_edges(diagnostics.transport_weights(edges, edges, 0.25, "self")), "effective")
 
 

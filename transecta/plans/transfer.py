@@ -24,10 +24,10 @@ class TransferPlan:
     segment_points: int = 5
 
     def edges(self, records: DataFrame, vector: bool = False) -> DataFrame:
-        """Edge table with role train or held by a hash-ordered half split of units."""
+        """Edge table with role train or held by a hash-ordered half split of units, kept as it is read several times."""
         roles = half_split(records.select("unit").distinct(), self.tag).select("unit", "role")
         made = graph.edge_table(records, graph.knn_edges(records, self.k), vector=vector)
-        return made.join(roles, "unit")
+        return made.join(roles, "unit").persist()
 
     def scores(self, edges: DataFrame) -> DataFrame:
         train, held = (edges.where(F.col("role") == r).drop("role") for r in ("train", "held"))
