@@ -1,11 +1,12 @@
 """Toxicity: Levenshtein automata on a lexicon trie, weighed by the context of each hit.
 
 The lexicon is learnt from labelled documents: words, and stems of words, much more frequent in
-toxic ones. A word of a text is matched by running its Levenshtein automaton (bit-parallel: one
-mask of positions for each number of edits) down the trie of the lexicon, so that misspelled
-terms are found; stems match the starts of words. Each hit counts by its term's weight, by its
-edits and by a window of words around it: quotation marks and verbs of reporting lower it, words
-of direct address raise it. A logistic regression on the document's sums gives the score.
+toxic ones. The Levenshtein automata of all terms run together as one automaton over the trie of
+the lexicon: a state holds the trie's nodes that a word's beginning can stand for, each with its
+least number of edits. States are built as words ask for them and kept, so that a word costs a
+look-up a character. Stems match the starts of words. Each hit counts by its term's weight, by
+its edits and by a window of words around it: quotation marks and verbs of reporting lower it,
+words of direct address raise it. A logistic regression on the document's sums gives the score.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from .common import columns, labelled_sample, on_workers, slices, texts, written
 
 #: Word characters; inside a word, signs that stand for letters.
 WORD = re.compile(r"\w(?:[\w@$!*'’-]*\w)?")
+EDGES = ".,;:!?()[]{}\"'#*$%&|-“”„«»"
 TOKEN = re.compile(r"\S+")
 WINDOW = 6
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes term word slur insult mot wort palabra sagte dit dijo".split())
@@ -34,6 +36,8 @@ QUOTES = frozenset("\"“”„«»‹›")
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Tokens that a worker remembers to be free of hits.
 CACHE_WORDS = 600_000
+#: States of the automaton that a worker keeps.
+STATES = 100_000
 STEM = "*"
 STEM_SIZES = range(4, 11)
 FUZZY = 300
@@ -44,47 +48,69 @@ def edits_for(size: int) -> int:
     return 2 if size >= TWO_EDITS else 1 if size >= ONE_EDIT else 0
 
 
-@dataclass
 class Trie:
-    """Nodes as dictionaries from character to node; a term's node also holds its number under the empty string.
+    """A lexicon's trie and the automaton over it that reads words with edits.
 
     Terms that end in STEM are stems. Only the first FUZZY other terms, the best of a lexicon,
-    are matched with edits.
+    are matched with edits, as many as edits_for() allows a term.
     """
 
-    lexicon: list[str]
-    root: dict = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.exact = {t: i for i, t in enumerate(self.lexicon) if not t.endswith(STEM)}
-        self.stems = {t[:-1]: i for i, t in enumerate(self.lexicon) if t.endswith(STEM)}
+    def __init__(self, lexicon: list[str]):
+        self.exact = {t: i for i, t in enumerate(lexicon) if not t.endswith(STEM)}
+        self.stems = {t[:-1]: i for i, t in enumerate(lexicon) if t.endswith(STEM)}
         self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
-        self.terms = list(self.exact)[:FUZZY]
-        # Of a term within k edits of a word, one of k + 1 pieces stands in the word unchanged and
-        # moved by at most k. Words without such a piece need no automaton. By the word's length:
-        # where in the word which pieces of which size can stand.
-        self.places: dict[int, list[tuple[int, int, set[str]]]] = {}
-        found: dict[int, dict[tuple[int, int], set[str]]] = {}
-        for t in self.terms:
-            i, node = self.exact[t], self.root
+        self.children: list[dict[str, int]] = [{}]
+        self.term, self.most = [-1], [0]  # of a node: its term, and the edits that any term below it allows
+        for t in list(self.exact)[:FUZZY]:
+            node, k = 0, edits_for(len(t))
+            self.most[0] = max(self.most[0], k)
             for c in t:
-                node = node.setdefault(c, {})
-            node[""] = i
-            if k := edits_for(len(t)):
-                size = len(t) // (k + 1)
-                for j in range(k + 1):
-                    start, end = j * size, (j + 1) * size if j < k else len(t)
-                    for n in range(len(t) - k, len(t) + k + 1):
-                        for at in range(max(0, start - k), min(n - (end - start), start + k) + 1):
-                            found.setdefault(n, {}).setdefault((at, at + end - start), set()).add(t[start:end])
-        for n, places in found.items():
-            self.places[n] = [(start, end, pieces) for (start, end), pieces in places.items()]
-
-    def may_match(self, word: str) -> bool:
-        for start, end, pieces in self.places.get(len(word), ()):
-            if word[start:end] in pieces:
-                return True
-        return False
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.term.append(-1)
+                    self.most.append(0)
+                node = self.children[node][c]
+                self.most[node] = max(self.most[node], k)
+            self.term[node] = self.exact[t]
+        self.allowed = [edits_for(len(t.removesuffix(STEM))) for t in lexicon]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all states; the dead one is 0, the first one 1."""
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.numbers: dict[tuple, int] = {}
+        self.steps: list[dict[str, int]] = []
+        self.accepts: list[tuple[int, int] | None] = []
+        self._number({})
+        self.first = self._number({0: 0} if len(self.children) > 1 else {})
+
+    def _number(self, nodes: dict[int, int]) -> int:
+        """The number of the state of these nodes and all that skipping letters of terms leads to from them."""
+        found, todo = {}, sorted(nodes.items())
+        while todo:
+            node, e = todo.pop()
+            if e > self.most[node] or found.get(node, 9) <= e:
+                continue
+            found[node] = e
+            todo.extend((child, e + 1) for child in self.children[node].values())
+        key = tuple(sorted(found.items()))
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+            ends = [(e, self.term[node]) for node, e in key if self.term[node] >= 0 and e <= self.allowed[self.term[node]]]
+            self.accepts.append(min(ends)[::-1] if ends else None)
+        return self.numbers[key]
+
+    def _step(self, state: int, c: str) -> int:
+        nodes: dict[int, int] = {}
+        for node, e in self.states[state]:
+            nodes[node] = min(nodes.get(node, 9), e + 1)  # the word has a letter more
+            for d, child in self.children[node].items():
+                nodes[child] = min(nodes.get(child, 9), e + (c != d))
+        self.steps[state][c] = found = self._number(nodes)
+        return found
 
     def match(self, word: str) -> tuple[int, int] | None:
         """Number and edits of the term that stands for word: itself, else the nearest, else the longest stem."""
@@ -98,34 +124,16 @@ class Trie:
         return None
 
     def nearest(self, word: str) -> tuple[int, int] | None:
-        """Number and edits of the term with the fewest edits from word, none of them none; ties go to the first term."""
-        if not self.may_match(word):
-            return None
-        n = len(word)
-        masks: dict[str, int] = {}
-        for i, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full, accept = (1 << n + 1) - 1, 1 << n
-        best: tuple[int, int] | None = None
-        # bit i of state e: the first i characters of the word are read with e edits
-        stack = [(self.root, 1, 3 & full, 7 & full, 0)]
-        while stack:
-            node, s0, s1, s2, depth = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    k = edits_for(depth)
-                    e = 0 if s0 & accept else 1 if s1 & accept else 2 if s2 & accept else 3
-                    if e <= k and (best is None or (e, child) < (best[1], best[0])):
-                        best = child, e
-                    continue
-                m = masks.get(c, 0)
-                t0 = (s0 & m) << 1
-                t1 = ((s1 & m) << 1) | s0 | (s0 << 1) | (t0 << 1)
-                t2 = ((s2 & m) << 1) | s1 | (s1 << 1) | (t1 << 1)
-                t0, t1, t2 = t0 & full, t1 & full, t2 & full
-                if t0 | t1 | t2:
-                    stack.append((child, t0, t1, t2, depth + 1))
-        return best
+        """Number and edits of the term with the fewest edits from word; ties go to the first term."""
+        if len(self.states) > STATES:
+            self.forget()
+        state, steps = self.first, self.steps
+        for c in word:
+            following = steps[state].get(c)
+            state = self._step(state, c) if following is None else following
+            if not state:
+                return None
+        return self.accepts[state]
 
 
 @dataclass(frozen=True)
@@ -164,7 +172,9 @@ class Matcher:
             self.clean.clear()
         for token in tokens - self.clean:
             if token not in self.hits:
-                found = [(term, edits, self.weights[term] * 0.6**edits) for w in WORD.findall(token) if (m := self.trie.match(w)) for term, edits in [m]]
+                word = token.strip(EDGES)
+                words = (word,) if word.isalnum() else WORD.findall(token)
+                found = [(m[0], m[1], self.weights[m[0]] * 0.6 ** m[1]) for w in words if (m := self.trie.match(w))]
                 if found:
                     self.hits[token] = found
                 else:
