@@ -61,8 +61,8 @@ def percentile_interval(scores: DataFrame, score: str, by: list[str], resamples:
 def exceedance(observed: DataFrame, reference: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(observed columns, label, p): (1 + references not below) / (references + 1) for each observation and reference label.
 
-    observed(keys, value), reference(label, value), where references join all observations. The
-    references of a label are sorted once and observations ranked among them: both tables go
+    observed(keys, value), reference(label, value), where references join all observations. Labels
+    are the few configurations of a null family. The references of a label are sorted once and observations ranked among them: both tables go
     through one window, and no pair of them is made.
     """
     labels = reference.select("label").distinct()

@@ -359,10 +359,10 @@ def same_group_pools(spark, sf):
     return rounded(joins.pools(joins.pair_coverage(rows, rows, ["x", "y"], 0.02), 0.3, 2, groups, True), "coverage")
 
 
-@query(f"WITH {RECORDS} SELECT t.i FROM records t WHERE EXISTS (SELECT 1 FROM records s WHERE s.unit % 2 = 0 AND {NEAR}) AND t.unit % 2 = 1")
+@query(f"WITH {RECORDS} SELECT t.i FROM records t WHERE EXISTS (SELECT 1 FROM records s WHERE s.trait < 50 AND {NEAR}) AND t.trait >= 50")
 def covered_points(spark, sf):
     rows = inputs.records(spark, sf)
-    return joins.within(rows.where("unit % 2 = 1"), rows.where("unit % 2 = 0"), ["x", "y"], 0.02).select("i")
+    return joins.within(rows.where("trait >= 50"), rows.where("trait < 50"), ["x", "y"], 0.02).select("i")
 
 
 @query(
