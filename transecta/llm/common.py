@@ -11,6 +11,7 @@ Conventions that hold for every operator of this package unless its docstring sa
 from __future__ import annotations
 
 import pickle
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,6 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_last_module = ""
+
+
+def entered(module: str) -> None:
+    """Let go of what the operator that ran before in this worker remembers, by its module's forget()."""
+    global _last_module
+    if _last_module not in ("", module):
+        getattr(sys.modules[_last_module], "forget", lambda: None)()
+    _last_module = module
+
+
 def on_workers(fn: Callable, *args) -> Callable:
     """fn(batches, *args) as a function that executors can run even where this package is not on their path.
 
@@ -46,7 +58,9 @@ def on_workers(fn: Callable, *args) -> Callable:
 
         if root not in sys.path:
             sys.path.insert(0, root)
-        yield from getattr(importlib.import_module(module), name)(batches, *pickle.loads(packed))
+        found = importlib.import_module(module)
+        importlib.import_module("transecta.llm.common").entered(module)
+        yield from getattr(found, name)(batches, *pickle.loads(packed))
 
     return run
 

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, columns, labelled_sample, on_workers, slices, texts
+from .common import columns, labelled_sample, on_workers, slices, texts
 
 BITS = 18
+#: Text bytes hashed at once; the arrays of a slice take some sixty times as much.
+HASHED_BYTES = 1 << 20
 _U = np.uint64
 _BYTES = np.arange(256)
 #: 0: white space, 1: letters, digits and all of other scripts, 2: other signs.
@@ -83,8 +85,8 @@ def _cut(raw: bytes, most: int) -> list[bytes]:
 def ngrams(found: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Table places of all n-gram occurrences of the texts, one text after another, and where each text's start."""
     raws = [t.encode() for t in found]
-    if len(raws) == 1 and len(raws[0]) > 2 * SLICE_BYTES:
-        pieces = [_tokens(x)[1:] for x in _cut(raws[0], SLICE_BYTES)]
+    if len(raws) == 1 and len(raws[0]) > 2 * HASHED_BYTES:
+        pieces = [_tokens(x)[1:] for x in _cut(raws[0], HASHED_BYTES)]
         h, shape = (np.concatenate(x) for x in zip(*pieces))
         doc = np.zeros(len(h), np.int64)
     else:
@@ -141,11 +143,11 @@ class Ftrl:
 def _train(batches, passes):
     rows = []
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", HASHED_BYTES):
             places, at = ngrams(texts(part))
             for i, y in enumerate(columns(part, "label")[0].to_pylist()):
                 found, counts = np.unique(places[at[i] : at[i + 1]], return_counts=True)
-                rows.append((found, (counts / np.sqrt(max(1, counts.sum()))).astype(np.float32), y))
+                rows.append((found.astype(np.int32), (counts / np.sqrt(max(1, counts.sum()))).astype(np.float32), y))
     state = Ftrl()
     for k in range(passes):
         for i in np.random.default_rng(k).permutation(len(rows)):
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
 def _score(batches, model):
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", HASHED_BYTES):
             yield pa.RecordBatch.from_arrays([*columns(part, "doc_id"), pa.array(model.score(texts(part)))], ["doc_id", "score"])
 
 
@@ -183,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _keep(batches, model, least):
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", HASHED_BYTES):
             yield part.filter(pa.array(model.score(texts(part)) >= least))
 
 

@@ -41,6 +41,10 @@ def tokenizer(path: str) -> tuple[Tokenizer, dict, dict]:
     return _tokenizers[path]
 
 
+def forget() -> None:
+    _tokenizers.clear()
+
+
 def units(text: str) -> list[str]:
     """The text split at lone spaces. A match of the tokenizer's pattern starts at each, so units encode apart."""
     if text[:1].isspace() or text[-1:].isspace() or DOUBLED.search(text):

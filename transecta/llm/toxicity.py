@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -35,9 +36,9 @@ QUOTES = frozenset("\"“”„«»‹›")
 #: Lengths from which one and two edits are allowed.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Tokens that a worker remembers to be free of hits.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: States of the automaton that a worker keeps.
-STATES = 100_000
+STATES = 50_000
 STEM = "*"
 STEM_SIZES = range(4, 11)
 FUZZY = 300
@@ -78,8 +79,8 @@ class Trie:
 
     def forget(self) -> None:
         """Drop all states; the dead one is 0, the first one 1."""
-        self.states: list[tuple[tuple[int, int], ...]] = []
-        self.numbers: dict[tuple, int] = {}
+        self.states: list[bytes] = []  # a node and its edits in four bytes: four times the node plus the edits
+        self.numbers: dict[bytes, int] = {}
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
         self._number({})
@@ -94,18 +95,19 @@ class Trie:
                 continue
             found[node] = e
             todo.extend((child, e + 1) for child in self.children[node].values())
-        key = tuple(sorted(found.items()))
+        key = array("I", sorted(4 * node + e for node, e in found.items())).tobytes()
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            ends = [(e, self.term[node]) for node, e in key if self.term[node] >= 0 and e <= self.allowed[self.term[node]]]
+            ends = [(e, self.term[node]) for node, e in found.items() if self.term[node] >= 0 and e <= self.allowed[self.term[node]]]
             self.accepts.append(min(ends)[::-1] if ends else None)
         return self.numbers[key]
 
     def _step(self, state: int, c: str) -> int:
         nodes: dict[int, int] = {}
-        for node, e in self.states[state]:
+        for code in array("I", self.states[state]):
+            node, e = divmod(code, 4)
             nodes[node] = min(nodes.get(node, 9), e + 1)  # the word has a letter more
             for d, child in self.children[node].items():
                 nodes[child] = min(nodes.get(child, 9), e + (c != d))
@@ -224,6 +226,10 @@ def matcher(model: Model) -> Matcher:
     return _matchers[model]
 
 
+def forget() -> None:
+    _matchers.clear()
+
+
 def _distinct(text: str) -> set[str]:
     return {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40 and not w.isdigit()}
 
