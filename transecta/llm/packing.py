@@ -27,6 +27,7 @@ from .common import columns, on_workers, slices, texts, written
 CACHE_UNITS = 600_000
 #: A text with white space next to a space is split only where the space stands alone.
 DOUBLED = re.compile(r" \s|\s ")
+ENDED = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*]+)\Z")
 ALONE = re.compile(r"(?<=\S) (?=\S)")
 
 _tokenizers: dict[str, tuple[Tokenizer, dict, dict]] = {}
@@ -52,11 +53,26 @@ def units(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _encoded(path: str, found: list[str]) -> list[bytes]:
+    """The ids of each string as little-endian unsigned 32-bit numbers."""
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path)[0].encode_batch_fast(found, add_special_tokens=False)]
+
+
 def _remember(path: str, cache: dict, found: set[str], prefix: str) -> dict[str, bytes]:
-    """Ids, as little-endian unsigned 32-bit numbers, of the units that the cache lacks."""
-    new = list(found.difference(cache))
-    encoded = tokenizer(path)[0].encode_batch_fast([prefix + x for x in new], add_special_tokens=False)
-    more = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, encoded)}
+    """Ids of the units that the cache lacks.
+
+    Letters and the signs that end a unit are matches of their own, so that a word is encoded once
+    whatever signs it ends with.
+    """
+    new = found.difference(cache)
+    ended = {x: m.groups() for x in new if (m := ENDED.match(x))}
+    words = {w for w, _ in ended.values()}.union(new.difference(ended)).difference(cache)
+    signs = {x for _, x in ended.values()}
+    words, signs = list(words), list(signs)
+    more = dict(zip(words, _encoded(path, [prefix + x for x in words])))
+    after = dict(zip(signs, _encoded(path, signs)))
+    for x, (word, sign) in ended.items():
+        more[x] = (cache[word] if word in cache else more[word]) + after[sign]
     if len(cache) + len(more) <= CACHE_UNITS:
         cache.update(more)
         return {}
