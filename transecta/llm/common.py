@@ -10,6 +10,9 @@ Conventions that hold for every operator of this package unless its docstring sa
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 import sys
 import uuid
@@ -40,6 +43,10 @@ def entered(module: str) -> None:
     global _last_module
     if _last_module not in ("", module):
         getattr(sys.modules[_last_module], "forget", lambda: None)()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries
+            ctypes.CDLL(None).malloc_trim(0)
     _last_module = module
 
 

@@ -24,7 +24,8 @@ from tokenizers import Tokenizer
 from .common import columns, on_workers, slices, texts, written
 
 #: Units whose ids a worker remembers; later ones are encoded anew, with the same result.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 400_000
+FEW = 2048
 #: A text with white space next to a space is split only where the space stands alone.
 DOUBLED = re.compile(r" \s|\s ")
 ENDED = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*]+)\Z")
@@ -55,7 +56,10 @@ def units(text: str) -> list[str]:
 
 def _encoded(path: str, found: list[str]) -> list[bytes]:
     """The ids of each string as little-endian unsigned 32-bit numbers."""
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path)[0].encode_batch_fast(found, add_special_tokens=False)]
+    encode, out = tokenizer(path)[0].encode_batch_fast, []
+    for at in range(0, len(found), FEW):  # what the library returns is some hundred times the ids
+        out += [np.array(e.ids, "<u4").tobytes() for e in encode(found[at : at + FEW], add_special_tokens=False)]
+    return out
 
 
 def _remember(path: str, cache: dict, found: set[str], prefix: str) -> dict[str, bytes]:
@@ -102,7 +106,7 @@ def _pieces(batches, path, length, end_id, with_ids):
     part, seen = TaskContext.get().partitionId(), defaultdict(int)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", 1 << 20):
             out = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "rank", "ids")}
             for i, ids in enumerate(encode_texts(path, texts(rows))):
                 ids += end
