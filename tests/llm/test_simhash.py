@@ -80,3 +80,33 @@ def test_groups_and_one_of_each(spark, make_prose, odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept]
     assert len(ids) == len(set(ids)) and None in ids and kept[0].asDict().keys() == set(odd_docs.columns)
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.keep_one(no_docs).collect() == []
+
+
+def five_word_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 1}])
+def test_near_copies_at_four_fifths_are_one_group(spark, make_prose, options):
+    rng, rows, gone = random.Random(21), [], set()
+    for i in range(60):
+        words = make_prose(rng, 300).split()
+        other = list(words)
+        for at in range(20, 300, 60 if i % 2 else 25):
+            other[at] = f"changed{at}"
+        a, b = " ".join(words), " ".join(other)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        if five_word_similarity(a, b) >= 0.8:
+            gone.add(2 * i + 1)
+    assert len(gone) == 30
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, _ in rows} - gone
+
+
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark, make_prose):
+    rng = random.Random(22)
+    one, two, three = (make_prose(rng, 100) for _ in range(3))
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, make_prose(rng, 100)), (7, three)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted({rows[0], rows[2], rows[3], rows[4]})

@@ -8,10 +8,17 @@ segments that differ in one bit, one has it set), and full distances are verifie
 Segments that more than HOT fingerprints share are looked up another way, which is exact too and
 makes no pairs: each fingerprint there lists the points of the other segment within two bits, and
 whoever has come to a point at a cost of at most one bit links all that have come to it.
+
+keep_one, the pipeline's stage, has another rule: five-word shingles that agree by 0.8 or more. At
+0.8 fingerprints differ in ten bits of 64 on average, which no ball of segments reaches at a cost
+that follows the rows, so its candidates come from bands of least shingle hashes, and each is
+verified on the sets of shingles.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +33,13 @@ SEED, SHINGLE, DISTANCE = 42, 3, 3
 BLOCK = 1 << 15
 #: Fingerprints with one segment in common from which pairs are no longer looked at one by one.
 HOT = 1024
+#: keep_one: words of a shingle, the least similarity of near copies, and bands of least values; a
+#: pair of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8.
+WORDS, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
+#: Classes with a key in common from which they are compared with the least of them only.
+CROWD = 64
+#: Shingles that are put in all orders at once.
+FEW = 1024
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -120,20 +134,98 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, h
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with the least id of their group, one for each group, with all their columns.
+def shingles(text: str, size: int = WORDS, seed: int = SEED) -> tuple[int, np.ndarray]:
+    """A signed 64-bit hash of the text's words and the distinct hashes of its shingles, none without words."""
+    words = text.encode().lower().split()
+    line = b" ".join(words)
+    digest, ends = xxhash.xxh64_digest, list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[:-1]]
+    pairs = zip(starts, ends[size - 1 :]) if len(words) >= size else [(0, len(line) + 1)] * bool(words)
+    raw = b"".join([digest(line[a : b - 1], seed) for a, b in pairs])
+    return int.from_bytes(digest(line, seed), "big", signed=True), np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+
+
+def band_keys(hashes: np.ndarray, seed: int = SEED) -> list[int]:
+    """For each of BANDS bands a hash of its ROWS least values, over as many orders of the shingles."""
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), FEW):
+        np.minimum(least, (hashes[at : at + FEW, None] * factors).min(0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), seed + i) - (1 << 63) for i, r in enumerate(rows)]
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sorted sets of 32-bit numbers."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _sketches(batches, size):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = [shingles(t, size) for t in texts(part)]
+            sets = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for _, h in found]
+            out = [pa.array([c for c, _ in found], pa.int64()), pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns(part, "doc_id", "t"), *out], ["doc_id", "t", "c", "keys", "set"])
+
+
+def _similar(batches, least):
+    for batch in batches:
+        x, y = (c.to_pylist() for c in columns(batch, "x", "y"))
+        keep = pa.array([similarity(p, q) >= least for p, q in zip(x, y)], pa.bool_())
+        yield batch.select(["a", "b"]).filter(keep)
+
+
+def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> DataFrame:
+    """Edges (a, b) between classes of sketches(c, keys, set) whose shingles agree by `least` or more.
 
-    Of several rows with that id one stays, the first by its text. Rows without an id can't be told
-    apart and stay.
+    Candidates share a key; each is verified on the shingles' sets. In a bucket of more than `hot`
+    classes candidates are the pairs with its least class, so that no group makes a square of rows.
+    """
+    keys = sketches.select("c", F.explode("keys").alias("key")).distinct()
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("a")).where("n > 1"), "shared")
+    members = written(keys.join(shared.hint("merge"), "key"), "members")
+    small = members.where(F.col("n") <= hot)
+    pairs = small.select("key", F.col("c").alias("l")).join(small.select("key", F.col("c").alias("b")).hint("merge"), "key").where("l < b").select(F.col("l").alias("a"), "b")
+    pairs = written(pairs.union(members.where((F.col("n") > hot) & (F.col("a") < F.col("c"))).select("a", F.col("c").alias("b"))).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    sets = written(sketches.join(named.hint("merge"), "c", "left_semi").groupBy("c").agg(F.first("set").alias("set")), "sets")
+    first = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+    both = first.join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    return both.mapInArrow(on_workers(_similar, least), "a long, b long")
+
+
+def keep_one(docs: DataFrame, size: int = WORDS, least: float = LEAST, hot: int = CROWD) -> DataFrame:
+    """One row of docs for each group of near copies, the one with the least id, with all its columns.
+
+    Near copies agree in `least` or more of their shingles of `size` words (Jaccard), and groups are
+    what such pairs connect; texts without words are one group. Of several rows with the least id
+    in a group one stays. Rows without an id can't be told apart and stay.
     """
     columns_ = docs.columns
-    groups = near_duplicates(docs, **options)
-    kept = written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows_")).select(F.col("doc_id").alias("id_"), "rows_"), "kept")
-    out = docs.join(kept.where("rows_ = 1"), F.col("doc_id") == F.col("id_"), "left_semi").unionByName(docs.where("doc_id is null"))
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), mark.alias("t"))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, t long, c long, keys array<long>, set binary"
+    found = written(rows.mapInArrow(on_workers(_sketches, size), schema), "sketches")
+    edges = written(similar(found.select("c", "keys", "set"), least, hot), "edges")
+    roots = components(edges).withColumnRenamed("node", "c")
+    # of a class of equal words the least row stands for all, so that hot classes are small before they meet
+    classes = found.where("doc_id is not null").groupBy("c", "doc_id", "t").agg(F.count("*").alias("rows_"))
+    least_ = classes.groupBy("c").agg(F.min(F.struct("doc_id", "t", "rows_")).alias("row_")).join(roots, "c", "left")
+    kept = least_.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("row_").alias("row_")).select(F.col("row_.doc_id").alias("id_"), F.col("row_.t").alias("t_"), F.col("row_.rows_").alias("rows_"))
+    kept = written(kept, "kept")
+    same = (F.col("doc_id") == F.col("id_")) & (mark == F.col("t_"))
+    # always dealt anew, as the texts of a larger table would be
+    out = docs.join(kept.where("rows_ = 1").hint("merge"), same, "left_semi").unionByName(docs.where("doc_id is null"))
     several = kept.where("rows_ > 1")
     if not several.isEmpty():
-        rows = docs.join(several, F.col("doc_id") == F.col("id_"), "left_semi")
-        first = rows.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in columns_ if c not in ("doc_id", "text")))).alias("row_"))
+        rows = docs.join(several, same, "left_semi")
+        first = rows.groupBy("doc_id", mark.alias("t_")).agg(F.min(F.struct("text", *(c for c in columns_ if c not in ("doc_id", "text")))).alias("row_"))
         out = out.unionByName(first.select("doc_id", "row_.*").select(columns_))
     return out
 
