@@ -40,6 +40,18 @@ def test_patterns_use_every_length_as_often_as_it_occurs(histogram):
     assert used == Counter(histogram)
 
 
+def test_a_run_of_equal_pieces_opens_no_more_packs_than_it_fills():
+    sequences = lambda histogram: sum(n for _, n in packing.shortest_pack_first(histogram, 2048))
+    assert sequences({1024: 10}) == 5 and sequences({1024: 11}) == 6
+    assert sequences({300: 10_000}) == -(-10_000 // 6)
+    rng = np.random.default_rng(4)
+    sizes = np.clip(rng.lognormal(5.5, 1, 20_000).astype(int), 1, 2048)
+    for hot in (300, 600, 900, 1024):
+        histogram = Counter(sizes.tolist()) + Counter({hot: 10_000})
+        tokens = sum(size * n for size, n in histogram.items())
+        assert -(-tokens // 2048) <= sequences(histogram) <= 1.01 * tokens / 2048
+
+
 def test_every_token_lies_in_one_place(odd_docs, odd_texts):
     rows = packing.pack(odd_docs, PATH, length=256).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

@@ -126,7 +126,8 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[tu
     """Packing patterns and how often each is used, for counts by piece length.
 
     Lengths are placed longest first. A run of n equal pieces goes, one piece to a pack, to the
-    shortest open packs that have room for it: those with the most room left.
+    shortest open packs that have room for it: those with the most room left. Where none has, the
+    rest of the run opens the least number of new packs.
     """
     open_packs: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by room left
     for size in sorted(histogram, reverse=True):
@@ -134,9 +135,12 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[tu
         while left:
             room = max((r for r, packs in open_packs.items() if packs and r >= size), default=None)
             if room is None:
-                # a new pack takes as many of these as will stand beside each other once all
-                # packs that are open are longer than it: one now, more in the next rounds
-                open_packs[length - size].append(((size,), left))
+                # equal pieces fill new packs: as many as fit in each, and those over share one more
+                most = length // size
+                full, over = divmod(left, most)
+                for pieces, count in ((most, full), (over, 1)):
+                    if pieces and count:
+                        open_packs[length - size * pieces].append(((size,) * pieces, count))
                 break
             pattern, count = open_packs[room].pop()
             used = min(left, count)
