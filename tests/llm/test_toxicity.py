@@ -30,6 +30,16 @@ def test_automaton_on_the_trie_equals_edit_distances():
         assert trie.match(word) == ((min(near)[1], min(near)[0]) if near else None), word
 
 
+def test_every_term_of_a_large_lexicon_is_matched_with_edits():
+    rng = random.Random(9)
+    terms = sorted({"".join(rng.choice("abdeginorstu") for _ in range(rng.randint(5, 12))) for _ in range(2000)})
+    trie = toxicity.Trie(terms)
+    for i in [*range(0, len(terms), 50), len(terms) - 1]:
+        word = terms[i][:2] + "z" + terms[i][3:]
+        near = [(distance(word, t), k) for k, t in enumerate(terms) if distance(word, t) <= toxicity.edits_for(len(t))]
+        assert trie.match(word) == min(near)[::-1], word
+
+
 def test_stems_match_starts_of_words():
     trie = toxicity.Trie(["grob*", "grobbit"])
     assert trie.match("grobfoo") == (0, 0) and trie.match("grob") is None and trie.match("grobbit") == (1, 0)

@@ -41,7 +41,6 @@ CACHE_WORDS = 400_000
 STATES = 50_000
 STEM = "*"
 STEM_SIZES = range(4, 11)
-FUZZY = 300
 FEATURES = 6
 
 
@@ -52,8 +51,8 @@ def edits_for(size: int) -> int:
 class Trie:
     """A lexicon's trie and the automaton over it that reads words with edits.
 
-    Terms that end in STEM are stems. Only the first FUZZY other terms, the best of a lexicon,
-    are matched with edits, as many as edits_for() allows a term.
+    Terms that end in STEM are stems, which match as they stand. All other terms are matched with
+    edits, as many as edits_for() allows a term.
     """
 
     def __init__(self, lexicon: list[str]):
@@ -62,7 +61,7 @@ class Trie:
         self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
         self.children: list[dict[str, int]] = [{}]
         self.term, self.most = [-1], [0]  # of a node: its term, and the edits that any term below it allows
-        for t in list(self.exact)[:FUZZY]:
+        for t in self.exact:
             node, k = 0, edits_for(len(t))
             self.most[0] = max(self.most[0], k)
             for c in t:
