@@ -47,6 +47,16 @@ def test_costly_values_in_a_credentials_place_are_added():
     assert len(base) == 1 and more == []
 
 
+def test_values_that_reach_beyond_a_base_span_are_scored(spark):
+    words = secrets.dictionary()
+    for text, kind in (("password: Gk83hf92LmQz!x7#Wp40vT", 0), ("secret: q!0123456789abcdef#Wp40vT", 2)):
+        base, more = secrets.scan_text(text, words, 8.0)
+        assert [k for _, k, _ in base] == [kind]
+        assert [(text[s:e], k) for s, k, e, _ in more] == [(text.split(" ")[1], 3)]
+        kept = secrets.redact(spark.createDataFrame([(text,)], "text string")).first()["text"]
+        assert kept in ("[SECRET]", "secret: [SECRET]")
+
+
 def test_scan_and_digests(odd_docs, no_docs):
     rows = {(r["doc_id"], r["base_sha256"]): r for r in secrets.digests(secrets.scan(odd_docs)).collect()}
     last = next(r for (i, _), r in rows.items() if i == 15)

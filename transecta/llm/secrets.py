@@ -138,7 +138,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], words: dict[str, float], least: float) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, cost) of values in a credential's place that cost at least 10**least guesses and lie outside base spans.
+    """(start, kind, end, cost) of values in a credential's place that cost at least 10**least guesses and don't lie wholly inside a base span.
 
     A value that no sign assigns ("the password is x") must also mix letters with digits or signs,
     as prose has words there.
@@ -151,7 +151,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], words: dict[str, fl
         start, end = m.span("value")
         value = m["value"].rstrip(".!?)]}:")
         end = start + len(value)
-        if any(s < end and start < e for s, _, e in base):
+        if any(s <= start and end <= e for s, _, e in base):
             continue
         body = value.strip(".,!?()[]{}*#$%&|-_=+:/~")
         if not any(c in m["sep"] for c in ":=") and not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
