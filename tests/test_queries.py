@@ -51,3 +51,25 @@ ANALYSIS = sorted(n for n in __spark_entry__.queries() if n not in __spark_entry
 @pytest.mark.parametrize("name", ANALYSIS)
 def test_query_without_sql_runs(spark, name):
     assert __spark_entry__.queries()[name](spark, FOLDER).count() >= 0
+
+
+def test_front_observability_takes_2048_fronts(spark):
+    import numpy as np
+
+    from transecta.operators import graph
+    from transecta.plans import inputs
+
+    records = inputs.records(spark, FOLDER)
+    places = np.array([r["coords"][:2] for r in records.collect()])
+    centre, scale = np.median(places, 0), places.std(0)
+    angles = np.random.default_rng(20260912).uniform(0, 2 * math.pi, 2048)
+    ways = np.stack([np.cos(angles), np.sin(angles)])
+    ends = {}
+    for r in graph.edge_table(records, graph.knn_edges(records)).collect():
+        ends.setdefault(r["unit"], []).append((r["start"][:2], r["end"][:2]))
+    found = {r["unit"]: r for r in __spark_entry__.queries()["front_observability"](spark, FOLDER).collect()}
+    assert set(found) == set(ends)
+    for unit, pairs in ends.items():
+        z = (np.array(pairs) - centre) / scale
+        v = np.abs(np.diff(np.tanh(z @ ways / 0.2), axis=1))[:, 0] / 2
+        assert abs(found[unit]["contrast"] - v.mean()) < 1e-5 and abs(found[unit]["share"] - (v.max(0) >= 0.25).mean()) < 1e-5

@@ -308,7 +308,7 @@ def midpoint_radial_distance(spark, sf):
 @query()
 def front_observability(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(diagnostics.observability(graph.edge_table(rows, graph.knn_edges(rows)), rows, 64), "contrast", "share")
+    return rounded(diagnostics.observability(graph.edge_table(rows, graph.knn_edges(rows)), rows), "contrast", "share")
 
 
 @query(
