@@ -9,111 +9,188 @@ pieces by the rank of a piece among those of its length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import columns, on_workers, slices, texts, written
+from .common import columns, on_workers, slices, written
 
-#: Units whose ids a worker remembers; later ones are encoded anew, with the same result.
-CACHE_UNITS = 400_000
-FEW = 2048
-#: A text with white space next to a space is split only where the space stands alone.
-DOUBLED = re.compile(r" \s|\s ")
-ENDED = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*]+)\Z")
+#: Text bytes whose distinct units are encoded together.
+SLICE = 16 << 20
+#: Units that the tokenizer gets as one text, and texts at a time.
+LINE, LINES = 512, 16
+#: Signs that often end a word.
+SIGNS = ".,;:!?#$%&*)"
+#: Spaces that stand alone between two other signs.
 ALONE = re.compile(r"(?<=\S) (?=\S)")
 
-_tokenizers: dict[str, tuple[Tokenizer, dict, dict]] = {}
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
+_tokenizers: dict[str, tuple[Tokenizer, np.ndarray]] = {}
 
-def tokenizer(path: str) -> tuple[Tokenizer, dict, dict]:
-    """The tokenizer and its caches: ids of a unit at a text's start, and of one after a space."""
+
+def tokenizer(path: str) -> tuple[Tokenizer, np.ndarray]:
+    """The tokenizer, and of each id whether its token starts with a space."""
     if path not in _tokenizers:
         found = Tokenizer.from_file(path)
         found.encode_special_tokens = True
-        _tokenizers[path] = found, {}, {}
+        spaced = np.zeros(found.get_vocab_size(), bool)
+        spaced[[i for token, i in found.get_vocab().items() if token.startswith("Ġ")]] = True
+        _tokenizers[path] = found, spaced
     return _tokenizers[path]
 
 
-def forget() -> None:
-    _tokenizers.clear()
+def _alone(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts that are encoded one by one, and how many each has."""
+    encode = tokenizer(path)[0].encode_batch_fast
+    out = [np.array(e.ids, "<u4") for at in range(0, len(found), LINE) for e in encode(found[at : at + LINE], add_special_tokens=False)]
+    return np.concatenate([np.zeros(0, "<u4"), *out]), np.array([len(x) for x in out], np.int64)
+
+
+def _spaced(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units that each follow a space and have none, nor other white space at an end, and how many each has.
+
+    The tokenizer gets many units as one text. A match of its pattern starts at the space before
+    each, and no other token starts with a space, so that these tokens tell where units begin.
+    """
+    own, starts = tokenizer(path)
+    lines = [" " + " ".join(found[at : at + LINE]) for at in range(0, len(found), LINE)]
+    ids, sizes = [], []
+    for at in range(0, len(lines), LINES):
+        for k, e in enumerate(own.encode_batch_fast(lines[at : at + LINES], add_special_tokens=False), at):
+            these = np.array(e.ids, "<u4")
+            first = np.flatnonzero(starts[these])
+            units = found[LINE * k : LINE * (k + 1)]
+            if len(first) != len(units) or first[0]:
+                raise ValueError("the tokenizer does not start a token at every lone space")
+            ids.append(these)
+            sizes.append(np.diff(first, append=len(these)))
+    return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
 
-def units(text: str) -> list[str]:
-    """The text split at lone spaces. A match of the tokenizer's pattern starts at each, so units encode apart."""
-    if text[:1].isspace() or text[-1:].isspace() or DOUBLED.search(text):
-        return ALONE.split(text)
-    return text.split(" ")
+def _is_plain(units: pa.Array) -> np.ndarray:
+    """Whether a unit is not empty, has no space, and no other white space at an end."""
+    ok = pc.and_(pc.equal(pc.utf8_trim_whitespace(units), units), pc.greater(pc.binary_length(units), 0))
+    return pc.and_not(ok, pc.match_substring(units, " ")).to_numpy(zero_copy_only=False)
 
 
-def _encoded(path: str, found: list[str]) -> list[bytes]:
-    """The ids of each string as little-endian unsigned 32-bit numbers."""
-    encode, out = tokenizer(path)[0].encode_batch_fast, []
-    for at in range(0, len(found), FEW):  # what the library returns is some hundred times the ids
-        out += [np.array(e.ids, "<u4").tobytes() for e in encode(found[at : at + FEW], add_special_tokens=False)]
-    return out
+def _gathered(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, each of `size` from `at` on, one after another, and where each ends."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-def _remember(path: str, cache: dict, found: set[str], prefix: str) -> dict[str, bytes]:
-    """Ids of the units that the cache lacks.
+def _worded(path: str, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """_spaced() with the signs that end a unit taken off, so that a word is encoded once whatever it ends with.
 
-    Letters and the signs that end a unit are matches of their own, so that a word is encoded once
-    whatever signs it ends with.
+    Signs after a letter or digit are a match of the tokenizer's pattern of their own.
+    """
+    words = pc.utf8_rtrim(units, SIGNS)
+    words = pc.if_else(pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, -1)), words, units)
+    coded = words.dictionary_encode()
+    ids, sizes = _spaced(path, coded.dictionary.to_pylist())
+    code, other = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.not_equal(words, units)
+    ended = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+    signs = pa.array([u[len(w) :] for u, w in zip(units.filter(other).to_pylist(), words.filter(other).to_pylist())], pa.string()).dictionary_encode()
+    more, more_sizes = _alone(path, signs.dictionary.to_pylist())
+    parts = np.full((len(code), 2), len(sizes) + len(more_sizes))  # the last part is none
+    parts[:, 0] = code
+    parts[ended, 1] = signs.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(sizes)
+    sizes = np.concatenate([sizes, more_sizes, [0]])
+    at = np.cumsum(sizes) - sizes
+    ids, _ = _gathered(np.concatenate([ids, more]), at[parts.ravel()], sizes[parts.ravel()])
+    return ids, sizes[parts].sum(1)
+
+
+def _encoded(path: str, coded: pa.DictionaryArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, one after another, and where each ends: of texts cut into units, of which texts begin at `starts`."""
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    units = coded.dictionary
+    n = len(units)
+    plain = _is_plain(units)
+    first = np.zeros(len(code), bool)
+    first[starts] = True
+    use = np.zeros((2, n), bool)  # as a later unit, as a text's first
+    use[0, code[~first]] = use[1, code[first]] = True
+    ids, at, size, base = [], np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64), 0
+    for which, shift, space in ((use[0] & plain, 0, None), (use[0] & ~plain, 0, " "), (use[1], n, "")):
+        some = np.flatnonzero(which)
+        found = units.take(pa.array(some))
+        these, sizes = _worded(path, found) if space is None else _alone(path, [space + x for x in found.to_pylist()])
+        size[some + shift] = sizes
+        at[some + shift] = base + np.cumsum(sizes) - sizes
+        base += len(these)
+        ids.append(these)
+    code[first] += n
+    out, ends = _gathered(np.concatenate(ids), at[code], size[code])
+    return out, ends[np.append(starts[1:], len(code)) - 1]
+
+
+def encoded(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all texts in some order, and where those of each text start and end; empty texts have none.
+
+    Texts are cut at lone spaces, where a match of the tokenizer's pattern starts, so that units
+    encode apart and each distinct one once. Texts with other white space beside a space or at an end are cut
+    by a pattern, all others where a space is.
     """
-    new = found.difference(cache)
-    ended = {x: m.groups() for x in new if (m := ENDED.match(x))}
-    words = {w for w, _ in ended.values()}.union(new.difference(ended)).difference(cache)
-    signs = {x for _, x in ended.values()}
-    words, signs = list(words), list(signs)
-    more = dict(zip(words, _encoded(path, [prefix + x for x in words])))
-    after = dict(zip(signs, _encoded(path, signs)))
-    for x, (word, sign) in ended.items():
-        more[x] = (cache[word] if word in cache else more[word]) + after[sign]
-    if len(cache) + len(more) <= CACHE_UNITS:
-        cache.update(more)
-        return {}
-    return more
+    begin, end = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    some = np.flatnonzero(pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False))
+    out, base = [], 0
+
+    def add(rows: np.ndarray, coded: pa.DictionaryArray, starts: np.ndarray) -> None:
+        nonlocal base
+        ids, ends = _encoded(path, coded, starts)
+        begin[rows], end[rows] = base + np.append(0, ends[:-1]), base + ends
+        out.append(ids)
+        base += len(ids)
+
+    lists = pc.split_pattern(found.take(pa.array(some)), " ")
+    starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))[:-1].astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    if not len(some):
+        return np.zeros(0, "<u4"), begin, end
+    odd = np.logical_or.reduceat(~_is_plain(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)], starts)
+    if odd.any():
+        cut = [ALONE.split(t) for t in found.take(pa.array(some[odd])).to_pylist()]
+        sizes = np.array([len(x) for x in cut])
+        add(some[odd], pa.array([u for x in cut for u in x], pa.string()).dictionary_encode(), np.cumsum(sizes) - sizes)
+        lists = lists.filter(pa.array(~odd))
+        starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))[:-1].astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+    if not odd.all():
+        add(some[~odd], coded, starts)
+    return np.concatenate(out), begin, end
 
 
 def encode_texts(path: str, found: list[str]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers; empty texts have none."""
-    _, first, later = tokenizer(path)
-    split = [units(t) if t else [] for t in found]
-    rare_first = _remember(path, first, {x[0] for x in split if x}, "")
-    rare = _remember(path, later, set(chain.from_iterable(x[1:] for x in split)), " ")
-    out = []
-    for x in split:
-        if not x:
-            out.append(b"")
-            continue
-        head = first.get(x[0]) if x[0] in first else rare_first[x[0]]
-        if rare:
-            out.append(head + b"".join([later[u] if u in later else rare[u] for u in x[1:]]))
-        else:
-            out.append(head + b"".join(map(later.__getitem__, x[1:])))
-    return out
+    ids, begin, end = encoded(path, pa.array(found, pa.string()))
+    return [ids[a:b].tobytes() for a, b in zip(begin, end)]
 
 
 def _pieces(batches, path, length, end_id, with_ids):
     part, seen = TaskContext.get().partitionId(), defaultdict(int)
-    end = np.array([end_id], "<u4").tobytes()
+    last = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for rows in slices(batch, "text", 1 << 20):
+        for rows in slices(batch, "text", SLICE):
             out = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "rank", "ids")}
-            for i, ids in enumerate(encode_texts(path, texts(rows))):
-                ids += end
-                for at in range(0, len(ids), 4 * length):
-                    piece = ids[at : at + 4 * length]
-                    n = len(piece) // 4
-                    for k, v in zip(out, (i, at // 4, n, zlib.crc32(piece), len(ids) // 4, seen[n], piece if with_ids else None)):
+            found, begin, end = encoded(path, columns(rows, "text")[0].cast(pa.string()))
+            for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
+                for at in range(a, b + 1, length):
+                    n = min(length, b + 1 - at)
+                    piece = found[at : min(b, at + length)].tobytes()
+                    if at + n > b:
+                        piece += last
+                    for k, v in zip(out, (i, at - a, n, zlib.crc32(piece), b + 1 - a, seen[n], piece if with_ids else None)):
                         out[k].append(v)
                     seen[n] += 1
             id_ = columns(rows, "doc_id")[0].take(pa.array(out.pop("row"), pa.int32()))
