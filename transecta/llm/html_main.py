@@ -1,27 +1,33 @@
 """Main text of web pages: site templates found by counting element subtrees for each host.
 
-Every page is parsed to elements. Subtrees are hashed by tags and text; Spark counts, for each
+Every page is parsed once, to elements. Subtrees are hashed by tags and text; Spark counts, for each
 host, in how many different main texts' pages a subtree occurs. Subtrees that recur across many
 pages of a host are deleted there, and so is what its element, role or class names as a menu,
-header, footer, sidebar, notice, advert, form or comments, which hosts with few pages need. What
-is left of the article, or of the body where no article is marked, is the text.
+header, footer, sidebar, notice, advert, form or comments, which hosts with few pages need. A class
+or id deletes nothing that holds an article, a main part or a heading of first level, nor most of a
+page without any. What is left of the article, or of the body where no article is marked, is the text.
+
+The parse leaves a table of each page's blocks, with the subtrees around them, and of the hashes to
+count; pages are not parsed again to delete what recurs.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, on_workers, slices
+from .common import columns, on_workers, slices, written
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">]+)*)>?|[!?/][^>]*>?)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-NAMES = re.compile(r"[a-z]+")
+#: Words of a class or id: at hyphens, underscores, digits, and capitals after small letters.
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -48,6 +54,18 @@ LABELS = frozenset(
     "masthead topbar footer sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe signup "
     "share sharing social comment comments disqus respond replies related recommended login search toolbar skip".split()
 )
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+#: Of an article's own classes only these tell that it is not the page's.
+ASIDE = COMMENTS | frozenset("related sponsored recommended promo".split())
+#: Words beside a label that leave it one (ad-box, footer-links), and words that turn it (no-sidebar).
+BESIDE = frozenset("box boxes wrap wrapper container block blocks area section slot unit list items item links link panel module group holder inner outer top bottom left right main site global small large posts articles stories form button buttons icon icons text content".split())
+TURNED = frozenset("no non not without has have with hide hidden is enable enabled disable disabled".split())
+#: Boilerplate that is left out, by the least level that is looked at: by element and role always.
+LEFT_OUT = {1: (1, 2), 2: (1,)}
+COUNTED = CONTAINERS | PROSE
+RAW_ENDS = {name: re.compile(f"</{name}", re.I) for name in RAW}
+#: Keys that a host's subtrees are dealt to.
+SALTS = 16
 #: A subtree is a template from so many different main texts of a host on, and from such a share of them on.
 LEAST_PAGES, LEAST_SHARE = 4, 0.01
 #: Inside an article the share must be this, as copied passages recur there too.
@@ -55,15 +73,28 @@ LEAST_SHARE_INSIDE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "hash", "size")
+    __slots__ = ("tag", "attrs", "parent", "items", "hash", "size", "inside", "holds", "headed", "gone")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.items, self.hash, self.size = tag, attrs, parent, [], 0, 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.holds = self.headed = False
+        self.gone = 0
 
 
 def parse(page: str) -> Node:
     """The page's elements as a tree; items are nodes and decoded texts. Unclosed and stray tags are mended."""
     root = here = Node("", "", None)
+    opened: Counter[str] = Counter()  # by name, so that what is not open is not looked for
+
+    def leave(node: Node) -> Node:
+        """The node around `node`, which ends with all that is open in it."""
+        inner = here
+        while inner is not node.parent:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return node.parent
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -78,35 +109,39 @@ def parse(page: str) -> Node:
             continue
         name = m["name"].lower()
         if m["close"]:
-            node = here
-            while node.parent and node.tag != name:
-                node = node.parent
-            if node.parent:
-                here = node.parent
+            if opened[name]:
+                node = here
+                while node.tag != name:
+                    node = node.parent
+                here = leave(node)
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             node = here
-            while node.parent and node.tag != "p" and (node.tag not in BLOCKS):
+            while node.parent and node.tag != "p" and node.tag not in BLOCKS:
                 node = node.parent
             if node.tag == "p":
-                here = node.parent
+                here = leave(node)
         if name in ENDS:
             ended, around = ENDS[name]
-            node = last = here
-            while node.parent and node.tag not in around:
-                if node.tag in ended:
-                    last = node.parent
-                node = node.parent
-            if node.tag in around:
-                here = last
+            if any(opened[x] for x in ended):
+                node, last = here, None
+                while node.parent and node.tag not in around:
+                    if node.tag in ended:
+                        last = node
+                        if name != "tr" or node.tag == "tr":  # a row ends its cells too
+                            break
+                    node = node.parent
+                if last:
+                    here = leave(last)
         node = Node(name, m["attrs"] or "", here)
         here.items.append(node)
         if name in RAW:
-            end = re.compile(f"</{name}", re.I).search(page, at)
+            end = RAW_ENDS[name].search(page, at)
             node.items.append(page[at : end.start() if end else n])
             at = end.start() if end else n
         if name not in VOID and not (m["attrs"] or "").rstrip().endswith("/") or name in RAW:
             here = node
+            opened[name] += 1
     return root
 
 
@@ -120,49 +155,75 @@ def walk(root: Node):
 
 
 def measure(root: Node) -> None:
-    """Fill in each node's hash, of its tags and its text with single spaces, and its size, its text's characters."""
-    for node in reversed(list(walk(root))):
+    """Fill in what nodes are told by what they hold, and which of them are boilerplate by name.
+
+    Of a node: the hash of its tags and its text with single spaces; its size, the characters of
+    its text outside elements that are never part of an article; whether it holds an article, a main
+    part or a heading of first level; whether it holds any heading.
+    """
+    nodes = list(walk(root))
+    for node in reversed(nodes):
         h, size = xxhash.xxh64(node.tag.encode()), 0
         for x in node.items:
             if isinstance(x, Node):
                 h.update(x.hash.to_bytes(8, "little"))
-                size += x.size
+                size += x.size if x.tag not in DROPPED else 0
+                node.holds |= x.holds or x.tag in ("article", "main", "h1")
+                node.headed |= x.headed or x.tag in HEADINGS
             else:
                 text = " ".join(x.split())
                 h.update(text.encode("utf-8", "surrogatepass") + b"\0")
                 size += len(text)
         node.hash, node.size = h.intdigest(), size
+    for node in nodes:
+        node.gone = boilerplate(node, root)
 
 
 def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(node.attrs)} if node.attrs else {}
 
 
-def named_boilerplate(node: Node) -> bool:
+def labels(names: str) -> set[str]:
+    """The labels among the names of a class or id: a name that ends with one, or starts with one and goes on with words that change nothing."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in NAMES.findall(name)]
+        if not words or TURNED.intersection(words):
+            continue
+        if words[-1] in LABELS:
+            found.add(words[-1])
+        elif words[0] in LABELS and all(w in BESIDE or w in LABELS for w in words):
+            found.add(words[0])
+    return found
+
+
+def boilerplate(node: Node, root: Node) -> int:
+    """1 if an element or role names it as no part of an article, 2 if only a class or id does, else 0."""
     if node.tag in DROPPED:
-        return True
+        return int(not (node.tag == "form" and node.holds))
     if node.tag == "header":  # an article's own header with its heading is part of it
-        inside = node.parent
-        while inside and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        return not (inside and any(x.tag in HEADINGS for x in walk(node)))
+        return int(not (node.inside and node.headed))
     if not node.attrs or node.tag in ("html", "body", "main"):
-        return False
+        return 0
     attrs = attributes(node)
-    if attrs.get("role", "").lower() in ROLES:
-        return True
-    words = set(NAMES.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(words & LABELS) and node.tag != "article" or bool(words & {"comment", "comments", "related", "sponsored"})
+    if attrs.get("role", "").lower() in ROLES and not node.holds:
+        return 1
+    found = labels(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+    if node.tag == "article":
+        return 2 * bool(found & ASIDE)
+    if not found or node.holds or not root.holds and not found & COMMENTS and 2 * node.size >= root.size:
+        return 0
+    return 2
 
 
-def main_nodes(root: Node) -> list[Node]:
+def main_nodes(root: Node, least: int = 1) -> list[Node]:
     """The outermost articles, else the main elements, else the body, else all; none of them in boilerplate."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
     stack = [root]
     while stack:
         node = stack.pop()
         kind = "main" if node.tag == "main" or "main" in node.attrs and attributes(node).get("role") == "main" else node.tag
-        if named_boilerplate(node):
+        if node.gone in LEFT_OUT[least]:
             continue
         if kind in found and not (kind == "main" and found["main"]):
             found[kind].append(node)
@@ -172,36 +233,46 @@ def main_nodes(root: Node) -> list[Node]:
     return found["article"] or found["main"][:1] or found["body"][:1] or [root]
 
 
-def blocks(nodes: list[Node], deleted: set[int]) -> list[str]:
-    """Texts of the blocks in page order, white space single; deleted: hashes of subtrees to leave out."""
-    out: list[str] = []
+def blocks(nodes: list[Node], counted=frozenset(), least: int = 1) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
+    """The blocks (text, place) in page order, white space single, and the counted subtrees around them.
+
+    A subtree is (hash, place of the subtree around it); a block's place is that of the innermost
+    subtree around it; -1 is none.
+    """
+    out: list[tuple[str, int]] = []
+    around: list[tuple[int, int]] = []
     run: list[str] = []
+    place = -1
 
     def flush() -> None:
         if text := " ".join("".join(run).split()):
-            out.append(text)
+            out.append((text, place))
         run.clear()
 
     for top in nodes:
-        stack: list = [top]
+        stack: list = [(top, -1)]
         while stack:
-            x = stack.pop()
+            x, at = stack.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
+                if not run:
+                    place = at
                 run.append(x)
-            elif x is not top and (named_boilerplate(x) or x.hash in deleted and x.tag in CONTAINERS | PROSE):
-                run.append(" ")
+            elif x is not top and x.gone in LEFT_OUT[least]:
+                flush() if x.tag in BLOCKS else run.append(" ") if run else None
             elif x.tag == "br":
-                run.append(" ")
+                run.append(" ") if run else None
             else:
-                block = x.tag in BLOCKS or x is top
-                if block:
+                if x is not top and x.hash in counted and x.tag in COUNTED:
+                    around.append((x.hash, at))
+                    at = len(around) - 1
+                if x.tag in BLOCKS or x is top:
                     flush()
-                    stack.append(None)
-                stack.extend(reversed(x.items))
+                    stack.append((None, at))
+                stack.extend((y, at) for y in reversed(x.items))
         flush()
-    return out
+    return out, around
 
 
 def candidates(root: Node, nodes: list[Node]) -> dict[int, bool]:
@@ -212,85 +283,106 @@ def candidates(root: Node, nodes: list[Node]) -> dict[int, bool]:
     """
     found: dict[int, bool] = {}
     marked = nodes[0].tag in ("article", "main")
-    inner: set[int] = set()
+    tops = set(map(id, nodes))
+    inner = set(tops)
     for top in nodes:
-        held = [x for x in walk(top) if x is not top]
-        inner.update(map(id, held))
-        inner.add(id(top))
+        inner.update(map(id, walk(top)))
     whole = max(1, sum(x.size for x in nodes))
     for node in walk(root):
         inside = id(node) in inner
-        if not node.size or node in nodes or node.tag not in CONTAINERS and (node.tag not in PROSE or inside and marked):
+        if not node.size or id(node) in tops or node.tag not in CONTAINERS and (node.tag not in PROSE or inside and marked):
             continue
-        if inside and 2 * node.size >= whole or any(x.tag in ("article", "main", "h1") for x in walk(node)):
+        if inside and 2 * node.size >= whole or node.holds or node.tag in ("article", "main", "h1"):
             continue
         found[node.hash] = found.get(node.hash, False) or inside
     return found
 
 
+def page_parts(page: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]], dict[int, bool]]:
+    """A page's blocks, the subtrees around them, and the subtrees to count.
+
+    Where nothing is left of a page, classes and ids delete nothing.
+    """
+    root = parse(page)
+    measure(root)
+    for least in (1, 2):
+        nodes = main_nodes(root, least)
+        found = candidates(root, nodes)
+        parts, around = blocks(nodes, found, least)
+        if parts:
+            break
+    return parts, around, found
+
+
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case; empty where there is none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _subtrees(batches):
+PARTS = "main long, found array<struct<subtree:bigint,inside:boolean>>, around array<struct<subtree:bigint,up:int>>, blocks array<struct<text:string,at:int>>"
+
+
+def _parts(batches):
+    signed = lambda h: h - (1 << 63)
+    found_type = pa.list_(pa.struct([("subtree", pa.int64()), ("inside", pa.bool_())]))
+    around_type = pa.list_(pa.struct([("subtree", pa.int64()), ("up", pa.int32())]))
+    blocks_type = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32())]))
     for batch in batches:
         for part in slices(batch, "html"):
-            rows: dict[str, list] = {"row": [], "main": [], "subtree": [], "inside": []}
-            for i, page in enumerate(part.column(part.schema.get_field_index("html")).to_pylist()):
-                root = parse(page)
-                measure(root)
-                nodes = main_nodes(root)
-                main = xxhash.xxh64_intdigest("\n".join(blocks(nodes, set())).encode("utf-8", "surrogatepass"))
-                found = candidates(root, nodes)
-                rows["row"] += [i] * (len(found) + 1)
-                rows["main"] += [main - (1 << 63)] * (len(found) + 1)
-                rows["subtree"] += [None, *(h - (1 << 63) for h in found)]
-                rows["inside"] += [False, *found.values()]
-            keys = [c.take(pa.array(rows["row"], pa.int32())) for c in columns(part, "host", "key")]
-            more = [pa.array(rows["main"], pa.int64()), pa.array(rows["subtree"], pa.int64()), pa.array(rows["inside"], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*keys, *more], ["host", "key", "main", "subtree", "inside"])
-
-
-def templates(subtrees: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_inside: float = LEAST_SHARE_INSIDE) -> DataFrame:
-    """(host, subtree) of the subtrees that recur across many pages of a host, from rows (host, key, main, subtree, inside).
+            rows: list[list] = [[], [], [], []]
+            for page in columns(part, "html")[0].to_pylist():
+                parts, around, found = page_parts(page)
+                parts = [(t.encode("utf-8", "replace").decode(), at) for t, at in parts]
+                rows[0].append(signed(xxhash.xxh64_intdigest("\n".join(t for t, _ in parts))))
+                rows[1].append([{"subtree": signed(h), "inside": x} for h, x in found.items()])
+                rows[2].append([{"subtree": signed(h), "up": up} for h, up in around])
+                rows[3].append([{"text": t, "at": at} for t, at in parts])
+            arrays = [pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), found_type, around_type, blocks_type))]
+            yield pa.RecordBatch.from_arrays([*columns(part, "page_id", "url", "host"), *arrays], ["page_id", "url", "host", "main", "found", "around", "blocks"])
+
+
+def templates(parts: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_inside: float = LEAST_SHARE_INSIDE) -> DataFrame:
+    """(host, subtree) of the subtrees that recur across many pages of a host, from rows (host, main, found).
 
     Pages with the same main text count once, so that copies of an article are no template.
-    A row without subtree stands for the page itself.
     """
-    once = subtrees.groupBy("host", "subtree", "main").agg(F.max("inside").alias("inside"))
-    counts = once.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
-    pages = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    once = parts.select("host", "main", F.explode("found").alias("x")).groupBy("host", "x.subtree", "main").agg(F.max("x.inside").alias("inside"))
+    counts = once.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where(F.col("n") >= least_pages)
+    pages = parts.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    # a host with most of the pages is SALTS keys, not one
+    salted = pages.select("host", "pages", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     share = F.when(F.col("inside"), F.lit(least_inside)).otherwise(F.lit(least_share))
-    many = counts.where((F.col("n") >= least_pages) & F.col("subtree").isNotNull()).join(pages, "host")
+    many = counts.withColumn("salt", F.pmod("subtree", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
     return many.where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
 
 
-def _extract(batches):
+def _kept(batches):
     for batch in batches:
-        for part in slices(batch, "html"):
-            out = []
-            pages, deleted = columns(part, "html", "deleted")
-            for page, gone in zip(pages.to_pylist(), deleted.to_pylist()):
-                root = parse(page)
-                measure(root)
-                out.append("\n".join(blocks(main_nodes(root), {h + (1 << 63) for h in gone or ()})))
-            text = pa.array([t.encode("utf-8", "replace").decode() for t in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns(part, "page_id", "url"), text], ["page_id", "url", "text"])
+        out = []
+        for found, around, gone in zip(*(c.to_pylist() for c in columns(batch, "blocks", "around", "deleted"))):
+            gone = set(gone or ())
+            dead: list[bool] = []  # a subtree comes after the one around it
+            for x in around:
+                dead.append(x["subtree"] in gone or x["up"] >= 0 and dead[x["up"]])
+            out.append("\n".join(x["text"] for x in found if x["at"] < 0 or not dead[x["at"]]))
+        yield pa.RecordBatch.from_arrays([*columns(batch, "page_id", "url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url and text of every row of pages(page_id, url, html).
 
     Blocks are joined by one line feed, white space within them is one space. A null or empty
-    page has an empty text; pages without a host are one host. Pages that are equal byte for byte
-    share their templates.
+    page has an empty text; pages without a host are one host. Only pages with counted subtrees around
+    their blocks meet the templates again; the others' texts are what the parse left.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.withColumns({"host": host_of(F.col("url")), "key": F.xxhash64("html")})
-    subtrees = keyed.select("host", "key", "html").mapInArrow(on_workers(_subtrees), "host string, key long, main long, subtree long, inside boolean")
-    found = subtrees.where("subtree is not null").join(templates(subtrees, least_pages, least_share), ["host", "subtree"])
-    deleted = found.groupBy("host", "key").agg(F.collect_set("subtree").alias("deleted"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     kinds = dict(pages.dtypes)
-    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string"
-    return keyed.join(deleted, ["host", "key"], "left").select("page_id", "url", "html", "deleted").mapInArrow(on_workers(_extract), schema)
+    keys = f"page_id {kinds['page_id']}, url {kinds['url']}"
+    parts = rows.mapInArrow(on_workers(_parts), f"{keys}, host string, {PARTS}").withColumn("row", F.monotonically_increasing_id())
+    parts = written(parts, "parts")
+    some = parts.where(F.size("around") > 0)
+    asked = some.select("row", "host", F.explode(F.array_distinct("around.subtree")).alias("subtree"))
+    deleted = asked.join(templates(parts, least_pages, least_share), ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("deleted"))
+    left = some.select("row", "page_id", "url", "around", "blocks").join(deleted, "row", "left").select("page_id", "url", "around", "blocks", "deleted")
+    plain = parts.where(F.size("around") == 0).select("page_id", "url", F.array_join("blocks.text", "\n").alias("text"))
+    return plain.unionByName(left.mapInArrow(on_workers(_kept), f"{keys}, text string"))
