@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from transecta.llm import secrets
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -37,6 +40,76 @@ def test_guess_cost_is_the_least_over_all_segmentations():
     assert secrets.guess_cost("p4ssw0rd", words)[0] < secrets.guess_cost("p7ssw8rd", words)[0]
 
 
+def plain_costs(value, words):
+    """The cost of every span that is one piece, by looking at each."""
+    import math
+
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(secrets.PLAIN)
+    brute = lambda s: sum(1.0 if c.isdigit() else math.log10(26 if c.isalpha() else 33) for c in s)
+    for i in range(len(value)):
+        for j in range(i + 1, len(value) + 1):
+            part, size, found = low[i:j], j - i, []
+            if size == 1:
+                found.append(brute(value[i]))
+            capitals, signs = sum(a != b for a, b in zip(value[i:j], part)), sum(a != b for a, b in zip(part, plain[i:j]))
+            if part in words:
+                found.append(words[part] + math.log10(1 + 2 * capitals))
+            if plain[i:j] in words:
+                found.append(words[plain[i:j]] + math.log10(1 + 2 * (capitals + signs)))
+            if secrets.DATE.fullmatch(value[i:j]):
+                found.append(math.log10(200 if size == 4 else 36_500))
+            if size >= 3 and all(c in secrets.PLACE for c in part):
+                steps = [tuple(y - x for x, y in zip(secrets.PLACE[a], secrets.PLACE[b])) for a, b in zip(part, part[1:])]
+                if all(s != (0, 0) and max(map(abs, s)) <= 1 for s in steps):
+                    found.append(math.log10(len(secrets.PLACE) * size) + math.log10(4) * sum(a != b for a, b in zip(steps, steps[1:])))
+            steps = {ord(b) - ord(a) for a, b in zip(part, part[1:])}
+            if size >= 3 and part.isalnum() and steps in ({1}, {-1}):
+                found.append(math.log10(36 * size))
+            for p in range(1, size // 2 + 1):
+                if size % p == 0 and part == part[:p] * (size // p):
+                    found.append(min(brute(part[:p]), words.get(part[:p], math.inf)) + math.log10(size // p))
+            if found:
+                yield i, j, min(found)
+
+
+def plain_cost(value, words):
+    best = [0.0] + [float("inf")] * len(value)
+    for i, j, cost in sorted(plain_costs(value, words), key=lambda x: x[1]):
+        best[j] = min(best[j], best[i] + cost)
+    return best[-1]
+
+
+@pytest.mark.parametrize("short", [64, 0])
+def test_guess_cost_equals_trying_every_segmentation(monkeypatch, short):
+    monkeypatch.setattr(secrets, "SHORT", short)
+    words = {"pass": 1.0, "papa": 0.6, "word": 1.2, "password": 0.5, "ab": 1.4, "abababababababababababababab": 2.0, "a": 3.0, "love": 1.1}
+    rng = random.Random(9)
+    for alphabet in ("ab", "abc1", "asdfq1", "0123456789", "12902", "paswordPA$0", "abcdefghijk", "x9!Kq2#vLp7$ab"):
+        for size in list(range(1, 14)) + [20, 30, 45]:
+            for _ in range(6):
+                value = "".join(rng.choice(alphabet) for _ in range(size))
+                if rng.random() < 0.4:
+                    value = (value[: size // 3 + 1] * 4)[: size + 5] + rng.choice(["", "!", "20240131", "papapapa", "qwertyuiop"])
+                cost, spans = secrets.guess_cost(value, words)
+                assert abs(cost - plain_cost(value, words)) < 1e-9, value
+                assert [s for _, s, _ in spans] == [0, *(e for _, _, e in spans)][: len(spans)] and spans[-1][2] == len(value)
+
+
+def test_long_words_units_and_values_have_no_bound():
+    import time
+
+    word = "abcdefghijklmnopqrstuvwxyzabcdef"
+    assert secrets.guess_cost(word, {word: 1.0})[0] == 1.0
+    unit = "k7#Qx9!bT2@mZ5"
+    assert secrets.guess_cost(unit * 40, {})[0] < secrets.guess_cost(unit, {})[0] + 2
+    rng = random.Random(3)
+    for value in ("as" * 50_000 + "x", "a" * 100_000, "".join(rng.choice("abcdefABCDEF0123456789+/") for _ in range(100_000)), "qwertyuiop" * 10_000, "0123456789" * 10_000):
+        began = time.time()
+        assert secrets.guess_cost(value, secrets.dictionary())[0] > 0
+        assert time.time() - began < 20
+
+
 def test_costly_values_in_a_credentials_place_are_added():
     words = secrets.dictionary()
     text = 'pwd: "x9!Kq2#vLp7" and token is thereation and secret: changeme'

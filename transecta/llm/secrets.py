@@ -2,7 +2,10 @@
 
 The guess cost of a value is the least number of guesses (as a power of ten) over all its
 segmentations into dictionary words, dates, repeats, keyboard walks and brute-force characters,
-found by dynamic programming over the end positions.
+found by dynamic programming over the end positions. Words, repeated units and walks may have any
+length. Of a stretch of a thousand neighbouring keys or a thousand repeats not every pair of ends is
+tried: costs grow with the logarithm of a span's length, so that of two starts the earlier one, once it is the
+better, stays so, and the starts that can still win lie on a stack.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import json
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -42,12 +46,23 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {a: (x, y) for y, row in enumerate(ROWS) for x, a in enumerate(row)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
 PLAIN = str.maketrans("0134578@$!", "oieastbasi")
-LONGEST_WORD = 24
+DATE_SIZES = (4, 6, 7, 8, 9, 10)
+#: Values up to this length are searched for repeats period by period.
+SHORT = 64
 
-_words: dict[str | None, dict[str, float]] = {}
 
+class Words(dict):
+    """Words and log10 of their ranks, with the lengths that occur."""
 
-def dictionary(path: str | None = None) -> dict[str, float]:
+    def __init__(self, found: dict[str, float]):
+        super().__init__(found)
+        self.sizes = sorted({len(w) for w in found if w})
+
+
+_words: dict[str | None, Words] = {}
+
+
+def dictionary(path: str | None = None) -> Words:
     """log10 of the rank of each word: the common passwords, then the whole words of a tokenizer's vocabulary file."""
     if path not in _words:
         ranked = list(COMMON)
@@ -58,7 +73,7 @@ def dictionary(path: str | None = None) -> dict[str, float]:
         found: dict[str, float] = {}
         for i, w in enumerate(ranked):
             found.setdefault(w, math.log10(i + 2))
-        _words[path] = found
+        _words[path] = Words(found)
     return _words[path]
 
 
@@ -66,58 +81,216 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def _walks(low: str, i: int) -> list[tuple[int, float]]:
-    """Ends and costs of the walks from i: over neighbouring keys, by the number of turns, and along the alphabet or digits."""
-    found, turns, last, j = [], 0, None, i + 1
-    while j < len(low) and low[j - 1] in PLACE and low[j] in PLACE:
-        step = tuple(b - a for a, b in zip(PLACE[low[j - 1]], PLACE[low[j]]))
-        if step == (0, 0) or max(map(abs, step)) > 1:
-            break
-        turns += last is not None and step != last
-        last, j = step, j + 1
-        if j - i >= 3:
-            found.append((j, math.log10(len(PLACE) * (j - i)) + turns * math.log10(4)))
-    step, j = ord(low[i + 1]) - ord(low[i]) if i + 1 < len(low) else 0, i + 1
-    while step in (1, -1) and j < len(low) and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
-        j += 1
+class Starts:
+    """The starts i of which a[i] + log10(end - i) is the least for some end to come, the latest on top."""
+
+    __slots__ = ("found",)
+
+    def __init__(self):
+        self.found: list[tuple[float, int]] = []
+
+    @staticmethod
+    def _from(old: tuple[float, int], new: tuple[float, int]) -> float:
+        """The end from which the older start is the better one."""
+        more = new[0] - old[0]
+        if more <= 0:
+            return math.inf
+        if more > 300:
+            return new[1]
+        r = 10.0**more
+        return (r * new[1] - old[1]) / (r - 1) if r > 1 else math.inf
+
+    def least(self, end: int, a: float, i: int) -> tuple[float, int]:
+        """Add the start i and find the least for this end; ends must grow, and starts."""
+        found = self.found
+        while len(found) > 1 and found[-2][0] + math.log10(end - found[-2][1]) <= found[-1][0] + math.log10(end - found[-1][1]):
+            found.pop()
+        new = (a, i)
+        if not found or a + math.log10(end - i) < found[-1][0] + math.log10(end - found[-1][1]):
+            while len(found) > 1 and self._from(found[-1], new) >= self._from(found[-2], found[-1]):
+                found.pop()
+            found.append(new)
+        a, i = found[-1]
+        return a + math.log10(end - i), i
+
+
+class Stretch:
+    """Part of a value of which all spans of `least` characters or more, by whole steps, cost the logarithm of their length and something constant."""
+
+    __slots__ = ("kind", "start", "end", "step", "least", "cost", "turns", "starts")
+
+    def __init__(self, kind: str, start: int, end: int, step: int, least: int, cost: float, turns: list[float] | None = None):
+        self.kind, self.start, self.end, self.step, self.least, self.cost, self.turns = kind, start, end, step, least, cost, turns
+        self.starts: dict[int, Starts] = {}
+
+    def best(self, end: int, best: list[float]) -> tuple[float, int]:
+        i = end - self.least
+        found = self.starts.setdefault((i - self.start) % self.step, Starts())
+        if self.turns is None:
+            cost, i = found.least(end, best[i], i)
+            return cost + self.cost, i
+        cost, i = found.least(end, best[i] - self.turns[i - self.start], i)
+        return cost + self.cost + self.turns[end - 2 - self.start], i
+
+
+def walks(low: str) -> list[Stretch]:
+    """Stretches of neighbouring keys, whose turns cost, and along the alphabet or digits."""
+    found, n = [], len(low)
+    i = 0
+    while i < n - 2:
+        steps, j = [], i
+        while j + 1 < n and (a := PLACE.get(low[j])) and (b := PLACE.get(low[j + 1])):
+            step = (b[0] - a[0], b[1] - a[1])
+            if step == (0, 0) or max(map(abs, step)) > 1:
+                break
+            steps.append(step)
+            j += 1
+        if len(steps) >= 2:
+            turns = [0.0]
+            for a, b in zip(steps, steps[1:]):
+                turns.append(turns[-1] + (a != b) * math.log10(4))
+            found.append(Stretch("walk", i, j + 1, 1, 3, math.log10(len(PLACE)), turns))
+        i = max(i + 1, j)
+    i = 0
+    while i < n - 2:
+        j, step = i + 1, ord(low[i + 1]) - ord(low[i])
+        while step in (1, -1) and j < n and low[j].isalnum() and low[j - 1].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
+            j += 1
         if j - i >= 3:
-            found.append((j, math.log10(36 * (j - i))))
+            found.append(Stretch("walk", i, j, 1, 3, math.log10(36)))
+        i = max(i + 1, j - 1)
     return found
 
 
+def _ranks(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places of the suffixes in their order, and for k = 0, 1, ... equal numbers where 2**k characters are equal."""
+    rank = np.unique(codes, return_inverse=True)[1] + 1
+    levels, k, n = [], 1, len(codes)
+    while True:
+        levels.append(rank.astype(np.int32))
+        if rank.max() == n:
+            return rank, levels
+        rank = np.unique(rank * (n + 1) + np.append(rank[k:], np.zeros(min(k, n), np.int64)), return_inverse=True)[1] + 1
+        k *= 2
+
+
+def _common(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many characters from a and from b on are equal, a and b being different."""
+    size = np.zeros(len(a), np.int64)
+    n = len(levels[0])
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = a + size, b + size
+        inside = np.maximum(x, y) < n
+        same = inside.copy()
+        same[inside] = levels[k][x[inside]] == levels[k][y[inside]]
+        size[same] += 1 << k
+    return size
+
+
+def repeats(low: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of all stretches of two periods or more, of their least period, as long as they go.
+
+    In a long value their periods are the longest Lyndon words from each position on, in the order of
+    the characters or its reverse.
+    """
+    n = len(low)
+    if n <= SHORT:
+        found = {}
+        for p in range(1, n // 2 + 1):
+            i = 0
+            while i + p < n:
+                j = i
+                while j + p < n and low[j] == low[j + p]:
+                    j += 1
+                if j - i >= p:
+                    found.setdefault((i, j + p), p)
+                i = j + 1
+        return [(i, j, p) for (i, j), p in found.items() if not any(p % q == 0 and a <= i and j <= b for (a, b), q in found.items() if q < p)]
+    codes = np.array([ord(c) for c in low], np.int64)
+    forward, levels = _ranks(codes)
+    _, back = _ranks(codes[::-1])
+    found = set()
+    for rank in (forward, _ranks(-codes)[0]):
+        order, stack, following = rank.tolist(), [], [n] * n
+        for i, r in enumerate(order):
+            while stack and order[stack[-1]] > r:
+                following[stack.pop()] = i
+            stack.append(i)
+        i, j = np.arange(n), np.array(following)
+        p = j - i
+        at = j < n
+        ahead, behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        ahead[at] = _common(levels, i[at], j[at])
+        at = i > 0
+        behind[at] = _common(back, n - i[at], n - j[at])
+        start, end = i - behind, j + ahead
+        some = end - start >= 2 * p
+        found.update(zip(start[some].tolist(), end[some].tolist(), p[some].tolist()))
+    return sorted(found)
+
+
 def guess_cost(value: str, words: dict[str, float]) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses that the cheapest segmentation takes, and that segmentation as (kind, start, end).
 
-    Ties go to the segmentation whose last span is found first, in the order brute, word, date,
-    walk, repeat. An empty value costs nothing.
+    A character costs its class's size; a word its rank, times one and twice the characters that
+    are capitals or stand for letters; a date its kind's number; a walk over neighbouring keys their
+    number times its length, and four for each turn; one along the alphabet or digits 36 times its length; a
+    repeat its unit, by characters or as a word, times how often it stands there. Ties go to the
+    span that is found first. An empty value costs nothing.
     """
-    n, low = len(value), value.lower()
-    plain = low.translate(PLAIN) if len(low) == n else low
+    n = len(value)
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(PLAIN)
+    sizes = words.sizes if isinstance(words, Words) else sorted({len(w) for w in words if w})
+    capitals, signs, brute = [0], [0], [0.0]
+    for a, b, c in zip(value, low, plain):
+        capitals.append(capitals[-1] + (a != b))
+        signs.append(signs[-1] + (b != c))
+        brute.append(brute[-1] + _brute(b))
     best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
+    opens: dict[int, list[Stretch]] = {}
+    for x in walks(low):
+        opens.setdefault(x.start + x.least, []).append(x)
+    for i, j, p in repeats(low):
+        opens.setdefault(i + 2 * p, []).append(Stretch("repeat", i, j, p, 2 * p, brute[i + p] - brute[i] - math.log10(p)))
+    chains: dict[tuple[int, int], Starts] = {}  # of the same word again and again, by where it would go on
 
     def offer(start: int, end: int, cost: float, kind: str) -> None:
-        if best[start] + cost < best[end] - 1e-12:
-            best[end], back[end] = best[start] + cost, (kind, start)
-
-    for i in range(n):
-        offer(i, i + 1, _brute(value[i]), "brute")
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if (rank := words.get(low[i:j])) is None and (rank := words.get(plain[i:j])) is None:
-                continue
-            changed = sum(a != b for a, b in zip(value[i:j], low[i:j])) + sum(a != b for a, b in zip(low[i:j], plain[i:j]))
-            offer(i, j, rank + math.log10(1 + 2 * changed), "word")
-        if m := DATE.match(value, i):
-            offer(i, m.end(), math.log10(200 if m.end() - i == 4 else 36_500), "date")
-        for end, cost in _walks(low, i):
-            offer(i, end, cost, "walk")
-        for unit in range(1, 9):
-            if low[i : i + unit] != low[i + unit : i + 2 * unit] or i + 2 * unit > n:
-                continue
-            times, piece = 2, low[i : i + unit]
-            while low.startswith(piece, i + unit * times):
-                times += 1
-            cost = min(sum(map(_brute, piece)), words.get(piece, math.inf)) + math.log10(times)
-            offer(i, i + unit * times, cost, "repeat")
+        if cost < best[end] - 1e-12:
+            best[end], back[end] = cost, (kind, start)
+
+    active: list[Stretch] = []
+    for i in range(n + 1):
+        if i in opens or active:
+            active = [x for x in active if x.end >= i] + opens.pop(i, [])
+            for x in active:
+                cost, start = x.best(i, best)
+                offer(start, i, cost, x.kind)
+        if i == n:
+            break
+        here = best[i]
+        offer(i, i + 1, here + _brute(value[i]), "brute")
+        for size in sizes:
+            j = i + size
+            if j > n:
+                break
+            piece = low[i:j]
+            rank, changed = words.get(piece), capitals[j] - capitals[i]
+            if rank is not None:
+                offer(i, j, here + rank + math.log10(1 + 2 * changed), "word")
+                chain = chains.pop((i, size), None)
+                if chain is not None and low[i - size : i] == piece:
+                    cost, start = chain.least(j, best[i - size], i - size)
+                    offer(start, j, cost - math.log10(size) + rank, "repeat")
+                else:
+                    chain = Starts()
+                chains[j, size] = chain
+            if signs[j] > signs[i] and (rank := words.get(plain[i:j])) is not None:
+                offer(i, j, here + rank + math.log10(1 + 2 * (changed + signs[j] - signs[i])), "word")
+        if value[i].isdigit():
+            for size in DATE_SIZES:
+                if i + size <= n and DATE.fullmatch(value, i, i + size):
+                    offer(i, i + size, here + math.log10(200 if size == 4 else 36_500), "date")
     spans, end = [], n
     while end:
         kind, start = back[end]
