@@ -104,22 +104,29 @@ def fold_column(doc_id: Column, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local default only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local default only where that is unset and all run on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or "file:///tmp/checkpoints/transecta").rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, which purge() deletes."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: computed once, and lost executors don't repeat it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete the intermediate tables that written() left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    """Delete the tables and shards that this application has left in the shared folder; to be called when its results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -128,7 +135,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 
     Rows whose fold is `held` are never among them. The chosen labels are at most `most`
     small rows, which is the proven bound of the broadcast; a second copy of a doc_id in
-    labels, or a null label, is ignored.
+    labels, or a null label, is ignored. Of several rows of docs with one doc_id the least text is taken.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("label"))
@@ -137,4 +144,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         .orderBy(F.xxhash64("k"), "k").limit(most)
     )
     rows = docs.select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "k").select(F.col("k").alias("doc_id"), "text", "label")
+    found = rows.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return found.select(F.col("k").alias("doc_id"), "text", "label")

@@ -140,14 +140,21 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def _train(batches, passes):
-    rows = []
+def _hashed(batches):
     for batch in batches:
         for part in slices(batch, "text", HASHED_BYTES):
             places, at = ngrams(texts(part))
-            for i, y in enumerate(columns(part, "label")[0].to_pylist()):
-                found, counts = np.unique(places[at[i] : at[i + 1]], return_counts=True)
-                rows.append((found.astype(np.int32), (counts / np.sqrt(max(1, counts.sum()))).astype(np.float32), y))
+            rows = [np.unique(places[a:b], return_counts=True) for a, b in zip(at, at[1:])]
+            cols = [pa.array([x[k].astype("<i4").tobytes() for x in rows], pa.binary()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*columns(part, "doc_id", "label"), *cols], ["doc_id", "label", "places", "counts"])
+
+
+def _train(batches, passes):
+    rows = []
+    for batch in batches:
+        for places, counts, y in zip(*(c.to_pylist() for c in columns(batch, "places", "counts", "label"))):
+            n = np.frombuffer(counts, "<i4")
+            rows.append((np.frombuffer(places, "<i4"), (n / np.sqrt(max(1, n.sum()))).astype(np.float32), y))
     state = Ftrl()
     for k in range(passes):
         for i in np.random.default_rng(k).permutation(len(rows)):
@@ -160,11 +167,13 @@ def _train(batches, passes):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, held: int = 0, most: int = 8_000, passes: int = 3) -> Model:
     """A model of labels(doc_id, label) from at most `most` labelled documents whose fold is not `held`.
 
-    One task learns from that bounded sample in a fixed order; the driver gets at most
-    2**BITS + 1 weights. Without labels every score is 0.5.
+    Texts are hashed where they lie. One task learns from the sparse rows of that bounded sample, each of
+    2**BITS places at most, in a fixed order; the driver gets at most 2**BITS + 1 weights. Without
+    labels every score is 0.5.
     """
     sample = labelled_sample(docs, labels, label, parts, held, most)
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    hashed = sample.mapInArrow(on_workers(_hashed), f"doc_id {dict(sample.dtypes)['doc_id']}, label int, places binary, counts binary")
+    ordered = hashed.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     found = ordered.mapInArrow(on_workers(_train, passes), "place int, weight double").toArrow()
     w = np.zeros((1 << BITS) + 1)
     w[found["place"].to_numpy()] = found["weight"].to_numpy()

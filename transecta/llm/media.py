@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, on_workers, shared_dir, slices, texts, written
+from .common import columns, on_workers, run_dir, slices, texts, written
 
 WIDTH = 192
 HEADER = 33  # signature and IHDR
@@ -174,7 +174,7 @@ def read(index: DataFrame, folder: str, whole: bool = True) -> DataFrame:
 
 def media_columns(docs: DataFrame, folder: str | None = None, width: int = WIDTH, level: int = 1) -> DataFrame:
     """doc_id with digest, shard, offset and length of its payload, metadata columns and features read back, for every row."""
-    folder = folder or f"{shared_dir(docs.sparkSession)}/media/{uuid.uuid4().hex}"
+    folder = folder or f"{run_dir(docs.sparkSession)}/media/{uuid.uuid4().hex}"
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
     rows, index = store(docs, folder, width, level)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, **options) ->
     sample = labelled_sample(docs, labels, "quality", 1, -1, most)
     kind = dict(sample.dtypes)["doc_id"]
     rows = sample.mapInArrow(on_workers(_features), f"doc_id {kind}, label int, x array<double>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable") if kind in ("int", "bigint") else np.arange(rows.num_rows)
+    order = pc.sort_indices(rows["doc_id"]).to_numpy()  # one row for each id
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return fit(x, rows["label"].to_numpy()[order].astype(float), list(FEATURES.values()), **options)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,8 @@ CACHE_WORDS = 400_000
 #: States of the automaton that a worker keeps.
 STATES = 50_000
 STEM = "*"
+#: A term is a word of LEAST_LETTERS letters or more, or a stem of STEM_SIZES letters.
+LEAST_LETTERS = 3
 STEM_SIZES = range(4, 11)
 FEATURES = 6
 
@@ -230,7 +232,7 @@ def forget() -> None:
 
 
 def _distinct(text: str) -> set[str]:
-    return {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40 and not w.isdigit()}
+    return {w for w in WORD.findall(text.lower()) if len(w) >= LEAST_LETTERS and not w.isdigit()}
 
 
 def _mark(text: str) -> int:
@@ -264,34 +266,26 @@ def likelihood_ratio(a: float, b: float, toxic: float, other: float) -> float:
     return 2 * sum(n * math.log(n / ((a + b) * p)) for n, p in ((a, share), (b, 1 - share)) if n)
 
 
-def lexicon(sample: DataFrame, least: int = 3, most_toxic: int = 4_000, most: int = 2_000, ratio: float = 11.0, odds: float = 1.5) -> tuple[tuple[str, ...], tuple[float, ...]]:
+def lexicon(sample: DataFrame, least: int = 3, ratio: float = 11.0, odds: float = 1.5) -> tuple[tuple[str, ...], tuple[float, ...]]:
     """Terms, best first, and their weights in (0, 1), from sample(doc_id, text, label).
 
-    Candidates are the words and stems of at most `most_toxic` toxic documents that at least
-    `least` of them share, near copies (equal mark) counted once; a stem also needs
-    `least` words. Kept are those whose likelihood ratio and log odds reach the limits, a stem's
-    longer stems left out, at most `most`. The driver holds the toxic documents' words and the
-    candidates' counts.
+    Candidates are the words and stems that at least `least` toxic documents share, near copies
+    (equal mark) counted once by their least words; a stem also needs `least` words. Kept are all those whose
+    likelihood ratio and log odds reach the limits, a stem's longer stems left out. The driver
+    holds the candidates and their counts, which the bound of the sample bounds.
     """
-    rows = sample.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_toxic).mapInArrow(on_workers(_words), "words array<string>, mark long")
-    documents = {r["mark"]: r["words"] for r in rows.collect()}
-    by_term: Counter[str] = Counter()
-    extensions: dict[str, set[str]] = defaultdict(set)
-    for words in documents.values():
-        stems = set()
-        for w in words:
-            for n in STEM_SIZES:
-                if n < len(w):
-                    stems.add(w[:n] + STEM)
-                    if len(extensions[w[:n] + STEM]) < least:
-                        extensions[w[:n] + STEM].add(w)
-        by_term.update(words)
-        by_term.update(stems)
-    candidates = {t for t, n in by_term.items() if n >= least and (not t.endswith(STEM) or len(extensions[t]) >= least)}
+    documents = written(sample.where("label = 1").mapInArrow(on_workers(_words), "words array<string>, mark long").groupBy("mark").agg(F.min("words").alias("words")), "toxic")
+    word = documents.select("mark", F.explode("words").alias("word"))
+    sizes = F.filter(F.array(*(F.lit(k) for k in STEM_SIZES)), lambda k: k < F.char_length("word"))
+    stem = word.select("mark", "word", F.explode(F.transform(sizes, lambda k: F.concat(F.substr("word", F.lit(1), k), F.lit(STEM)))).alias("term"))
+    shared = stem.select("term", "word").distinct().groupBy("term").count().where(F.col("count") >= least).select("term")
+    terms = word.select("mark", F.col("word").alias("term")).union(stem.join(shared, "term").select("mark", "term").distinct())
+    by_term = {r["term"]: r["n"] for r in terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    candidates = set(by_term)
     other = sample.where("label = 0")
     counts = other.mapInArrow(on_workers(_counts, candidates), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     against = {r["term"]: r["n"] for r in counts.collect()} if candidates else {}
-    n, m = len(documents), max(1, other.count())
+    n, m = documents.count(), max(1, other.count())
     found = []
     for t in candidates:
         a, b = by_term[t], against.get(t, 0)
@@ -302,8 +296,7 @@ def lexicon(sample: DataFrame, least: int = 3, most_toxic: int = 4_000, most: in
     found.sort(key=lambda x: (-x[2], x[0]))
     kept: dict[str, float] = {}
     for t, weight, _ in found:
-        covered = t.endswith(STEM) and any(t[:k] + STEM in kept for k in STEM_SIZES if k < len(t) - 1)
-        if not covered and len(kept) < most:
+        if not (t.endswith(STEM) and any(t[:k] + STEM in kept for k in STEM_SIZES if k < len(t) - 1)):
             kept[t] = weight
     return tuple(kept), tuple(kept.values())
 
