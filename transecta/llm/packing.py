@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from .common import columns, on_workers, slices, written
 
 #: Text bytes whose distinct units are encoded together.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Units that the tokenizer gets as one text, and texts at a time.
 LINE, LINES = 512, 16
 #: Signs that often end a word.
