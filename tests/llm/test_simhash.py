@@ -104,6 +104,58 @@ def test_near_copies_at_four_fifths_are_one_group(spark, make_prose, options):
     assert {r["doc_id"] for r in kept} == {i for i, _ in rows} - gone
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_groups_of_many_near_copies_are_what_all_pairs_connect(spark, make_prose, hot):
+    """Copies that drift from one text until the first and last have little in common, beside copies of its neighbours."""
+    rng, texts = random.Random(31), []
+    for _ in range(3):
+        words = make_prose(rng, 200).split()
+        for step in range(90):
+            words = list(words)
+            words[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+            if step % 3 == 0:
+                texts.append(" ".join(words))
+            spread = list(words)
+            for _ in range(3):
+                spread[rng.randrange(200)] = f"own{rng.randrange(10**6)}"
+            texts.append(" ".join(spread))
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(196)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs, hot=hot).collect()}
+    assert kept == {root(i) for i in range(len(texts))} and len(kept) < len(texts) / 3
+
+
+def test_sets_in_common_are_counted():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 50, n).astype(np.uint32)) for n in (0, 1, 5, 20, 40, 0)]
+    found = simhash.shared_counts([x.tobytes() for x in sets], [x.tobytes() for x in sets[1:]])
+    assert found.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]
+    assert simhash.shared_counts([], []).shape == (0, 0) and simhash.shared_counts([sets[3].tobytes()], [b""]).tolist() == [[0]]
+
+
+def test_clashing_columns_maps_and_repeated_rows(spark, make_prose):
+    rng = random.Random(23)
+    one, two = make_prose(rng, 100), make_prose(rng, 100)
+    rows = [(1, one, 5, {"a": 1}, 6, "x"), (1, one, 4, {"a": 2}, 7, "y"), (2, two, 3, None, 8, "z"), (3, one, 3, {}, 8, None), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id_ int, row_ map<string,int>, mark_ int, c string")
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["id_"] or 0) for r in kept) == [(0, 0), (1, 4), (2, 3)] and kept[0].asDict().keys() == set(docs.columns)
+
+
 def test_rows_that_share_an_id_are_kept_by_their_texts(spark, make_prose):
     rng = random.Random(22)
     one, two, three = (make_prose(rng, 100) for _ in range(3))

@@ -12,7 +12,9 @@ whoever has come to a point at a cost of at most one bit links all that have com
 keep_one, the pipeline's stage, has another rule: five-word shingles that agree by 0.8 or more. At
 0.8 fingerprints differ in ten bits of 64 on average, which no ball of segments reaches at a cost
 that follows the rows, so its candidates come from bands of least shingle hashes, and each is
-verified on the sets of shingles.
+verified on the sets of shingles. Buckets of more than CROWD different texts make no pairs: their texts
+meet the least one, and then only those meet all others that lie outside the bucket's largest
+group so far, in blocks, until no two texts of a bucket that have not met are in different groups.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, on_workers, slices, texts, written
@@ -36,8 +38,10 @@ HOT = 1024
 #: keep_one: words of a shingle, the least similarity of near copies, and bands of least values; a
 #: pair of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
-#: Classes with a key in common from which they are compared with the least of them only.
+#: Classes with a key in common from which not every two of them are compared.
 CROWD = 64
+#: Classes of two blocks that meet in a task.
+ASKING, ASKED = 256, 1024
 #: Shingles that are put in all orders at once.
 FEW = 1024
 
@@ -181,11 +185,46 @@ def _similar(batches, least):
         yield batch.select(["a", "b"]).filter(keep)
 
 
-def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> DataFrame:
-    """Edges (a, b) between classes of sketches(c, keys, set) whose shingles agree by `least` or more.
+def shared_counts(asks: list[bytes], there: list[bytes]) -> np.ndarray:
+    """How many numbers each set of asks has in common with each of there."""
+    left, right = [np.frombuffer(x, np.uint32) for x in asks], [np.frombuffer(x, np.uint32) for x in there]
+    sizes = np.array([len(x) for x in right])
+    out = np.zeros((len(left), len(right)), np.int64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    kinds, code = np.unique(np.concatenate(right), return_inverse=True)
+    starts = np.cumsum(sizes[some]) - sizes[some]
+    for i, x in enumerate(left):
+        has = np.zeros(len(kinds) + 1, np.int32)
+        at = np.searchsorted(kinds, x)
+        has[np.where(kinds[np.minimum(at, len(kinds) - 1)] == x, at, len(kinds))] = 1
+        out[i, some] = np.add.reduceat(has[code], starts)
+    return out
+
+
+def _meet(pair, least):
+    asks, there = pair
+    x, y = asks["set_l"].to_pylist(), there["set_r"].to_pylist()
+    both = shared_counts(x, y)
+    whole = np.array([len(v) for v in x])[:, None] // 4 + np.array([len(v) for v in y])[None] // 4 - both
+    a, b = asks["c_l"].to_numpy(), there["c_r"].to_numpy()
+    i, j = np.nonzero((both >= least * whole) & (whole > 0) & (a[:, None] != b[None]))
+    yield pa.table([pa.array(a[i]), pa.array(b[j])], names=["a", "b"])
+
+
+def _meeting(least):
+    run = on_workers(_meet, least)
+    return lambda asks, there: next(run((asks, there)))
+
+
+def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between classes of sketches(c, keys, set) whose shingles agree by `least` or more, and (node, root) of the groups that they and all further such pairs with a key in common connect.
 
     Candidates share a key; each is verified on the shingles' sets. In a bucket of more than `hot`
-    classes candidates are the pairs with its least class, so that no group makes a square of rows.
+    classes these are the pairs with its least class at first. Then, as long as a class has not met its bucket and
+    lies outside the bucket's largest group, it meets all classes there, in one bucket for each class at
+    first, as classes share many, and in ever more. Two classes of a bucket that never met are in one group at the end.
     """
     keys = sketches.select("c", F.explode("keys").alias("key")).distinct()
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("a")).where("n > 1"), "shared")
@@ -193,11 +232,39 @@ def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> Data
     small = members.where(F.col("n") <= hot)
     pairs = small.select("key", F.col("c").alias("l")).join(small.select("key", F.col("c").alias("b")).hint("merge"), "key").where("l < b").select(F.col("l").alias("a"), "b")
     pairs = written(pairs.union(members.where((F.col("n") > hot) & (F.col("a") < F.col("c"))).select("a", F.col("c").alias("b"))).distinct(), "pairs")
+    crowd = members.where(F.col("n") > hot).select("key", "c", "n")
     named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     sets = written(sketches.join(named.hint("merge"), "c", "left_semi").groupBy("c").agg(F.first("set").alias("set")), "sets")
     first = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
     both = first.join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-    return both.mapInArrow(on_workers(_similar, least), "a long, b long")
+    edges = written(both.mapInArrow(on_workers(_similar, least), "a long, b long"), "links")
+    roots = components(edges)
+    if crowd.isEmpty():
+        return edges, roots
+    todo, most = crowd, 1
+    while True:
+        root = F.coalesce("root", "c").alias("root")
+        rooted = written(crowd.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", root), "rooted")
+        largest = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+        outside = todo.join(rooted, ["key", "c", "n"]).join(largest, "key").where("root <> largest").select("key", "c", "n", "root")
+        place = F.row_number().over(Window.partitionBy("c").orderBy("n", "key"))  # of BANDS keys at most
+        chosen = written(outside.withColumn("place", place).where(F.col("place") <= most).select("c", "key", "n"), "chosen")
+        if chosen.isEmpty():
+            return edges, roots
+        most *= 5
+        # every two blocks of a bucket are a key of their own
+        asking = chosen.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(ASKING))).cast("int").alias("p"), F.max(F.ceil(F.col("n") / F.lit(float(ASKED)))).cast("int").alias("q"))
+        dealt = lambda rows, own, other: rows.join(asking, "key").join(sets, "c").select(
+            "key", F.pmod(F.xxhash64("c"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "c", "set"
+        )
+        name = lambda rows, at: rows.select(F.concat_ws("|", "key", "p", "q").alias(at), F.col("c").alias(f"c_{at}"), F.col("set").alias(f"set_{at}"))
+        left, right = name(dealt(chosen.select("key", "c"), "p", "q"), "l"), name(dealt(rooted.select("key", "c"), "q", "p"), "r")
+        met = left.groupBy("l").cogroup(right.groupBy("r")).applyInArrow(_meeting(least), "a long, b long")
+        new = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(edges, ["a", "b"], "left_anti"), "links")
+        if not new.isEmpty():
+            # what has been linked before is one edge for each class, to its group's root
+            edges, roots = edges.union(new), components(roots.toDF("a", "b").union(new))
+        todo = written(todo.join(chosen.select("key", "c"), ["key", "c"], "left_anti"), "todo")
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, least: float = LEAST, hot: int = CROWD) -> DataFrame:
@@ -205,28 +272,28 @@ def keep_one(docs: DataFrame, size: int = WORDS, least: float = LEAST, hot: int
 
     Near copies agree in `least` or more of their shingles of `size` words (Jaccard), and groups are
     what such pairs connect; texts without words are one group. Of several rows with the least id
-    in a group one stays. Rows without an id can't be told apart and stay.
+    and one text in a group one stays, the first by its columns as JSON. Rows without an id can't be told apart and stay.
     """
-    columns_ = docs.columns
+    id_, text_, row_ = (next(n for n in (name + "_" * k for k in range(1, len(docs.columns) + 2)) if n not in docs.columns) for name in ("id", "mark", "row"))
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), mark.alias("t"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, t long, c long, keys array<long>, set binary"
     found = written(rows.mapInArrow(on_workers(_sketches, size), schema), "sketches")
-    edges = written(similar(found.select("c", "keys", "set"), least, hot), "edges")
-    roots = components(edges).withColumnRenamed("node", "c")
+    roots = similar(found.select("c", "keys", "set"), least, hot)[1].withColumnRenamed("node", "c")
     # of a class of equal words the least row stands for all, so that hot classes are small before they meet
-    classes = found.where("doc_id is not null").groupBy("c", "doc_id", "t").agg(F.count("*").alias("rows_"))
-    least_ = classes.groupBy("c").agg(F.min(F.struct("doc_id", "t", "rows_")).alias("row_")).join(roots, "c", "left")
-    kept = least_.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("row_").alias("row_")).select(F.col("row_.doc_id").alias("id_"), F.col("row_.t").alias("t_"), F.col("row_.rows_").alias("rows_"))
+    classes = found.where("doc_id is not null").groupBy("c", "doc_id", "t").agg(F.count("*").alias("n"))
+    first = classes.groupBy("c").agg(F.min(F.struct("doc_id", "t", "n")).alias("x")).join(roots, "c", "left")
+    kept = first.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias(id_), F.col("x.t").alias(text_), F.col("x.n").alias(row_))
     kept = written(kept, "kept")
-    same = (F.col("doc_id") == F.col("id_")) & (mark == F.col("t_"))
+    same = (F.col("doc_id") == F.col(id_)) & (mark == F.col(text_))
     # always dealt anew, as the texts of a larger table would be
-    out = docs.join(kept.where("rows_ = 1").hint("merge"), same, "left_semi").unionByName(docs.where("doc_id is null"))
-    several = kept.where("rows_ > 1")
+    out = docs.join(kept.where(F.col(row_) == 1).hint("merge"), same, "left_semi").unionByName(docs.where("doc_id is null"))
+    several = kept.where(F.col(row_) > 1)
     if not several.isEmpty():
         rows = docs.join(several, same, "left_semi")
-        first = rows.groupBy("doc_id", mark.alias("t_")).agg(F.min(F.struct("text", *(c for c in columns_ if c not in ("doc_id", "text")))).alias("row_"))
-        out = out.unionByName(first.select("doc_id", "row_.*").select(columns_))
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = rows.groupBy("doc_id", mark.alias(text_)).agg(F.min_by(whole, F.to_json(whole)).alias(row_))
+        out = out.unionByName(one.select(f"{row_}.*"))
     return out
 
 
