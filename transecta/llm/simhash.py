@@ -219,7 +219,7 @@ def _meeting(least):
 
 
 def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) between classes of sketches(c, keys, set) whose shingles agree by `least` or more, and (node, root) of the groups that they and all further such pairs with a key in common connect.
+    """Edges (a, b) between classes of sketches(c, h, keys, set), h any hash of the row, whose shingles agree by `least` or more, and (node, root) of the groups that they and all further such pairs with a key in common connect.
 
     Candidates share a key; each is verified on the shingles' sets. In a bucket of more than `hot`
     classes these are the pairs with its least class at first. Then, as long as a class has not met its bucket and
@@ -234,7 +234,9 @@ def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> tupl
     pairs = written(pairs.union(members.where((F.col("n") > hot) & (F.col("a") < F.col("c"))).select("a", F.col("c").alias("b"))).distinct(), "pairs")
     crowd = members.where(F.col("n") > hot).select("key", "c", "n")
     named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = written(sketches.join(named.hint("merge"), "c", "left_semi").groupBy("c").agg(F.first("set").alias("set")), "sets")
+    # one row of each class is asked for by its own hash, so that the copies of a text don't meet
+    one = named.join(sketches.groupBy("c").agg(F.min("h").alias("h")).hint("merge"), "c")
+    sets = written(sketches.select("c", "h", "set").join(one.hint("merge"), ["c", "h"]).groupBy("c").agg(F.first("set").alias("set")), "sets")
     first = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
     both = first.join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     edges = written(both.mapInArrow(on_workers(_similar, least), "a long, b long"), "links")
@@ -279,7 +281,7 @@ def keep_one(docs: DataFrame, size: int = WORDS, least: float = LEAST, hot: int
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), mark.alias("t"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, t long, c long, keys array<long>, set binary"
     found = written(rows.mapInArrow(on_workers(_sketches, size), schema), "sketches")
-    roots = similar(found.select("c", "keys", "set"), least, hot)[1].withColumnRenamed("node", "c")
+    roots = similar(found.select("c", F.xxhash64("doc_id", "t").alias("h"), "keys", "set"), least, hot)[1].withColumnRenamed("node", "c")
     # of a class of equal words the least row stands for all, so that hot classes are small before they meet
     classes = found.where("doc_id is not null").groupBy("c", "doc_id", "t").agg(F.count("*").alias("n"))
     first = classes.groupBy("c").agg(F.min(F.struct("doc_id", "t", "n")).alias("x")).join(roots, "c", "left")
