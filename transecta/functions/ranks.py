@@ -34,15 +34,25 @@ def rank_direction(df: DataFrame, value: str, by: list[str], out: str) -> DataFr
     return ranked.withColumn("length_", length).withColumn(out, F.when(F.col("length_") > EPS, F.col(out) / F.col("length_")).otherwise(0.0)).drop("length_")
 
 
+def bucket(df: DataFrame, value: str, parts: int = 64) -> Column:
+    """The number of a value's range among `parts` or fewer of about equal counts in df; numbers rise with values.
+
+    The driver gets the limits, which are literals of the plan, so that each use of it deals rows alike.
+    """
+    limits = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    limits = sorted({float(x) for x in limits if x is not None})
+    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col(value))) if limits else F.lit(0)
+
+
 def spread_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """average_rank as a column without ever bringing a whole unit into one task.
 
-    Distinct values are dealt out by range, counted in each partition, and the partitions' counts
-    (one row for each unit and partition) give every partition its start. Equal values are one
-    row throughout, so ties cannot be parted.
+    Distinct values are dealt out by ranges, counted in each, and the ranges' counts (one row for
+    each unit and range) give every range its start. Equal values are one row throughout, so ties
+    cannot be parted.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_"))
-    dealt = counts.repartitionByRange(*by, value).withColumn("part_", F.spark_partition_id())
+    dealt = counts.withColumn("part_", bucket(df, value))
     inside = Window.partitionBy("part_", *by).orderBy(value)
     inner = dealt.withColumn("upto_", F.sum("n_").over(inside))
     sizes = dealt.groupBy("part_", *by).agg(F.sum("n_").alias("size_"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,12 @@ BLOCK = 2048
 
 
 def blocked(df: DataFrame, unit: list[str], row: str, fields: list[str], size: int = BLOCK, name: str = "block") -> DataFrame:
-    """One row for each block: the unit's columns, name (its number) and rows array<struct<row, fields>>."""
+    """One row for each block: the unit's columns, name (its number), of_name (how many the unit has) and rows array<struct<row, fields>>."""
     key = ["all_"] if not unit else unit
     rows = df.withColumn("all_", F.lit(0)) if not unit else df
-    counts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias("blocks_"))
-    dealt = rows.join(counts, key).withColumn(name, F.pmod(F.xxhash64(row), F.col("blocks_")).cast("int"))
-    return dealt.groupBy(*key, name).agg(F.collect_list(F.struct(row, *fields)).alias("rows"))
+    counts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(f"of_{name}"))
+    dealt = rows.join(counts, key).withColumn(name, F.pmod(F.xxhash64(row), F.col(f"of_{name}")).cast("int"))
+    return dealt.groupBy(*key, f"of_{name}", name).agg(F.collect_list(F.struct(row, *fields)).alias("rows"))
 
 
 def arrays(column: pa.Array, i: int) -> dict[str, np.ndarray]:
@@ -32,16 +33,33 @@ def arrays(column: pa.Array, i: int) -> dict[str, np.ndarray]:
     out = {}
     for f in found.type:
         x = found.field(f.name)
-        values = x.to_numpy(zero_copy_only=False)
-        even = pa.types.is_list(f.type) and len({len(v) for v in values}) == 1
-        out[f.name] = np.stack(values) if even else values
+        if pa.types.is_list(f.type) and not x.null_count:
+            sizes = pc.list_value_length(x).to_numpy(zero_copy_only=False)
+            if len(sizes) and (sizes == sizes[0]).all():
+                out[f.name] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), sizes[0])
+                continue
+        out[f.name] = x.to_numpy(zero_copy_only=False)
     return out
 
 
+def paired(left: DataFrame, right: DataFrame, unit: list[str]) -> DataFrame:
+    """(unit, l_, r_, left_, right_): every two blocks of the same unit, each pair a key of its own, so that a unit's pairs spread over all tasks.
+
+    left's blocks are named block, right's block_.
+    """
+    key = ["all_"] if not unit else unit
+    n_left = left.select(*key, F.col("of_block").alias("n_")).distinct()
+    n_right = right.select(*key, F.col("of_block_").alias("n_")).distinct()
+    others = F.explode(F.sequence(F.lit(0), F.col("n_") - 1))
+    a = left.join(n_right, key).select(*key, F.col("block").alias("l_"), others.alias("r_"), F.col("rows").alias("left_"))
+    b = right.join(n_left, key).select(*key, others.alias("l_"), F.col("block_").alias("r_"), F.col("rows").alias("right_"))
+    return a.join(b.hint("merge"), [*key, "l_", "r_"])  # a broadcast would leave pairs where their blocks were made
+
+
 def each_pair(left: DataFrame, right: DataFrame, unit: list[str], fn: Callable, schema: str) -> DataFrame:
     """fn(left arrays, right arrays, unit values) -> record batch, for every two blocks of the same unit."""
     key = ["all_"] if not unit else unit
-    pairs = left.select(*key, F.col("rows").alias("left_")).join(right.select(*key, F.col("rows").alias("right_")), key)
+    pairs = paired(left, right, unit).select(*key, "left_", "right_")
 
     def run(batches):
         for batch in batches:

@@ -65,11 +65,16 @@ def kernel_sums(at: DataFrame, train: DataFrame, bandwidth: float, by_source: bo
     return found.groupBy("row", "source").agg(F.sum("top").alias("top"), F.sum("low").alias("low"))
 
 
-def own_sums(at: DataFrame, train: DataFrame, bandwidth: float) -> DataFrame:
-    """(row, source, top, low) of kernel_sums() with each point, at(row, source, at), meeting only its own source's edges."""
+def own_sums(at: DataFrame, train: DataFrame, bandwidth: float, by_source: bool = False) -> DataFrame:
+    """(row, top, low), by source too if asked for, of kernel_sums() with each point, at(row, source, at), meeting only its own source's edges."""
     a, b = blocked(at, ["source"], "row", ["at"]), blocked(train, ["source"], "row", ["mid", "w", "u"], name="block_")
-    found = each_pair(a, b, ["source"], _sums(bandwidth, False), "row string, source string, top double, low double")
-    return found.groupBy("row").agg(F.sum("top").alias("top"), F.sum("low").alias("low"))
+
+    def run(x, y, unit):
+        out = _sums(bandwidth, False)(x, y, unit)
+        return out.set_column(1, "source", pa.array([unit["source"]] * out.num_rows, pa.string()))
+
+    found = each_pair(a, b, ["source"], run, "row string, source string, top double, low double")
+    return found.groupBy("row", *["source"] * by_source).agg(F.sum("top").alias("top"), F.sum("low").alias("low"))
 
 
 def exposures(at: DataFrame, sums: DataFrame, strength: float, prior: float, keys: list[str]) -> DataFrame:
@@ -91,28 +96,39 @@ def statistic(scores: DataFrame, score: str = "score") -> DataFrame:
     return finite.agg(F.count(F.lit(1)).alias("units"), F.avg(score).alias("statistic"))
 
 
+def pool_sums(at: DataFrame, edges: DataFrame, pool: DataFrame, bandwidth: float) -> DataFrame:
+    """(row, top, low): kernel sums where each point, at(row, source, at), meets only the edges of its target's sources, pool(target, source, scale)."""
+    chosen = edges.join(pool.select(F.col("target").cast("string").alias("target"), F.col("source").cast("string").alias("source"), "scale"), "source")
+    mine = chosen.select(F.col("target").alias("source"), "row", "mid", (F.col("w") * F.col("scale")).alias("w"), "u")
+    return own_sums(at, mine, bandwidth)
+
+
 def pooled_transfer_scores(train: DataFrame, held: DataFrame, pool: DataFrame, bandwidth: float, strength: float = 0.25, prior: float = 0.5, segment_points: int = 5) -> DataFrame:
     """transfer_scores() where a target's field comes from its own sources, pool(target, source).
 
     A target's sources are weighted by all training units over the pool's, so that the strength
-    of the prior means the same. Sums are taken by source once for all pools.
+    of the prior means the same. Only points and edges of a pool meet.
     """
-    at = points(held, segment_points)
+    at = points(held, segment_points).withColumn("source", F.col("unit").cast("string"))
     edges = training(train)
     n = edges.agg(F.countDistinct("source").alias("n_train"))
-    sums = kernel_sums(at, edges, bandwidth, by_source=True)
-    sizes = pool.groupBy("target").agg(F.count(F.lit(1)).alias("n_pool")).crossJoin(F.broadcast(n))
-    chosen = pool.join(sizes, "target").select(F.col("target").cast("string").alias("unit_"), F.col("source").cast("string").alias("source"), (F.col("n_train") / F.col("n_pool")).alias("scale"))
-    by_point = sums.join(at.select("row", F.col("unit").cast("string").alias("unit_")), "row").join(chosen, ["unit_", "source"])
-    total = by_point.groupBy("row").agg(F.sum(F.col("top") * F.col("scale")).alias("top"), F.sum(F.col("low") * F.col("scale")).alias("low"))
-    found = exposures(at, total, strength, prior, ["unit", "a", "b"])
+    sizes = pool.groupBy("target").agg(F.count(F.lit(1)).alias("n_pool")).crossJoin(F.broadcast(n))  # one row
+    scaled = pool.join(sizes, "target").select("target", "source", (F.col("n_train") / F.col("n_pool")).alias("scale"))
+    found = exposures(at, pool_sums(at, edges, scaled, bandwidth), strength, prior, ["unit", "a", "b"])
     return spearman(found.join(held.select("unit", "a", "b", "turnover"), ["unit", "a", "b"]), "exposure", "turnover", ["unit"], "score")
 
 
-def pair_scores(train: DataFrame, held: DataFrame, bandwidth: float, strength: float = 0.25, prior: float = 0.0, segment_points: int = 5) -> DataFrame:
-    """(unit, source, n, score): score of each held unit's edges under the field of each single source unit."""
+def pair_scores(train: DataFrame, held: DataFrame, bandwidth: float, strength: float = 0.25, prior: float = 0.0, segment_points: int = 5, pairs: DataFrame | None = None) -> DataFrame:
+    """(unit, source, n, score): score of each held unit's edges under the field of each single source unit, or of those of pairs(unit, source) only."""
     at = points(held, segment_points)
-    sums = kernel_sums(at, training(train), bandwidth, by_source=True)
+    if pairs is None:
+        sums = kernel_sums(at, training(train), bandwidth, by_source=True)
+    else:
+        named = F.concat_ws("|", "unit", "source")
+        ours = pairs.select(F.col("unit"), F.col("source").cast("string").alias("source"), named.alias("pair")).distinct()
+        here = at.join(ours, "unit").select("row", F.col("pair").alias("source"), "at")
+        edges = training(train).join(ours.select("source", "pair"), "source").select(F.col("pair").alias("source"), "row", "mid", "w", "u")
+        sums = own_sums(here, edges, bandwidth, by_source=True).join(ours.select(F.col("pair"), F.col("source").alias("name_")), F.col("source") == F.col("pair")).select("row", F.col("name_").alias("source"), "top", "low")
     found = exposures(at, sums, strength, prior, ["unit", "a", "b", "source"])
     return spearman(found.join(held.select("unit", "a", "b", "turnover"), ["unit", "a", "b"]), "exposure", "turnover", ["unit", "source"], "score")
 

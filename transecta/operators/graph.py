@@ -51,7 +51,7 @@ def nearest(records: DataFrame, k_most: int) -> DataFrame:
     """
     kind = dict(records.dtypes)["unit"]
     rows = blocked(records.select("unit", "i", "coords"), ["unit"], "i", ["coords"])
-    some = each_pair(rows, rows, ["unit"], _nearest(k_most, kind), f"unit {kind}, i long, j long, d double")
+    some = each_pair(rows, rows.withColumnsRenamed({"block": "block_", "of_block": "of_block_"}), ["unit"], _nearest(k_most, kind), f"unit {kind}, i long, j long, d double")
     place = F.row_number().over(Window.partitionBy("unit", "i").orderBy("d", "j"))
     return some.withColumn("place", place).where(F.col("place") <= k_most)
 

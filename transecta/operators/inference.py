@@ -9,7 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import wilson
+from ..functions.ranks import bucket
+from ..functions.scalars import hash_key, wilson
+
+
+#: Numbers that a block of resamples draws at most.
+DRAWS = 1 << 20
+
+
+def resamples_of(n: int, resamples: int, seed: int):
+    """Index matrices of `resamples` draws of n from n in all, in blocks of DRAWS numbers about; the draws don't depend on the blocks."""
+    rng, each = np.random.default_rng(seed), max(1, DRAWS // max(1, n))
+    for start in range(0, resamples, each):
+        yield rng.integers(0, n, size=(min(each, resamples - start), n))
 
 
 def studentized_bootstrap(x: np.ndarray, resamples: int = 1999, seed: int = 0) -> tuple[float, float, float]:
@@ -26,12 +38,14 @@ def studentized_bootstrap(x: np.ndarray, resamples: int = 1999, seed: int = 0) -
             return np.where(se > tiny, means / np.where(se > tiny, se, 1), np.sign(means) * np.inf)
 
     seen = float(np.nan_to_num(t_values(x.mean(), x.std(ddof=1)), nan=0.0, posinf=np.inf, neginf=0.0))
-    draws = (x - x.mean())[np.random.default_rng(seed).integers(0, n, size=(resamples, n))]
-    null = np.nan_to_num(t_values(draws.mean(1), draws.std(1, ddof=1)), nan=0.0, posinf=np.inf, neginf=-np.inf)
-    return float(x.mean()), seen, float((1 + np.count_nonzero(null >= seen)) / (resamples + 1))
+    centred, above = x - x.mean(), 0
+    for at in resamples_of(n, resamples, seed):
+        null = t_values(centred[at].mean(1), centred[at].std(1, ddof=1))
+        above += np.count_nonzero(np.nan_to_num(null, nan=0.0, posinf=np.inf, neginf=-np.inf) >= seen)
+    return float(x.mean()), seen, float((1 + above) / (resamples + 1))
 
 
-def bootstrap_test(scores: DataFrame, score: str, by: list[str], resamples: int = 1999, seed: int = 0, block: int = 4096) -> DataFrame:
+def bootstrap_test(scores: DataFrame, score: str, by: list[str], resamples: int = 1999, seed: int = 0) -> DataFrame:
     """(by, n, mean, t, p): studentized_bootstrap() of a group's scores in order of value.
 
     A group holds one score for each held-out unit, which are few beside the rows they come from.
@@ -46,31 +60,102 @@ def bootstrap_test(scores: DataFrame, score: str, by: list[str], resamples: int
     return scores.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "mean double", "t double", "p double"]))
 
 
-def percentile_interval(scores: DataFrame, score: str, by: list[str], resamples: int = 1999, seed: int = 0) -> DataFrame:
-    """(by, n, mean, low, high): percentile bootstrap interval of the mean, 95 percent."""
+def _intervals(scores: DataFrame, by: list[str], name: str, seen, drawn) -> DataFrame:
+    """(by, n, name, low, high): a statistic of a group's rows and the 2.5 and 97.5 percentiles of its resamples."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[score].dropna().to_numpy(float))
-        means = x[np.random.default_rng(seed).integers(0, len(x), size=(resamples, len(x)))].mean(1) if len(x) else np.array([np.nan])
-        return pd.DataFrame([[*pdf[by].iloc[0].tolist(), len(x), x.mean() if len(x) else np.nan, *np.quantile(means, [0.025, 0.975])]], columns=[*by, "n", "mean", "low", "high"])
+        n, value = seen(pdf)
+        draws = drawn(pdf) if n else np.array([np.nan])
+        return pd.DataFrame([[*pdf[by].iloc[0].tolist(), n, value, *np.quantile(draws, [0.025, 0.975])]], columns=[*by, "n", name, "low", "high"])
 
     kinds = dict(scores.dtypes)
-    return scores.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "mean double", "low double", "high double"]))
+    return scores.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", f"{name} double", "low double", "high double"]))
+
+
+def percentile_interval(scores: DataFrame, score: str, by: list[str], resamples: int = 1999, seed: int = 0) -> DataFrame:
+    """(by, n, mean, low, high): percentile bootstrap interval of the mean, 95 percent."""
+    values = lambda pdf: np.sort(pdf[score].dropna().to_numpy(float))
+
+    def drawn(pdf):
+        x = values(pdf)
+        return np.concatenate([x[at].mean(1) for at in resamples_of(len(x), resamples, seed)])
+
+    return _intervals(scores, by, "mean", lambda pdf: (len(values(pdf)), float(np.mean(values(pdf))) if len(values(pdf)) else np.nan), drawn)
+
+
+def _row_ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks along the rows of a matrix."""
+    order = np.argsort(x, 1, kind="stable")
+    s = np.take_along_axis(x, order, 1)
+    new = np.concatenate([np.ones((len(x), 1), bool), s[:, 1:] != s[:, :-1]], 1)
+    place = np.broadcast_to(np.arange(x.shape[1]), x.shape)
+    first = np.maximum.accumulate(np.where(new, place, 0), 1)
+    ends = np.concatenate([new[:, 1:], np.ones((len(x), 1), bool)], 1)
+    last = np.minimum.accumulate(np.where(ends, place, x.shape[1])[:, ::-1], 1)[:, ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, 1)
+    return out
+
+
+def rank_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rank correlation of each row of x with that row of y; 0 where either does not vary."""
+    u, v = (r - r.mean(1, keepdims=True) for r in (_row_ranks(x), _row_ranks(y)))
+    length = np.sqrt((u * u).sum(1) * (v * v).sum(1))
+    return np.where(length > 2.220446049250313e-16, (u * v).sum(1) / np.where(length > 0, length, 1), 0.0)
+
+
+def correlation_interval(rows: DataFrame, x: str, y: str, by: list[str], resamples: int = 1999, seed: int = 0) -> DataFrame:
+    """(by, n, rho, low, high): percentile bootstrap interval of the rank correlation over a group's pairs, 95 percent."""
+
+    def values(pdf):
+        return pdf[[x, y]].dropna().sort_values([x, y]).to_numpy(float)
+
+    def drawn(pdf):
+        v = values(pdf)
+        return np.concatenate([rank_correlations(v[at, 0], v[at, 1]) for at in resamples_of(len(v), resamples, seed)])
+
+    return _intervals(rows, by, "rho", lambda pdf: (len(values(pdf)), float(rank_correlations(values(pdf)[None, :, 0], values(pdf)[None, :, 1])[0]) if len(values(pdf)) else np.nan), drawn)
+
+
+def difference_interval(rows: DataFrame, value: str, second: str, by: list[str], resamples: int = 1999, seed: int = 0) -> DataFrame:
+    """(by, n, difference, low, high): percentile bootstrap interval of the mean of the rows where `second` is true less that of the others, each drawn for itself."""
+
+    def sides(pdf):
+        kept = pdf[[value, second]].dropna()
+        return [np.sort(kept[value][kept[second].astype(bool) == s].to_numpy(float)) for s in (True, False)]
+
+    def drawn(pdf):
+        one, other = sides(pdf)
+        if not len(one) or not len(other):
+            return np.array([np.nan])
+        means = [np.concatenate([v[at].mean(1) for at in resamples_of(len(v), resamples, seed + k)]) for k, v in enumerate((one, other))]
+        return means[0] - means[1]
+
+    def seen(pdf):
+        one, other = sides(pdf)
+        return len(one) + len(other), float(one.mean() - other.mean()) if len(one) and len(other) else np.nan
+
+    return _intervals(rows, by, "difference", seen, drawn)
 
 
 def exceedance(observed: DataFrame, reference: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(observed columns, label, p): (1 + references not below) / (references + 1) for each observation and reference label.
 
     observed(keys, value), reference(label, value), where references join all observations. Labels
-    are the few configurations of a null family. The references of a label are sorted once and observations ranked among them: both tables go
-    through one window, and no pair of them is made.
+    are the few configurations of a null family. Both tables go through one window over a label's
+    ranges of values, and the ranges' counts give what lies above, so that no pair of them is made and no
+    label is one task.
     """
-    labels = reference.select("label").distinct()
-    seen = observed.crossJoin(F.broadcast(labels)).select(*keys, "label", F.col(value).alias("v"), F.lit(0).alias("is_ref"))
-    refs = reference.select(*(F.lit(None).cast(dict(observed.dtypes)[k]).alias(k) for k in keys), "label", F.col(value).alias("v"), F.lit(1).alias("is_ref"))
-    w = Window.partitionBy("label").orderBy(F.desc("v"), F.desc("is_ref")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = seen.unionByName(refs).withColumns({"above": F.sum("is_ref").over(w), "n": F.sum("is_ref").over(Window.partitionBy("label"))})
-    return both.where("is_ref = 0").select(*keys, "label", ((1 + F.col("above")) / (F.col("n") + 1)).alias("p"))
+    refs = reference.select("label", F.col(value).alias("v"))
+    part = bucket(refs, "v")
+    seen = observed.crossJoin(F.broadcast(refs.select("label").distinct())).select(*keys, "label", F.col(value).alias("v"), F.lit(0).alias("is_ref"))
+    refs = refs.select(*(F.lit(None).cast(dict(observed.dtypes)[k]).alias(k) for k in keys), "label", "v", F.lit(1).alias("is_ref"))
+    w = Window.partitionBy("label", "part").orderBy(F.desc("v"), F.desc("is_ref")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = seen.unionByName(refs).withColumn("part", part).withColumn("above", F.sum("is_ref").over(w))
+    sizes = both.groupBy("label", "part").agg(F.sum("is_ref").alias("n"))
+    higher = Window.partitionBy("label").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("label", "part", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("label")).alias("n"))
+    return both.where("is_ref = 0").join(sizes, ["label", "part"]).select(*keys, "label", ((1 + F.col("start") + F.col("above")) / (F.col("n") + 1)).alias("p"))
 
 
 def envelope(component: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,12 +183,12 @@ def profiled_p(references: DataFrame, statistic: float, strength: float, profile
 
 
 def permuted(records: DataFrame, replicates: int, by: list[str], trait: str, seed: int = 0) -> DataFrame:
-    """records once for each replicate, with the trait shuffled within `by` by the order of a hash."""
+    """records once for each replicate, from 0, with the trait shuffled within `by` by the order of hash keys of (seed, replicate, i)."""
     worlds = records.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     keys = ["replicate", *by]
-    places = worlds.withColumns(
-        {"at_": F.row_number().over(Window.partitionBy(*keys).orderBy("i")), "from_": F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("replicate", "i", F.lit(seed)), "i"))}
-    )
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("i"))
+    source = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_key("permute", F.lit(seed), F.col("replicate"), F.col("i")), "i"))
+    places = worlds.withColumns({"at_": at, "from_": source})
     moved = places.select(*keys, F.col("from_").alias("at_"), F.col(trait).alias("moved_"))
     return places.drop("from_", trait).join(moved, [*keys, "at_"]).withColumnRenamed("moved_", trait).drop("at_")
 

@@ -21,9 +21,17 @@ def ledger(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def hash_order(rows: DataFrame, tag: str, name: str) -> DataFrame:
-    """rows with their hash key and place, from 1, in its order."""
-    keyed = rows.withColumn("key", hash_key(tag, F.col(name)))
-    return keyed.withColumn("place", F.row_number().over(Window.orderBy("key", name)))
+    """rows with their hash key and place, from 1, in its order.
+
+    Keys are dealt by their first three digits, and the counts of those 4096 ranges give each its start, so
+    that no task sees all rows.
+    """
+    keyed = rows.withColumn("key", hash_key(tag, F.col(name))).withColumn("part_", F.substring("key", 1, 3))
+    sizes = keyed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(F.substring("part_", 1, 0)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    starts = sizes.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy("key", name))
+    return keyed.withColumn("place", inside).join(starts, "part_").withColumn("place", F.col("place") + F.col("start_")).drop("part_", "start_")
 
 
 def capped(rows: DataFrame, tag: str, name: str, most: int) -> DataFrame:
@@ -33,9 +41,9 @@ def capped(rows: DataFrame, tag: str, name: str, most: int) -> DataFrame:
 
 def half_split(units: DataFrame, tag: str, name: str = "unit", fraction: float = 0.5) -> DataFrame:
     """units with role train for the first part in hash order and held for the rest."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    role = F.when(F.col("place") <= F.floor(n * fraction), "train").otherwise("held")
-    return hash_order(units, tag, name).withColumn("role", role).drop("place")
+    n = units.agg(F.count(F.lit(1)).alias("n_"))
+    role = F.when(F.col("place") <= F.floor(F.col("n_") * fraction), "train").otherwise("held")
+    return hash_order(units, tag, name).crossJoin(F.broadcast(n)).withColumn("role", role).drop("place", "n_")  # one row
 
 
 def stratified_split(units: DataFrame, tag: str, name: str, group: str, fraction: float = 0.5) -> DataFrame:

@@ -13,31 +13,47 @@ from .blocks import blocked, each_pair
 COLUMNS = ["a", "b", "x", "y", "rx", "ry"]
 
 
-def _below(sorted_values: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """How many of the sorted values lie below each v, ties by half."""
-    return (np.searchsorted(sorted_values, v, "left") + np.searchsorted(sorted_values, v, "right")) / 2
+#: Targets whose ranks among a block's edges are taken at once.
+FEW = 64
 
 
 def _partial(unit_type: pa.DataType):
     def run(targets, edges, unit):
-        out = []
-        for i in range(len(targets["row"])):
-            ex, ey = np.sort(targets["ex"][i]), np.sort(targets["ey"][i])
-            a, b = targets["a"][i], targets["b"][i]
-            free = (edges["a"] != a) & (edges["a"] != b) & (edges["b"] != a) & (edges["b"] != b)
-            n = targets["m"][i] - len(ex)
-            dx = (edges["rx"][free] - _below(ex, edges["x"][free])) / (n + 1) - 0.5
-            dy = (edges["ry"][free] - _below(ey, edges["y"][free])) / (n + 1) - 0.5
-            hx = (targets["rx"][i] - _below(ex, targets["x"][i : i + 1])[0]) / (n + 1)
-            hy = (targets["ry"][i] - _below(ey, targets["y"][i : i + 1])[0]) / (n + 1)
-            out.append((a, b, n, float(hx), float(hy), float(dx @ dx), float(dx @ dy)))
-        a, b, n, hx, hy, xx, xy = zip(*out)
-        cols = [pa.array([unit["unit"]] * len(a), unit_type), *(pa.array(np.array(v, np.int64)) for v in (a, b, n)), *(pa.array(v, pa.float64()) for v in (hx, hy, xx, xy))]
+        size = np.array([len(v) for v in targets["ex"]])
+        ends, n, m = np.cumsum(size), targets["m"] - size, len(edges["a"])
+        order = {c: np.argsort(edges[c], kind="stable") for c in "xy"}
+        gone = {c: np.concatenate([np.zeros(0), *targets["e" + c]]) for c in "xy"}
+        own = {c: _own(gone[c], size, targets[c], targets["r" + c]) / (n + 1) for c in "xy"}
+        at = {c: [np.searchsorted(edges[c][order[c]], gone[c], side) for side in ("left", "right")] for c in "xy"}
+        xx, xy = np.zeros(len(n)), np.zeros(len(n))
+        for i in range(0, len(n), FEW):
+            j = min(len(n), i + FEW)
+            part = slice(ends[i] - size[i], ends[j - 1])
+            row = np.repeat(np.arange(j - i), size[i:j]) * (m + 1)
+            d = {}
+            for c in "xy":
+                # an excluded value lowers all ranks above it by one and those that tie with it by half
+                steps = sum(np.bincount(row + x[part], minlength=(j - i) * (m + 1)) for x in at[c])
+                below = np.empty((j - i, m))
+                below[:, order[c]] = np.cumsum(steps.reshape(j - i, m + 1)[:, :m], 1) / 2
+                d[c] = (edges["r" + c] - below) / (n[i:j, None] + 1) - 0.5
+            a, b = targets["a"][i:j, None], targets["b"][i:j, None]
+            d["x"] *= (edges["a"] != a) & (edges["a"] != b) & (edges["b"] != a) & (edges["b"] != b)
+            xx[i:j], xy[i:j] = (d["x"] * d["x"]).sum(1), (d["x"] * d["y"]).sum(1)
+        cols = [pa.array([unit["unit"]] * len(n), unit_type), *(pa.array(np.asarray(v, np.int64)) for v in (targets["a"], targets["b"], n)), *(pa.array(v) for v in (own["x"], own["y"], xx, xy))]
         return pa.RecordBatch.from_arrays(cols, ["unit", "a", "b", "n", "hx", "hy", "xx", "xy"])
 
     return run
 
 
+def _own(values: np.ndarray, size: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ranks of `at` less how many of its own excluded values, of which there are `size`, lie below, ties by half."""
+    which = np.repeat(np.arange(len(size)), size)
+    mine = at[which]
+    below = (values < mine) + 0.5 * (values == mine)
+    return rank - np.bincount(which, below, len(size))
+
+
 def crossfit_residuals(edges: DataFrame, distance: str, response: str, least: int = 5) -> DataFrame:
     """(unit, a, b, n_training, observed, expected, residual, turnover) for edges(unit, a, b, distance, response).
 
