@@ -45,14 +45,6 @@ def test_query_equals_sql(spark, sql, name):
     assert rows(df.columns, map(tuple, df.collect())) == rows(columns, found.fetchall())
 
 
-ANALYSIS = sorted(n for n in __spark_entry__.queries() if n not in __spark_entry__.oracle_sql() and not n.startswith("op") and n != "pipeline")
-
-
-@pytest.mark.parametrize("name", ANALYSIS)
-def test_query_without_sql_runs(spark, name):
-    assert __spark_entry__.queries()[name](spark, FOLDER).count() >= 0
-
-
 def test_front_observability_takes_2048_fronts(spark):
     import numpy as np
 

@@ -124,3 +124,10 @@ def length_orthogonalized(df: DataFrame, turnover: str, length: str, by: list[st
     rows = rows.withColumn("sd_", F.stddev_pop(out).over(w))
     aim = F.sqrt((F.col("n_") * F.col("n_") - 1) / (12.0 * F.col("n_") * F.col("n_")))
     return rows.withColumn(out, F.when(F.col("sd_") > 1e-12, F.col(out) * aim / F.when(F.col("sd_") > 1e-12, F.col("sd_"))).otherwise(0.0)).drop("n_", "sd_")
+
+
+def most_frequent(df: DataFrame, value: str, by: list[str], out: str = "mode") -> DataFrame:
+    """(by, out, n): the value that occurs most often, the least of several."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_"))
+    w = Window.partitionBy(*by).orderBy(F.desc("n_"), value)
+    return counts.withColumn("place_", F.row_number().over(w)).where("place_ = 1").select(*by, F.col(value).alias(out), F.col("n_").alias("n"))

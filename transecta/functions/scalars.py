@@ -124,3 +124,41 @@ def seed(*parts: Column | str, little_endian: bool = True) -> Column:
 
 def retention_label(fraction: Column) -> Column:
     return F.rtrim(F.rtrim(F.format_string("%.6f", fraction), F.lit("0")), F.lit("."))
+
+
+def celsius(kelvin: Column) -> Column:
+    return kelvin - 273.15
+
+
+def harmonized(value: Column, unit: Column) -> Column:
+    """Degrees Celsius of a value in K, C or F; null for another unit."""
+    u = F.upper(F.trim(unit))
+    return F.when(u == "K", celsius(value)).when(u == "C", value).when(u == "F", (value - 32) / 1.8)
+
+
+def displacement(past: Column, present: Column) -> Column:
+    """What has to be added to the present to get the past: past less present, of numbers or arrays."""
+    return past - present
+
+
+def vector_displacement(past: Column, present: Column) -> Column:
+    return F.zip_with(past, present, lambda x, y: x - y)
+
+
+def name_match(requested: Column, key: Column, kind: Column, rank: Column, name: Column) -> Column:
+    """struct<accepted, reason> of an authority's answer: an exact match of a species whose canonical name is the requested one."""
+    same = F.upper(F.coalesce(kind, F.lit(""))).isin("EXACT", "CONFIDENCE") & (F.upper(F.coalesce(rank, F.lit(""))) == "SPECIES")
+    same = same & (normalized_name(F.coalesce(name, F.lit(""))) == normalized_name(F.coalesce(requested, F.lit(""))))
+    has_key = F.coalesce(key.cast("long"), F.lit(0)) > 0
+    reason = F.when(~has_key, "missing_usage_key").when(same, "exact_canonical_species").otherwise("rejected_nonexact_species_match")
+    return F.struct((has_key & same).alias("accepted"), reason.alias("reason"))
+
+
+#: How a simulated response follows from its latent value.
+RESPONSES = {"identity": lambda x: x, "tanh": F.tanh}
+
+
+def response(latent: Column, transform: str = "tanh") -> Column:
+    if transform not in RESPONSES:
+        raise ValueError(f"no response transform {transform}")
+    return RESPONSES[transform](latent)

@@ -8,27 +8,51 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import spearman
 
-def absorbed(dyads: DataFrame, columns: list[str], source: str = "source", target: str = "target", rounds: int = 50, tolerance: float = 1e-12) -> DataFrame:
-    """dyads with the columns' residuals on source and target effects in place of them.
 
-    Means of sources and of targets are taken off in turn, which for a complete design ends after
-    one round and for any connected one comes to the same residuals. The driver sees one number a
-    round.
-    """
-    out = dyads
-    for i in range(rounds):
-        for side in (source, target):
-            out = out.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy(side)) for c in columns})
-        out = out.checkpoint() if i and _has_checkpoint(out) else out
-        left = out.groupBy(source).agg(*(F.abs(F.avg(c)).alias(c) for c in columns)).agg(F.max(F.greatest(*columns, F.lit(0.0))).alias("left")).first()["left"]
-        if left is None or left <= tolerance:
-            break
-    return out
+#: Levels of the smaller side of a design, whose normal equations the driver solves.
+MOST_LEVELS = 4096
+
 
+def absorbed(dyads: DataFrame, columns: list[str], source: str = "source", target: str = "target", most: int = MOST_LEVELS) -> DataFrame:
+    """dyads with the columns' residuals on source and target effects in place of them, for any connected design.
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return bool(df.sparkSession.sparkContext.getCheckpointDir() if hasattr(df.sparkSession.sparkContext, "getCheckpointDir") else None)
+    The larger side's effects are eliminated by aggregation, and the driver solves the normal equations of the smaller
+    side, at most `most` levels. A design that is not connected, or whose both sides have more levels, is an error.
+    """
+    sizes = dyads.agg(F.count_distinct(source).alias("s"), F.count_distinct(target).alias("t")).first()
+    if min(sizes) > most:
+        raise ValueError(f"both sides have more than {most} levels")
+    if not sizes["s"]:
+        return dyads
+    big, few = (source, target) if sizes["s"] >= sizes["t"] else (target, source)
+    cells = dyads.groupBy(F.col(big).alias("b_"), F.col(few).alias("f_")).agg(F.count(F.lit(1)).alias("n_"), *(F.sum(c).alias(f"y{i}_") for i, c in enumerate(columns)))
+    totals = cells.groupBy("b_").agg(F.sum("n_").alias("all_"), *(F.sum(f"y{i}_").alias(f"m{i}_") for i in range(len(columns))))
+    rows = cells.join(totals, "b_")
+    other = cells.select("b_", F.col("f_").alias("g_"), F.col("n_").alias("o_"))
+    shared = rows.join(other, "b_").groupBy("f_", "g_").agg(F.sum(F.col("n_") * F.col("o_") / F.col("all_")).alias("x")).collect()
+    right = rows.groupBy("f_").agg(F.sum("n_").alias("n"), *(F.sum(F.col(f"y{i}_") - F.col("n_") * F.col(f"m{i}_") / F.col("all_")).alias(f"v{i}") for i in range(len(columns)))).collect()
+    names = [r["f_"] for r in right]
+    at = {x: k for k, x in enumerate(names)}
+    normal = np.diag([float(r["n"]) for r in right])
+    for r in shared:
+        normal[at[r["f_"]], at[r["g_"]]] -= r["x"]
+    value = np.array([[r[f"v{i}"] for i in range(len(columns))] for r in right], float)
+    effects = np.zeros_like(value)
+    if len(names) > 1:
+        spread = np.linalg.eigvalsh(normal[:-1, :-1])
+        if spread[0] <= 1e-10 * max(1.0, spread[-1]):
+            raise ValueError("the design of sources and targets is not connected")
+        effects[:-1] = np.linalg.solve(normal[:-1, :-1], value[:-1])
+    spark = dyads.sparkSession
+    kind = dict(dyads.dtypes)[few]
+    table = spark.createDataFrame([(x, *map(float, e)) for x, e in zip(names, effects)], f"`{few}` {kind}, " + ", ".join(f"e{i}_ double" for i in range(len(columns))))
+    out = dyads.join(F.broadcast(table), few)  # at most `most` rows
+    out = out.withColumns({c: F.col(c) - F.col(f"e{i}_") for i, c in enumerate(columns)}).drop(*(f"e{i}_" for i in range(len(columns))))
+    means = out.groupBy(big).agg(*(F.avg(c).alias(f"m{i}_") for i, c in enumerate(columns)))
+    out = out.join(means, big).withColumns({c: F.col(c) - F.col(f"m{i}_") for i, c in enumerate(columns)})
+    return out.select(*dyads.columns)
 
 
 def _gram(rows: DataFrame, columns: list[str]) -> np.ndarray:
@@ -94,6 +118,36 @@ def signal_support(rows: DataFrame, residual: str, source: str = "source", targe
     return dyad.crossJoin(by(source)).crossJoin(by(target))  # one row each
 
 
+def ladder(dyads: DataFrame, layers: list[tuple[str, str, list[str]]], source: str = "source", target: str = "target") -> DataFrame:
+    """(layer, dyads, fe_fraction, conditional_fraction, total_fraction, partial_sd, effective_dyads, effective_sources, effective_targets, max_source_share, max_target_share, survival).
+
+    Each of layers(name, primary, controls) is what is left of the primary relation after endpoint effects and the
+    controls; partial_sd is in units of the primary's; survival is the layer's sum of squares over that of the
+    layer before, where both have one primary and the controls only grow, else null.
+    """
+    out, before = None, None
+    for place, (name, primary, controls) in enumerate(layers):
+        left, unique = unique_information(dyads, primary, controls, source, target)
+        square = left.agg(F.sum(F.col("residual") * F.col("residual")).alias("ss")).first()["ss"]
+        nested = before is not None and before[0] == primary and set(before[1]) <= set(controls) and before[2] > 0
+        survival = F.lit(float(square / before[2]) if nested else None).cast("double")
+        row = unique.crossJoin(signal_support(left, "residual", source, target))  # one row each
+        row = row.withColumns({"layer": F.lit(name), "partial_sd": F.sqrt("total_fraction"), "survival": survival})
+        out = row if out is None else out.unionByName(row)
+        before = (primary, controls, square)
+    return out
+
+
+def competing_spaces(train: DataFrame, held: DataFrame, response: str, spaces: dict[str, list[str]], unit: str = "unit", penalty: float = 1.0, digits: int = 12) -> DataFrame:
+    """(unit, one column for each space): rank correlation in each held unit of the response with what a ridge on the space's columns, fitted on train, predicts."""
+    out = None
+    for name, columns in spaces.items():
+        fitted = predicted(held, ridge(train, response, columns, unit, penalty)).withColumn("prediction", F.round("prediction", digits))
+        one = spearman(fitted, "prediction", response, [unit], name).drop("n")
+        out = one if out is None else out.join(one, unit)
+    return out
+
+
 def repeatability(rows: DataFrame, dyad: str, value: str) -> DataFrame:
     """(replicates, dyads, icc, between, within, median_sd) of a balanced design: one-way random effects, clipped to 0 and 1."""
     by = rows.groupBy(dyad).agg(F.count(F.lit(1)).alias("k"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.stddev_samp(value).alias("sd"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import spearman
-from .blocks import blocked, each_pair
+from .blocks import BLOCK, blocked, each_pair
 
 TINY = 2.2250738585072014e-308
 DIGITS = 12  # of exposures before they are ranked, so that the order of additions does not part ties
@@ -38,7 +38,7 @@ def _sums(bandwidth: float, by_source: bool):
 
     def run(a, b, _):
         rows, sources, top, low = [], [], [], []
-        names, which = np.unique(b["source"].astype(str) if by_source else np.full(len(b["row"]), ""), return_inverse=True)
+        names, which = np.unique(b["source"].astype(str) if by_source else np.full(len(b["w"]), ""), return_inverse=True)
         share = np.zeros((len(which), len(names) if by_source else 1))
         share[np.arange(len(which)), which if by_source else 0] = b["w"]
         for i in range(0, len(a["row"]), 512):
@@ -60,7 +60,11 @@ def _sums(bandwidth: float, by_source: bool):
 
 def kernel_sums(at: DataFrame, train: DataFrame, bandwidth: float, by_source: bool = False) -> DataFrame:
     """(row, source, top, low): sums of w K u and w K at each point over the training edges, by source unit or over all."""
-    a, b = blocked(at, [], "row", ["at"]), blocked(train, [], "row", ["source", "mid", "w", "u"], name="block_")
+    edges, row = train, "row"
+    if by_source:  # a source's edges lie in as few blocks as they fill, so that each block gives few sums to a point
+        n = F.count(F.lit(1)).over(Window.partitionBy("source"))
+        edges, row = train.withColumn("part", F.concat_ws("|", "source", F.pmod(F.xxhash64("row"), F.ceil(n / BLOCK)))), "part"
+    a, b = blocked(at, [], "row", ["at"]), blocked(edges, [], row, ["source", "mid", "w", "u"], name="block_")
     found = each_pair(a, b, [], _sums(bandwidth, by_source), "row string, source string, top double, low double")
     return found.groupBy("row", "source").agg(F.sum("top").alias("top"), F.sum("low").alias("low"))
 
@@ -149,3 +153,23 @@ def support_overlap(train: DataFrame, held: DataFrame, bandwidth: float) -> Data
     by_point = sums.groupBy("row").agg(F.sum("low").alias("mass"), F.sum(F.col("low") * F.col("low")).alias("squares"))
     effective = F.when(F.col("squares") > 0, F.col("mass") * F.col("mass") / F.when(F.col("squares") > 0, F.col("squares"))).otherwise(0.0)
     return at.select("row", "unit").join(by_point, "row").groupBy("unit").agg(F.avg("mass").alias("mean_opportunity"), F.avg(effective).alias("effective_sources"))
+
+
+def leave_one_out(train: DataFrame, held: DataFrame, bandwidth: float, strength: float = 0.25, prior: float = 0.5) -> DataFrame:
+    """(source, units, statistic): the mean score of the held units when a training unit is left out, its own sums taken off the total's."""
+    at = points(held)
+    sums = kernel_sums(at, training(train), bandwidth, by_source=True)
+    w = Window.partitionBy("row")
+    without = sums.select("row", "source", (F.sum("top").over(w) - F.col("top")).alias("top"), (F.sum("low").over(w) - F.col("low")).alias("low"))
+    found = exposures(at, without, strength, prior, ["unit", "a", "b", "source"])
+    scores = spearman(found.join(held.select("unit", "a", "b", "turnover"), ["unit", "a", "b"]), "exposure", "turnover", ["unit", "source"], "score")
+    return scores.where(~F.isnan("score")).groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.avg(F.round("score", 6)).alias("statistic"))
+
+
+def grouped_scores(train: DataFrame, held: DataFrame, group: str, bandwidth: float, strength: float = 0.25, prior: float = 0.5, segment_points: int = 5) -> DataFrame:
+    """(group, unit, n, score): transfer_scores() of many worlds at once, where held units meet the training edges of their own group only. Unit names are unique over all groups."""
+    at = points(held, segment_points).join(held.select("unit", group).distinct(), "unit").withColumn("source", F.col(group).cast("string"))
+    w = 1.0 / F.count(F.lit(1)).over(Window.partitionBy("unit"))
+    edges = train.select(F.concat_ws("|", "unit", "a", "b").alias("row"), F.col(group).cast("string").alias("source"), "mid", w.alias("w"), F.col("turnover").alias("u"))
+    found = exposures(at, own_sums(at, edges, bandwidth), strength, prior, [group, "unit", "a", "b"])
+    return spearman(found.join(held.select("unit", "a", "b", "turnover"), ["unit", "a", "b"]), "exposure", "turnover", [group, "unit"], "score")

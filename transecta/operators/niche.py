@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import blocked, each_pair
 from .dyadic import _gram
 
 
@@ -92,3 +93,34 @@ def extrapolation(rows: DataFrame, pooled: DataFrame, columns: list[str]) -> Dat
     for c in columns:
         outside = outside | (F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}"))
     return rows.select(*columns).crossJoin(F.broadcast(bounds)).agg(F.avg(outside.cast("double")).alias("share"))
+
+
+def density_at(rows: DataFrame, queries: DataFrame, axes: list[str]) -> DataFrame:
+    """(unit, query, density): Gaussian kernel density of each unit's points at each query(query, axes), in any number of axes, bandwidth n^(-1 / (axes + 4)) and with its norm.
+
+    Blocks of queries meet blocks of a unit's points, and only sums leave a task.
+    """
+    d = len(axes)
+    kind = dict(rows.dtypes)["unit"]
+    h = F.pow(F.count(F.lit(1)).over(Window.partitionBy("unit")).cast("double"), F.lit(-1.0 / (d + 4)))
+    points = rows.select("unit", F.monotonically_increasing_id().alias("row"), F.array(*axes).alias("at"), h.alias("h"))
+    asked = rows.select("unit").distinct().crossJoin(queries.select(F.col("query").cast("string").alias("row"), F.array(*axes).alias("at")))  # by definition each unit at each query
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+
+    def run(a, b, unit):
+        out, width = np.zeros(len(a["row"])), b["h"][0]
+        for i in range(0, len(out), 512):
+            dist = sum((a["at"][i : i + 512, c][:, None] - b["at"][:, c][None]) ** 2 for c in range(d))
+            out[i : i + 512] = np.exp(-0.5 * dist / (width * width)).sum(1)
+        norm = (2 * np.pi) ** (d / 2) * width**d
+        cols = [pa.array([unit["unit"]] * len(out), arrow), pa.array(a["row"].astype(str).tolist()), pa.array(out / norm), pa.array([len(b["row"])] * len(out), pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["unit", "query", "s", "n"])
+
+    pairs = each_pair(blocked(asked, ["unit"], "row", ["at"]), blocked(points, ["unit"], "row", ["at", "h"], name="block_"), ["unit"], run, f"unit {kind}, query string, s double, n long")
+    return pairs.groupBy("unit", "query").agg((F.sum("s") / F.sum("n")).alias("density"))
+
+
+def suitability(rows: DataFrame, queries: DataFrame, axes: list[str]) -> DataFrame:
+    """(unit, query, p): density_at() over its sum in the unit, 0 where all is 0."""
+    total = F.sum("density").over(Window.partitionBy("unit"))
+    return density_at(rows, queries, axes).select("unit", "query", F.when(total > 0, F.col("density") / F.when(total > 0, total)).otherwise(0.0).alias("p"))

@@ -122,3 +122,13 @@ def inclusion_counts(schedule: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, n) over schedule(realization, members array<string>), zeros kept."""
     counts = schedule.select(F.explode("members").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return labels.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def seeded_split(labels: list[str], fraction: float, seed: int) -> tuple[list[str], list[str]]:
+    """(train, held): a random part of the sorted labels, of at least one and at most all but one, from a seeded generator on the driver."""
+    ordered = sorted(labels)
+    if len(set(ordered)) != len(ordered) or len(ordered) < 2 or not 0 < fraction < 1:
+        raise ValueError("two different labels or more, and a fraction between 0 and 1, are wanted")
+    n = min(len(ordered) - 1, max(1, round(fraction * len(ordered))))
+    chosen = set(np.random.default_rng(seed).permutation(len(ordered))[:n].tolist())
+    return [x for i, x in enumerate(ordered) if i not in chosen], [x for i, x in enumerate(ordered) if i in chosen]

@@ -13,10 +13,26 @@ def mask(sequence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(sequence), "[^ACGT]", "0"), "[ACGT]", "1")
 
 
-def ordered_digest(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """(by, sha256): digest of a group's values in order, a line each; a group is one file's headers or sequences."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    return rows.groupBy(*by).agg(F.sha2(F.concat(F.array_join(lines, "\n"), F.lit("\n")).cast("binary"), 256).alias("sha256"))
+def ordered_digest(rows: DataFrame, by: list[str], order: str, value: str, each: int = 1000) -> DataFrame:
+    """(by, sha256): digest of a group's values in their order by a whole number.
+
+    The values' own digests are joined by line feeds for every run of `each` numbers, and the digests of those runs
+    again, so that a group of any size comes to short texts: 64 characters for each run.
+    """
+    lines = rows.select(*by, F.floor(F.col(order) / each).alias("run_"), order, F.sha2(F.col(value).cast("binary"), 256).alias("digest_"))
+    joined = lambda at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "digest_"))), lambda x: x["digest_"]), "\n").cast("binary"), 256)
+    runs = lines.groupBy(*by, "run_").agg(joined(order).alias("digest_"))
+    return runs.groupBy(*by).agg(joined("run_").alias("sha256"))
+
+
+def fingerprint(records: DataFrame, unit: str = "unit", order: str = "i", places: str = "coords", decimals: int = 9) -> DataFrame:
+    """(units, records, sha256): digest of a sampling frame, of every unit's name, record numbers and places to so many decimals, whatever their order."""
+    scaled = F.transform(places, lambda x: F.round(x * 10**decimals).cast("long").cast("string"))
+    lines = records.select(unit, order, F.concat_ws("|", F.col(order).cast("string"), F.array_join(scaled, ",")).alias("line"))
+    units = ordered_digest(lines, [unit], order, "line").join(records.groupBy(unit).agg(F.count(F.lit(1)).alias("n")), unit)
+    line = F.concat_ws("|", F.col(unit).cast("string"), "sha256")
+    whole = F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256)  # a short line for each unit
+    return units.agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("records"), whole.alias("sha256"))
 
 
 def edge_sequence_distances(sequences: DataFrame, edges: DataFrame, least: int) -> DataFrame:

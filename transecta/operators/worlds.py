@@ -23,12 +23,15 @@ def seed_for(master: int, *parts) -> int:
 
 
 def circular_world(seed: int, units: int = 40, records: int = 60, shared: float = 0.5, amplitude: float = 2.0, noise: float = 0.8, width: float = 0.2) -> pd.DataFrame:
-    """Units on a circle whose trait steps at a front; a share of units has the common front, others one of their own."""
+    """Units on a circle whose trait steps at a front; a share of units, drawn at random, has the common front at phase 0, others one of their own anywhere on half the circle."""
+    if units < 4 or records < 8 or not 0 <= shared <= 1:
+        raise ValueError("four units of eight records or more, and a share between 0 and 1, are wanted")
     rng = np.random.default_rng(seed)
-    common, n_shared = rng.uniform(-np.pi, np.pi), int(round(shared * units))
+    common = set(rng.permutation(units)[: int(round(units * shared))].tolist())
+    private = rng.uniform(0, np.pi, units)
     rows = []
     for u in range(units):
-        front = common if u < n_shared else rng.uniform(-np.pi, np.pi)
+        front = 0.0 if u in common else private[u]
         angle = rng.uniform(-np.pi, np.pi, records)
         trait = amplitude * np.tanh(np.sin(angle - front) / width) + rng.normal(0, noise, records)
         rows += [(f"u{u:03d}", i, [float(np.cos(a)), float(np.sin(a))], float(t)) for i, (a, t) in enumerate(zip(angle, trait))]
@@ -132,3 +135,119 @@ def detectability(spark: SparkSession, effects: list[float], private: list[float
 
     found = cells.mapInPandas(run, "private_amplitude double, effect double, replicate int, reject boolean")
     return found.groupBy("private_amplitude", "effect").agg(F.count(F.lit(1)).alias("worlds"), F.count_if("reject").alias("rejections"))
+
+
+# ---- further generators: seed, units, records -> (unit, i, coords, trait) --------------------------
+
+
+def _frame(parts) -> pd.DataFrame:
+    return pd.concat([pd.DataFrame({"unit": f"u{u:03d}", "i": range(len(t)), "coords": c.tolist(), "trait": t}) for u, (c, t) in enumerate(parts)], ignore_index=True)
+
+
+def boundary_world(seed: int, units: int = 40, records: int = 60, shared: float = 1.0, amplitude: float = 2.0, noise: float = 0.8, width: float = 0.2, coords: list[np.ndarray] | None = None) -> pd.DataFrame:
+    """Units on given or uniform planar places, whose trait steps across a line that a share of units has in common."""
+    rng = np.random.default_rng(seed)
+    places = coords or [rng.uniform(-1, 1, (records, 2)) for _ in range(units)]
+    every = np.concatenate(places)
+    centre, scale = np.median(every, 0), np.maximum(every.std(0), 1e-12)
+    line = lambda: (lambda v, o: (v / np.linalg.norm(v), o))(rng.normal(size=2), rng.uniform(-0.5, 0.5))
+    common, members = line(), set(rng.permutation(len(places))[: round(shared * len(places))].tolist())
+    parts = []
+    for u, c in enumerate(places):
+        way, offset = common if u in members else line()
+        side = ((c - centre) / scale) @ way - offset
+        parts.append((c, amplitude * np.tanh(side / width) + rng.normal(0, noise, len(c))))
+    return _frame(parts)
+
+
+#: What a directional world's mismatch does along its orientation, and whether fronts are shared.
+DIRECTIONS = {
+    "none": (0, True), "breakdown": (1, True), "recoupling": (-1, True), "private_breakdown": (1, False), "private_recoupling": (-1, False), "mixed": (2, True), "private_mixed": (2, False),
+}
+
+
+def directional_world(seed: int, units: int = 40, records: int = 60, mode: str = "breakdown", low: float = 1.0, high: float = 3.0, noise: float = 0.25, width: float = 0.12) -> pd.DataFrame:
+    """Units along an oriented axis whose mismatch, the trait, passes from low to high at a front, or back, or either by unit."""
+    sign, shared = DIRECTIONS[mode]
+    rng = np.random.default_rng(seed)
+    common, parts = rng.uniform(-0.2, 0.2), []
+    for u in range(units):
+        front, way = common if shared else rng.uniform(-0.8, 0.8), (1 - 2 * (u % 2)) if sign == 2 else sign
+        g = np.sort(rng.uniform(-1, 1, records))
+        share = 0.5 * (1 + way * np.tanh((g - front) / width)) if way else np.full(records, 0.5)
+        parts.append((np.stack([g, rng.uniform(-0.1, 0.1, records)], 1), low + (high - low) * share + rng.normal(0, noise, records)))
+    return _frame(parts)
+
+
+def heterogeneous_world(seed: int, units: int = 40, records: int = 60, shared: float = 1.0, amplitude: float = 2.0) -> pd.DataFrame:
+    """Units of unequal size, place, spread, amplitude and noise, whose front is common to a share of them."""
+    rng = np.random.default_rng(seed)
+    members, parts = set(rng.permutation(units)[: round(shared * units)].tolist()), []
+    for u in range(units):
+        n = int(rng.integers(max(8, records // 3), 2 * records))
+        arc = rng.uniform(1.0, np.pi)
+        angle = rng.uniform(-np.pi, np.pi) + rng.uniform(-arc, arc, n)
+        front = 0.0 if u in members else rng.uniform(0, np.pi)
+        parts.append((np.stack([np.cos(angle), np.sin(angle)], 1), amplitude * rng.uniform(0.5, 1.5) * np.tanh(np.sin(angle - front) / rng.uniform(0.1, 0.4)) + rng.normal(0, rng.uniform(0.2, 1.0), n)))
+    return _frame(parts)
+
+
+#: Which of size, arc, amplitude, noise and width vary between units.
+FACTORS = ("size", "arc", "amplitude", "noise", "width")
+
+
+def factor_world(seed: int, units: int = 40, records: int = 60, vary: tuple[str, ...] = ("arc",), shared: float = 1.0) -> pd.DataFrame:
+    """A circular world in which the named factors vary between units and the others are those of a plain one."""
+    if set(vary) - set(FACTORS):
+        raise ValueError(f"factors are {FACTORS}")
+    rng = np.random.default_rng(seed)
+    members, parts = set(rng.permutation(units)[: round(shared * units)].tolist()), []
+    for u in range(units):
+        draw = dict(zip(FACTORS, rng.uniform(size=len(FACTORS))))  # drawn whether used or not, so that worlds differ by the factor alone
+        at = lambda f, plain, low, high, draw=draw: low + draw[f] * (high - low) if f in vary else plain
+        n, arc = int(at("size", records, max(8, records // 3), 2 * records)), at("arc", np.pi, 1.0, np.pi)
+        angle = rng.uniform(-arc, arc, n)
+        front = 0.0 if u in members else rng.uniform(0, np.pi)
+        trait = at("amplitude", 2.0, 1.0, 3.0) * np.tanh(np.sin(angle - front) / at("width", 0.2, 0.1, 0.4)) + rng.normal(0, at("noise", 0.8, 0.2, 1.2), n)
+        parts.append((np.stack([np.cos(angle), np.sin(angle)], 1), trait))
+    return _frame(parts)
+
+
+def grouped_world(seed: int, units: int = 40, records: int = 60, groups: int = 4, amplitude: float = 2.0, private: float = 0.0) -> pd.DataFrame:
+    """Units in groups with a front for each group, moved for each unit by as much as `private` of half the circle."""
+    rng = np.random.default_rng(seed)
+    fronts, parts = rng.uniform(0, np.pi, groups), []
+    for u in range(units):
+        angle = rng.uniform(-np.pi, np.pi, records)
+        front = fronts[u % groups] + private * rng.uniform(-np.pi / 2, np.pi / 2)
+        parts.append((np.stack([np.cos(angle), np.sin(angle)], 1), amplitude * np.tanh(np.sin(angle - front) / 0.2) + rng.normal(0, 0.8, records)))
+    return _frame(parts)
+
+
+def identical_circle(seed: int, units: int = 40, records: int = 60) -> pd.DataFrame:
+    """The negative control: every unit on the same evenly spaced circle, turned once, without any trait."""
+    turn = np.random.default_rng(seed).uniform(0, 2 * np.pi)
+    angle = turn + np.linspace(0, 2 * np.pi, records, endpoint=False)
+    c = np.stack([np.cos(angle), np.sin(angle)], 1)
+    return _frame([(c, np.zeros(records))] * units)
+
+
+GENERATORS = {
+    "circular": circular_world, "boundary": boundary_world, "directional": directional_world, "heterogeneous": heterogeneous_world, "factor": factor_world, "grouped": grouped_world, "identical": identical_circle,
+}
+
+
+def generated(spark: SparkSession, plan: list[tuple[str, int]], master: int, units: int = 40, records: int = 60) -> DataFrame:
+    """(generator, world, unit, i, coords, trait) of so many worlds of each named generator, drawn in parallel."""
+    table = [(name, k) for name, n in plan for k in range(n)]
+    cells = spark.createDataFrame(table, "generator string, world int").repartition(max(1, len(table)), "generator", "world")
+
+    def run(frames):
+        for pdf in frames:
+            for c in pdf.itertuples():
+                out = GENERATORS[c.generator](seed_for(master, c.generator, c.world), units, records)
+                out.insert(0, "world", c.world)
+                out.insert(0, "generator", c.generator)
+                yield out
+
+    return cells.mapInPandas(run, "generator string, world int, unit string, i long, coords array<double>, trait double")

@@ -22,6 +22,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("coords", F.array("x", "y"))
 
 
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records() with two states, the value and the number in props over 100, and the time as orientation."""
+    rows = records(spark, sf_dir)
+    return rows.withColumns({"state_a": F.array("y"), "state_b": F.array(F.col("trait") / F.lit(100.0)), "orientation": F.col("x")})
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as units, embeddings as records: two dimensions as place, the next eight as trait."""
     e = F.transform(F.col("embedding"), lambda v: v.cast("double"))
@@ -87,3 +93,48 @@ def sql_spearman(source: str, x: str, y: str, by: str = "unit", out: str = "rho"
 FROM (SELECT {by}, count(*) AS n, sum(u * u) AS xx, sum(v * v) AS yy, sum(u * v) AS xy FROM (
   SELECT {by}, {sql_rank(x, by)} - (count(*) OVER (PARTITION BY {by}) + 1) / CAST(2 AS DOUBLE) AS u,
          {sql_rank(y, by)} - (count(*) OVER (PARTITION BY {by}) + 1) / CAST(2 AS DOUBLE) AS v FROM {source}) GROUP BY {by})"""
+
+
+HALF = "CAST(0.5 AS DOUBLE)"
+KERNEL = "exp(-0.5 * ((px - mx) * (px - mx) + (py - my) * (py - my)) / CAST(0.0625 AS DOUBLE))"
+ROLES = """roles AS (
+  SELECT unit, CASE WHEN row_number() OVER (ORDER BY sha256('split|' || unit), unit) <= floor(count(*) OVER () * 0.5) THEN 'train' ELSE 'held' END AS role
+  FROM (SELECT DISTINCT unit FROM records))"""
+
+
+def sql_points(source: str = "edge_table e JOIN roles r ON e.unit = r.unit AND role = 'held'", more: str = "") -> str:
+    """points(unit, a, b, p, px, py): five on each edge."""
+    return f"""points AS (SELECT e.unit, a, b, p{more}, ax + (p + {HALF}) / 5 * (bx - ax) AS px, ay + (p + {HALF}) / 5 * (by_ - ay) AS py
+  FROM {source} CROSS JOIN generate_series(0, 4) AS g(p))"""
+
+
+#: train(unit, mx, my, turnover, ..., w) of the training units' edges.
+TRAIN = "train AS (SELECT e.*, 1 / CAST(count(*) OVER (PARTITION BY e.unit) AS DOUBLE) AS w FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'train')"
+#: The same with turnover made orthogonal to length: free with the spread of untied ranks, loose as it is.
+FREE = f"""tr AS (SELECT e.*, count(*) OVER (PARTITION BY e.unit) AS n FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'train'),
+tc AS (SELECT *, ({sql_rank('turnover', 'unit')} - (n + 1) / CAST(2 AS DOUBLE)) AS ct, ({sql_rank('length', 'unit')} - (n + 1) / CAST(2 AS DOUBLE)) AS cz FROM tr),
+tl AS (SELECT *, (ct - coalesce(sum(ct * cz) OVER (PARTITION BY unit) / nullif(sum(cz * cz) OVER (PARTITION BY unit), 0), 0) * cz) / n AS loose FROM tc),
+train AS (SELECT unit, a, b, mx, my, turnover, 1 / CAST(n AS DOUBLE) AS w, loose,
+  CASE WHEN stddev_pop(loose) OVER (PARTITION BY unit) > 1e-12 THEN loose * sqrt((n * n - 1) / (CAST(12 AS DOUBLE) * n * n)) / stddev_pop(loose) OVER (PARTITION BY unit) ELSE 0 END AS free FROM tl)"""
+
+
+def sql_fields(values: dict[str, tuple[str, float]], pairs: str = "points q CROSS JOIN train t", keys: str = "", weight: str = "w") -> str:
+    """sums, exposed(unit, a, b, one column for each value) and scored with turnover: fields of (column, prior mass) at the points.
+
+    keys: further columns of the pairs that sums are kept apart by.
+    """
+    tops = ", ".join(f"sum({weight} * {KERNEL} * t.{column}) AS top_{name}" for name, (column, _) in values.items())
+    means = ", ".join(f"round(avg((top_{name} + CAST({prior} AS DOUBLE)) / (low + CAST(0.25 AS DOUBLE))), 12) AS {name}" for name, (_, prior) in values.items())
+    return f"""sums AS (SELECT q.unit, q.a, q.b, q.p{keys}, {tops}, sum({weight} * {KERNEL}) AS low FROM {pairs} GROUP BY ALL),
+exposed AS (SELECT unit, a, b{keys.replace('t.', '').replace('unit AS ', '')}, {means} FROM sums GROUP BY ALL),
+scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e.unit AND x.a = e.a AND x.b = e.b)"""
+
+
+def sql_projected(source: str, value: str, controls: list[str], keys: str) -> str:
+    """CTEs after which projected(keys, v) is value less its projection on the controls, one after another made orthogonal; all are centred columns of source."""
+    names = [f"c{i}" for i in range(len(controls))]
+    out = [f"g0 AS (SELECT {keys}, {value} AS v{''.join(f', {c} AS {n}' for c, n in zip(controls, names))} FROM {source})"]
+    for i, n in enumerate(names):
+        less = lambda c, n=n: f"{c} - sum({c} * {n}) OVER () / sum({n} * {n}) OVER () * {n} AS {c}"
+        out.append(f"g{i + 1} AS (SELECT {keys}, {', '.join(map(less, ['v', *names[i + 1 :]]))} FROM g{i})")
+    return ",\n".join([*out, f"projected AS (SELECT {keys}, v FROM g{len(names)})"])

@@ -11,7 +11,7 @@ from ..functions import ranks, scalars
 from ..operators import diagnostics, dyadic, field, graph, inference, joins, niche, panels, residual, sequence, worlds
 from ..sources.readers import genbank_records
 from . import inputs
-from .inputs import DYADS, EDGES, RECORDS, VECTORS, sql_edge_table, sql_near, sql_rank, sql_spearman, table
+from .inputs import DYADS, EDGES, FREE, HALF, KERNEL, RECORDS, ROLES, TRAIN, VECTORS, sql_edge_table, sql_fields, sql_near, sql_points, sql_rank, sql_spearman, table
 from .transfer import TransferPlan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,17 +32,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-HALF = "CAST(0.5 AS DOUBLE)"
-ROLES = """roles AS (
-  SELECT unit, CASE WHEN row_number() OVER (ORDER BY sha256('split|' || unit), unit) <= floor(count(*) OVER () * 0.5) THEN 'train' ELSE 'held' END AS role
-  FROM (SELECT DISTINCT unit FROM records))"""
-SCORES = f"""train AS (SELECT e.*, 1 / CAST(count(*) OVER (PARTITION BY e.unit) AS DOUBLE) AS w FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'train'),
-points AS (SELECT e.unit, a, b, p, ax + (p + {HALF}) / 5 * (bx - ax) AS px, ay + (p + {HALF}) / 5 * (by_ - ay) AS py
-  FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'held' CROSS JOIN generate_series(0, 4) AS g(p)),
-sums AS (SELECT q.unit, q.a, q.b, q.p, sum(w * exp(-0.5 * ((px - mx) * (px - mx) + (py - my) * (py - my)) / CAST(0.0625 AS DOUBLE)) * turnover) AS top,
-  sum(w * exp(-0.5 * ((px - mx) * (px - mx) + (py - my) * (py - my)) / CAST(0.0625 AS DOUBLE))) AS low FROM points q CROSS JOIN train t GROUP BY ALL),
-exposed AS (SELECT s.unit, s.a, s.b, round(avg((top + CAST(0.125 AS DOUBLE)) / (low + CAST(0.25 AS DOUBLE))), 12) AS exposure FROM sums s GROUP BY ALL),
-scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e.unit AND x.a = e.a AND x.b = e.b)"""
+SCORES = f"{TRAIN},\n{sql_points()},\n{sql_fields({'exposure': ('turnover', 0.125)})}"
 
 
 # ---- ranks -------------------------------------------------------------------------------------
@@ -76,7 +66,13 @@ def partial_spearman_by_unit(spark, sf):
     return rounded(ranks.partial_spearman(inputs.records(spark, sf), "y", "trait", ["x"], ["unit"]), "rho")
 
 
-@query()
+@query(
+    f"""WITH {RECORDS}, c AS (SELECT unit, {sql_rank('y', 'unit')} - (count(*) OVER (PARTITION BY unit) + 1) / CAST(2 AS DOUBLE) AS p, {sql_rank('trait', 'unit')} - (count(*) OVER (PARTITION BY unit) + 1) / CAST(2 AS DOUBLE) AS t,
+  {sql_rank('x', 'unit')} - (count(*) OVER (PARTITION BY unit) + 1) / CAST(2 AS DOUBLE) AS x, {sql_rank('(x * y)', 'unit')} - (count(*) OVER (PARTITION BY unit) + 1) / CAST(2 AS DOUBLE) AS z FROM records),
+q AS (SELECT *, z - sum(x * z) OVER (PARTITION BY unit) / sum(x * x) OVER (PARTITION BY unit) * x AS q FROM c),
+m AS (SELECT unit, count(*) AS n, sum(p * p) AS pp, sum(t * t) AS tt, sum(x * x) AS xx, sum(q * q) AS qq, sum(p * t) AS pt, sum(p * x) AS px, sum(t * x) AS tx, sum(p * q) AS pq, sum(t * q) AS tq FROM q GROUP BY unit)
+SELECT unit, n, round((pt - px * tx / xx - pq * tq / qq) / sqrt((pp - px * px / xx - pq * pq / qq) * (tt - tx * tx / xx - tq * tq / qq)), 6) AS rho FROM m"""
+)
 def partial_spearman_two_controls(spark, sf):
     rows = inputs.records(spark, sf).withColumn("z", F.col("x") * F.col("y"))
     return rounded(ranks.partial_spearman(rows, "y", "trait", ["x", "z"], ["unit"]), "rho")
@@ -130,24 +126,28 @@ def endpoint_disjoint_counts(spark, sf):
     return graph.disjoint_counts(graph.knn_edges(inputs.records(spark, sf)).select("unit", "a", "b"))
 
 
-@query(
-    f"""WITH {EDGES}, numbered AS (SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY a, b) - 1 AS i, mx, my, turnover FROM edge_table),
+COHERENCE = f"""WITH {EDGES}, numbered AS (SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY a, b) - 1 AS i, mx, my, turnover FROM edge_table),
 mid_near AS (SELECT unit, i, j, z FROM (SELECT l.unit, l.i, r.i AS j, r.turnover AS z,
   row_number() OVER (PARTITION BY l.unit, l.i ORDER BY sqrt((l.mx - r.mx) * (l.mx - r.mx) + (l.my - r.my) * (l.my - r.my)), r.i) AS place
   FROM numbered l JOIN numbered r ON l.unit = r.unit AND l.i <> r.i) WHERE place <= 4),
 both_ AS (SELECT n.unit, n.turnover AS y, avg(z) AS z FROM numbered n JOIN mid_near m ON n.unit = m.unit AND n.i = m.i GROUP BY n.unit, n.i, n.turnover),
 c AS (SELECT unit, y - avg(y) OVER (PARTITION BY unit) AS u, z - avg(z) OVER (PARTITION BY unit) AS v FROM both_)
 SELECT unit, count(*) AS n, round(sum(u * v) / sqrt(sum(u * u) * sum(v * v)), 6) AS coherence FROM c GROUP BY unit"""
-)
+
+
+@query(COHERENCE)
 def midpoint_coherence(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows)).persist()), "coherence")
+    return rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows))), "coherence")
 
 
-@query()
+@query(
+    f"SELECT round(avg(coherence), 6) AS strength, count(*) AS units FROM ({COHERENCE})"
+)
 def training_strength(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows))).agg(F.avg("coherence").alias("strength"), F.count(F.lit(1)).alias("units")), "strength")
+    found = rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows))), "coherence")
+    return rounded(found.agg(F.avg("coherence").alias("strength"), F.count(F.lit(1)).alias("units")), "strength")
 
 
 # ---- fields ------------------------------------------------------------------------------------
@@ -183,7 +183,9 @@ def length_orthogonalized_turnover(spark, sf):
     return rounded(ranks.length_orthogonalized(edges, "turnover", "length", ["unit"], "free"), "free").select("unit", "a", "b", "free")
 
 
-@query()
+@query(
+    f"WITH {EDGES}, {ROLES}, {FREE}, {sql_points()}, {sql_fields({'exposure': ('free', 0.0)})} {sql_spearman('scored', 'exposure', 'turnover', out='score')}"
+)
 def length_conditioned_scores(spark, sf):
     return rounded(TransferPlan().length_conditioned_scores(_edges(spark, sf)), "score")
 
@@ -193,7 +195,13 @@ def transfer_test(spark, sf):
     return rounded(TransferPlan().test(inputs.records(spark, sf)), "mean", "t", "p")
 
 
-@query()
+@query(
+    f"""WITH {EDGES}, {ROLES}, {TRAIN}, held AS (SELECT e.* FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'held'), {sql_points()},
+covered AS (SELECT h.unit AS target, t.unit AS source, count(DISTINCT h.a || '|' || h.b) AS n FROM held h JOIN train t ON (h.mx - t.mx) * (h.mx - t.mx) + (h.my - t.my) * (h.my - t.my) <= CAST(0.05 AS DOUBLE) * CAST(0.05 AS DOUBLE) GROUP BY 1, 2),
+enough AS (SELECT c.*, count(*) OVER (PARTITION BY target) AS n_pool FROM covered c JOIN (SELECT unit AS target, count(*) AS m FROM held GROUP BY 1) USING (target) WHERE n / CAST(m AS DOUBLE) >= 0.5),
+pool AS (SELECT target, source, (SELECT count(DISTINCT unit) FROM train) / CAST(n_pool AS DOUBLE) AS scale FROM enough WHERE n_pool >= 5),
+{sql_fields({'exposure': ('turnover', 0.125)}, 'points q JOIN pool o ON q.unit = o.target JOIN train t ON t.unit = o.source', weight='scale * w')} {sql_spearman('scored', 'exposure', 'turnover', out='score')}"""
+)
 def pooled_transfer_scores(spark, sf):
     train, held = _roles(_edges(spark, sf))
     middle = lambda e: e.select("unit", F.concat_ws("|", "unit", "a", "b").alias("i"), F.col("mid")[0].alias("x"), F.col("mid")[1].alias("y"))
@@ -201,18 +209,28 @@ def pooled_transfer_scores(spark, sf):
     return rounded(field.pooled_transfer_scores(train, held, pool, 0.25), "score")
 
 
-@query()
+@query(
+    f"WITH {EDGES}, {ROLES}, {TRAIN}, {sql_points()}, {sql_fields({'exposure': ('turnover', 0.0)}, keys=', t.unit AS source')}, named AS (SELECT * REPLACE (CAST(source AS VARCHAR) AS source) FROM scored) {sql_spearman('named', 'exposure', 'turnover', by='unit, source', out='score')}"
+)
 def pair_transfer_scores(spark, sf):
     train, held = _roles(_edges(spark, sf))
     return rounded(field.pair_scores(train, held, 0.25), "score")
 
 
-@query()
+@query(
+    f"""WITH {EDGES}, {ROLES}, {TRAIN}, {sql_points()}, s AS (SELECT q.unit, q.a, q.b, q.p, t.unit AS source, sum(w * {KERNEL}) AS low FROM points q CROSS JOIN train t GROUP BY ALL),
+h AS (SELECT source, CASE WHEN sum(low) OVER (PARTITION BY unit, a, b, p) > 0 THEN low / sum(low) OVER (PARTITION BY unit, a, b, p) ELSE 0 END AS share FROM s)
+SELECT CAST(source AS VARCHAR) AS source, round(avg(share), 6) AS mean_share, round(max(share), 6) AS max_share FROM h GROUP BY 1"""
+)
 def training_leverage(spark, sf):
     return rounded(field.training_leverage(*_roles(_edges(spark, sf)), 0.25), "mean_share", "max_share")
 
 
-@query()
+@query(
+    f"""WITH {EDGES}, {ROLES}, {TRAIN}, {sql_points()}, s AS (SELECT q.unit, q.a, q.b, q.p, t.unit AS source, sum(w * {KERNEL}) AS low FROM points q CROSS JOIN train t GROUP BY ALL),
+m AS (SELECT unit, a, b, p, sum(low) AS mass, sum(low * low) AS squares FROM s GROUP BY ALL)
+SELECT unit, round(avg(mass), 6) AS mean_opportunity, round(avg(CASE WHEN squares > 0 THEN mass * mass / squares ELSE 0 END), 6) AS effective_sources FROM m GROUP BY unit"""
+)
 def support_overlap(spark, sf):
     return rounded(field.support_overlap(*_roles(_edges(spark, sf)), 0.25), "mean_opportunity", "effective_sources")
 
@@ -232,7 +250,7 @@ SELECT unit, a, b, n AS n_training, round(observed, 6) AS observed, round(expect
 @query(_residual_sql())
 def crossfit_residuals(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows)).persist()
+    edges = graph.edge_table(rows, graph.knn_edges(rows))
     return rounded(residual.crossfit_residuals(edges, "length", "difference").drop("turnover"), "observed", "expected", "residual")
 
 
@@ -247,26 +265,37 @@ scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e
 @query(f"WITH {EDGES}, {SELF} {sql_spearman('scored', 'exposure', 'turnover', out='score')}")
 def self_detectability(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(diagnostics.self_scores(graph.edge_table(rows, graph.knn_edges(rows)).persist(), 0.25), "score")
+    return rounded(diagnostics.self_scores(graph.edge_table(rows, graph.knn_edges(rows)), 0.25), "score")
 
 
-@query()
+@query(
+    f"""WITH {EDGES}, {ROLES}, second AS (SELECT e.unit, e.a, e.b, l.trait * l.trait + r.trait AS difference FROM edges e JOIN records l ON e.unit = l.unit AND e.a = l.i JOIN records r ON e.unit = r.unit AND e.b = r.i),
+other AS (SELECT unit, a, b, ({sql_rank('difference', 'unit')} - {HALF}) / count(*) OVER (PARTITION BY unit) AS t1 FROM second),
+train AS (SELECT e.*, t1, 1 / CAST(count(*) OVER (PARTITION BY e.unit) AS DOUBLE) AS w FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'train' JOIN other o ON e.unit = o.unit AND e.a = o.a AND e.b = o.b),
+{sql_points()}, {sql_fields({'x0': ('turnover', 0.125), 'x1': ('t1', 0.125)})},
+long AS (SELECT 0 AS world, unit, x0 AS exposure, turnover FROM scored UNION ALL SELECT 1, s.unit, x1, t1 FROM scored s JOIN other o ON s.unit = o.unit AND s.a = o.a AND s.b = o.b)
+{sql_spearman('long', 'exposure', 'turnover', by='world, unit', out='score')}"""
+)
 def response_world_scores(spark, sf):
     rows = inputs.records(spark, sf)
     plan = TransferPlan()
     roles = panels.half_split(rows.select("unit").distinct(), plan.tag).select("unit", "role")
     edges = graph.knn_edges(rows)
     made = [graph.edge_table(rows, edges, difference=d).withColumnRenamed("turnover", f"t{k}") for k, d in enumerate((F.abs(F.col("l.trait") - F.col("r.trait")), F.pow(F.col("l.trait"), 2) + F.col("r.trait")))]
-    both = made[0].join(made[1].select("unit", "a", "b", "t1"), ["unit", "a", "b"]).withColumn("turnover", F.array("t0", "t1")).join(roles, "unit").persist()
+    both = made[0].join(made[1].select("unit", "a", "b", "t1"), ["unit", "a", "b"]).withColumn("turnover", F.array("t0", "t1")).join(roles, "unit")
     train, held = _roles(both)
     return rounded(diagnostics.world_scores(train, held, plan.bandwidth), "score")
 
 
-@query()
+@query(
+    f"""WITH {EDGES}, {ROLES}, {FREE}, {sql_points()}, {sql_fields({'x0': ('turnover', 0.125), 'x1': ('free', 0.0)})},
+base AS ({sql_spearman('scored', 'x0', 'turnover', out='score')}), other AS ({sql_spearman('scored', 'x1', 'turnover', out='score')})
+SELECT unit, round(other.score - base.score, 6) AS increment FROM base JOIN other USING (unit)"""
+)
 def conditioning_increments(spark, sf):
     edges = _edges(spark, sf)
     plan = TransferPlan()
-    return rounded(diagnostics.increments(plan.scores(edges), plan.length_conditioned_scores(edges), ["unit"]), "increment")
+    return rounded(diagnostics.increments(rounded(plan.scores(edges), "score"), rounded(plan.length_conditioned_scores(edges), "score"), ["unit"]), "increment")
 
 
 @query(
@@ -276,11 +305,17 @@ SELECT unit, count(*) AS edges, round(sum(w) * sum(w) / sum(w * w), 6) AS effect
 )
 def transport_effective_edges(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows)).persist()
+    edges = graph.edge_table(rows, graph.knn_edges(rows))
     return rounded(diagnostics.effective_edges(diagnostics.transport_weights(edges, edges, 0.25, "self")), "effective")
 
 
-@query()
+@query(
+    f"""WITH {EDGES}, {ROLES}, {TRAIN}, held AS (SELECT e.*, 1 / CAST(count(*) OVER (PARTITION BY e.unit) AS DOUBLE) AS w FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'held'),
+t AS (SELECT q.unit, q.a, q.b, sum(s.w * exp(-0.5 * ((q.mx - s.mx) * (q.mx - s.mx) + (q.my - s.my) * (q.my - s.my)) / CAST(0.0625 AS DOUBLE))) AS t FROM train q CROSS JOIN train s GROUP BY ALL),
+h AS (SELECT q.unit, q.a, q.b, sum(s.w * exp(-0.5 * ((q.mx - s.mx) * (q.mx - s.mx) + (q.my - s.my) * (q.my - s.my)) / CAST(0.0625 AS DOUBLE))) AS h FROM train q CROSS JOIN held s GROUP BY ALL),
+w AS (SELECT unit, h / t / sum(h / t) OVER (PARTITION BY unit) AS w FROM t JOIN h USING (unit, a, b))
+SELECT unit, count(*) AS edges, round(sum(w) * sum(w) / sum(w * w), 6) AS effective FROM w GROUP BY unit"""
+)
 def transport_target_ratio(spark, sf):
     train, held = _roles(_edges(spark, sf))
     return rounded(diagnostics.effective_edges(diagnostics.transport_weights(train, held, 0.25, "ratio")), "effective")
@@ -398,9 +433,10 @@ def shard_audit(spark, sf):
     return joins.shard_audit(table(spark, sf, "events"), "user_id", "event_type", 5)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def missing_partners(spark, sf):
-    return joins.missing(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    large = table(spark, sf, "orders").where("o_totalprice > 300000")
+    return joins.missing(table(spark, sf, "customer").select("c_custkey"), large.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -412,7 +448,14 @@ def checked_merge(spark, sf):
     return joins.checked_merge(suppliers.select("s_suppkey"), one, ["s_suppkey"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DYADS}, costs AS (SELECT l.source AS target, l.target AS l, r.target AS r, round(abs(l.q - r.q), 9) AS cost FROM dyads l JOIN dyads r ON l.source = r.source AND l.target % 2 = 0 AND r.target % 2 = 1 WHERE round(abs(l.q - r.q), 9) <= 2),
+options AS (SELECT target, l, list({{'r': r, 'cost': cost}} ORDER BY cost, r) AS found, row_number() OVER (PARTITION BY target ORDER BY count(*), l) AS k FROM costs GROUP BY target, l),
+steps AS (SELECT DISTINCT target, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS l, CAST(NULL AS STRUCT(r BIGINT, cost DOUBLE)) AS pick FROM options
+  UNION ALL SELECT s.target, o.k, CASE WHEN len(list_filter(o.found, lambda x: NOT list_contains(s.taken, x.r))) > 0 THEN list_append(s.taken, list_filter(o.found, lambda x: NOT list_contains(s.taken, x.r))[1].r) ELSE s.taken END,
+    o.l, list_filter(o.found, lambda x: NOT list_contains(s.taken, x.r))[1] FROM steps s JOIN options o ON s.target = o.target AND o.k = s.k + 1)
+SELECT target, l AS "left", pick.r AS "right", pick.cost AS cost FROM steps WHERE pick IS NOT NULL"""
+)
 def greedy_matching(spark, sf):
     d = inputs.dyads(spark, sf)
     left = d.select(F.col("source").alias("target"), F.col("target").alias("left"), "q").where("left % 2 = 0")
@@ -474,10 +517,18 @@ def inclusion_counts(spark, sf):
     return panels.inclusion_counts(schedule, n.select(F.col("n_name").alias("label")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RECORDS}, places AS (SELECT unit, i, x * 4 AS lat, y * 4 AS lon, row_number() OVER (PARTITION BY unit ORDER BY sha256('places|' || unit || '|' || i), i) AS k FROM records),
+steps AS (SELECT DISTINCT unit, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(i BIGINT, lat DOUBLE, lon DOUBLE)[]) AS taken FROM places
+  UNION ALL SELECT s.unit, p.k, CASE WHEN len(s.taken) >= 50 OR len(list_filter(s.taken, lambda t: 2 * 6371.0088 * asin(least(1, sqrt(power(sin((radians(t.lat) - radians(p.lat)) / 2), 2) + cos(radians(t.lat)) * cos(radians(p.lat)) * power(sin((radians(t.lon) - radians(p.lon)) / 2), 2)))) < 10)) > 0
+    THEN s.taken ELSE list_append(s.taken, {{'i': CAST(p.i AS BIGINT), 'lat': p.lat, 'lon': p.lon}}) END FROM steps s JOIN places p ON s.unit = p.unit AND p.k = s.k + 1),
+last AS (SELECT unit, arg_max(taken, k) AS taken FROM steps GROUP BY unit)
+SELECT unit, t.i AS "key", round(t.lat, 9) AS lat, round(t.lon, 9) AS lon, n - 1 AS "rank" FROM (SELECT unit, unnest(taken) AS t, generate_subscripts(taken, 1) AS n FROM last)"""
+)
 def spatial_thinning(spark, sf):
     r = inputs.records(spark, sf)
-    return panels.thinned(r.select("unit", F.col("i").alias("key"), (F.col("x") * 4).alias("lat"), (F.col("y") * 4).alias("lon")), "places", 10.0, 50)
+    found = panels.thinned(r.select("unit", F.col("i").alias("key"), (F.col("x") * 4).alias("lat"), (F.col("y") * 4).alias("lon")), "places", 10.0, 50)
+    return rounded(found, "lat", "lon", digits=9)
 
 
 # ---- inference ---------------------------------------------------------------------------------
@@ -558,11 +609,16 @@ def bootstrap_tests(spark, sf):
     return rounded(inference.bootstrap_test(scores, "rho", ["grp"]), "mean", "t", "p")
 
 
-@query()
+@query(
+    f"""WITH {RECORDS}, w AS (SELECT replicate, unit, i, y, trait, row_number() OVER (PARTITION BY replicate, unit ORDER BY i) AS at_, row_number() OVER (PARTITION BY replicate, unit ORDER BY sha256('permute|0|' || replicate || '|' || i), i) AS from_ FROM records CROSS JOIN generate_series(0, 8) AS g(replicate)),
+moved AS (SELECT p.replicate, p.unit, p.y, m.trait FROM w p JOIN w m ON p.replicate = m.replicate AND p.unit = m.unit AND p.at_ = m.from_)
+SELECT replicate, round(avg(rho), 5) AS mean_rho FROM ({sql_spearman('moved', 'y', 'trait', by='replicate, unit')}) GROUP BY replicate"""
+)
 def permutation_null(spark, sf):
     rows = inputs.records(spark, sf).select("unit", "i", "y", "trait")
     shuffled = inference.permuted(rows, 9, ["unit"], "trait")
-    return rounded(ranks.spearman(shuffled, "y", "trait", ["replicate", "unit"]).groupBy("replicate").agg(F.avg("rho").alias("mean_rho")), "mean_rho")
+    found = rounded(ranks.spearman(shuffled, "y", "trait", ["replicate", "unit"]), "rho")
+    return rounded(found.groupBy("replicate").agg(F.avg("rho").alias("mean_rho")), "mean_rho", digits=5)
 
 
 @query()
@@ -599,9 +655,17 @@ def clustered_dyad_test(spark, sf):
     return found.select(F.round("coefficient", 6).alias("coefficient"), F.round("standard_error", 6).alias("standard_error"), F.round("z", 5).alias("z"))
 
 
-@query()
+@query(
+    f"""WITH {DYADS}, {ABSORBED}, g AS (SELECT sum(q * q) AS qq, sum(q * d) AS qd, sum(d * d) AS dd, sum(q * p) AS qp, sum(d * p) AS dp FROM absorbed),
+fit AS (SELECT dd / (qq * dd - qd * qd) AS b11, -qd / (qq * dd - qd * qd) AS b12, qq / (qq * dd - qd * qd) AS b22, qp, dp FROM g), beta AS (SELECT b11, b12, b11 * qp + b12 * dp AS b1, b12 * qp + b22 * dp AS b2 FROM fit),
+h AS (SELECT source, target, (b11 * q + b12 * d) * (p - b1 * q - b2 * d) AS h FROM absorbed, beta), k AS (SELECT count(*) AS n FROM h),
+v AS (SELECT (SELECT count(*) / CAST(count(*) - 1 AS DOUBLE) * sum(s * s) FROM (SELECT sum(h) AS s FROM h GROUP BY source)) * (n - 1) / (n - 2) + (SELECT count(*) / CAST(count(*) - 1 AS DOUBLE) * sum(s * s) FROM (SELECT sum(h) AS s FROM h GROUP BY target)) * (n - 1) / (n - 2)
+  - (SELECT sum(h * h) FROM h) * n / (n - 2) AS v FROM k)
+SELECT round(b1, 6) AS coefficient, round(sqrt(v), 6) AS standard_error, round(b1 / sqrt(v), 5) AS z FROM beta, v"""
+)
 def clustered_dyad_test_with_controls(spark, sf):
-    return rounded(dyadic.clustered_test(inputs.dyads(spark, sf), "p", ["q", "d"]), "coefficient", "standard_error", "z", "p")
+    found = dyadic.clustered_test(inputs.dyads(spark, sf), "p", ["q", "d"])
+    return found.select(F.round("coefficient", 6).alias("coefficient"), F.round("standard_error", 6).alias("standard_error"), F.round("z", 5).alias("z"))
 
 
 @query(
@@ -638,18 +702,23 @@ def repeatability(spark, sf):
     return rounded(found, "icc", "between_", "within_", "median_sd")
 
 
-@query()
+@query(
+    f"""WITH {EDGES}, {ROLES}, {TRAIN}, held AS (SELECT e.* FROM edge_table e JOIN roles r ON e.unit = r.unit AND role = 'held'),
+m AS (SELECT sum(w) AS sw, sum(w * turnover) / sum(w) AS y0, sum(w * mx) / sum(w) AS x0, sum(w * my) / sum(w) AS z0, sum(w * length) / sum(w) AS l0, sqrt(sum(w * mx * mx) / sum(w) - power(sum(w * mx) / sum(w), 2)) AS sx,
+  sqrt(sum(w * my * my) / sum(w) - power(sum(w * my) / sum(w), 2)) AS sz, sqrt(sum(w * length * length) / sum(w) - power(sum(w * length) / sum(w), 2)) AS sl FROM train),
+c AS (SELECT w, turnover - y0 AS y, (mx - x0) / sx AS x, (my - z0) / sz AS z, (length - l0) / sl AS l FROM train, m),
+g AS (SELECT sum(w * x * x) + 1 AS xx, sum(w * x * z) AS xz, sum(w * z * z) + 1 AS zz, sum(w * x * y) AS xy, sum(w * z * y) AS zy, sum(w * l * y) / (sum(w * l * l) + 1) AS bl FROM c),
+b AS (SELECT (zz * xy - xz * zy) / (xx * zz - xz * xz) AS kx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS kz, bl FROM g),
+f AS (SELECT unit, turnover, round(y0 + kx * (mx - x0) / sx + kz * (my - z0) / sz, 12) AS by_place, round(y0 + bl * (length - l0) / sl, 12) AS by_length FROM held, m, b),
+one AS ({sql_spearman('f', 'by_place', 'turnover', out='place')}), two AS ({sql_spearman('f', 'by_length', 'turnover', out='length')})
+SELECT unit, place, two.length, round(place - two.length, 6) AS increment FROM one JOIN two USING (unit)"""
+)
 def ridge_predictor_transfer(spark, sf):
     rows = inputs.records(spark, sf)
     edges = graph.edge_table(rows, graph.knn_edges(rows)).select("unit", "a", "b", "length", F.col("mid")[0].alias("mx"), F.col("mid")[1].alias("my"), "turnover")
     roles = panels.half_split(rows.select("unit").distinct(), "split").select("unit", "role")
-    train, held = _roles(edges.join(roles, "unit"))
-    out = None
-    for name, space in {"place": ["mx", "my"], "length": ["length"]}.items():
-        fitted = dyadic.predicted(held, dyadic.ridge(train, "turnover", space)).withColumn("prediction", F.round("prediction", 12))
-        one = ranks.spearman(fitted, "prediction", "turnover", ["unit"], name).drop("n")
-        out = one if out is None else out.join(one, "unit")
-    return rounded(out.withColumn("increment", F.col("place") - F.col("length")), "place", "length", "increment")
+    out = rounded(dyadic.competing_spaces(*_roles(edges.join(roles, "unit")), "turnover", {"place": ["mx", "my"], "length": ["length"]}), "place", "length")
+    return rounded(out.withColumn("increment", F.col("place") - F.col("length")), "increment")
 
 
 # ---- niches ------------------------------------------------------------------------------------
@@ -763,7 +832,10 @@ def masked_sequence_distances(spark, sf):
     return rounded(sequence.edge_sequence_distances(rows, edges, 32), "distance", digits=8)
 
 
-@query("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS sha256 FROM documents GROUP BY source")
+@query(
+    """WITH l AS (SELECT source, doc_id, floor(doc_id / CAST(1000 AS DOUBLE)) AS run, sha256(CAST(doc_id AS VARCHAR) || ':' || coalesce(text, '')) AS d FROM documents),
+r AS (SELECT source, run, sha256(string_agg(d, chr(10) ORDER BY doc_id)) AS d FROM l GROUP BY 1, 2) SELECT source, sha256(string_agg(d, chr(10) ORDER BY run)) AS sha256 FROM r GROUP BY 1"""
+)
 def ordered_digests(spark, sf):
     rows = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))).alias("line"))
     return sequence.ordered_digest(rows, ["source"], "doc_id", "line")

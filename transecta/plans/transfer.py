@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import length_orthogonalized
-from ..operators import field, graph, inference
+from ..functions.ranks import length_orthogonalized, rank01
+from ..operators import diagnostics, field, graph, inference
 from ..operators.panels import half_split
 
 
@@ -24,20 +24,55 @@ class TransferPlan:
     segment_points: int = 5
 
     def edges(self, records: DataFrame, vector: bool = False) -> DataFrame:
-        """Edge table with role train or held by a hash-ordered half split of units, kept as it is read several times."""
+        """Edge table with role train or held by a hash-ordered half split of units."""
         roles = half_split(records.select("unit").distinct(), self.tag).select("unit", "role")
         made = graph.edge_table(records, graph.knn_edges(records, self.k), vector=vector)
-        return made.join(roles, "unit").persist()
+        return made.join(roles, "unit")
 
     def scores(self, edges: DataFrame) -> DataFrame:
         train, held = (edges.where(F.col("role") == r).drop("role") for r in ("train", "held"))
         return field.transfer_scores(train, held, self.bandwidth, self.strength, self.prior, self.segment_points)
 
-    def length_conditioned_scores(self, edges: DataFrame) -> DataFrame:
-        """Training turnover made orthogonal to edge length, with prior 0; held units scored as they are."""
-        train = length_orthogonalized(edges.where("role = 'train'").drop("role"), "turnover", "length", ["unit"], "free").drop("turnover").withColumnRenamed("free", "turnover")
+    def length_conditioned_scores(self, edges: DataFrame, rescale: bool = True) -> DataFrame:
+        """Training turnover made orthogonal to edge length, with prior 0; held units scored as they are. Without rescale residuals keep their own spread."""
+        train = length_orthogonalized(edges.where("role = 'train'").drop("role"), "turnover", "length", ["unit"], "free", rescale).drop("turnover").withColumnRenamed("free", "turnover")
         return field.transfer_scores(train, edges.where("role = 'held'").drop("role"), self.bandwidth, self.strength, 0.0, self.segment_points)
 
+    def normalization_bias(self, edges: DataFrame, digits: int = 6) -> DataFrame:
+        """(unit, normalized, unscaled, difference): scores with and without the residuals' final scaling, on one geometry."""
+        one, other = (self.length_conditioned_scores(edges, r).select("unit", F.round("score", digits).alias(c)) for r, c in ((True, "normalized"), (False, "unscaled")))
+        return one.join(other, "unit").withColumn("difference", F.col("normalized") - F.col("unscaled"))
+
+    def permutation_worlds(self, records: DataFrame, permutations: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        """(train, held) edges with turnover, an array of the observed one and of one for each shuffle of the traits within units, on one graph."""
+        places = records.select("unit", "i", "coords")
+        edges = graph.edge_table(records, graph.knn_edges(records, self.k))
+        traits = records.select("unit", "i", "trait", F.lit(0).alias("replicate"))
+        if permutations:
+            moved = inference.permuted(records.select("unit", "i", "trait"), permutations, ["unit"], "trait", seed)
+            traits = traits.unionByName(moved.select("unit", "i", "trait", (F.col("replicate") + 1).alias("replicate")))
+        rows = edges.select("unit", "a", "b").join(traits.toDF("unit", "a", "x", "replicate"), ["unit", "a"]).join(traits.toDF("unit", "b", "y", "replicate"), ["unit", "b", "replicate"])
+        rows = rows.withColumn("t", rank01(F.abs(F.col("x") - F.col("y")), F.col("unit"), F.col("replicate")))
+        worlds = rows.groupBy("unit", "a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "t"))), lambda x: x["t"]).alias("turnover"))  # one number for each shuffle
+        roles = half_split(places.select("unit").distinct(), self.tag).select("unit", "role")
+        both = edges.drop("turnover").join(worlds, ["unit", "a", "b"]).join(roles, "unit")
+        return tuple(both.where(F.col("role") == r).drop("role") for r in ("train", "held"))
+
+    def permutation_statistics(self, records: DataFrame, permutations: int, seed: int = 0, digits: int = 6) -> DataFrame:
+        """(world, units, statistic): world 0 is what was observed; in the others traits are shuffled, the field fitted and held units scored again."""
+        train, held = self.permutation_worlds(records, permutations, seed)
+        scores = diagnostics.world_scores(train, held, self.bandwidth, self.strength, self.prior)
+        finite = scores.where(~F.isnan("score"))
+        return finite.groupBy("world").agg(F.count(F.lit(1)).alias("units"), F.avg(F.round("score", digits)).alias("statistic"))
+
+    def permutation_test(self, records: DataFrame, permutations: int = 199, seed: int = 0) -> DataFrame:
+        """(statistic, permutations, p): the share of worlds, the observed one counted in, whose statistic is not below it."""
+        rows = self.permutation_statistics(records, permutations, seed)
+        seen = rows.where("world = 0").select(F.col("statistic").alias("seen"))
+        null = rows.where("world > 0").crossJoin(F.broadcast(seen))  # one row
+        counts = null.agg(F.count(F.lit(1)).alias("permutations"), F.count_if(F.col("statistic") >= F.col("seen")).alias("above"))
+        return seen.crossJoin(counts).select(F.col("seen").alias("statistic"), "permutations", ((1 + F.col("above")) / (1 + F.col("permutations"))).alias("p"))
+
     def test(self, records: DataFrame, resamples: int = 1999, seed: int = 0) -> DataFrame:
         """(n, mean, t, p) of the held units' scores: the whole test from records to a p value."""
         return inference.bootstrap_test(self.scores(self.edges(records)).withColumn("test", F.lit(0)), "score", ["test"], resamples, seed).drop("test")
