@@ -80,6 +80,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
+# ---- columns of the operators that SQL can say, on whole tables -------------------------------------
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of each fixed pattern the secret scan finds in every document."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and base verdict that the quality rules take of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", *quality_rules.COUNTS, "base_failed")
+
+
+def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of every document's payload as it is read back from its shard."""
+    return media.media_columns(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the bytes that every document's token ids decode to."""
+    return op10_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lattice_lm": op2_lattice_lm,
@@ -91,7 +115,28 @@ QUERIES = {
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
+    "secret_base_counts": secret_base_counts,
+    "document_statistics": document_statistics,
+    "payload_digests": payload_digests,
+    "byte_bpe_round_trip": byte_bpe_round_trip,
 }
 
-#: None of the operators has a form in plain SQL: their tests hold them against brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+_ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: No operator as a whole has a form in plain SQL; these are columns that have, and tests hold the rest against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "secret_base_counts": f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 1), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "document_statistics": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, r, t, regexp_extract_all(t, '{_WORDS}') AS w FROM d),
+  windows AS (SELECT r, k, w[k:k + 2] AS v FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM w)), again AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, v) AS n FROM windows) WHERE n > 1),
+  covered AS (SELECT r, count(DISTINCT k + j) AS n FROM again, (VALUES (0), (1), (2)) AS o(j) GROUP BY r),
+  lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS l FROM d)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+  FROM w JOIN lines USING (r) LEFT JOIN covered USING (r)""",
+    "payload_digests": """SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(t || repeat(' ', CAST(m - n AS BIGINT))) AS payload_sha256
+  FROM (SELECT *, greatest(192, CAST(ceil(n / CAST(192 AS DOUBLE)) AS BIGINT) * 192) AS m FROM (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents))""",
+    "byte_bpe_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+}
