@@ -30,6 +30,8 @@ SLICE = 4 << 20
 LINE, LINES = 512, 16
 #: Signs that often end a word.
 SIGNS = ".,;:!?#$%&*)"
+#: Units with more of them than this at the end are encoded whole.
+MOST_SIGNS = 8
 #: Spaces that stand alone between two other signs.
 ALONE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -89,34 +91,45 @@ def _gathered(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return ids[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
+def _tails(data: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The last `size` bytes before each end, as strings of MOST_SIGNS bytes at most."""
+    out = np.zeros((len(ends), MOST_SIGNS), np.uint8)
+    for k in range(MOST_SIGNS):
+        some = np.flatnonzero(size > k)
+        out[some, k] = data[ends[some] - size[some] + k]
+    return out.view(f"S{MOST_SIGNS}").ravel()
+
+
 def _worded(path: str, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """_spaced() with the signs that end a unit taken off, so that a word is encoded once whatever it ends with.
 
     Signs after a letter or digit are a match of the tokenizer's pattern of their own.
     """
     words = pc.utf8_rtrim(units, SIGNS)
-    words = pc.if_else(pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, -1)), words, units)
+    short = pc.less_equal(pc.subtract(pc.binary_length(units), pc.binary_length(words)), MOST_SIGNS)
+    words = pc.if_else(pc.and_(short, pc.utf8_is_alnum(pc.utf8_slice_codeunits(words, -1))), words, units)
     coded = words.dictionary_encode()
     ids, sizes = _spaced(path, coded.dictionary.to_pylist())
-    code, other = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.not_equal(words, units)
-    ended = np.flatnonzero(other.to_numpy(zero_copy_only=False))
-    signs = pa.array([u[len(w) :] for u, w in zip(units.filter(other).to_pylist(), words.filter(other).to_pylist())], pa.string()).dictionary_encode()
-    more, more_sizes = _alone(path, signs.dictionary.to_pylist())
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.subtract(pc.binary_length(units), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+    ended = np.flatnonzero(size)
+    ends = np.frombuffer(units.buffers()[1], np.int32)[units.offset + 1 :][ended].astype(np.int64)
+    signs, which = np.unique(_tails(np.frombuffer(units.buffers()[2] or b"", np.uint8), ends, size[ended]), return_inverse=True)
+    more, more_sizes = _alone(path, [x.decode() for x in signs.tolist()])
     parts = np.full((len(code), 2), len(sizes) + len(more_sizes))  # the last part is none
     parts[:, 0] = code
-    parts[ended, 1] = signs.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(sizes)
+    parts[ended, 1] = which + len(sizes)
     sizes = np.concatenate([sizes, more_sizes, [0]])
     at = np.cumsum(sizes) - sizes
     ids, _ = _gathered(np.concatenate([ids, more]), at[parts.ravel()], sizes[parts.ravel()])
     return ids, sizes[parts].sum(1)
 
 
-def _encoded(path: str, coded: pa.DictionaryArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of texts, one after another, and where each ends: of texts cut into units, of which texts begin at `starts`."""
+def _encoded(path: str, coded: pa.DictionaryArray, starts: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, one after another, and where each ends: of texts cut into units, of which texts begin at `starts` and those that are `plain` _is_plain()."""
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     units = coded.dictionary
     n = len(units)
-    plain = _is_plain(units)
     first = np.zeros(len(code), bool)
     first[starts] = True
     use = np.zeros((2, n), bool)  # as a later unit, as a text's first
@@ -146,9 +159,9 @@ def encoded(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     some = np.flatnonzero(pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False))
     out, base = [], 0
 
-    def add(rows: np.ndarray, coded: pa.DictionaryArray, starts: np.ndarray) -> None:
+    def add(rows: np.ndarray, coded: pa.DictionaryArray, starts: np.ndarray, plain: np.ndarray) -> None:
         nonlocal base
-        ids, ends = _encoded(path, coded, starts)
+        ids, ends = _encoded(path, coded, starts, plain)
         begin[rows], end[rows] = base + np.append(0, ends[:-1]), base + ends
         out.append(ids)
         base += len(ids)
@@ -158,16 +171,19 @@ def encoded(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     coded = lists.flatten().dictionary_encode()
     if not len(some):
         return np.zeros(0, "<u4"), begin, end
-    odd = np.logical_or.reduceat(~_is_plain(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)], starts)
+    plain = _is_plain(coded.dictionary)
+    odd = np.logical_or.reduceat(~plain[coded.indices.to_numpy(zero_copy_only=False)], starts)
     if odd.any():
         cut = [ALONE.split(t) for t in found.take(pa.array(some[odd])).to_pylist()]
         sizes = np.array([len(x) for x in cut])
-        add(some[odd], pa.array([u for x in cut for u in x], pa.string()).dictionary_encode(), np.cumsum(sizes) - sizes)
+        own = pa.array([u for x in cut for u in x], pa.string()).dictionary_encode()
+        add(some[odd], own, np.cumsum(sizes) - sizes, _is_plain(own.dictionary))
         lists = lists.filter(pa.array(~odd))
         starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))[:-1].astype(np.int64)
         coded = lists.flatten().dictionary_encode()
+        plain = _is_plain(coded.dictionary)
     if not odd.all():
-        add(some[~odd], coded, starts)
+        add(some[~odd], coded, starts, plain)
     return np.concatenate(out), begin, end
 
 
