@@ -1,4 +1,5 @@
 import random
+import time
 
 from transecta.llm import html_main
 
@@ -124,3 +125,47 @@ def test_hosts_of_one_page(spark):
     rows = [(i, f"http://h{i}.example/", f'<body><div class="content no-sidebar"><p>text {i}</p></div><footer>f</footer></body>') for i in range(5)]
     found = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert found == {i: f"text {i}" for i in range(5)}
+
+
+LONG = "<p>" + "what this page is really about " * 12 + "</p>"
+
+
+def test_articles_that_tease_others_do_not_replace_the_text():
+    body = " ".join(("what this page is really about " * 12).split())
+    assert text_of("<body><h1>Real</h1><p>real body</p><article>card</article></body>") == ["Real", "real body"]
+    assert text_of("<main><h1>Title</h1><p>body</p><article>related card</article></main>") == ["Title", "body"]
+    for cards in ("<article>one</article>", "<article><h2>One</h2><p>of them</p></article><article>two</article>", "<article><h1>Own heading</h1>one</article>"):
+        for main in ("{}", "<main>{}</main>", "<div role='main'>{}</div>"):
+            text = f"<div><h1>Title</h1>{LONG}{{}}{LONG}</div>"
+            for inside in (cards + text.format(""), text.format("") + cards, text.format(cards), cards + text.format(cards) + cards):
+                assert text_of(f"<html><body>{main.format(inside)}</body></html>") == ["Title", body, body], (cards, main, inside)
+
+
+def test_marked_articles_are_the_text():
+    body = " ".join(("what this page is really about " * 12).split())
+    assert text_of(f"<body><article><h1>T</h1>{LONG}</article><article>card</article><p>by us</p></body>") == ["T", body]
+    assert text_of(f"<main><h1>T</h1><p>by line</p><article>{LONG}</article><article>card</article></main>") == ["T", body]
+    assert text_of(f"<body><h1>News</h1><article><h2>a</h2>{LONG}</article><article><h2>b</h2>{LONG}</article></body>") == ["News", "a", body, "b", body]
+    assert text_of(f"<body><header><h1>Site</h1></header><main><article><h2>T</h2>{LONG}</article></main><article>card</article></body>") == ["T", body]
+    assert text_of("<body><article>all there is</article></body>") == ["all there is"]
+
+
+def test_teasers_on_hosts_of_one_and_many_pages(spark, make_prose):
+    rng = random.Random(9)
+    cards = "<article><h2>Read this</h2><p>it is good</p></article>"
+    rows = [(i, f"http://{'one' + str(i) if i < 3 else 'many'}.example/{i}", f"<body>{cards}<div><h1>T{i}</h1><p>{make_prose(rng, 60)}</p>{cards}<p>{make_prose(rng, 60)}</p></div>{cards}</body>") for i in range(14)]
+    for r in html_main.main_text(spark.createDataFrame(rows, COLUMNS)).collect():
+        lines = r["text"].split("\n")
+        assert lines[0] == f"T{r['page_id']}" and len(lines) == 3 and "good" not in r["text"]
+
+
+def test_readers_comments_under_other_names():
+    for name in ("reader-discussion", "feedback", "user_reviews", "visitorLetters"):
+        assert text_of(f"<body><h1>T</h1>{LONG}<div class='{name}'><p>bob</p><p>nice</p></div></body>")[2:] == []
+
+
+def test_long_attributes_cost_their_length():
+    for attrs in ("a" * 1_000_000, "a " * 500_000, "a= " * 300_000, "a" * 500_000 + " " * 500_000):
+        began = time.time()
+        assert text_of(f"<div {attrs}><p>x</p></div>") == ["x"]
+        assert time.time() - began < 5

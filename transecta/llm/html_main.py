@@ -5,7 +5,8 @@ host, in how many different main texts' pages a subtree occurs. Subtrees that re
 pages of a host are deleted there, and so is what its element, role or class names as a menu,
 header, footer, sidebar, notice, advert, form or comments, which hosts with few pages need. A class
 or id deletes nothing that holds an article, a main part or a heading of first level, nor most of a
-page without any. What is left of the article, or of the body where no article is marked, is the text.
+page without any. What is left of the article, or of the body where no article is marked, is the text;
+marked articles that only tease others are told from it by headings and by how much text lies around them.
 
 The parse leaves a table of each page's blocks, with the subtrees around them, and of the hashes to
 count; pages are not parsed again to delete what recurs.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import columns, on_workers, slices, written
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">]+)*)>?|[!?/][^>]*>?)""", re.S)
-ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A name is tried from its start only and given up as a whole, so that a long one without a value costs its length.
+ATTR = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Words of a class or id: at hyphens, underscores, digits, and capitals after small letters.
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Element kinds of HTML.
@@ -52,11 +54,16 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 LABELS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "masthead topbar footer sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe signup "
-    "share sharing social comment comments disqus respond replies related recommended login search toolbar skip".split()
+    "share sharing social comment comments disqus respond replies feedback talkback reactions teaser teasers related recommended login search toolbar skip".split()
 )
-COMMENTS = frozenset("comment comments disqus respond replies".split())
+COMMENTS = frozenset("comment comments disqus respond replies feedback talkback reactions".split())
+#: Words that name comments where a reader stands before them.
+TALK = frozenset("discussion discussions opinions responses reviews letters voices forum talk thoughts".split())
+READERS = frozenset("reader readers user users visitor visitors guest guests community".split())
 #: Of an article's own classes only these tell that it is not the page's.
-ASIDE = COMMENTS | frozenset("related sponsored recommended promo".split())
+ASIDE = COMMENTS | frozenset("related sponsored recommended promo teaser teasers".split())
+#: Characters from which an article beside the text under the page's heading can be the page's.
+CARD = 200
 #: Words beside a label that leave it one (ad-box, footer-links), and words that turn it (no-sidebar).
 BESIDE = frozenset("box boxes wrap wrapper container block blocks area section slot unit list items item links link panel module group holder inner outer top bottom left right main site global small large posts articles stories form button buttons icon icons text content".split())
 TURNED = frozenset("no non not without has have with hide hidden is enable enabled disable disabled".split())
@@ -192,6 +199,8 @@ def labels(names: str) -> set[str]:
             continue
         if words[-1] in LABELS:
             found.add(words[-1])
+        elif words[-1] in TALK and READERS.intersection(words):
+            found.add("comments")
         elif words[0] in LABELS and all(w in BESIDE or w in LABELS for w in words):
             found.add(words[0])
     return found
@@ -217,20 +226,56 @@ def boilerplate(node: Node, root: Node) -> int:
 
 
 def main_nodes(root: Node, least: int = 1) -> list[Node]:
-    """The outermost articles, else the main elements, else the body, else all; none of them in boilerplate."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
-    stack = [root]
+    """The elements that the page's article is in; none of them in boilerplate. Articles that only tease others are marked as gone.
+
+    Where no article is marked it is the main element, else the body, else all. Of outermost articles the one with
+    the first heading of first level is the page's, if it has no less text than what lies around
+    articles. If that heading is around them, or in several, or there is none, they are teasers where
+    more text lies around them than in the largest, or any and the heading, while the largest is shorter than CARD; else that heading comes first, and they follow: only
+    the largest if it has most of their text, else all.
+    """
+    kept, found, order = {}, {"main": [], "body": []}, []  # kept: characters outside boilerplate
+    stack: list = [(root, None)]
     while stack:
-        node = stack.pop()
-        kind = "main" if node.tag == "main" or "main" in node.attrs and attributes(node).get("role") == "main" else node.tag
-        if node.gone in LEFT_OUT[least]:
+        node, article = stack.pop()
+        if node is not root and node.gone in LEFT_OUT[least]:
             continue
-        if kind in found and not (kind == "main" and found["main"]):
+        order.append((node, article))
+        kind = "main" if node.tag == "main" or "main" in node.attrs and attributes(node).get("role") == "main" else node.tag
+        if kind in found and not found[kind]:
             found[kind].append(node)
-            if kind == "article":
-                continue
-        stack.extend(reversed([x for x in node.items if isinstance(x, Node)]))
-    return found["article"] or found["main"][:1] or found["body"][:1] or [root]
+        inner = node if node.tag == "article" and article is None else article
+        stack.extend((x, inner) for x in reversed(node.items) if isinstance(x, Node))
+    for node, _ in reversed(order):
+        kept[node] = sum(kept.get(x, 0) if isinstance(x, Node) else len(" ".join(x.split())) for x in node.items)
+    articles = [(n, kept[n]) for n, article in order if n.tag == "article" and article is None and kept[n]]
+    if not articles:
+        return (found["main"] or found["body"] or [root])[:1]
+    main = found["main"][0] if found["main"] else None
+    if main is not None:  # articles beside the main element are none of the page's, unless it is empty of text
+        inside = set(map(id, walk(main)))
+        own = [x for x in articles if id(x[0]) in inside]
+        if own or kept[main]:
+            articles = own
+    top = main if main is not None and (articles or kept[main]) and all(id(n) in inside for n, _ in articles) else found["body"][0] if found["body"] else root
+    if not articles:
+        return [top]
+    total, (largest, most) = sum(n for _, n in articles), max(articles, key=lambda x: x[1])
+    around = kept[top] - total
+    headings = [(node, article) for node, article in order if node.tag == "h1" and kept[node]]
+    headed = {id(article) for _, article in headings if article is not None}
+    headed = [x for x in articles if id(x[0]) in headed]
+    title = next((node for node, article in headings if article is None), None)
+    if title is not None:
+        around -= kept[title]
+    if len(headed) == 1 and headed[0][1] >= around and (title is None or not around):
+        return [headed[0][0]]
+    if around > most or around and title is not None and most < CARD:
+        for node, _ in articles:
+            node.gone = 1
+        return [top]
+    chosen = [largest] if 2 * most > total and (title is not None or len(headed) == 1) else [n for n, _ in articles]
+    return [*([title] if title is not None else []), *chosen]
 
 
 def blocks(nodes: list[Node], counted=frozenset(), least: int = 1) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
