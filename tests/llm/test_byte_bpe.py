@@ -37,3 +37,20 @@ def test_pieces_of_long_texts_join_to_the_text_and_encode_alike():
 
 def test_empty_table(no_docs):
     assert byte_bpe.digests(byte_bpe.encode(no_docs, PATH, public_tokenizers.PATTERN)).collect() == []
+
+
+def test_runs_of_white_space_are_merged_as_one_match():
+    enc = byte_bpe.encoding(PATH, public_tokenizers.PATTERN)
+    for text in ("ab " + " " * 400_000 + "x yz", "ab\n" + "\n" * 300_000 + " x", "ab" + " " * 300_000, " \n\t" * 100_000 + "x" * 70_000 + "　" * 70_000 + "q", " " * 65_536, "\x1c" * 70_000 + " " * 70_000 + "'s"):
+        assert (byte_bpe.encode_text(enc, text) == enc.encode_to_numpy(text, disallowed_special=())).all()
+
+
+def test_very_long_matches():
+    """Of which the library's regex engine gives up on some; ids are the merge of the one match, and its last sign goes with the word after it."""
+    enc = byte_bpe.encoding(PATH, public_tokenizers.PATTERN)
+    for n in (1_000_000, 10_000_000):
+        spaces = byte_bpe.encode_text(enc, "word" + " " * n + "word").tolist()
+        assert spaces == [*enc.encode_ordinary("word"), *enc._encode_single_piece(" " * (n - 1)), *enc.encode_ordinary(" word")]
+        assert byte_bpe.encode_text(enc, "\n" * n).tolist() == enc._encode_single_piece("\n" * n)
+    for text in ("a" * 1_000_000, "a_" * 500_000, "!" * 1_000_000):
+        assert enc.decode_bytes(byte_bpe.encode_text(enc, text).tolist()).decode() == text

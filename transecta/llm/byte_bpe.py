@@ -17,6 +17,10 @@ from .common import columns, on_workers, slices, texts
 LONG_TEXT = 1 << 16
 #: A space between two ASCII letters starts a match of the split pattern whatever stands around it.
 SAFE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Unicode's white space, which the split pattern calls so; Python's class has four control signs more.
+SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: Runs of white space that are encoded by themselves: the library's regex engine gives up on some longer ones.
+BLANK = re.compile(SPACE + "{65536,}")
 
 _encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
 
@@ -45,10 +49,25 @@ def safe_pieces(text: str, most: int = LONG_TEXT) -> list[str]:
     return [*pieces, text[start:]]
 
 
+def _plain(enc: tiktoken.Encoding, text: str) -> list[np.ndarray]:
+    return [enc.encode_to_numpy(x, disallowed_special=()) for x in safe_pieces(text)]
+
+
 def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The text's ids.
+
+    A long run of white space is one match of the split pattern, without its last sign where a text goes on
+    after it, since that sign may belong to what follows. It is merged by itself.
+    """
     if len(text) <= LONG_TEXT:
         return enc.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([enc.encode_to_numpy(x, disallowed_special=()) for x in safe_pieces(text)])
+    found, start = [], 0
+    for run in BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        found += _plain(enc, text[start : run.start()])
+        found.append(np.array(enc._encode_single_piece(text[run.start() : end]), np.uint32))
+        start = end
+    return np.concatenate([*found, *_plain(enc, text[start:])])
 
 
 def _encode(batches, rank_path, pattern):
