@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -145,3 +146,31 @@ def test_redaction_replaces_spans_and_keeps_all_else(odd_docs, no_docs, spark):
         assert (a["score"], a["kept"]) == (b["score"], b["kept"])
     one = spark.createDataFrame([(1, "token=abcdefghijklmno", 21)], no_docs.schema)
     assert secrets.redact(one).first()["n_chars"] == len("[SECRET]")
+
+
+def guesses(text):
+    return [text[s:e] for s, _, e, _ in secrets.scan_text(text, secrets.dictionary(), 8.0)[1]]
+
+
+def test_names_and_quotes_of_values():
+    value = "Zq!9x#Lm2@vT"
+    for text in ("dbPassword={}", "userToken: {}", "MY_API_KEY := {}", "<password>{}</password>", "<x:userToken>{}</x:userToken>", "Passwort: {}", "Kennwort ist {}.", "contraseña: {}", "CONTRASEÑA = {}", "mot de passe : {}", "clave de acceso: {}", "secret password: {}", "password='{}'", "the password is {},"):
+        assert guesses(text.format(value)) == [value], text
+    for quoted in ("Gk83,hf92LmQz!x7#Wp40vT", "my dog ate 47 purple hats!", "it's <a> `b` \\\" c; d7"):
+        assert guesses(f'password: "{quoted}" and more') == [quoted]
+    assert guesses('password: "not closed\nhere" x') == [] and guesses("the secret of the token was told") == [] and guesses("monkeys: none, passwords: none") == []
+
+
+def test_a_value_is_scored_once_and_spans_lie_in_the_text():
+    text = "token=" * 30 + "Zq!9x#Lm2@vT"
+    assert len(guesses(text)) == 1
+    for text in ("password: 'a", "password:", "token>", "<token>", "pwd=\\", 'secret="' * 5):
+        for s, _, e, _ in secrets.scan_text(text, secrets.dictionary(), 0.0)[1]:
+            assert 0 <= s < e <= len(text)
+
+
+@pytest.mark.parametrize("text", ["key " + "a_" * 500_000, "password" * 100_000, "token: '" * 100_000, "token=" * 100_000, "secret" + " " * 1_000_000, "token" + '"' * 500_000, "<token>" * 100_000, "auth-" * 200_000, "pwd='" + "\\" * 500_000, "AKIA" * 100_000 + " pwd=x" * 50_000])
+def test_long_texts_cost_their_length(text):
+    began = time.time()
+    secrets.scan_text(text, secrets.dictionary(), 8.0)
+    assert time.time() - began < 20
