@@ -105,3 +105,27 @@ def test_classifier_without_labels_or_rows(spark, odd_docs, no_docs):
     model = ftrl.train(odd_docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in ftrl.score(odd_docs, model).collect()} == {0.5}
     assert ftrl.score(no_docs, model).collect() == [] and ftrl.keep(no_docs, model).collect() == []
+
+
+def test_ngrams_do_not_depend_on_size(monkeypatch):
+    rng = random.Random(11)
+    texts = ["x" * 5000, "Ab" * 3000 + " tail", "".join(rng.choice("aB1 .\né_") for _ in range(20_000)), "word " * 3000, ""]
+    want = [ftrl.ngrams([t])[0].tolist() for t in texts]
+    for most in (1, 7, 64, 1000):
+        monkeypatch.setattr(ftrl, "HASHED_BYTES", most)
+        some = texts if most > 7 else [t[:400] for t in texts]
+        assert [ftrl.ngrams([t])[0].tolist() for t in some] == (want if most > 7 else [x for x in map(plain_ngrams, some)])
+
+
+def plain_ngrams(text):
+    size, ftrl.HASHED_BYTES = ftrl.HASHED_BYTES, 1 << 20
+    try:
+        return ftrl.ngrams([text])[0].tolist()
+    finally:
+        ftrl.HASHED_BYTES = size
+
+
+def test_a_token_of_any_size_is_one_ngram():
+    for size in (1 << 20, 3 << 20, 10_000_000):
+        assert len(ftrl.ngrams(["a" * size])[0]) == 1
+    assert ftrl.ngrams(["A" * (3 << 20) + " b"])[0].tolist() != ftrl.ngrams(["A" * (3 << 20) + "A b"])[0].tolist()

@@ -30,6 +30,7 @@ UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 SMALL = (_BYTES >= 97) & (_BYTES <= 122)
 DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 FOLDED = (np.where(UPPER, _BYTES + 32, _BYTES) + 1).astype(np.uint64)
+BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64)
 
 
@@ -37,7 +38,7 @@ def _power(n: int) -> np.ndarray:
     """Powers of an odd number modulo 2**64, at least n of them."""
     global _powers
     if len(_powers) < n:
-        grown = np.full(max(n, 1 << 12), 0x9E3779B97F4A7C15, np.uint64)
+        grown = np.full(max(n, 1 << 12), BASE, np.uint64)
         grown[0] = 1
         _powers = np.multiply.accumulate(grown)
     return _powers
@@ -49,50 +50,52 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def _pieces(raw: bytes):
+    """The runs of one kind of byte in raw, as arrays (start, size, hash, capitals, small letters, digits, whether the first is a capital, kind), a piece of HASHED_BYTES at a time."""
+    for at in range(0, len(raw), HASHED_BYTES):
+        b = np.frombuffer(raw, np.uint8, min(HASHED_BYTES, len(raw) - at), at)
+        kind = KIND[b]
+        starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        sizes = np.diff(np.append(starts, len(b)))
+        offset = np.arange(len(b)) - np.repeat(starts, sizes)
+        h = np.add.reduceat(FOLDED[b] * _power(int(sizes.max()))[offset], starts)
+        counts = [np.add.reduceat(t[b].astype(np.int64), starts) for t in (UPPER, SMALL, DIGIT)]
+        yield [starts + at, sizes, h, *counts, UPPER[b[starts]], kind[starts]]
+
+
 def _tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hash of the folded bytes and shape of each token in raw."""
-    b = np.frombuffer(raw, np.uint8)
-    kind = KIND[b]
-    starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(b) else np.empty(0, int)
-    if not len(starts):
-        return starts, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    sizes = np.diff(np.append(starts, len(b)))
-    offset = np.arange(len(b)) - np.repeat(starts, sizes)
-    h = np.add.reduceat(FOLDED[b] * _power(int(sizes.max()))[offset], starts)
-    upper, small, digit = (np.add.reduceat(t[b].astype(np.int32), starts) for t in (UPPER, SMALL, DIGIT))
+    """Start, hash of the folded bytes and shape of each token in raw. A token that pieces cut is put together again."""
+    found: list[list[np.ndarray]] = []
+    for piece in _pieces(raw):
+        if found and found[-1][-1][-1] == piece[-1][0]:
+            last = found[-1]
+            shift = np.array([pow(BASE, int(last[1][-1]), 1 << 64)], np.uint64)
+            last[2][-1:] += shift * piece[2][:1]
+            for k in (1, 3, 4, 5):
+                last[k][-1] += piece[k][0]
+            piece = [x[1:] for x in piece]
+        if len(piece[0]):
+            found.append(piece)
+    if not found:
+        return np.empty(0, int), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    starts, sizes, h, upper, small, digit, capital, what = (np.concatenate(x) for x in zip(*found))
     shape = np.full(len(starts), 1, np.uint64)
     shape[(upper > 0) & (small == 0)] = 2
-    shape[(upper == 1) & UPPER[b[starts]] & ((small > 0) | (sizes == 1))] = 3
+    shape[(upper == 1) & capital & ((small > 0) | (sizes == 1))] = 3
     shape[(upper > 1) & (small > 0)] = 4
     shape[digit > 0] = 5
     shape[digit == sizes] = 6
-    what = kind[starts]
     shape[what == 2] = mix(h[what == 2]) | _U(8)
     keep = what > 0
     return starts[keep], mix(h[keep]), shape[keep]
 
 
-def _cut(raw: bytes, most: int) -> list[bytes]:
-    """raw in pieces of about `most` bytes, cut at white space where there is any near."""
-    out, at = [], 0
-    while len(raw) - at > most:
-        end = max(raw.rfind(b" ", at, at + most), raw.rfind(b"\n", at, at + most)) + 1 or at + most
-        out.append(raw[at:end])
-        at = end
-    return [*out, raw[at:]]
-
-
 def ngrams(found: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Table places of all n-gram occurrences of the texts, one text after another, and where each text's start."""
     raws = [t.encode() for t in found]
-    if len(raws) == 1 and len(raws[0]) > 2 * HASHED_BYTES:
-        pieces = [_tokens(x)[1:] for x in _cut(raws[0], HASHED_BYTES)]
-        h, shape = (np.concatenate(x) for x in zip(*pieces))
-        doc = np.zeros(len(h), np.int64)
-    else:
-        starts, h, shape = _tokens(b"\n".join(raws))
-        ends = np.cumsum([len(x) + 1 for x in raws])
-        doc = np.searchsorted(ends, starts, "right")
+    starts, h, shape = _tokens(b"\n".join(raws))
+    ends = np.cumsum([len(x) + 1 for x in raws])
+    doc = np.searchsorted(ends, starts, "right")
     same = doc[1:] == doc[:-1]
     again = np.zeros(len(h), bool)
     again[1:] = same & (h[1:] == h[:-1])
