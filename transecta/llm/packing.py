@@ -4,7 +4,8 @@ Documents become token ids, are cut into full sequences and a rest, and only the
 the pieces' lengths (one count for each length up to the sequence length) reaches the driver.
 There lengths are placed longest first, each into the shortest open pack that it fits, whole
 runs of equal packs at once, which gives patterns with counts. The patterns go back to the
-pieces by the rank of a piece among those of its length.
+pieces by the rank of a piece among those of its length. Packs that stay open, as where most pieces have
+one length, are laid end to end, and the piece at a sequence's end is cut there.
 """
 
 from __future__ import annotations
@@ -37,17 +38,19 @@ ALONE = re.compile(r"(?<=\S) (?=\S)")
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
-_tokenizers: dict[str, tuple[Tokenizer, np.ndarray]] = {}
+#: A pack with no more room than this part of a sequence is full.
+SLACK = 1 / 256
 
+_tokenizers: dict[str, tuple[Tokenizer, np.ndarray, list[str]]] = {}
 
-def tokenizer(path: str) -> tuple[Tokenizer, np.ndarray]:
-    """The tokenizer, and of each id whether its token starts with a space."""
+
+def tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, list[str]]:
+    """The tokenizer, of each id whether its token starts with a space, and the special tokens, which texts can spell."""
     if path not in _tokenizers:
         found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
         spaced = np.zeros(found.get_vocab_size(), bool)
         spaced[[i for token, i in found.get_vocab().items() if token.startswith("Ġ")]] = True
-        _tokenizers[path] = found, spaced
+        _tokenizers[path] = found, spaced, [x.content for x in found.get_added_tokens_decoder().values()]
     return _tokenizers[path]
 
 
@@ -64,7 +67,7 @@ def _spaced(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     The tokenizer gets many units as one text. A match of its pattern starts at the space before
     each, and no other token starts with a space, so that these tokens tell where units begin.
     """
-    own, starts = tokenizer(path)
+    own, starts, _ = tokenizer(path)
     lines = [" " + " ".join(found[at : at + LINE]) for at in range(0, len(found), LINE)]
     ids, sizes = [], []
     for at in range(0, len(lines), LINES):
@@ -153,11 +156,20 @@ def encoded(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
 
     Texts are cut at lone spaces, where a match of the tokenizer's pattern starts, so that units
     encode apart and each distinct one once. Texts with other white space beside a space or at an end are cut
-    by a pattern, all others where a space is.
+    by a pattern, all others where a space is. Texts that spell a special token, which the tokenizer takes out first, are
+    encoded whole.
     """
     begin, end = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-    some = np.flatnonzero(pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False))
     out, base = [], 0
+    spells = np.zeros(len(found), bool)
+    for special in tokenizer(path)[2]:
+        spells |= pc.match_substring(found, special).to_numpy(zero_copy_only=False)
+    if spells.any():
+        ids, sizes = _alone(path, found.filter(pa.array(spells)).to_pylist())
+        end[spells] = np.cumsum(sizes)
+        begin[spells] = end[spells] - sizes
+        out, base = [ids], len(ids)
+    some = np.flatnonzero(pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False) & ~spells)
 
     def add(rows: np.ndarray, coded: pa.DictionaryArray, starts: np.ndarray, plain: np.ndarray) -> None:
         nonlocal base
@@ -170,7 +182,7 @@ def encoded(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))[:-1].astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     if not len(some):
-        return np.zeros(0, "<u4"), begin, end
+        return np.concatenate([np.zeros(0, "<u4"), *out]), begin, end
     plain = _is_plain(coded.dictionary)
     odd = np.logical_or.reduceat(~plain[coded.indices.to_numpy(zero_copy_only=False)], starts)
     if odd.any():
@@ -193,7 +205,7 @@ def encode_texts(path: str, found: list[str]) -> list[bytes]:
     return [ids[a:b].tobytes() for a, b in zip(begin, end)]
 
 
-def _pieces(batches, path, length, end_id, with_ids):
+def _pieces(batches, path, length, end_id):
     part, seen = TaskContext.get().partitionId(), defaultdict(int)
     last = np.array([end_id], "<u4").tobytes()
     for batch in batches:
@@ -206,7 +218,7 @@ def _pieces(batches, path, length, end_id, with_ids):
                     piece = found[at : min(b, at + length)].tobytes()
                     if at + n > b:
                         piece += last
-                    for k, v in zip(out, (i, at - a, n, zlib.crc32(piece), b + 1 - a, seen[n], piece if with_ids else None)):
+                    for k, v in zip(out, (i, at - a, n, zlib.crc32(piece), b + 1 - a, seen[n], piece)):
                         out[k].append(v)
                     seen[n] += 1
             id_ = columns(rows, "doc_id")[0].take(pa.array(out.pop("row"), pa.int32()))
@@ -244,30 +256,59 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[tu
     return [(pattern, count) for room in sorted(open_packs) for pattern, count in open_packs[room]]
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: first rank of a run of pieces, sequence of that piece, offset in the sequences."""
+def laid_open(patterns: list[tuple[tuple[int, ...], int]], length: int) -> tuple[list, list]:
+    """The patterns to keep, and those whose packs are laid end to end: all with more room than SLACK, if that saves a sequence."""
+    room = lambda pattern: length - sum(pattern)
+    opened = [x for x in patterns if room(x[0]) > SLACK * length]
+    if sum(room(pattern) * count for pattern, count in opened) < length:
+        return patterns, []
+    return [x for x in patterns if room(x[0]) <= SLACK * length], opened
+
+
+def slots(patterns: list[tuple[tuple[int, ...], int]], opened: list[tuple[tuple[int, ...], int]], length: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each length: first rank of a run of pieces, where the first of them lies if all sequences are one, and how far each lies behind the one before."""
     runs, taken, base = defaultdict(list), defaultdict(int), 0
-    for pattern, count in patterns:
-        offset = 0
-        for size in pattern:
-            runs[size].append((taken[size], base, offset))
-            taken[size] += count
-            offset += size
-        base += count
+    for found, is_open in ((patterns, False), (opened, True)):
+        for pattern, count in found:
+            step, at = sum(pattern) if is_open else length, base
+            for size in pattern:
+                runs[size].append((taken[size], at, step))
+                taken[size] += count
+                at += size
+            base += step * count
     return {size: tuple(np.array(x, np.int64) for x in zip(*found)) for size, found in runs.items()}
 
 
-def _placed(batches, runs):
+FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+
+
+def _placed(batches, runs, length):
     for batch in batches:
         size, rank = (x.to_numpy(zero_copy_only=False) for x in columns(batch, "length", "rank"))
-        sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        at = np.zeros(len(size), np.int64)
         for n in np.unique(size):
-            at = np.flatnonzero(size == n)
-            first, base, slot = runs[int(n)]
-            k = np.searchsorted(first, rank[at], "right") - 1
-            sequence[at], offset[at] = base[k] + rank[at] - first[k], slot[k]
-        keep = columns(batch, "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"])
+            some = np.flatnonzero(size == n)
+            first, base, step = runs[int(n)]
+            k = np.searchsorted(first, rank[some], "right") - 1
+            at[some] = base[k] + (rank[some] - first[k]) * step[k]
+        sequence, offset = at // length, at % length
+        cut = np.where(offset + size > length, length - offset, 0)
+        keep = columns(batch, "row", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset), pa.array(cut)], ["row", *FIELDS[:-1], "cut"])
+
+
+def _halved(batches):
+    """The two parts of pieces that are cut."""
+    for batch in batches:
+        size, sequence, offset, start, cut = (x.to_numpy(zero_copy_only=False) for x in columns(batch, "length", "sequence_id", "offset", "start", "cut"))
+        ids = columns(batch, "ids")[0].to_pylist()
+        for second in (False, True):
+            parts = [x[4 * k :] if second else x[: 4 * k] for x, k in zip(ids, cut.tolist())]
+            new = {
+                "start": pa.array(start + cut * second), "length": pa.array(size - cut if second else cut), "ids_crc32": pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                "sequence_id": pa.array(sequence + second), "offset": pa.array(offset * (not second)), "ids": pa.array(parts, pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else columns(batch, c)[0] for c in FIELDS], FIELDS)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
@@ -275,20 +316,29 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
 
     One row for each piece: doc_id, start (tokens of its document before it), length, ids_crc32,
     doc_tokens, ids (little-endian unsigned 32-bit, null without with_ids), sequence_id, offset.
-    Each text is encoded without special tokens and end_id follows it, so that an empty or null
-    text is one piece of one token. A document is cut after every `length` tokens. Repeated rows
-    are packed each for itself. The driver sees one count for each length. An id of a sequence
-    depends on the order of partitions, everything else on the texts alone.
+    Each text is encoded without special tokens added and end_id follows it, so that an empty or null
+    text is one piece of one token; a text that spells a special token has its id, as the tokenizer gives it. A document
+    is cut after every `length` tokens, and where packs are laid end to end also at a sequence's end; all but the last
+    sequence have at most SLACK of padding where that saves any. Repeated rows are packed each for
+    itself. The driver sees one count for each length. An id of a sequence depends on the order of
+    partitions, everything else but those cuts on the texts alone.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, rank long, part int, ids binary"
-    pieces = written(rows.mapInArrow(on_workers(_pieces, tokenizer_path, length, end_id, with_ids), schema), "pieces")
+    own = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long"
+    made = rows.mapInArrow(on_workers(_pieces, tokenizer_path, length, end_id), f"{own}, rank long, part int, ids binary")
+    pieces = written(made.withColumn("row", F.monotonically_increasing_id()), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
-    runs = slots(shortest_pack_first(histogram, length))
+    kept, opened = laid_open(shortest_pack_first(histogram, length), length)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = pieces.join(shift, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("shift"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "rank").mapInArrow(on_workers(_placed, runs), schema)
+    ranked = pieces.drop("ids").join(shift, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("part", "shift")
+    placed = ranked.mapInArrow(on_workers(_placed, slots(kept, opened, length), length), f"row long, {own}, sequence_id long, offset long, cut long")
+    ids = pieces.select("row", "ids")
+    if opened:
+        placed = written(placed, "placed")
+    found = (placed.join(ids, "row") if with_ids else placed.withColumn("ids", F.lit(None).cast("binary"))).where(F.col("cut") == 0).select(FIELDS)
+    if opened:
+        halves = placed.where(F.col("cut") > 0).join(ids, "row").mapInArrow(on_workers(_halved), f"{own}, sequence_id long, offset long, ids binary")
+        found = found.unionByName(halves if with_ids else halves.withColumn("ids", F.lit(None).cast("binary")))
+    return found
