@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks, scalars
-from ..operators import diagnostics, dyadic, field, graph, inference, joins, niche, panels, residual, sequence, worlds
+from ..operators import diagnostics, dyadic, field, graph, inference, joins, niche, panels, projection, residual, sequence, worlds
 from ..sources.readers import genbank_records
+from ..sources.shared import kept
 from . import inputs
 from .inputs import DYADS, EDGES, FREE, HALF, KERNEL, RECORDS, ROLES, TRAIN, VECTORS, sql_edge_table, sql_fields, sql_near, sql_points, sql_rank, sql_spearman, table
 from .transfer import TransferPlan
@@ -277,14 +278,43 @@ long AS (SELECT 0 AS world, unit, x0 AS exposure, turnover FROM scored UNION ALL
 {sql_spearman('long', 'exposure', 'turnover', by='world, unit', out='score')}"""
 )
 def response_world_scores(spark, sf):
+    train, held = _two_worlds(spark, sf)
+    return rounded(diagnostics.world_scores(train, held, TransferPlan().bandwidth), "score")
+
+
+def _two_worlds(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(train, held) edges with turnover, an array of two responses."""
     rows = inputs.records(spark, sf)
-    plan = TransferPlan()
-    roles = panels.half_split(rows.select("unit").distinct(), plan.tag).select("unit", "role")
+    roles = panels.half_split(rows.select("unit").distinct(), TransferPlan().tag).select("unit", "role")
     edges = graph.knn_edges(rows)
     made = [graph.edge_table(rows, edges, difference=d).withColumnRenamed("turnover", f"t{k}") for k, d in enumerate((F.abs(F.col("l.trait") - F.col("r.trait")), F.pow(F.col("l.trait"), 2) + F.col("r.trait")))]
     both = made[0].join(made[1].select("unit", "a", "b", "t1"), ["unit", "a", "b"]).withColumn("turnover", F.array("t0", "t1")).join(roles, "unit")
-    train, held = _roles(both)
-    return rounded(diagnostics.world_scores(train, held, plan.bandwidth), "score")
+    return _roles(both)
+
+
+@query(ORACLE_SQL["response_world_scores"])
+def stored_response_scores(spark, sf):
+    """The same from a store of kernel projections."""
+    train, held = (kept(x, "edges") for x in _two_worlds(spark, sf))
+    store = projection.prepared(train, held, TransferPlan().bandwidth)
+    return rounded(projection.stored_scores(store, train, held), "score")
+
+
+WORLDS = 64
+
+
+@query()
+def stored_world_scores(spark, sf):
+    """64 responses, tones of the trait, on one store: what a batch of a calibration costs."""
+    tone = lambda k: F.abs(F.cos((k + 1) * F.col("l.trait") / 50.0 + k * F.col("l.coords")[0]) - F.cos((k + 1) * F.col("r.trait") / 50.0 + k * F.col("r.coords")[0]))
+    rows = inputs.records(spark, sf)
+    edges = _edges(spark, sf).drop("turnover", "difference", "length")
+    ends = rows.select("unit", "i", "coords", "trait")
+    l, r = (ends.select("unit", F.col("i").alias(c), F.struct("coords", "trait").alias(n)) for c, n in (("a", "l"), ("b", "r")))
+    responses = edges.join(l, ["unit", "a"]).join(r, ["unit", "b"]).withColumn("turnover", F.array(*(F.round(tone(k), 9) for k in range(WORLDS)))).drop("l", "r")
+    train, held = _roles(kept(responses, "edges"))
+    store = projection.prepared(train, held, TransferPlan().bandwidth)
+    return rounded(projection.stored_scores(store, train, held), "score")
 
 
 @query(
