@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,51 +11,145 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import pearson, rank01
 from ..functions.scalars import dissimilarity
+from ..sources.shared import kept
 from .blocks import blocked, each_pair
 
 
-def _nearest(k_most: int, unit_type: str):
-    def run(a, b, unit):
-        out = {"unit": [], "i": [], "j": [], "d": []}
-        d = np.zeros((len(a["i"]), len(b["i"])))
-        for c in range(a["coords"].shape[1]):
-            step = a["coords"][:, c][:, None] - b["coords"][:, c][None, :]
-            d += step * step
+#: Records of a unit that are compared all with all at once.
+SMALL = 2048
+#: Places in a cell at most, where the side is halved until that holds, LEVELS times at most.
+CROWDED, LEVELS = 256, 16
+#: Dimensions up to which a unit has cells; each point looks into three along each.
+AXES = 3
+
+
+def _best(a: dict, b: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest of b for each of a by (distance, index), never itself."""
+    order = np.argsort(b["i"], kind="stable")
+    near, index = b["coords"][order], b["i"][order]
+    out = []
+    step = max(1, (1 << 21) // max(1, len(index)))
+    for at in range(0, len(a["i"]), step):
+        some = a["coords"][at : at + step]
+        d = np.zeros((len(some), len(index)))
+        for c in range(some.shape[1]):
+            x = some[:, c][:, None] - near[:, c][None, :]
+            d += x * x
         d = np.sqrt(d)
-        d[a["i"][:, None] == b["i"][None, :]] = np.inf
-        for r in range(len(d)):
-            best = np.lexsort((b["i"], d[r]))[:k_most] if len(b["i"]) <= 4 * k_most else _few(d[r], b["i"], k_most)
-            best = best[np.isfinite(d[r][best])]
-            out["i"] += [a["i"][r]] * len(best)
-            out["j"] += b["i"][best].tolist()
-            out["d"] += d[r][best].tolist()
-        n = len(out["i"])
-        kind = pa.int64() if unit_type in ("bigint", "long") else pa.int32() if unit_type == "int" else pa.string()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([unit["unit"]] * n, kind), pa.array(out["i"], pa.int64()), pa.array(out["j"], pa.int64()), pa.array(out["d"], pa.float64())], ["unit", "i", "j", "d"]
-        )
+        d[a["i"][at : at + step, None] == index[None, :]] = np.inf
+        limit = np.partition(d, k - 1, 1)[:, k - 1 : k] if k < len(index) else np.full((len(some), 1), np.inf)
+        row, col = np.nonzero((d <= limit) & np.isfinite(d))
+        few = np.lexsort((col, d[row, col], row))
+        row, col = row[few], col[few]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        row, col = row[place < k], col[place < k]
+        out.append((row + at, order[col], d[row, col]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 2 + (np.zeros(0),)
+
+
+def _arrow(unit_type: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32()}.get(unit_type, pa.string())
+
+
+def _nearest(k: int, unit_type: str):
+    def run(a, b, unit):
+        row, col, d = _best(a, b, k)
+        cols = [pa.array([unit["unit"]] * len(row), _arrow(unit_type)), pa.array(a["i"][row]), pa.array(b["i"][col]), pa.array(d)]
+        return pa.RecordBatch.from_arrays(cols, ["unit", "i", "j", "d"])
 
     return run
 
 
-def _few(d: np.ndarray, index: np.ndarray, k: int) -> np.ndarray:
-    """The k least by distance, then index, without sorting all."""
-    limit = np.partition(d, k - 1)[k - 1]
-    near = np.flatnonzero(d <= limit)
-    return near[np.lexsort((index[near], d[near]))[:k]]
+def _by_blocks(rows: DataFrame, k: int, kind: str) -> DataFrame:
+    """Blocks of a unit meet two by two, and a window keeps the best of each pair's best."""
+    some = blocked(rows, ["unit"], "i", ["coords"])
+    some = each_pair(some, some.withColumnsRenamed({"block": "block_", "of_block": "of_block_"}), ["unit"], _nearest(k, kind), f"unit {kind}, i long, j long, d double")
+    place = F.row_number().over(Window.partitionBy("unit", "i").orderBy("d", "j"))
+    return some.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _at_once(rows: DataFrame, k: int, kind: str) -> DataFrame:
+    """The records of a unit, SMALL at most, compared in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.column("coords").combine_chunks()
+        index = table.column("i").to_numpy()
+        own = {"i": index, "coords": lists.flatten().to_numpy(zero_copy_only=False).reshape(len(index), -1)}
+        row, col, d = _best(own, own, k)
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left") + 1
+        cols = [pa.array([table.column("unit")[0].as_py()] * len(row), _arrow(kind)), pa.array(index[row]), pa.array(index[col]), pa.array(d), pa.array(place.astype(np.int32))]
+        return pa.Table.from_arrays(cols, ["unit", "i", "j", "d", "place"])
+
+    return rows.groupBy("unit").applyInArrow(run, f"unit {kind}, i long, j long, d double, place int")
+
+
+def _cell(at: str, side: Column, axes: int, steps: tuple[int, ...] | None = None) -> Column:
+    """The cell of a place, or that so many steps away along each axis."""
+    return F.array(*(F.floor(F.col(at)[c] / side).cast("long") + (steps[c] if steps else 0) for c in range(axes)))
+
+
+def _by_cells(rows: DataFrame, k: int, axes: int) -> DataFrame:
+    """Exact neighbours by cells around each place, which double until the farthest of the k nearest is no farther than a cell's side.
+
+    What lies outside the cells around a place's own is farther than a side. Records at one place are asked for
+    once, and of those at one place the k + 1 of the least index can be among the nearest of any. The first
+    side of a unit is the largest at which no cell is CROWDED. Each round asks for the places that no earlier one settled, so
+    that the cost follows the rows, times the doublings between the densest cells and the thinnest.
+    """
+    first = F.row_number().over(Window.partitionBy("unit", "coords").orderBy("i"))
+    near = rows.withColumn("n_", first).where(F.col("n_") <= k + 1).drop("n_")
+    extent = [F.max(F.col("coords")[c]) - F.min(F.col("coords")[c]) for c in range(axes)]
+    boxes = near.groupBy("unit").agg(F.greatest(*extent, F.lit(0.0)).alias("widest"), F.count(F.lit(1)).alias("m")) if axes > 1 else near.groupBy("unit").agg(extent[0].alias("widest"), F.count(F.lit(1)).alias("m"))
+    widest = F.when(F.col("widest") > 0, F.col("widest")).otherwise(1.0)
+    boxes = boxes.withColumn("side", widest / F.greatest(F.floor(F.pow(F.col("m"), 1.0 / axes) / 2), F.lit(1)))
+    places = near.select("unit", "coords").distinct().join(boxes.select("unit", "side"), "unit")
+    levels = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    counts = levels.groupBy("unit", "level", "side", _cell("coords", F.col("side") / F.pow(F.lit(2.0), F.col("level")), axes).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    fits = counts.groupBy("unit", "level", "side").agg(F.max("n").alias("n")).where((F.col("n") <= CROWDED) | (F.col("level") == LEVELS))
+    sides = fits.groupBy("unit").agg(F.min("level").alias("level"), F.max("side").alias("side")).select("unit", (F.col("side") / F.pow(F.lit(2.0), F.col("level"))).alias("side"))
+    sides = kept(sides, "sides")
+    near, asks = kept(near, "near"), near.select("unit", "coords").distinct()
+    settled, wider = None, 1.0
+    while True:
+        side = F.col("side") * wider
+        around = F.explode(F.array(*(_cell("coords", side, axes, steps) for steps in itertools.product((-1, 0, 1), repeat=axes)))).alias("cell")
+        looks = asks.join(sides, "unit").select("unit", "coords", side.alias("reach"), around)
+        homes = near.join(sides, "unit").select("unit", F.col("coords").alias("at"), F.col("i").alias("j"), _cell("coords", side, axes).alias("cell"))
+        d = F.sqrt(sum(((F.col("coords")[c] - F.col("at")[c]) * (F.col("coords")[c] - F.col("at")[c]) for c in range(axes)), F.lit(0.0)))
+        met = looks.join(homes, ["unit", "cell"]).select("unit", "coords", "reach", "j", d.alias("d"))
+        place = F.row_number().over(Window.partitionBy("unit", "coords").orderBy("d", "j"))
+        best = met.withColumn("n_", place).where(F.col("n_") <= k + 1).groupBy("unit", "coords").agg(F.sort_array(F.collect_list(F.struct("d", "j"))).alias("found"), F.max("reach").alias("reach"))
+        done = (F.size("found") == k + 1) & (F.element_at("found", -1)["d"] <= F.col("reach") * (1 - 1e-9))  # cells are rounded
+        best = kept(best.select("unit", "coords", "found", done.alias("done")), "round")
+        part = best.where("done").select("unit", "coords", "found")
+        settled = part if settled is None else settled.unionByName(part)
+        asks = best.where("not done").select("unit", "coords")
+        if asks.isEmpty():
+            break
+        wider *= 2
+    others = F.slice(F.filter("found", lambda x: x["j"] != F.col("i")), 1, k)
+    each = rows.join(settled, ["unit", "coords"]).select("unit", "i", F.posexplode(others).alias("place", "x"))
+    return each.select("unit", "i", F.col("x.j").alias("j"), F.col("x.d").alias("d"), (F.col("place") + 1).alias("place"))
 
 
 def nearest(records: DataFrame, k_most: int) -> DataFrame:
-    """(unit, i, j, d): for every record the k_most nearest others of its unit by (distance, index).
+    """(unit, i, j, d, place): for every record the k_most nearest others of its unit by (distance, index).
 
-    Blocks of a unit meet two by two, each pair keeps its best k_most for a record, and a window
-    over those few keeps the best of all.
+    A unit of SMALL records or fewer is compared in one task. Larger ones have cells where there are few
+    dimensions, and blocks that meet two by two where there are many, or where a record wants more
+    neighbours than a cell has.
     """
     kind = dict(records.dtypes)["unit"]
-    rows = blocked(records.select("unit", "i", "coords"), ["unit"], "i", ["coords"])
-    some = each_pair(rows, rows.withColumnsRenamed({"block": "block_", "of_block": "of_block_"}), ["unit"], _nearest(k_most, kind), f"unit {kind}, i long, j long, d double")
-    place = F.row_number().over(Window.partitionBy("unit", "i").orderBy("d", "j"))
-    return some.withColumn("place", place).where(F.col("place") <= k_most)
+    rows = records.select("unit", F.col("i").cast("long").alias("i"), F.transform("coords", lambda x: x.cast("double")).alias("coords"))
+    sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("m_"))
+    sized = rows.join(sizes, "unit")
+    found = _at_once(sized.where(F.col("m_") <= SMALL).drop("m_"), k_most, kind)
+    large = sized.where(F.col("m_") > SMALL).drop("m_")
+    axes = large.agg(F.max(F.size("coords"))).first()[0]  # one number; null where no unit is large
+    if axes is None:
+        return found
+    few = axes <= AXES and k_most < CROWDED
+    return found.unionByName(_by_cells(large, k_most, axes) if few else _by_blocks(large, k_most, kind))
 
 
 def knn_edges(records: DataFrame, k: int = 4, max_distance: float | None = None, k_by_unit: DataFrame | None = None, k_most: int | None = None) -> DataFrame:
