@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_key
+from ..functions.scalars import EARTH_KM, ecef_km, hash_key, haversine_km
+from ..sources.shared import kept
 
 
 def ledger(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -76,32 +77,34 @@ def dedup_places(rows: DataFrame, unit: str, place: list[str], key: str) -> Data
 def thinned(rows: DataFrame, tag: str, least_km: float, most: int) -> DataFrame:
     """(unit, key, lat, lon, rank): places taken in hash order if they lie least_km or more from all taken before, at most `most`.
 
-    rows(unit, key, lat, lon), one for each place. What is taken depends on all that is taken
-    before, so a unit is one group; only its first places in hash order matter once `most` are
-    taken. Taken places are looked up by cells of latitude, so a place is compared with few.
+    rows(unit, key, lat, lon), one for each place. All units are thinned at once, in rounds. The first open place of
+    each cell of space is taken if no open place nearer than least_km comes before it; then the open places near
+    it go. That is what taking them one after another gives, and as their order is a hash, a few
+    rounds settle them. A place meets the one place of each cell around it, however many its own holds.
     """
-    ordered = rows.withColumn("h", hash_key(tag, F.col("unit"), F.col("key")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, cells = [], {}
-        step = least_km / 111.0
-        for r in pdf.sort_values(["h", "key"]).itertuples():
-            band = math.floor(r.lat / step)
-            near = [x for b in (band - 1, band, band + 1) for x in cells.get(b, ())]
-            if near:
-                a = np.radians(np.array(near))
-                p, t = math.radians(r.lat), math.radians(r.lon)
-                h = np.sin((a[:, 0] - p) / 2) ** 2 + np.cos(a[:, 0]) * math.cos(p) * np.sin((a[:, 1] - t) / 2) ** 2
-                if (2 * 6371.0088 * np.arcsin(np.minimum(1, np.sqrt(h))) < least_km).any():
-                    continue
-            cells.setdefault(band, []).append((r.lat, r.lon))
-            out.append((r.unit, r.key, r.lat, r.lon, len(out)))
-            if len(out) == most:
-                break
-        return pd.DataFrame(out, columns=["unit", "key", "lat", "lon", "rank"])
-
     k = dict(rows.dtypes)
-    return ordered.groupBy("unit").applyInPandas(run, f"unit {k['unit']}, key {k['key']}, lat double, lon double, rank long")
+    chord = 2 * EARTH_KM * math.sin(min(math.pi / 2, least_km / (2 * EARTH_KM))) * (1 + 1e-9)
+    cell = F.array(*(F.floor(x / chord).cast("int") for x in ecef_km(F.col("lat"), F.col("lon"))))
+    order = F.struct(hash_key(tag, F.col("unit"), F.col("key")).alias("h"), F.col("key"))
+    left = kept(rows.select("unit", "key", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), order.alias("order")).withColumn("cell", cell), "places")
+    taken = None
+    while not left.isEmpty():
+        first = left.groupBy("unit", "cell").agg(F.min(F.struct("order", "key", "lat", "lon")).alias("x")).select("unit", "cell", "x.*")
+        steps = F.explode(F.array(*(F.array(*(F.col("cell")[c] + s for c, s in enumerate(step))) for step in itertools.product((-1, 0, 1), repeat=3)))).alias("cell")
+        asks = first.select("unit", F.struct("order", "lat", "lon").alias("f"), steps)
+        near = left.join(asks, ["unit", "cell"]).where(haversine_km(F.col("f.lat"), F.col("f.lon"), F.col("lat"), F.col("lon")) < least_km)
+        near = kept(near.select("unit", "f", "order"), "near")
+        blocked = near.where(F.col("order") < F.col("f.order")).select("unit", F.col("f.order").alias("o_")).distinct()
+        new = near.where(F.col("order") == F.col("f.order")).join(blocked, (near["unit"] == blocked["unit"]) & (F.col("f.order") == F.col("o_")), "left_anti").select("unit", F.col("f.order").alias("order"))
+        new = kept(new, "taken")
+        gone = near.join(new.withColumnRenamed("order", "o_").withColumnRenamed("unit", "u_"), (F.col("unit") == F.col("u_")) & (F.col("f.order") == F.col("o_"))).select("unit", "order").distinct()
+        here = left.join(new, ["unit", "order"], "left_semi")
+        taken = here if taken is None else taken.unionByName(here)
+        left = kept(left.join(gone, ["unit", "order"], "left_anti"), "left")
+    if taken is None:
+        return rows.select("unit", "key", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.lit(0).cast("long").alias("rank")).limit(0)
+    place = F.row_number().over(Window.partitionBy("unit").orderBy("order"))
+    return taken.withColumn("rank", place.cast("long") - 1).where(F.col("rank") < most).select("unit", F.col("key").cast(k["key"]).alias("key"), "lat", "lon", "rank")
 
 
 def balanced_schedule(labels: list[str], realizations: int, each: int, seed: int) -> list[tuple[str, ...]]:

@@ -210,6 +210,36 @@ def pooled_transfer_scores(spark, sf):
     return rounded(field.pooled_transfer_scores(train, held, pool, 0.25), "score")
 
 
+_COVERS = """count(DISTINCT {0}.a || '|' || {0}.b) FILTER ((h.mx - t.mx) * (h.mx - t.mx) + (h.my - t.my) * (h.my - t.my) <= CAST(0.05 AS DOUBLE) * CAST(0.05 AS DOUBLE)) / CAST(max({0}.n) AS DOUBLE)"""
+
+
+@query(
+    f"""WITH {EDGES}, {ROLES}, e AS (SELECT x.*, role, count(*) OVER (PARTITION BY x.unit) AS n, avg(mx) OVER (PARTITION BY x.unit) AS cx, avg(my) OVER (PARTITION BY x.unit) AS cy FROM edge_table x JOIN roles r ON x.unit = r.unit),
+p AS (SELECT h.unit AS target, t.unit AS source, {_COVERS.format('h')} AS forward, {_COVERS.format('t')} AS reverse, max(h.n) AS hn, max(t.n) AS tn, max(h.cx) AS hx, max(h.cy) AS hy, max(t.cx) AS tx, max(t.cy) AS ty
+  FROM e h JOIN e t ON h.role = 'held' AND t.role = 'train' GROUP BY 1, 2), c AS (SELECT unit, count(DISTINCT (x, y)) AS n FROM records GROUP BY 1)
+SELECT target, source, round(forward, 6) AS forward, round(reverse, 6) AS reverse, round(ln(1 + sqrt((hx - tx) * (hx - tx) + (hy - ty) * (hy - ty)) / CAST(0.05 AS DOUBLE)), 6) AS apart, round(ln(tn / CAST(hn AS DOUBLE)), 6) AS edges_ratio, round(ln(s.n / CAST(c.n AS DOUBLE)), 6) AS localities_ratio
+FROM p JOIN c ON c.unit = target JOIN c AS s ON s.unit = source WHERE forward >= 0.5"""
+)
+def pool_geometry_features(spark, sf):
+    """What same- and different-group sources are matched by: coverage both ways, centroids, edges and localities."""
+    return rounded(_pool_features(spark, sf), *joins.FEATURES)
+
+
+def _pool_features(spark, sf) -> DataFrame:
+    rows = inputs.records(spark, sf)
+    train, held = _roles(_edges(spark, sf))
+    middle = lambda e: kept(e.select("unit", F.concat_ws("|", "unit", "a", "b").alias("i"), F.col("mid")[0].alias("x"), F.col("mid")[1].alias("y")), "middles")
+    places = rows.groupBy("unit").agg(F.count_distinct("coords").alias("n"))
+    return joins.pool_features(middle(held), middle(train), places, places, ["x", "y"], 0.05, 0.5)
+
+
+@query()
+def geometry_matched_pools(spark, sf):
+    """Sources of a target's group, by the unit's number modulo 3, each with one of another group that is like it in geometry."""
+    groups = inputs.records(spark, sf).select("unit").distinct().withColumn("grp", (F.col("unit") % 3).cast("string"))
+    return rounded(joins.matched_pools(_pool_features(spark, sf), groups, 5), "distance")
+
+
 @query(
     f"WITH {EDGES}, {ROLES}, {TRAIN}, {sql_points()}, {sql_fields({'exposure': ('turnover', 0.0)}, keys=', t.unit AS source')}, named AS (SELECT * REPLACE (CAST(source AS VARCHAR) AS source) FROM scored) {sql_spearman('named', 'exposure', 'turnover', by='unit, source', out='score')}"
 )
