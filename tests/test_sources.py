@@ -15,9 +15,9 @@ def test_exact_headers(spark, tmp_path):
 def test_fasta_and_headers(spark, tmp_path):
     path = tmp_path / "a.fa"
     path.write_bytes(b">ID0 one\nACgt\nAC\n>ID1\n\nNNNN\n>ID2\n--AC")
-    got = [(r["header"], r["sequence"]) for r in readers.fasta(spark, str(path)).orderBy("place").collect()]
+    got = [(r["header"], r["sequence"]) for r in readers.fasta(spark, str(path)).orderBy("number").collect()]
     assert got == [("ID0 one", "ACGTAC"), ("ID1", "NNNN"), ("ID2", "--AC")]
-    assert [r["header"] for r in readers.fasta_headers(spark, str(path)).orderBy("place").collect()] == ["ID0 one", "ID1", "ID2"]
+    assert [r["header"] for r in readers.fasta_headers(spark, str(path)).orderBy("number").collect()] == ["ID0 one", "ID1", "ID2"]
 
 
 def test_flat_files_stop_at_the_sequence(spark, tmp_path):

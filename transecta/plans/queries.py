@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import ranks, scalars
 from ..operators import diagnostics, dyadic, field, graph, inference, joins, niche, panels, projection, residual, sequence, worlds
 from ..sources.readers import genbank_records
-from ..sources.shared import kept
+from ..sources import records
+from ..sources.ledger import Run
+from ..sources.shared import folder, kept
 from . import inputs
 from .inputs import DYADS, EDGES, FREE, HALF, KERNEL, RECORDS, ROLES, TRAIN, VECTORS, sql_edge_table, sql_fields, sql_near, sql_points, sql_rank, sql_spearman, table
 from .transfer import TransferPlan
@@ -524,6 +527,35 @@ def greedy_matching(spark, sf):
     return joins.greedy_match(costs)
 
 
+# ---- records and runs --------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))) AS sequence_sha256, true AS placed FROM documents")
+def numbered_records(spark, sf):
+    """Letters of documents as records of files, read in byte ranges; placed: whether a record has its place in its file as number."""
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("s"))
+    lines = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.concat(F.lit(">"), "doc_id", F.lit("\n"), F.regexp_replace("s", "(.{60})", "$1\n")))
+    path = f"{folder(spark)}/records-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    found = records.numbered(spark, path, split=1 << 18)
+    place = F.row_number().over(Window.partitionBy("path").orderBy(F.col("header").cast("long"))) - 1
+    return found.select(F.col("header").cast("long").alias("doc_id"), F.sha2(F.col("sequence").cast("binary"), 256).alias("sequence_sha256"), (F.col("number") == place).alias("placed"))
+
+
+@query("SELECT event_type AS label, user_id % 8 AS replicate, count(*) AS events, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+def resumed_shards(spark, sf):
+    """Figures of events in shards of type and user, from a run that is stopped after its first batch and started again."""
+    events = table(spark, sf, "events").select(F.col("event_type").alias("label"), (F.col("user_id") % 8).alias("replicate"), "value")
+    plan, path = events.select("label", "replicate").distinct(), f"{folder(spark)}/run-{uuid.uuid4().hex}"
+    compute = lambda shards: events.join(shards, ["label", "replicate"]).groupBy("label", "replicate").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("value"), 6).alias("mean_value"))
+    schema = "label string, replicate long, events long, mean_value double"
+    first = Run(spark, path, schema)
+    some = plan.where("replicate < 4")
+    first.commit(some, compute(some))
+    Run(spark, path, schema).resume(plan, compute, 24)
+    return Run(spark, path, schema).results()
+
+
 # ---- panels ------------------------------------------------------------------------------------
 
 

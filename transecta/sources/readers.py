@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import SPLIT_BYTES, numbered
+
 # Column names of the two archive tables.
 GENES = "gene dir proportion_retained num_seqs_unaligned num_seqs_aligned kingdom phylum class order family genus species subspecies different_genbank_species".split()
 OCCURRENCES = "phylogatr_id accession source_id latitude longitude basis_of_record coordinate_uncertainty_in_meters issue flag".split()
@@ -34,23 +36,14 @@ def at_least(rows: DataFrame, unit: str, least: int) -> DataFrame:
     return rows.join(rows.groupBy(unit).count().where(F.col("count") >= least).select(unit), unit, "left_semi")
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(path, position, header, sequence): records of aligned FASTA files in file order, sequences in upper case.
-
-    A record is split off by its line feed and mark, so files are read in parts.
-    """
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
-    rows = rows.withColumn("place", F.monotonically_increasing_id())
-    text = F.regexp_replace("value", r"^>", "")
-    header = F.trim(F.regexp_extract(text, r"^([^\n\r]*)", 1))
-    body = F.upper(F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"[\s>]", ""))
-    return rows.select("path", "place", header.alias("header"), body.alias("sequence")).where(F.length("header") > 0)
+def fasta(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataFrame:
+    """(path, number, header, sequence): records of aligned FASTA files, numbered in file order, sequences in upper case. Files are read in byte ranges."""
+    return numbered(spark, path, True, split)
 
 
-def fasta_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, header) without keeping any sequence line."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), "value")
-    return rows.where(F.col("value").startswith(">")).select("path", "place", F.trim(F.substr("value", F.lit(2))).alias("header"))
+def fasta_headers(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataFrame:
+    """(path, number, header) without keeping any sequence line."""
+    return numbered(spark, path, False, split)
 
 
 def genbank(spark: SparkSession, path: str) -> DataFrame:
