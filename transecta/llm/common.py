@@ -124,6 +124,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that written() returned; to be called when nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if folder.split("://")[-1].lstrip("/").startswith(run_dir(spark).split("://")[-1].lstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete the tables and shards that this application has left in the shared folder; to be called when its results have been read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
