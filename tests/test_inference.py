@@ -150,10 +150,10 @@ def test_intervals_of_correlations_and_differences(spark):
 def test_absorption_equals_dummy_regression_on_incomplete_designs(spark):
     rng = random.Random(5)
     rows = [(f"s{i}", f"t{j}", rng.random(), rng.random()) for i in range(9) for j in range(6) if rng.random() < 0.5 or j == i % 6 or j == 0]
-    for swap in (False, True):
+    for swap, most in ((False, 4096), (True, 4096), (False, 1)):  # by the driver, by steps over tables
         df = spark.createDataFrame(rows, "target string, source string, y double, z double" if swap else "source string, target string, y double, z double")
         x = np.array([[float(r[0] == f"s{i}") for i in range(9)] + [float(r[1] == f"t{j}") for j in range(6)] for r in rows])
-        found = {(r["source"], r["target"]): (r["y"], r["z"]) for r in dyadic.absorbed(df, ["y", "z"]).collect()}
+        found = {(r["source"], r["target"]): (r["y"], r["z"]) for r in dyadic.absorbed(df, ["y", "z"], most=most).collect()}
         for k in range(2):
             y = np.array([r[2 + k] for r in rows])
             left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
@@ -161,11 +161,22 @@ def test_absorption_equals_dummy_regression_on_incomplete_designs(spark):
     apart = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "z", 3.0), ("b", "w", 1.0)], "source string, target string, y double")
     with pytest.raises(ValueError, match="not connected"):
         dyadic.absorbed(apart, ["y"])
-    with pytest.raises(ValueError, match="more than 1"):
+    with pytest.raises(ValueError, match="not connected"):
         dyadic.absorbed(apart, ["y"], most=1)
     assert dyadic.absorbed(apart.limit(0), ["y"]).collect() == []
 
 
+def test_steps_over_tables_equal_the_exact_solution(spark):
+    rng = np.random.default_rng(8)
+    rows = {(int(a), int(b)) for a, b in zip(rng.integers(0, 400, 3000), rng.integers(0, 300, 3000))} | {(i, i % 300) for i in range(400)} | {(i, (i + 1) % 300) for i in range(400)}
+    df = spark.createDataFrame([(a, b, float(rng.normal()), float(a == 7)) for a, b in sorted(rows)], "source long, target long, y double, z double")
+    exact, steps = ({(r["source"], r["target"]): (r["y"], r["z"]) for r in dyadic.absorbed(df, ["y", "z"], most=most).collect()} for most in (4096, 10))
+    assert exact.keys() == steps.keys() and max(abs(a - b) for k in exact for a, b in zip(exact[k], steps[k])) < 1e-9
+    assert dyadic.connected(df.selectExpr("source AS b_", "target AS f_"))
+    assert not dyadic.connected(spark.createDataFrame([(k, k) for k in range(40)], "b_ long, f_ long"))
+    assert dyadic.connected(spark.createDataFrame([(k // 2, (k + 1) // 2) for k in range(60)], "b_ long, f_ long"))
+
+
 def test_simulated_dyads_are_tested_as_the_operator_does(spark):
     found = worlds.detectability(spark, [0.2], [0.0], 5, 3, 6, 5).collect()
     rejections = 0
@@ -227,3 +238,36 @@ def test_world_scores_of_one_response_are_the_transfer_scores(spark):
     train, held = (edges.where(F.col("role") == r).drop("role") for r in ("train", "held"))
     one = {r["unit"]: r["score"] for r in diagnostics.world_scores(train, held, plan.bandwidth).collect()}
     assert all(abs(one[r["unit"]] - r["score"]) < 1e-5 for r in run(spark, "transfer_scores"))
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    rng = np.random.default_rng(12)
+    rows = [("even", i, float(x)) for i, x in enumerate(rng.normal(0.05, 1, 900))] + [("skewed", i, float(x)) for i, x in enumerate(rng.exponential(1, 400) - 0.95)]
+    rows += [("few", i, float(i)) for i in range(5)] + [("same", i, 2.0) for i in range(9)] + [("even", 10_000, float("nan")), ("even", 10_001, None)]
+    return rows, spark.createDataFrame(rows, "g string, i long, x double")
+
+
+def test_a_bootstrap_without_a_group_in_a_task(groups, monkeypatch):
+    rows, df = groups
+    want = {r["g"]: r for r in inference.bootstrap_test(df.where("g <> 'few'"), "x", ["g"], 1999, 3).collect()}
+    for most in (1 << 16, 50):
+        monkeypatch.setattr(inference, "RESAMPLED", most)
+        found = {r["g"]: r for r in inference.spread_bootstrap_test(df, "x", ["g"], "i", 1999, 3).collect()}
+        assert set(found) == {"even", "skewed", "few", "same"} and found["few"]["t"] is None and found["few"]["p"] is None
+        for g, r in want.items():
+            assert found[g]["n"] == r["n"] and abs(found[g]["mean"] - r["mean"]) < 1e-12 and (g == "same" or abs(found[g]["t"] - r["t"]) < 1e-9)
+            assert abs(found[g]["p"] - r["p"]) < 4 * math.sqrt(r["p"] * (1 - r["p"]) / 1999 * 2) + 1e-3
+        again = {r["g"]: r["p"] for r in inference.spread_bootstrap_test(df.repartition(7).orderBy("x"), "x", ["g"], "i", 1999, 3).collect()}
+        assert again == {g: r["p"] for g, r in found.items()}
+
+
+def test_resamples_have_the_spread_of_a_mean(groups, monkeypatch):
+    rows, df = groups
+    monkeypatch.setattr(inference, "RESAMPLED", 60)
+    for r in inference.spread_mean_interval(df.where("g <> 'few'"), "x", ["g"], "i", 1999, 5).collect():
+        x = np.array([v for g, _, v in rows if g == r["g"] and v is not None and np.isfinite(v)])
+        half = 1.96 * x.std() / math.sqrt(len(x))
+        assert abs(r["low"] - (x.mean() - half)) < 0.15 * half + 1e-12 and abs(r["high"] - (x.mean() + half)) < 0.15 * half + 1e-12
+    sums = inference.resampled_sums(df.where("g = 'same'"), "x", ["g"], "i", 99, 1).collect()
+    assert len(sums) == 99 and all(r["s1"] == 0 and r["s2"] == 0 for r in sums)

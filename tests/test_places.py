@@ -27,9 +27,10 @@ def test_block_pairs_are_many_keys(spark):
             spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-@pytest.mark.parametrize("places", [256, 1])
-def test_coverage_in_crowded_cells(spark, monkeypatch, places):
-    monkeypatch.setattr(joins, "PLACES", places)
+@pytest.mark.parametrize("places, sources, targets, distances", [(4096, 16384, 2048, 1 << 21), (1, 16384, 2048, 1 << 21), (4096, 7, 5, 40), (2, 3, 4, 9)])
+def test_coverage_in_crowded_cells(spark, monkeypatch, places, sources, targets, distances):
+    for name, value in (("PLACES", places), ("SOURCES", sources), ("TARGETS", targets), ("DISTANCES", distances), ("GATHERED", 30)):
+        monkeypatch.setattr(joins, name, value)
     rng = np.random.default_rng(4)
     rows = [(f"u{k % 4}", k, float(x), float(y)) for k, (x, y) in enumerate(rng.random((120, 2)).round(2))]
     df = spark.createDataFrame(rows, "unit string, i long, x double, y double")

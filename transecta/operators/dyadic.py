@@ -9,50 +9,109 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import spearman
+from ..sources.shared import kept
 
 
-#: Levels of the smaller side of a design, whose normal equations the driver solves.
+#: Levels of the smaller side of a design up to which the driver solves its normal equations; beyond, they are solved by steps over tables.
 MOST_LEVELS = 4096
+#: Of the normal equations' right-hand sides what may be left at the end, and steps at most.
+TOLERANCE, STEPS = 1e-13, 1000
 
 
 def absorbed(dyads: DataFrame, columns: list[str], source: str = "source", target: str = "target", most: int = MOST_LEVELS) -> DataFrame:
     """dyads with the columns' residuals on source and target effects in place of them, for any connected design.
 
-    The larger side's effects are eliminated by aggregation, and the driver solves the normal equations of the smaller
-    side, at most `most` levels. A design that is not connected, or whose both sides have more levels, is an error.
+    The larger side's effects are eliminated by aggregation over the cells of the design. The normal equations of the
+    smaller side are solved by the driver if it has `most` levels at most, else by conjugate gradients with a table as the
+    vector, until TOLERANCE certifies what is left of them. A design that is not connected is an error.
     """
-    sizes = dyads.agg(F.count_distinct(source).alias("s"), F.count_distinct(target).alias("t")).first()
-    if min(sizes) > most:
-        raise ValueError(f"both sides have more than {most} levels")
+    dyads = kept(dyads, "dyads")
+    cells = dyads.groupBy(F.col(source).alias("s_"), F.col(target).alias("t_")).agg(F.count(F.lit(1)).alias("n_"), *(F.sum(c).alias(f"y{i}_") for i, c in enumerate(columns)))
+    cells = kept(cells, "cells")
+    sizes = cells.agg(F.count_distinct("s_").alias("s"), F.count_distinct("t_").alias("t")).first()
     if not sizes["s"]:
         return dyads
-    big, few = (source, target) if sizes["s"] >= sizes["t"] else (target, source)
-    cells = dyads.groupBy(F.col(big).alias("b_"), F.col(few).alias("f_")).agg(F.count(F.lit(1)).alias("n_"), *(F.sum(c).alias(f"y{i}_") for i, c in enumerate(columns)))
+    big, few = ("s_", "t_") if sizes["s"] >= sizes["t"] else ("t_", "s_")
+    cells = cells.withColumnsRenamed({big: "b_", few: "f_"})
     totals = cells.groupBy("b_").agg(F.sum("n_").alias("all_"), *(F.sum(f"y{i}_").alias(f"m{i}_") for i in range(len(columns))))
-    rows = cells.join(totals, "b_")
-    other = cells.select("b_", F.col("f_").alias("g_"), F.col("n_").alias("o_"))
-    shared = rows.join(other, "b_").groupBy("f_", "g_").agg(F.sum(F.col("n_") * F.col("o_") / F.col("all_")).alias("x")).collect()
-    right = rows.groupBy("f_").agg(F.sum("n_").alias("n"), *(F.sum(F.col(f"y{i}_") - F.col("n_") * F.col(f"m{i}_") / F.col("all_")).alias(f"v{i}") for i in range(len(columns)))).collect()
-    names = [r["f_"] for r in right]
-    at = {x: k for k, x in enumerate(names)}
-    normal = np.diag([float(r["n"]) for r in right])
-    for r in shared:
-        normal[at[r["f_"]], at[r["g_"]]] -= r["x"]
-    value = np.array([[r[f"v{i}"] for i in range(len(columns))] for r in right], float)
+    right = cells.join(totals, "b_").groupBy("f_").agg(F.sum("n_").cast("double").alias("n"), *(F.sum(F.col(f"y{i}_") - F.col("n_") * F.col(f"m{i}_") / F.col("all_")).alias(f"v{i}") for i in range(len(columns))))
+    names = {"s_": source, "t_": target}
+    if min(sizes) <= most:
+        effects = F.broadcast(_solved(cells, totals, right, len(columns)))  # at most `most` rows
+    else:
+        effects = _stepped(cells, totals, kept(right, "right"), len(columns))
+    effects = effects.withColumnRenamed("f_", names[few])
+    out = dyads.join(effects, names[few]).withColumns({c: F.col(c) - F.col(f"e{i}_") for i, c in enumerate(columns)}).drop(*(f"e{i}_" for i in range(len(columns))))
+    means = out.groupBy(names[big]).agg(*(F.avg(c).alias(f"m{i}_") for i, c in enumerate(columns)))
+    out = out.join(means, names[big]).withColumns({c: F.col(c) - F.col(f"m{i}_") for i, c in enumerate(columns)})
+    return out.select(*dyads.columns)
+
+
+def _solved(cells: DataFrame, totals: DataFrame, right: DataFrame, columns: int) -> DataFrame:
+    """(f_, e0_, ...): the effects by the driver; of the symmetric equations one triangle comes as Arrow columns."""
+    side = right.orderBy("f_").toArrow()
+    level = side.column("f_").to_pylist()
+    numbers = cells.sparkSession.createDataFrame(list(enumerate(level)), f"k int, f_ {dict(cells.dtypes)['f_']}")
+    rows = cells.join(F.broadcast(numbers), "f_").join(totals.select("b_", "all_"), "b_").select("b_", "k", "n_", "all_")
+    other = rows.select("b_", F.col("k").alias("g"), F.col("n_").alias("o_"))
+    shared = rows.join(other, "b_").where(F.col("k") <= F.col("g")).groupBy("k", "g").agg(F.sum(F.col("n_") * F.col("o_") / F.col("all_")).alias("x")).toArrow()
+    k, g, x = (shared.column(c).to_numpy() for c in ("k", "g", "x"))
+    normal = np.diag(side.column("n").to_numpy())
+    np.subtract.at(normal, (k, g), x)
+    off = k != g
+    np.subtract.at(normal, (g[off], k[off]), x[off])
+    value = np.stack([side.column(f"v{i}").to_numpy() for i in range(columns)], 1)
     effects = np.zeros_like(value)
-    if len(names) > 1:
+    if len(level) > 1:
         spread = np.linalg.eigvalsh(normal[:-1, :-1])
         if spread[0] <= 1e-10 * max(1.0, spread[-1]):
             raise ValueError("the design of sources and targets is not connected")
         effects[:-1] = np.linalg.solve(normal[:-1, :-1], value[:-1])
-    spark = dyads.sparkSession
-    kind = dict(dyads.dtypes)[few]
-    table = spark.createDataFrame([(x, *map(float, e)) for x, e in zip(names, effects)], f"`{few}` {kind}, " + ", ".join(f"e{i}_ double" for i in range(len(columns))))
-    out = dyads.join(F.broadcast(table), few)  # at most `most` rows
-    out = out.withColumns({c: F.col(c) - F.col(f"e{i}_") for i, c in enumerate(columns)}).drop(*(f"e{i}_" for i in range(len(columns))))
-    means = out.groupBy(big).agg(*(F.avg(c).alias(f"m{i}_") for i, c in enumerate(columns)))
-    out = out.join(means, big).withColumns({c: F.col(c) - F.col(f"m{i}_") for i, c in enumerate(columns)})
-    return out.select(*dyads.columns)
+    found = [(x, *map(float, e)) for x, e in zip(level, effects)]
+    return cells.sparkSession.createDataFrame(found, f"f_ {dict(cells.dtypes)['f_']}, " + ", ".join(f"e{i}_ double" for i in range(columns)))
+
+
+def connected(cells: DataFrame) -> bool:
+    """Whether all levels of cells(b_, f_) hang together: each takes the least label of those that it shares a cell with, until none changes."""
+    pairs = cells.select("b_", "f_").distinct()
+    labels = kept(pairs.select("f_").distinct().withColumn("label", F.monotonically_increasing_id()), "labels")
+    while True:
+        least = pairs.join(labels, "f_").groupBy("b_").agg(F.min("label").alias("label"))
+        for _ in range(3):  # a few steps for each table that is written
+            near = pairs.join(least, "b_").groupBy("f_").agg(F.min("label").alias("label"))
+            least = pairs.join(near, "f_").groupBy("b_").agg(F.min("label").alias("label"))
+        new = kept(pairs.join(least, "b_").groupBy("f_").agg(F.min("label").alias("new")).join(labels, "f_"), "labels")
+        if new.where("new < label").isEmpty():
+            return new.agg(F.count_distinct("new")).first()[0] <= 1
+        labels = new.select("f_", F.col("new").alias("label"))
+
+
+def _stepped(cells: DataFrame, totals: DataFrame, right: DataFrame, columns: int) -> DataFrame:
+    """(f_, e0_, ...): the effects by conjugate gradients, each level's equation over its count; the driver sees a few numbers for each step."""
+    if not connected(cells):
+        raise ValueError("the design of sources and targets is not connected")
+    rows = cells.select("b_", "f_", "n_")
+    every = range(columns)
+    size = right.agg(*(F.sum(F.col(f"v{i}") * F.col(f"v{i}") / F.col("n")).alias(f"r{i}") for i in every)).first()
+    start, rz = [size[f"r{i}"] for i in every], [size[f"r{i}"] for i in every]
+    now = right.select("f_", "n", *(c for i in every for c in (F.lit(0.0).alias(f"x{i}"), F.col(f"v{i}").alias(f"r{i}"), (F.col(f"v{i}") / F.col("n")).alias(f"p{i}"))))
+    for _ in range(STEPS):
+        if all(a <= TOLERANCE * TOLERANCE * b for a, b in zip(rz, start)):
+            break
+        means = rows.join(now.select("f_", *(f"p{i}" for i in every)), "f_").groupBy("b_").agg(*(F.sum(F.col("n_") * F.col(f"p{i}")).alias(f"w{i}") for i in every))
+        means = means.join(totals.select("b_", "all_"), "b_").select("b_", *((F.col(f"w{i}") / F.col("all_")).alias(f"w{i}") for i in every))
+        taken = rows.join(means, "b_").groupBy("f_").agg(*(F.sum(F.col("n_") * F.col(f"w{i}")).alias(f"w{i}") for i in every))
+        now = kept(now.join(taken, "f_").withColumns({f"q{i}": F.col("n") * F.col(f"p{i}") - F.col(f"w{i}") for i in every}).drop(*(f"w{i}" for i in every)), "step")
+        pq = now.agg(*(F.sum(F.col(f"p{i}") * F.col(f"q{i}")).alias(f"s{i}") for i in every)).first()
+        alpha = [rz[i] / pq[f"s{i}"] if pq[f"s{i}"] else 0.0 for i in every]
+        now = now.withColumns({f"x{i}": F.col(f"x{i}") + alpha[i] * F.col(f"p{i}") for i in every} | {f"r{i}": F.col(f"r{i}") - alpha[i] * F.col(f"q{i}") for i in every})
+        new = now.agg(*(F.sum(F.col(f"r{i}") * F.col(f"r{i}") / F.col("n")).alias(f"s{i}") for i in every)).first()
+        beta = [new[f"s{i}"] / rz[i] if rz[i] else 0.0 for i in every]
+        rz = [new[f"s{i}"] for i in every]
+        now = now.withColumns({f"p{i}": F.col(f"r{i}") / F.col("n") + beta[i] * F.col(f"p{i}") for i in every}).drop(*(f"q{i}" for i in every))
+    else:
+        raise ValueError(f"effects are not settled after {STEPS} steps")
+    return now.select("f_", *(F.col(f"x{i}").alias(f"e{i}_") for i in every))
 
 
 def _gram(rows: DataFrame, columns: list[str]) -> np.ndarray:

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,80 @@ def bootstrap_test(scores: DataFrame, score: str, by: list[str], resamples: int
     return scores.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "mean double", "t double", "p double"]))
 
 
+#: Rows of a group that one task resamples, on average.
+RESAMPLED = 1 << 16
+
+
+def _drawn_sums(resamples: int, seed: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Sums of one block's part of every resample."""
+        order = np.argsort(table.column("row_").to_numpy(zero_copy_only=False), kind="stable")
+        x, block = table.column("x_").to_numpy()[order], table.column("block_")[0].as_py()
+        sizes, group = np.array(table.column("sizes_")[0].as_py(), np.int64), table.column("group_")[0].as_py() & (1 << 63) - 1
+        splits, left = np.random.default_rng([seed, group]), np.full(resamples, sizes.sum())
+        for k in range(block + 1):  # how many of each resample's draws fall on the blocks up to this one
+            mine = splits.binomial(left, sizes[k] / max(1, sizes[k:].sum()))
+            left = left - mine
+        rng, sums = np.random.default_rng([seed, group, block]), np.empty((2, resamples))
+        each = max(1, DRAWS // max(1, int(mine.max())))
+        for at in range(0, resamples, each):
+            n = mine[at : at + each]
+            drawn = x[rng.integers(0, len(x), n.sum())]
+            ends = np.cumsum(n)
+            for out, v in zip(sums, (drawn, drawn * drawn)):
+                upto = np.append(0.0, np.cumsum(v))
+                out[at : at + each] = upto[ends] - upto[ends - n]
+        keys = [c for c in table.column_names if c not in ("row_", "x_", "block_", "sizes_", "group_")]
+        first = table.slice(0, 1)
+        cols = [pa.concat_arrays([first.column(c).combine_chunks()]).take(pa.array(np.zeros(resamples, np.int64))) for c in keys]
+        return pa.Table.from_arrays([*cols, pa.array(np.arange(resamples, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], [*keys, "replicate", "s1", "s2"])
+
+    return run
+
+
+def resampled_sums(scores: DataFrame, score: str, by: list[str], row: str, resamples: int = 1999, seed: int = 0) -> DataFrame:
+    """(by, replicate, s1, s2): sums of the scores and of their squares in each of so many resamples of a group with replacement, less the group's mean.
+
+    A group of any size is dealt to blocks by a hash of `row`, which tells its rows apart. A resample's draws
+    are split over the blocks by binomials that every task draws alike from the seed and the group, and each block draws
+    its own; so no task sees a group, and nothing depends on partitions. Scores that are null or not finite are left out.
+    """
+    kinds, name = dict(scores.dtypes), F.col(row).cast("string")
+    x = F.col(score).cast("double")
+    rows = scores.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))).select(*by, name.alias("row_"), x.alias("x_"))
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), F.avg("x_").alias("mean_"))
+    dealt = rows.join(counts, by).withColumn("block_", F.pmod(F.xxhash64("row_"), F.ceil(F.col("n_") / F.lit(float(RESAMPLED)))).cast("int"))
+    dealt = dealt.select(*by, "row_", (F.col("x_") - F.col("mean_")).alias("x_"), "block_", F.ceil(F.col("n_") / F.lit(float(RESAMPLED))).cast("int").alias("of_"))
+    filled = dealt.groupBy(*by, "of_", "block_").agg(F.count(F.lit(1)).alias("m_")).groupBy(*by, "of_").agg(F.map_from_entries(F.collect_list(F.struct("block_", "m_"))).alias("m_"))
+    sizes = filled.select(*by, F.transform(F.sequence(F.lit(0), F.col("of_") - 1), lambda k: F.coalesce(F.col("m_")[k], F.lit(0))).alias("sizes_"))
+    ready = dealt.join(sizes, by).withColumn("group_", F.xxhash64(*(F.col(c).cast("string") for c in by))).drop("of_")
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate int, s1 double, s2 double"])
+    return ready.groupBy(*by, "block_").applyInArrow(_drawn_sums(resamples, seed), schema).groupBy(*by, "replicate").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+
+
+def spread_bootstrap_test(scores: DataFrame, score: str, by: list[str], row: str, resamples: int = 1999, seed: int = 0) -> DataFrame:
+    """(by, n, mean, t, p): bootstrap_test() by resampled_sums(), for groups of any size; t and p are null under six scores."""
+    x = F.col(score).cast("double")
+    finite = scores.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    seen = finite.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
+    t = lambda mean, sd: F.when(sd / F.sqrt("n") > 2.2250738585072014e-308, mean / (sd / F.sqrt("n"))).when(mean == 0, 0.0).otherwise(F.signum(mean) * F.lit(float("inf")))
+    seen = seen.withColumn("t", t(F.col("mean"), F.col("sd"))).drop("sd")
+    null = resampled_sums(scores, score, by, row, resamples, seed).join(seen, by)
+    mean = F.col("s1") / F.col("n")
+    sd = F.sqrt(F.greatest((F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
+    counts = null.groupBy(*by).agg(((1 + F.count_if(t(mean, sd) >= F.col("t"))) / (resamples + 1)).alias("p"))
+    enough = F.col("n") >= 6
+    return seen.join(counts, by).select(*by, "n", "mean", F.when(enough, F.col("t")).alias("t"), F.when(enough, F.col("p")).alias("p"))
+
+
+def spread_mean_interval(scores: DataFrame, score: str, by: list[str], row: str, resamples: int = 1999, seed: int = 0) -> DataFrame:
+    """(by, n, mean, low, high): percentile_interval() by resampled_sums(), for groups of any size."""
+    x = F.col(score).cast("double")
+    seen = scores.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"))
+    means = resampled_sums(scores, score, by, row, resamples, seed).join(seen, by).withColumn("m_", F.col("mean") + F.col("s1") / F.col("n"))
+    return means.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.percentile("m_", 0.025).alias("low"), F.percentile("m_", 0.975).alias("high"))
+
+
 def _intervals(scores: DataFrame, by: list[str], name: str, seen, drawn) -> DataFrame:
     """(by, n, name, low, high): a statistic of a group's rows and the 2.5 and 97.5 percentiles of its resamples."""
 

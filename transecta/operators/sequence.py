@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import masked_distance
 
 
 def mask(sequence: Column) -> Column:
@@ -35,18 +36,49 @@ def fingerprint(records: DataFrame, unit: str = "unit", order: str = "i", places
     return units.agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("records"), whole.alias("sha256"))
 
 
+LETTERS = "ACGT"
+#: Columns of a sequence that one word of each plane holds.
+WORD = 64
+
+
+def planes(sequence: Column) -> Column:
+    """array<struct<A, C, G, T>>: for every 64 columns of a sequence four words, whose bits say where that letter is; small letters count as capitals."""
+    words = F.when(F.length(sequence) > 0, F.sequence(F.lit(0), ((F.length(sequence) - 1) / WORD).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def word(k: Column) -> Column:
+        part = F.rpad(F.upper(F.substr(sequence, k * WORD + 1, F.lit(WORD))), WORD, "-")
+        bits = lambda letter: F.conv(F.replace(F.regexp_replace(part, f"[^{letter}]", "0"), F.lit(letter), F.lit("1")), 2, -10).cast("long")
+        return F.struct(*(bits(x).alias(x) for x in LETTERS))
+
+    return F.transform(words, word)
+
+
+def compared(left: Column, right: Column) -> Column:
+    """struct<comparable, equal>: columns where both planes have a letter, and where it is the same; what one sequence lacks is not comparable."""
+
+    def word(x: Column, y: Column) -> Column:
+        anyone = lambda w: reduce(lambda a, b: a.bitwiseOR(b), (w[c] for c in LETTERS))
+        equal = sum((F.bit_count(x[c].bitwiseAND(y[c])) for c in LETTERS[1:]), F.bit_count(x[LETTERS[0]].bitwiseAND(y[LETTERS[0]])))
+        return F.struct(F.coalesce(F.bit_count(anyone(x).bitwiseAND(anyone(y))), F.lit(0)).alias("comparable"), F.coalesce(equal, F.lit(0)).alias("equal"))
+
+    start = F.struct(F.lit(0).alias("comparable"), F.lit(0).alias("equal"))
+    add = lambda s, w: F.struct((s["comparable"] + w["comparable"]).alias("comparable"), (s["equal"] + w["equal"]).alias("equal"))
+    return F.aggregate(F.zip_with(left, right, word), start, add)
+
+
 def edge_sequence_distances(sequences: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     """(unit, a, b, n_pairs, distance, comparable): mean masked distance of the sequences of an edge's two localities.
 
     sequences(unit, loc, sequence). Pairs with fewer than `least` comparable columns do not count;
-    an edge without any pair has a null distance.
+    an edge without any pair has a null distance. A sequence is packed once, and pairs of them meet as words.
     """
-    left = sequences.select("unit", F.col("loc").alias("a"), F.col("sequence").alias("l"))
-    right = sequences.select("unit", F.col("loc").alias("b"), F.col("sequence").alias("r"))
+    packed = sequences.select("unit", "loc", planes(F.col("sequence")).alias("planes"))
+    left, right = (packed.select("unit", F.col("loc").alias(end), F.col("planes").alias(name)) for end, name in (("a", "l"), ("b", "r")))
     pairs = edges.select("unit", "a", "b").join(left, ["unit", "a"]).join(right, ["unit", "b"])
-    both = F.length(F.replace(F.translate(F.concat_ws("", F.zip_with(F.split(mask(F.col("l")), ""), F.split(mask(F.col("r")), ""), lambda x, y: F.when((x == "1") & (y == "1"), "1").otherwise(""))), " ", ""), F.lit("0"), F.lit("")))
-    rows = pairs.select("unit", "a", "b", masked_distance(F.col("l"), F.col("r"), least).alias("p"), both.alias("both"))
-    return rows.groupBy("unit", "a", "b").agg(F.count("p").alias("n_pairs"), F.avg("p").alias("distance"), F.max("both").alias("comparable"))
+    rows = pairs.select("unit", "a", "b", compared(F.col("l"), F.col("r")).alias("x")).select("unit", "a", "b", "x.*")
+    n = F.col("comparable")
+    distance = F.when((n >= least) & (n > 0), (n - F.col("equal")) / F.when(n > 0, n))
+    return rows.groupBy("unit", "a", "b").agg(F.count(distance).alias("n_pairs"), F.avg(distance).alias("distance"), F.max("comparable").alias("comparable"))
 
 
 def locality_of(records: DataFrame, localities: DataFrame) -> DataFrame:

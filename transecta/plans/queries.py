@@ -626,6 +626,14 @@ def spatial_thinning(spark, sf):
 # ---- inference ---------------------------------------------------------------------------------
 
 
+@query()
+def large_group_bootstrap(spark, sf):
+    """Whether the mean discount of a return flag lies above 5 percent, by resamples that no task sees whole."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey").alias("row"), (F.col("l_discount") - 0.05).alias("x"))
+    return rounded(inference.spread_bootstrap_test(rows, "x", ["l_returnflag"], "row"), "mean", "t", "p")
+
+
+
 def _observed(spark, sf) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf, "events")
     observed = rows.groupBy(F.col("user_id").alias("unit")).agg(F.round(F.avg("value"), 6).alias("value"))
