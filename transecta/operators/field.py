@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import spearman
+from ..sources.shared import kept
 from .blocks import BLOCK, blocked, each_pair
 
 TINY = 2.2250738585072014e-308
@@ -137,20 +138,73 @@ def pair_scores(train: DataFrame, held: DataFrame, bandwidth: float, strength: f
     return spearman(found.join(held.select("unit", "a", "b", "turnover"), ["unit", "a", "b"]), "exposure", "turnover", ["unit", "source"], "score")
 
 
+def _by_block(bandwidth: float):
+    """Reductions of w K over the points of one block, by source, and over the sources of the other, by point.
+
+    Sources that lie in one block whole are reduced here: their shares of each point's mass to (source, sum, largest),
+    their masses to (row, squares). Of others each point's mass is given, to be added up first.
+    """
+    scale = -0.5 / (bandwidth * bandwidth)
+
+    def run(a, b, _):
+        names, which = np.unique(b["source"].astype(str), return_inverse=True)
+        share = np.zeros((len(which), len(names)))
+        share[np.arange(len(which)), which] = b["w"]
+        whole = np.zeros(len(names), bool)
+        whole[which] = b["whole"].astype(bool)
+        total, most, squares, parts = np.zeros(len(names)), np.zeros(len(names)), [], []
+        for i in range(0, len(a["row"]), 512):
+            d = sum((a["at"][i : i + 512, c][:, None] - b["mid"][:, c][None, :]) ** 2 for c in range(a["at"].shape[1]))
+            low = np.exp(scale * d) @ share
+            mass = a["mass"][i : i + 512, None]
+            shares = np.divide(low, mass, out=np.zeros_like(low), where=mass > 0)
+            total += shares.sum(0)
+            most = np.maximum(most, shares.max(0))
+            squares.append((low[:, whole] ** 2).sum(1))
+            parts.append(low[:, ~whole])
+        squares, parts = np.concatenate(squares), np.concatenate(parts)
+        rows, left = a["row"].astype(str).tolist(), names[~whole].tolist()
+        done = names[whole].tolist()
+        cols = [
+            pa.array([None] * len(done) + rows + np.repeat(rows, len(left)).tolist(), pa.string()), pa.array(done + [None] * len(rows) + left * len(rows), pa.string()),
+            pa.array(np.concatenate([total[whole], squares, parts.ravel()])), pa.array(np.concatenate([most[whole], np.zeros(len(squares) + parts.size)])),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["row", "source", "x", "most"])
+
+    return run
+
+
+def _spread(at: DataFrame, train: DataFrame, bandwidth: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(by point, by source, points): (row, mass, squares) of each point, (source, total, most) shares of each source, and how many points there are.
+
+    Two passes over the kernel: masses of points, then what _by_block() gives; a row for each point and source is made
+    only of sources with more than BLOCK edges.
+    """
+    edges = training(train)
+    mass = kernel_sums(at, edges, bandwidth).select("row", F.col("low").alias("mass"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("source"))
+    dealt = edges.withColumns({"whole": (n <= BLOCK).cast("int"), "part": F.concat_ws("|", "source", F.pmod(F.xxhash64("row"), F.ceil(n / BLOCK)))})
+    points_ = kept(at.select("row", "at").join(mass, "row"), "masses")
+    a, b = blocked(points_, [], "row", ["at", "mass"]), blocked(dealt, [], "part", ["source", "mid", "w", "whole"], name="block_")
+    found = kept(each_pair(a, b, [], _by_block(bandwidth), "row string, source string, x double, most double"), "shares")
+    parts = found.where("row IS NOT NULL AND source IS NOT NULL").groupBy("row", "source").agg(F.sum("x").alias("low")).join(points_.select("row", "mass"), "row")
+    share = F.when(F.col("mass") > 0, F.col("low") / F.when(F.col("mass") > 0, F.col("mass"))).otherwise(0.0)
+    by_source = found.where("row IS NULL").select("source", F.col("x").alias("total"), "most").unionByName(parts.select("source", share.alias("total"), share.alias("most")))
+    by_source = by_source.groupBy("source").agg(F.sum("total").alias("total"), F.max("most").alias("most"))
+    squares = found.where("source IS NULL").select("row", "x").unionByName(parts.select("row", (F.col("low") * F.col("low")).alias("x"))).groupBy("row").agg(F.sum("x").alias("squares"))
+    return points_.select("row", "mass").join(squares, "row"), by_source, points_.agg(F.count(F.lit(1)).alias("points"))
+
+
 def training_leverage(train: DataFrame, held: DataFrame, bandwidth: float) -> DataFrame:
     """(source, mean_share, max_share): a training unit's share of the kernel mass at the held edges' points."""
-    at = points(held)
-    sums = kernel_sums(at, training(train), bandwidth, by_source=True)
-    total = F.sum("low").over(Window.partitionBy("row"))
-    share = F.when(total > 0, F.col("low") / F.when(total > 0, total)).otherwise(0.0)
-    return sums.withColumn("share", share).groupBy("source").agg(F.avg("share").alias("mean_share"), F.max("share").alias("max_share"))
+    _, by_source, count = _spread(points(held), train, bandwidth)
+    return by_source.crossJoin(F.broadcast(count)).select("source", (F.col("total") / F.col("points")).alias("mean_share"), F.col("most").alias("max_share"))  # one row
 
 
 def support_overlap(train: DataFrame, held: DataFrame, bandwidth: float) -> DataFrame:
     """(unit, mean_opportunity, effective_sources): kernel mass at a unit's points and how many sources share it."""
     at = points(held)
-    sums = kernel_sums(at, training(train), bandwidth, by_source=True)
-    by_point = sums.groupBy("row").agg(F.sum("low").alias("mass"), F.sum(F.col("low") * F.col("low")).alias("squares"))
+    by_point, _, _ = _spread(at, train, bandwidth)
     effective = F.when(F.col("squares") > 0, F.col("mass") * F.col("mass") / F.when(F.col("squares") > 0, F.col("squares"))).otherwise(0.0)
     return at.select("row", "unit").join(by_point, "row").groupBy("unit").agg(F.avg("mass").alias("mean_opportunity"), F.avg(effective).alias("effective_sources"))
 
