@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from transecta import schema
 from transecta.functions import ranks, scalars
-from transecta.operators import blocks, joins, panels, sequence, spatial
+from transecta.operators import blocks, joins, niche, panels, sequence, spatial
 from transecta.sources import strict
 
 
@@ -175,3 +175,20 @@ def test_digests_do_not_depend_on_order_or_partitions(spark):
     places = df.select(F.col("g").alias("unit"), "i", F.array(F.lit(0.1), F.col("i") / 7).alias("coords"))
     one, other = sequence.fingerprint(places).first(), sequence.fingerprint(places.repartition(7)).first()
     assert one == other and (one["units"], one["records"]) == (2, 5) and one != sequence.fingerprint(places.where("i < 2500")).first()
+
+
+@pytest.mark.parametrize("units", [64, 3])
+def test_overlaps_of_units_that_lack_cells(spark, monkeypatch, units):
+    monkeypatch.setattr(niche, "UNITS", units)
+    rng = np.random.default_rng(2)
+    rows = [(u, int(c), float(p)) for u in range(11) for c, p in zip(rng.permutation(9)[: 4 + u % 5], rng.dirichlet(np.ones(4 + u % 5)))]
+    df = spark.createDataFrame(rows, "unit int, cell int, p double").repartition(3)
+    full = np.zeros((11, 9))
+    for u, c, p in rows:
+        full[u, c] = p
+    found = {(r["source"], r["target"]): r["d"] for r in niche.overlaps(df).collect()}
+    assert set(found) == {(a, b) for a in range(11) for b in range(11) if a != b}
+    assert all(abs(d - (1 - np.abs(full[a] - full[b]).sum() / 2)) < 1e-12 for (a, b), d in found.items())
+    some = niche.overlaps(df, spark.createDataFrame([(1, 2), (5, 3)], "source int, target int")).collect()
+    assert {(r["source"], r["target"]): round(r["d"], 12) for r in some} == {k: round(found[k], 12) for k in ((1, 2), (5, 3))}
+    assert niche.overlaps(df.limit(0)).collect() == []

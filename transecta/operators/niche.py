@@ -74,16 +74,52 @@ def densities(rows: DataFrame, axes: list[str], centres: list[tuple[float, float
     return sums.select("unit", "cell", (F.col("s") / whole).alias("p"))
 
 
+#: Units whose densities meet those of as many others at once.
+UNITS = 64
+
+
+def _matrices(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Densities of two blocks of units over the cells of both; a cell that a unit lacks has none."""
+    if all(x["cells"].ndim == 2 and x["cells"].shape[1] == a["cells"].shape[-1] and (x["cells"] == a["cells"][0]).all() for x in (a, b)):  # one grid
+        return a["ps"], b["ps"]
+    cells = np.unique(np.concatenate([np.concatenate(x["cells"]).astype(str) for x in (a, b)]))
+    out = []
+    for x in (a, b):
+        full = np.zeros((len(x["row"]), len(cells)))
+        for i, (own, p) in enumerate(zip(x["cells"], x["ps"])):
+            full[i, np.searchsorted(cells, own.astype(str))] = p
+        out.append(full)
+    return out[0], out[1]
+
+
+def _overlap(a, b, _):
+    one, other = _matrices(a, b)
+    d = np.stack([np.clip(1 - 0.5 * np.abs(row - other).sum(1), 0, 1) for row in one])
+    names = a["row"].astype(str), b["row"].astype(str)
+    i, j = np.nonzero(names[0][:, None] != names[1][None, :])
+    return pa.RecordBatch.from_arrays([pa.array(names[0][i].tolist(), pa.string()), pa.array(names[1][j].tolist(), pa.string()), pa.array(d[i, j])], ["source", "target", "d"])
+
+
 def overlaps(density: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(source, target, d): Schoener's overlap, 1 less half the sum of differences, of the pairs of units, or of all ordered pairs.
 
-    Cells are joined, and each pair and cell is summed at once.
+    For all pairs blocks of units meet, each with its densities as an array, so that a row is made for a pair and
+    not for its cells. Listed pairs are joined by cell. density(unit, cell, p) has all cells of a unit, or those that are not 0.
     """
-    a = density.select(F.col("unit").alias("source"), "cell", F.col("p").alias("p_"))
-    b = density.select(F.col("unit").alias("target"), "cell", F.col("p").alias("q_"))
-    rows = a.join(pairs, "source").join(b, ["target", "cell"]) if pairs is not None else a.join(b, "cell").where("source <> target")
-    d = 1 - 0.5 * F.sum(F.abs(F.col("p_") - F.col("q_")))
-    return rows.groupBy("source", "target").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)).alias("d"))
+    if pairs is not None:
+        a = density.select(F.col("unit").alias("source"), "cell", F.col("p").alias("p_"))
+        b = density.select(F.col("unit").alias("target"), "cell", F.col("p").alias("q_"))
+        both = pairs.select("source", "target").distinct()
+        cells = both.join(a, "source").select("source", "target", "cell", "p_", F.lit(0.0).alias("q_")).unionByName(both.join(b, "target").select("source", "target", "cell", F.lit(0.0).alias("p_"), "q_"))
+        cells = cells.groupBy("source", "target", "cell").agg(F.sum("p_").alias("p_"), F.sum("q_").alias("q_"))
+        d = 1 - 0.5 * F.sum(F.abs(F.col("p_") - F.col("q_")))
+        return cells.groupBy("source", "target").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)).alias("d"))
+    kind = dict(density.dtypes)["unit"]
+    lists = density.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct(F.col("cell").cast("string").alias("cell"), "p"))).alias("x"))  # the cells of a grid
+    units = lists.select(F.col("unit").cast("string").alias("row"), F.col("x.cell").alias("cells"), F.col("x.p").alias("ps"))
+    left, right = blocked(units, [], "row", ["cells", "ps"], UNITS), blocked(units, [], "row", ["cells", "ps"], UNITS, "block_")
+    found = each_pair(left, right, [], _overlap, "source string, target string, d double")
+    return found.select(F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"), "d")
 
 
 def extrapolation(rows: DataFrame, pooled: DataFrame, columns: list[str]) -> DataFrame:

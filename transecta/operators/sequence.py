@@ -89,7 +89,7 @@ def locality_of(records: DataFrame, localities: DataFrame) -> DataFrame:
 def shares(rows: DataFrame, by: list[str], value: str, kind: str) -> DataFrame:
     """(by, kinds array<double>): shares of a group's total by kind, in order of kind, zeros for absent kinds."""
     kinds = rows.select(kind).distinct()
-    keys = rows.select(*by).distinct().crossJoin(F.broadcast(kinds))  # kinds are the few categories of a vector
+    keys = rows.select(*by).distinct().crossJoin(kinds)  # the result's size: each group has a number for each kind
     sums = rows.groupBy(*by, kind).agg(F.sum(value).alias("s"))
     full = keys.join(sums, [*by, kind], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     part = full.withColumn("p", F.col("s") / F.sum("s").over(Window.partitionBy(*by)))
