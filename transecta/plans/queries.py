@@ -327,10 +327,10 @@ def _two_worlds(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query(ORACLE_SQL["response_world_scores"])
 def stored_response_scores(spark, sf):
-    """The same from a store of kernel projections."""
+    """The same from a store of points, whose responses come later."""
     train, held = (kept(x, "edges") for x in _two_worlds(spark, sf))
-    store = projection.prepared(train, held, TransferPlan().bandwidth)
-    return rounded(projection.stored_scores(store, train, held), "score")
+    store = projection.prepared_points(train, held, TransferPlan().bandwidth)
+    return rounded(projection.point_scores(store, train, held), "score")
 
 
 WORLDS = 64
@@ -346,8 +346,8 @@ def stored_world_scores(spark, sf):
     l, r = (ends.select("unit", F.col("i").alias(c), F.struct("coords", "trait").alias(n)) for c, n in (("a", "l"), ("b", "r")))
     responses = edges.join(l, ["unit", "a"]).join(r, ["unit", "b"]).withColumn("turnover", F.array(*(F.round(tone(k), 9) for k in range(WORLDS)))).drop("l", "r")
     train, held = _roles(kept(responses, "edges"))
-    store = projection.prepared(train, held, TransferPlan().bandwidth)
-    return rounded(projection.stored_scores(store, train, held), "score")
+    store = projection.prepared_points(train, held, TransferPlan().bandwidth)
+    return rounded(projection.point_scores(store, train, held), "score")
 
 
 @query(
