@@ -38,8 +38,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, PACK_TOKENIZER, with_ids=False).drop("ids")
 
 
-#: The near-dedup stage has its place's name; it finds near copies by bands of least shingle hashes, as 0.8 of
-#: five-word shingles is too far for the balls of a fingerprint's segments (README).
+#: The near-dedup stage looks up fingerprints of five-word shingles by their segments, and what is too far for
+#: those by bands of least shingle hashes; both are verified on the shingles (README).
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality_classifier", drop_poor),

@@ -162,3 +162,21 @@ def test_rows_that_share_an_id_are_kept_by_their_texts(spark, make_prose):
     rows = [(1, one), (5, one), (5, two), (7, three), (7, make_prose(rng, 100)), (7, three)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted({rows[0], rows[2], rows[3], rows[4]})
+
+
+def test_keep_one_links_by_fingerprints_too(spark):
+    """Classes of like shingles whose bands have nothing in common: within three bits or of equal fingerprints they are one group, farther not."""
+    one, other = np.arange(100, dtype=np.uint32), np.arange(200, 300, dtype=np.uint32)
+    near = np.append(one[:95], np.uint32(500))
+    rows = [(1, 1, 0b0, [1], one), (2, 2, 0b111, [2], near), (3, 3, 0b111, [3], one), (4, 4, 0b1, [4], other), (5, 5, (1 << 40) - 1, [5], one), (6, 6, 0, [], one[:0])]
+    table = spark.createDataFrame([(c, h, fp, keys, bytearray(s.tobytes())) for c, h, fp, keys, s in rows], "c long, h long, fp long, keys array<long>, set binary")
+    edges, roots = simhash.similar(table)
+    assert {r["node"]: r["root"] for r in roots.collect()} == {2: 1, 3: 1}
+    assert all(bin(rows[r["a"] - 1][2] ^ rows[r["b"] - 1][2]).count("1") <= 3 for r in edges.collect())
+
+
+def test_fingerprints_of_distinct_shingles():
+    words = "one two three four five six seven eight one two three four five".split()
+    _, found = simhash.shingles(" ".join(words))
+    assert simhash.majority(found) & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in found) > len(found))
+    assert simhash.majority(found[:0]) == 0

@@ -9,9 +9,10 @@ Segments that more than HOT fingerprints share are looked up another way, which
 makes no pairs: each fingerprint there lists the points of the other segment within two bits, and
 whoever has come to a point at a cost of at most one bit links all that have come to it.
 
-keep_one, the pipeline's stage, has another rule: five-word shingles that agree by 0.8 or more. At
-0.8 fingerprints differ in ten bits of 64 on average, which no ball of segments reaches at a cost
-that follows the rows, so its candidates come from bands of least shingle hashes, and each is
+keep_one, the pipeline's stage, has another rule: five-word shingles that agree by 0.8 or more. Its
+candidates come from fingerprints of those shingles, looked up in the same way. At
+0.8 these differ in ten bits of 64 on average, which no ball of segments reaches at a cost
+that follows the rows, so bands of least shingle hashes give candidates beside them. Each is
 verified on the sets of shingles. Buckets of more than CROWD different texts make no pairs: their texts
 meet the least one, and then only those meet all others that lie outside the bucket's largest
 group so far, in blocks, until no two texts of a bucket that have not met are in different groups.
@@ -149,6 +150,14 @@ def shingles(text: str, size: int = WORDS, seed: int = SEED) -> tuple[int, np.nd
     return int.from_bytes(digest(line, seed), "big", signed=True), np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of distinct 64-bit hashes, as a signed number; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def band_keys(hashes: np.ndarray, seed: int = SEED) -> list[int]:
     """For each of BANDS bands a hash of its ROWS least values, over as many orders of the shingles."""
     if not len(hashes):
@@ -174,8 +183,9 @@ def _sketches(batches, size):
         for part in slices(batch, "text"):
             found = [shingles(t, size) for t in texts(part)]
             sets = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for _, h in found]
-            out = [pa.array([c for c, _ in found], pa.int64()), pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns(part, "doc_id", "t"), *out], ["doc_id", "t", "c", "keys", "set"])
+            numbers = [pa.array(x, pa.int64()) for x in ([c for c, _ in found], [majority(h) for _, h in found])]
+            out = [*numbers, pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns(part, "doc_id", "t"), *out], ["doc_id", "t", "c", "fp", "keys", "set"])
 
 
 def _similar(batches, least):
@@ -218,10 +228,20 @@ def _meeting(least):
     return lambda asks, there: next(run((asks, there)))
 
 
+def by_fingerprints(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of classes of sketches(c, fp, set): those that links() connects by their fingerprints, and with the least class of a fingerprint all others that have it. Classes without shingles have no pair."""
+    classes = written(sketches.where(F.length("set") > 0).select("c", "fp").distinct(), "classes")
+    prints = written(classes.groupBy("fp").agg(F.min("c").alias("p")), "prints")
+    here = lambda at: prints.select(F.col("fp").alias(at), F.col("p").alias(f"{at}_c")).hint("merge")
+    linked = links(prints.select("fp")).join(here("a"), "a").join(here("b"), "b").select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b"))
+    equal = classes.join(prints.hint("merge"), "fp").where("p < c").select(F.col("p").alias("a"), F.col("c").alias("b"))
+    return linked.union(equal)
+
+
 def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) between classes of sketches(c, h, keys, set), h any hash of the row, whose shingles agree by `least` or more, and (node, root) of the groups that they and all further such pairs with a key in common connect.
+    """Edges (a, b) between classes of sketches(c, h, fp, keys, set), h any hash of the row, whose shingles agree by `least` or more, and (node, root) of the groups that they and all further such pairs with a key in common connect.
 
-    Candidates share a key; each is verified on the shingles' sets. In a bucket of more than `hot`
+    Candidates have fingerprints within DISTANCE bits or share a key; each is verified on the shingles' sets. In a bucket of more than `hot`
     classes these are the pairs with its least class at first. Then, as long as a class has not met its bucket and
     lies outside the bucket's largest group, it meets all classes there, in one bucket for each class at
     first, as classes share many, and in ever more. Two classes of a bucket that never met are in one group at the end.
@@ -231,7 +251,8 @@ def similar(sketches: DataFrame, least: float = LEAST, hot: int = CROWD) -> tupl
     members = written(keys.join(shared.hint("merge"), "key"), "members")
     small = members.where(F.col("n") <= hot)
     pairs = small.select("key", F.col("c").alias("l")).join(small.select("key", F.col("c").alias("b")).hint("merge"), "key").where("l < b").select(F.col("l").alias("a"), "b")
-    pairs = written(pairs.union(members.where((F.col("n") > hot) & (F.col("a") < F.col("c"))).select("a", F.col("c").alias("b"))).distinct(), "pairs")
+    pairs = pairs.union(members.where((F.col("n") > hot) & (F.col("a") < F.col("c"))).select("a", F.col("c").alias("b")))
+    pairs = written(pairs.union(by_fingerprints(sketches)).distinct(), "pairs")
     crowd = members.where(F.col("n") > hot).select("key", "c", "n")
     named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     # one row of each class is asked for by its own hash, so that the copies of a text don't meet
@@ -279,9 +300,9 @@ def keep_one(docs: DataFrame, size: int = WORDS, least: float = LEAST, hot: int
     id_, text_, row_ = (next(n for n in (name + "_" * k for k in range(1, len(docs.columns) + 2)) if n not in docs.columns) for name in ("id", "mark", "row"))
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), mark.alias("t"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, t long, c long, keys array<long>, set binary"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, t long, c long, fp long, keys array<long>, set binary"
     found = written(rows.mapInArrow(on_workers(_sketches, size), schema), "sketches")
-    roots = similar(found.select("c", F.xxhash64("doc_id", "t").alias("h"), "keys", "set"), least, hot)[1].withColumnRenamed("node", "c")
+    roots = similar(found.select("c", F.xxhash64("doc_id", "t").alias("h"), "fp", "keys", "set"), least, hot)[1].withColumnRenamed("node", "c")
     # of a class of equal words the least row stands for all, so that hot classes are small before they meet
     classes = found.where("doc_id is not null").groupBy("c", "doc_id", "t").agg(F.count("*").alias("n"))
     first = classes.groupBy("c").agg(F.min(F.struct("doc_id", "t", "n")).alias("x")).join(roots, "c", "left")
