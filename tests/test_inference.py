@@ -271,3 +271,15 @@ def test_resamples_have_the_spread_of_a_mean(groups, monkeypatch):
         assert abs(r["low"] - (x.mean() - half)) < 0.15 * half + 1e-12 and abs(r["high"] - (x.mean() + half)) < 0.15 * half + 1e-12
     sums = inference.resampled_sums(df.where("g = 'same'"), "x", ["g"], "i", 99, 1).collect()
     assert len(sums) == 99 and all(r["s1"] == 0 and r["s2"] == 0 for r in sums)
+
+
+def test_splits_of_a_group_are_one_row_for_each_block():
+    """What a block's task needs of its group is its own draws: no list of all blocks beside each row, and each binomial drawn once."""
+    import pyarrow as pa
+
+    sizes = [5, 0, 40, 1] * 300
+    batch = pa.RecordBatch.from_pydict({"g": ["a"], "group_": pa.array([-7], pa.int64()), "sizes_": pa.array([sizes], pa.list_(pa.int32()))})
+    found = list(inference._splits(50, 3, ["g"])([batch]))
+    assert [b.column(1)[0].as_py() for b in found] == [k for k, n in enumerate(sizes) if n] and all(b.num_rows == 1 and b.num_columns == 3 for b in found)
+    drawn = np.array([np.frombuffer(b.column(2)[0].as_py(), np.int64) for b in found])
+    assert (drawn.sum(0) == sum(sizes)).all() and drawn[1::3].mean() == pytest.approx(40, rel=0.02)

@@ -65,16 +65,31 @@ def bootstrap_test(scores: DataFrame, score: str, by: list[str], resamples: int
 RESAMPLED = 1 << 16
 
 
-def _drawn_sums(resamples: int, seed: int):
-    def run(table: pa.Table) -> pa.Table:
+def _splits(resamples: int, seed: int, keys: list[str]):
+    def run(batches):
+        """For each block of a group how many of each resample's draws fall on it, one block after another."""
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            for i in range(batch.num_rows):
+                sizes, group = np.array(column("sizes_")[i].as_py(), np.int64), column("group_")[i].as_py() & (1 << 63) - 1
+                splits, left = np.random.default_rng([seed, group]), np.full(resamples, sizes.sum())
+                later = np.cumsum(sizes[::-1])[::-1]
+                for k, size in enumerate(sizes):
+                    mine = splits.binomial(left, size / max(1, later[k]))
+                    left = left - mine
+                    if size:
+                        cols = [*(column(c).slice(i, 1) for c in keys), pa.array([k], pa.int32()), pa.array([mine.astype(np.int64).tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, [*keys, "block_", "mine_"])
+
+    return run
+
+
+def _drawn_sums(resamples: int, seed: int, keys: list[str]):
+    def run(table: pa.Table, split: pa.Table) -> pa.Table:
         """Sums of one block's part of every resample."""
         order = np.argsort(table.column("row_").to_numpy(zero_copy_only=False), kind="stable")
         x, block = table.column("x_").to_numpy()[order], table.column("block_")[0].as_py()
-        sizes, group = np.array(table.column("sizes_")[0].as_py(), np.int64), table.column("group_")[0].as_py() & (1 << 63) - 1
-        splits, left = np.random.default_rng([seed, group]), np.full(resamples, sizes.sum())
-        for k in range(block + 1):  # how many of each resample's draws fall on the blocks up to this one
-            mine = splits.binomial(left, sizes[k] / max(1, sizes[k:].sum()))
-            left = left - mine
+        group, mine = table.column("group_")[0].as_py() & (1 << 63) - 1, np.frombuffer(split.column("mine_")[0].as_py(), np.int64)
         rng, sums = np.random.default_rng([seed, group, block]), np.empty((2, resamples))
         each = max(1, DRAWS // max(1, int(mine.max())))
         for at in range(0, resamples, each):
@@ -84,7 +99,6 @@ def _drawn_sums(resamples: int, seed: int):
             for out, v in zip(sums, (drawn, drawn * drawn)):
                 upto = np.append(0.0, np.cumsum(v))
                 out[at : at + each] = upto[ends] - upto[ends - n]
-        keys = [c for c in table.column_names if c not in ("row_", "x_", "block_", "sizes_", "group_")]
         first = table.slice(0, 1)
         cols = [pa.concat_arrays([first.column(c).combine_chunks()]).take(pa.array(np.zeros(resamples, np.int64))) for c in keys]
         return pa.Table.from_arrays([*cols, pa.array(np.arange(resamples, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], [*keys, "replicate", "s1", "s2"])
@@ -96,20 +110,23 @@ def resampled_sums(scores: DataFrame, score: str, by: list[str], row: str, resam
     """(by, replicate, s1, s2): sums of the scores and of their squares in each of so many resamples of a group with replacement, less the group's mean.
 
     A group of any size is dealt to blocks by a hash of `row`, which tells its rows apart. A resample's draws
-    are split over the blocks by binomials that every task draws alike from the seed and the group, and each block draws
-    its own; so no task sees a group, and nothing depends on partitions. Scores that are null or not finite are left out.
+    are split over the blocks by binomials from the seed and the group, a row for each block, which meets the block's rows;
+    each block draws its own. So no task sees a group, and nothing depends on partitions. Scores that are null or not finite are left out.
     """
     kinds, name = dict(scores.dtypes), F.col(row).cast("string")
     x = F.col(score).cast("double")
     rows = scores.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))).select(*by, name.alias("row_"), x.alias("x_"))
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), F.avg("x_").alias("mean_"))
-    dealt = rows.join(counts, by).withColumn("block_", F.pmod(F.xxhash64("row_"), F.ceil(F.col("n_") / F.lit(float(RESAMPLED)))).cast("int"))
-    dealt = dealt.select(*by, "row_", (F.col("x_") - F.col("mean_")).alias("x_"), "block_", F.ceil(F.col("n_") / F.lit(float(RESAMPLED))).cast("int").alias("of_"))
+    blocks = F.ceil(F.col("n_") / F.lit(float(RESAMPLED))).cast("int")
+    group = F.xxhash64(*(F.col(c).cast("string") for c in by)).alias("group_")
+    dealt = rows.join(counts, by).withColumn("block_", F.pmod(F.xxhash64("row_"), blocks).cast("int")).withColumn("of_", blocks)
     filled = dealt.groupBy(*by, "of_", "block_").agg(F.count(F.lit(1)).alias("m_")).groupBy(*by, "of_").agg(F.map_from_entries(F.collect_list(F.struct("block_", "m_"))).alias("m_"))
-    sizes = filled.select(*by, F.transform(F.sequence(F.lit(0), F.col("of_") - 1), lambda k: F.coalesce(F.col("m_")[k], F.lit(0))).alias("sizes_"))
-    ready = dealt.join(sizes, by).withColumn("group_", F.xxhash64(*(F.col(c).cast("string") for c in by))).drop("of_")
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate int, s1 double, s2 double"])
-    return ready.groupBy(*by, "block_").applyInArrow(_drawn_sums(resamples, seed), schema).groupBy(*by, "replicate").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    sizes = filled.select(*by, group, F.transform(F.sequence(F.lit(0), F.col("of_") - 1), lambda k: F.coalesce(F.col("m_")[k], F.lit(0))).alias("sizes_"))
+    own = [f"{c} {kinds[c]}" for c in by]
+    splits = sizes.mapInArrow(_splits(resamples, seed, by), ", ".join([*own, "block_ int, mine_ binary"]))
+    ready = dealt.select(*by, "row_", (F.col("x_") - F.col("mean_")).alias("x_"), "block_", group)
+    drawn = ready.groupBy(*by, "block_").cogroup(splits.groupBy(*by, "block_")).applyInArrow(_drawn_sums(resamples, seed, by), ", ".join([*own, "replicate int, s1 double, s2 double"]))
+    return drawn.groupBy(*by, "replicate").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
 
 
 def spread_bootstrap_test(scores: DataFrame, score: str, by: list[str], row: str, resamples: int = 1999, seed: int = 0) -> DataFrame:
