@@ -23,7 +23,7 @@ def _roles(records: DataFrame, group: str, master: int) -> DataFrame:
 
 def group_scores(records: DataFrame, group: str, plan: TransferPlan, master: int = 0) -> DataFrame:
     """(group, unit, n, score) of the held units of every group, each group a world of its own whose units have names of their own."""
-    edges = graph.edge_table(records, graph.knn_edges(records, plan.k))
+    edges = graph.neighbour_table(records, plan.k)
     rows = edges.join(_roles(records, group, master), "unit")
     train, held = (rows.where(F.col("role") == r).drop("role") for r in ("train", "held"))
     return field.grouped_scores(train, held, group, plan.bandwidth, plan.strength, plan.prior, plan.segment_points)
@@ -41,7 +41,7 @@ def world_tests(records: DataFrame, group: str, plan: TransferPlan, method: str
     named = all_.withColumns({"world_": F.concat_ws("#", group, "replicate"), "unit": F.concat_ws("#", "unit", "replicate")})
     # a unit's role does not depend on the shuffle
     roles = _roles(records, group, master).select(F.col("unit").alias("plain_"), "role")
-    edges = graph.edge_table(named, graph.knn_edges(named, plan.k)).withColumn("plain_", F.regexp_extract("unit", r"^(.*)#\d+$", 1)).join(roles, "plain_")
+    edges = graph.neighbour_table(named, plan.k).withColumn("plain_", F.regexp_extract("unit", r"^(.*)#\d+$", 1)).join(roles, "plain_")
     edges = edges.join(named.select("unit", "world_", group, "replicate").distinct(), "unit")
     train, held = (edges.where(F.col("role") == r).drop("role", "plain_") for r in ("train", "held"))
     scores = field.grouped_scores(train, held, "world_", plan.bandwidth, plan.strength, plan.prior, plan.segment_points)

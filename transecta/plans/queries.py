@@ -107,7 +107,7 @@ def density_scaled_graph(spark, sf):
 @query(f"WITH {EDGES} SELECT unit, a, b, round(length, 8) AS length, round(turnover, 8) AS turnover FROM edge_table")
 def edge_turnover(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(graph.edge_table(rows, graph.knn_edges(rows)), "length", "turnover", digits=8).select("unit", "a", "b", "length", "turnover")
+    return rounded(graph.neighbour_table(rows), "length", "turnover", digits=8).select("unit", "a", "b", "length", "turnover")
 
 
 @query(
@@ -116,7 +116,7 @@ def edge_turnover(spark, sf):
 )
 def vector_turnover(spark, sf):
     rows = inputs.vectors(spark, sf)
-    return graph.edge_table(rows, graph.knn_edges(rows), vector=True).select("unit", "a", "b", F.round("turnover", 8).alias("turnover"))
+    return graph.neighbour_table(rows, vector=True).select("unit", "a", "b", F.round("turnover", 8).alias("turnover"))
 
 
 @query("SELECT p_brand AS unit, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) - 1 AS loc, p_size AS size, n AS n_records FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL)")
@@ -142,7 +142,7 @@ SELECT unit, count(*) AS n, round(sum(u * v) / sqrt(sum(u * u) * sum(v * v)), 6)
 @query(COHERENCE)
 def midpoint_coherence(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows))), "coherence")
+    return rounded(graph.midpoint_coherence(graph.neighbour_table(rows)), "coherence")
 
 
 @query(
@@ -150,7 +150,7 @@ def midpoint_coherence(spark, sf):
 )
 def training_strength(spark, sf):
     rows = inputs.records(spark, sf)
-    found = rounded(graph.midpoint_coherence(graph.edge_table(rows, graph.knn_edges(rows))), "coherence")
+    found = rounded(graph.midpoint_coherence(graph.neighbour_table(rows)), "coherence")
     return rounded(found.agg(F.avg("coherence").alias("strength"), F.count(F.lit(1)).alias("units")), "strength")
 
 
@@ -183,7 +183,7 @@ SELECT unit, a, b, round(e * sqrt((n * n - 1) / (CAST(12 AS DOUBLE) * n * n)) /
 )
 def length_orthogonalized_turnover(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows))
+    edges = graph.neighbour_table(rows)
     return rounded(ranks.length_orthogonalized(edges, "turnover", "length", ["unit"], "free"), "free").select("unit", "a", "b", "free")
 
 
@@ -284,7 +284,7 @@ SELECT unit, a, b, n AS n_training, round(observed, 6) AS observed, round(expect
 @query(_residual_sql())
 def crossfit_residuals(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows))
+    edges = graph.neighbour_table(rows)
     return rounded(residual.crossfit_residuals(edges, "length", "difference").drop("turnover"), "observed", "expected", "residual")
 
 
@@ -299,7 +299,7 @@ scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e
 @query(f"WITH {EDGES}, {SELF} {sql_spearman('scored', 'exposure', 'turnover', out='score')}")
 def self_detectability(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(diagnostics.self_scores(graph.edge_table(rows, graph.knn_edges(rows)), 0.25), "score")
+    return rounded(diagnostics.self_scores(graph.neighbour_table(rows), 0.25), "score")
 
 
 @query(
@@ -368,7 +368,7 @@ SELECT unit, count(*) AS edges, round(sum(w) * sum(w) / sum(w * w), 6) AS effect
 )
 def transport_effective_edges(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows))
+    edges = graph.neighbour_table(rows)
     return rounded(diagnostics.effective_edges(diagnostics.transport_weights(edges, edges, 0.25, "self")), "effective")
 
 
@@ -390,7 +390,7 @@ SELECT unit, a, b, round(propensity, 8) AS propensity, round({HALF} * (propensit
 )
 def phase_propensity(spark, sf):
     rows = inputs.records(spark, sf)
-    out = diagnostics.phase_propensity(graph.edge_table(rows, graph.knn_edges(rows)), (0.5, 0.5))
+    out = diagnostics.phase_propensity(graph.neighbour_table(rows), (0.5, 0.5))
     return rounded(out, "propensity", "expected", digits=8).select("unit", "a", "b", "propensity", "expected")
 
 
@@ -400,13 +400,13 @@ SELECT unit, a, b, round(sqrt((mx - ux) / sx * ((mx - ux) / sx) + (my - uy) / sy
 )
 def midpoint_radial_distance(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(diagnostics.radial_distance(rows, graph.edge_table(rows, graph.knn_edges(rows))), "radius")
+    return rounded(diagnostics.radial_distance(rows, graph.neighbour_table(rows)), "radius")
 
 
 @query()
 def front_observability(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(diagnostics.observability(graph.edge_table(rows, graph.knn_edges(rows)), rows), "contrast", "share")
+    return rounded(diagnostics.observability(graph.neighbour_table(rows), rows), "contrast", "share")
 
 
 @query(
@@ -815,7 +815,7 @@ SELECT unit, place, two.length, round(place - two.length, 6) AS increment FROM o
 )
 def ridge_predictor_transfer(spark, sf):
     rows = inputs.records(spark, sf)
-    edges = graph.edge_table(rows, graph.knn_edges(rows)).select("unit", "a", "b", "length", F.col("mid")[0].alias("mx"), F.col("mid")[1].alias("my"), "turnover")
+    edges = graph.neighbour_table(rows).select("unit", "a", "b", "length", F.col("mid")[0].alias("mx"), F.col("mid")[1].alias("my"), "turnover")
     roles = panels.half_split(rows.select("unit").distinct(), "split").select("unit", "role")
     out = rounded(dyadic.competing_spaces(*_roles(edges.join(roles, "unit")), "turnover", {"place": ["mx", "my"], "length": ["length"]}), "place", "length")
     return rounded(out.withColumn("increment", F.col("place") - F.col("length")), "increment")

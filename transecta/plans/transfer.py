@@ -26,7 +26,7 @@ class TransferPlan:
     def edges(self, records: DataFrame, vector: bool = False) -> DataFrame:
         """Edge table with role train or held by a hash-ordered half split of units."""
         roles = half_split(records.select("unit").distinct(), self.tag).select("unit", "role")
-        made = graph.edge_table(records, graph.knn_edges(records, self.k), vector=vector)
+        made = graph.neighbour_table(records, self.k, vector=vector)
         return made.join(roles, "unit")
 
     def scores(self, edges: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ class TransferPlan:
     def permutation_worlds(self, records: DataFrame, permutations: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
         """(train, held) edges with turnover, an array of the observed one and of one for each shuffle of the traits within units, on one graph."""
         places = records.select("unit", "i", "coords")
-        edges = graph.edge_table(records, graph.knn_edges(records, self.k))
+        edges = graph.neighbour_table(records, self.k)
         traits = records.select("unit", "i", "trait", F.lit(0).alias("replicate"))
         if permutations:
             moved = inference.permuted(records.select("unit", "i", "trait"), permutations, ["unit"], "trait", seed)
