@@ -14,6 +14,7 @@ from ..functions.scalars import crossing_probability
 from . import smooth
 from .blocks import blocked, each_pair
 from .field import DIGITS, TINY, kernel_sums, own_sums, points, training
+from .graph import parted
 
 
 # ---- many response worlds on one geometry --------------------------------------------------------
@@ -86,12 +87,45 @@ def _own_sums(bandwidth: float, unit_type: pa.DataType):
     return run
 
 
-def self_scores(edges: DataFrame, bandwidth: float, strength: float = 0.25, prior: float = 0.5, least: int = 1) -> DataFrame:
+#: Edges of a unit whose own field is one task's, and of them so many at once.
+OWN, AT_ONCE = 1024, 64
+
+
+def _own_fields(edges: DataFrame, bandwidth: float, strength: float, prior: float, least: int, kind: str) -> DataFrame:
+    """(unit, exposure, turnover) of the edges of units with OWN edges at most, each unit's in one task."""
+    scale, parts = -0.5 / (bandwidth * bandwidth), 5
+
+    def run(table: pa.Table) -> pa.Table:
+        m = table.num_rows
+        start, end, mid = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(m, -1) for c in ("start", "end", "mid"))
+        a, b, u = (table.column(c).to_numpy() for c in ("a", "b", "turnover"))
+        out, counts = np.zeros(m), np.zeros(m, np.int64)
+        for i in range(0, m, AT_ONCE):
+            of = slice(i, i + AT_ONCE)
+            free = (a[of, None] != a) & (a[of, None] != b) & (b[of, None] != a) & (b[of, None] != b)
+            counts[of] = n = free.sum(1)
+            for p in range(parts):
+                at = start[of] + (p + 0.5) / parts * (end[of] - start[of])
+                k = np.exp(scale * sum((at[:, c, None] - mid[None, :, c]) ** 2 for c in range(at.shape[1]))) * free
+                out[of] += (k @ u / np.maximum(n, 1) + strength * prior) / np.maximum(k.sum(1) / np.maximum(n, 1) + strength, TINY)
+        some = (counts >= least) & (counts > 0)
+        return pa.table({"unit": table.column("unit").filter(pa.array(some)), "exposure": pa.array(out[some] / parts), "turnover": pa.array(u[some])})
+
+    rows = edges.select("unit", "a", "b", "start", "end", "mid", F.col("turnover").cast("double").alias("turnover"))
+    return rows.groupBy("unit").applyInArrow(run, f"unit {kind}, exposure double, turnover double")
+
+
+def self_scores(edges: DataFrame, bandwidth: float, strength: float = 0.25, prior: float = 0.5, least: int = 1, most: int | None = None) -> DataFrame:
     """(unit, n, score): how well a unit's edges are foretold by its own that share no end with them.
 
-    Edges with fewer than `least` such others are left out.
+    Edges with fewer than `least` such others are left out. A unit of OWN edges or fewer is one task's; larger ones go by blocks.
+    most: a number of edges that no unit exceeds, if one is known (graph.parted).
     """
     kind = dict(edges.dtypes)["unit"]
+    small, edges = parted(edges.select("unit", "a", "b", "start", "end", "mid", "turnover"), OWN, most)
+    fields = _own_fields(small, bandwidth, strength, prior, least, kind).withColumn("exposure", F.round("exposure", DIGITS))
+    if edges is None:
+        return spearman(fields, "exposure", "turnover", ["unit"], "score")
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     at = points(edges)
     own = edges.select("unit", F.concat_ws("|", "unit", "a", "b").alias("row"), "a", "b", "mid", F.col("turnover").alias("u"))
@@ -99,7 +133,8 @@ def self_scores(edges: DataFrame, bandwidth: float, strength: float = 0.25, prio
     sums = pairs.groupBy("unit", "row").agg(F.sum("top").alias("top"), F.sum("low").alias("low"), F.sum("n").alias("n_")).where(F.col("n_") >= least)
     field = (F.col("top") / F.col("n_") + strength * prior) / F.greatest(F.col("low") / F.col("n_") + strength, F.lit(TINY))
     found = at.join(sums.drop("unit"), "row").groupBy("unit", "a", "b").agg(F.round(F.avg(field), DIGITS).alias("exposure"))
-    return spearman(found.join(edges.select("unit", "a", "b", "turnover"), ["unit", "a", "b"]), "exposure", "turnover", ["unit"], "score")
+    found = found.join(edges.select("unit", "a", "b", "turnover"), ["unit", "a", "b"]).select("unit", "exposure", "turnover")
+    return spearman(fields.unionByName(found), "exposure", "turnover", ["unit"], "score")
 
 
 # ---- geometry-only expectations ------------------------------------------------------------------

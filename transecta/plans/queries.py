@@ -299,7 +299,7 @@ scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e
 @query(f"WITH {EDGES}, {SELF} {sql_spearman('scored', 'exposure', 'turnover', out='score')}")
 def self_detectability(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(diagnostics.self_scores(graph.neighbour_table(rows), 0.25), "score")
+    return rounded(diagnostics.self_scores(graph.neighbour_table(rows), 0.25, most=4 * graph.largest(rows)), "score")
 
 
 @query(
