@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from transecta.operators import joins, panels
+from transecta.sources.shared import kept
 
 
 def serial_match(rows):
@@ -115,3 +116,16 @@ def test_pools_matched_by_geometry(spark):
 def test_nothing_to_choose(spark):
     assert joins.greedy_match(spark.createDataFrame([], "target int, left string, right string, cost double")).collect() == []
     assert panels.thinned(spark.createDataFrame([], "unit string, key long, lat double, lon double"), "x", 10.0, 5).collect() == []
+
+
+def test_small_units_are_thinned_in_one_shuffle_and_large_ones_by_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(u, i, rng.random(), rng.random()) for u, n in (("a", 1), ("b", 30), ("c", 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "unit string, key long, lat double, lon double")
+    tables = []
+    monkeypatch.setattr(panels, "kept", lambda df, name: tables.append(name) or kept(df, name))
+    found = panels.thinned(df, "places", 15.0, 25)
+    assert not tables and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in found.collect()} == serial_thin(rows, "places", 15.0, 25)
+    monkeypatch.setattr(panels, "THIN", 40)
+    assert {tuple(r) for r in panels.thinned(df, "places", 15.0, 25).collect()} == serial_thin(rows, "places", 15.0, 25) and tables

@@ -6,11 +6,14 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_KM, ecef_km, hash_key, haversine_km
 from ..sources.shared import kept
+from .graph import parted
 
 
 def ledger(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -74,10 +77,44 @@ def dedup_places(rows: DataFrame, unit: str, place: list[str], key: str) -> Data
     return one_per_group(rows, [unit, *place], [F.col(key)])
 
 
+#: Places of a unit that one task thins.
+THIN = 1024
+
+
+def _thinned_at_once(rows: DataFrame, least_km: float, most: int, kinds: dict[str, str]) -> DataFrame:
+    """thinned() of rows(unit, key, lat, lon, h) of units with THIN places at most, each unit's in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("h", "ascending"), ("key", "ascending")]))
+        p, q = (np.radians(table.column(c).to_numpy()) for c in ("lat", "lon"))
+        h = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p)[:, None] * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
+        near, left, taken = 2 * EARTH_KM * np.arcsin(np.minimum(1, np.sqrt(h))) < least_km, np.ones(len(p), bool), []
+        for i in range(len(p)):
+            if left[i]:
+                taken.append(i)
+                left &= ~near[i]
+        taken = taken[:most]
+        return table.select(["unit", "key", "lat", "lon"]).take(pa.array(taken, pa.int64())).append_column("rank", pa.array(range(len(taken)), pa.int64()))
+
+    return rows.groupBy("unit").applyInArrow(run, f"unit {kinds['unit']}, key {kinds['key']}, lat double, lon double, rank long")
+
+
 def thinned(rows: DataFrame, tag: str, least_km: float, most: int) -> DataFrame:
     """(unit, key, lat, lon, rank): places taken in hash order if they lie least_km or more from all taken before, at most `most`.
 
-    rows(unit, key, lat, lon), one for each place. All units are thinned at once, in rounds. The first open place of
+    rows(unit, key, lat, lon), one for each place. A unit of THIN places or fewer is one task's; larger ones go by rounds.
+    """
+    k = dict(rows.dtypes)
+    digest = F.unhex(hash_key(tag, F.col("unit"), F.col("key"))).alias("h")
+    small, large = parted(rows.select("unit", "key", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), digest), THIN, keep=False)
+    found = _thinned_at_once(small, least_km, most, k)
+    return found if large is None else found.unionByName(_by_rounds(large.drop("h"), tag, least_km, most))
+
+
+def _by_rounds(rows: DataFrame, tag: str, least_km: float, most: int) -> DataFrame:
+    """thinned() of units of any size, all at once, in rounds.
+
+    The first open place of
     each cell of space is taken if no open place nearer than least_km comes before it; then the open places near
     it go. That is what taking them one after another gives, and as their order is a hash, a few
     rounds settle them. A place meets the one place of each cell around it, however many its own holds.
