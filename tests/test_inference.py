@@ -1,5 +1,6 @@
 """Queries and operators that SQL cannot say, against computations of their own."""
 
+import hashlib
 import math
 import os
 import random
@@ -283,3 +284,47 @@ def test_splits_of_a_group_are_one_row_for_each_block():
     assert [b.column(1)[0].as_py() for b in found] == [k for k, n in enumerate(sizes) if n] and all(b.num_rows == 1 and b.num_columns == 3 for b in found)
     drawn = np.array([np.frombuffer(b.column(2)[0].as_py(), np.int64) for b in found])
     assert (drawn.sum(0) == sum(sizes)).all() and drawn[1::3].mean() == pytest.approx(40, rel=0.02)
+
+
+def test_permuted_rows_are_dealt_before_they_are_multiplied(spark):
+    rows = spark.createDataFrame([(u, i, float(i * u % 7)) for u in range(1, 5) for i in range(3 * u)], "unit long, i long, trait double")
+    out = inference.permuted(rows, 4, ["unit"], "trait", 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    found = {}
+    for r in out.collect():
+        found.setdefault((r["replicate"], r["unit"]), []).append((r["i"], r["trait"]))
+    assert len(found) == 16
+    for (replicate, u), moved in found.items():
+        order = sorted(range(3 * u), key=lambda i: hashlib.sha256(f"permute|2|{replicate}|{i}".encode()).hexdigest())
+        assert sorted(moved) == [(k, float(i * u % 7)) for k, i in enumerate(order)]
+
+
+def test_a_ladder_makes_its_dyads_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(s, t, rng.random(), rng.random(), rng.random()) for s in range(6) for t in range(6) if s != t], "source long, target long, x double, y double, z double")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    layers = [("one", "x", ["y"]), ("two", "x", ["y", "z"])]
+    found = dyadic.ladder(rows.mapInArrow(counted, rows.schema), layers).orderBy("layer").collect()
+    assert seen.value == 30 and [r["dyads"] for r in found] == [30, 30] and found[1]["survival"] < 1
+
+
+def test_ridge_adds_up_units_not_windows(spark, monkeypatch):
+    """Each unit counts alike, by sums for each unit: rows are not dealt by unit to be weighted."""
+    rng = np.random.default_rng(6)
+    unit = np.repeat(np.arange(5), [2, 5, 9, 14, 30])
+    x, z = rng.normal(size=(2, 60))
+    y = 2 * x - z + rng.normal(size=60)
+    monkeypatch.setattr(dyadic, "Window", None)
+    beta, mean, moments = dyadic.ridge(spark.createDataFrame([tuple(map(float, r)) for r in zip(unit, x, z, y)], "unit double, x double, z double, y double"), "y", ["x", "z"])
+    w = 1.0 / np.bincount(unit)[unit]
+    s = [(v - np.average(v, weights=w)) / np.sqrt(np.cov(v, aweights=w, ddof=0)) for v in (x, z)]
+    m = np.stack(s, 1) * np.sqrt(w)[:, None]
+    want = np.linalg.solve(m.T @ m + np.eye(2), m.T @ (np.sqrt(w) * (y - np.average(y, weights=w))))
+    assert [beta["x"], beta["z"]] == pytest.approx(list(want)) and mean == pytest.approx(np.average(y, weights=w))

@@ -184,7 +184,7 @@ def ladder(dyads: DataFrame, layers: list[tuple[str, str, list[str]]], source: s
     controls; partial_sd is in units of the primary's; survival is the layer's sum of squares over that of the
     layer before, where both have one primary and the controls only grow, else null.
     """
-    out, before = None, None
+    out, before, dyads = None, None, kept(dyads, "ladder")  # what makes the dyads is done once
     for place, (name, primary, controls) in enumerate(layers):
         left, unique = unique_information(dyads, primary, controls, source, target)
         square = left.agg(F.sum(F.col("residual") * F.col("residual")).alias("ss")).first()["ss"]

@@ -37,7 +37,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dyads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier nation and customer nation of line items: mean quantity, discount, tax and price in thousands."""
     t = {n: table(spark, sf_dir, n) for n in ("lineitem", "supplier", "orders", "customer")}
-    rows = t["lineitem"].join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    bought = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))  # before they meet the items, which are more
+    rows = t["lineitem"].join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy(F.col("s_nationkey").cast("long").alias("source"), F.col("c_nationkey").cast("long").alias("target")).agg(
         F.round(F.avg("l_quantity"), 6).alias("q"), F.round(F.avg(F.col("l_discount") * 100), 6).alias("d"), F.round(F.avg(F.col("l_extendedprice") / 1000), 6).alias("p")
     )
