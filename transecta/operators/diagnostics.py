@@ -161,10 +161,24 @@ def radial_distance(records: DataFrame, edges: DataFrame, dimensions: int = 2) -
     return edges.join(middle, "unit").select("unit", "a", "b", F.sqrt(sum((v * v for v in z), F.lit(0.0))).alias("radius"))
 
 
+def _front_contrasts(start: np.ndarray, end: np.ndarray, centre: list[float], ways: np.ndarray, least: float) -> tuple[float, np.ndarray]:
+    """Sum of the contrasts of edges across fronts, and which fronts some edge sees by `least` or more."""
+    total, seen = 0.0, np.zeros(ways.shape[1], bool)
+    for i in range(0, len(start), 512):
+        places, which = np.unique(np.concatenate([start[i : i + 512], end[i : i + 512]]), axis=0, return_inverse=True)
+        side, which = np.tanh((places - centre) @ ways), which.reshape(2, -1)
+        for j in range(0, which.shape[1], 32):
+            v = np.abs(side[which[0, j : j + 32]] - side[which[1, j : j + 32]]) / 2
+            total += v.sum()
+            seen |= v.max(0) >= least
+    return total, seen
+
+
 def observability(edges: DataFrame, records: DataFrame, directions: int = 2048, width: float = 0.2, least: float = 0.25, seed: int = 20260912) -> DataFrame:
     """(unit, contrast, share): mean contrast of edge ends across seeded random fronts, and the share of fronts that some edge sees by `least` or more.
 
-    Edges of a unit may lie anywhere: every task adds up what its own edges see, a bit for each front.
+    Edges of a unit may lie anywhere: every task adds up what its own edges see, a bit for each front. A
+    place's side of the fronts is computed once for all edges of its unit that a task has at once.
     """
     kind = dict(edges.dtypes)["unit"]
     frame = {r["axis"]: r for r in pooled_frame(records, 2).collect()}
@@ -176,14 +190,9 @@ def observability(edges: DataFrame, records: DataFrame, directions: int = 2048,
     def run(batches):
         for batch in batches:
             pdf = batch.to_pandas()
+            ends = [np.array(pdf[c].to_list(), float).reshape(len(pdf), -1)[:, :2] for c in ("start", "end")]
             for at in pdf.groupby("unit", dropna=False).indices.values():
-                total, seen = 0.0, np.zeros(directions, bool)
-                for i in range(0, len(at), 256):
-                    rows = pdf.iloc[at[i : i + 256]]
-                    start, end = (np.tanh((np.array(rows[c].to_list(), float)[:, :2] - centre) @ ways) for c in ("start", "end"))
-                    v = np.abs(start - end) / 2
-                    total += v.sum()
-                    seen |= v.max(0) >= least
+                total, seen = _front_contrasts(*(e[at] for e in ends), centre, ways, least)
                 bits = np.packbits(np.pad(seen, (0, 64 * words - directions)), bitorder="little").view(np.int64)
                 unit = batch.column(batch.schema.get_field_index("unit")).take(pa.array(at[:1]))
                 yield pa.RecordBatch.from_arrays([unit, pa.array([len(at)], pa.int64()), pa.array([total]), pa.array([bits.tolist()], pa.list_(pa.int64()))], ["unit", "n", "total", "seen"])
