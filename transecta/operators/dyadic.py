@@ -226,15 +226,17 @@ def ridge(rows: DataFrame, response: str, columns: list[str], unit: str = "unit"
 
     The driver solves a system as large as there are columns.
     """
-    w = F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(unit))
-    rows = rows.withColumn("w_", w)
-    total = F.sum("w_")
-    first = rows.agg(total.alias("w"), F.sum(F.col("w_") * F.col(response)).alias("y"), *(F.sum(F.col("w_") * F.col(c)).alias(f"m_{c}") for c in columns), *(F.sum(F.col("w_") * F.col(c) * F.col(c)).alias(f"s_{c}") for c in columns)).first()
-    moments = {c: (first[f"m_{c}"] / first["w"], math.sqrt(max(0.0, first[f"s_{c}"] / first["w"] - (first[f"m_{c}"] / first["w"]) ** 2)) or 1.0) for c in columns}
-    mean = first["y"] / first["w"]
-    z = {c: (F.col(c) - m) / s for c, (m, s) in moments.items()}
-    rows = rows.select((F.sqrt("w_") * (F.col(response) - mean)).alias("y_"), *((F.sqrt("w_") * z[c]).alias(c) for c in columns))
-    gram = _gram(rows, [*columns, "y_"])
+    def weighted(sums: dict) -> dict:
+        """Sums over rows, each unit's over its count, from one row for each unit."""
+        by = rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n_"), *(F.sum(c).alias(name) for name, c in sums.items()))
+        return by.agg(F.count(F.lit(1)).alias("units"), *(F.sum(F.col(name) / F.col("n_")).alias(name) for name in sums)).first().asDict()
+
+    first = weighted({"y": F.col(response)} | {f"m_{c}": F.col(c) for c in columns} | {f"s_{c}": F.col(c) * F.col(c) for c in columns})
+    moments = {c: (first[f"m_{c}"] / first["units"], math.sqrt(max(0.0, first[f"s_{c}"] / first["units"] - (first[f"m_{c}"] / first["units"]) ** 2)) or 1.0) for c in columns}
+    mean = first["y"] / first["units"]
+    z = [*((F.col(c) - m) / s for c, (m, s) in moments.items()), F.col(response) - mean]
+    second = weighted({f"g{i}_{j}": z[i] * z[j] for i in range(len(z)) for j in range(i, len(z))})
+    gram = np.array([[second[f"g{min(i, j)}_{max(i, j)}"] for j in range(len(z))] for i in range(len(z))])
     k = len(columns)
     beta = np.linalg.solve(gram[:k, :k] + penalty * np.eye(k), gram[:k, k])
     return dict(zip(columns, map(float, beta))), mean, moments

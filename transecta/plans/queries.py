@@ -817,7 +817,8 @@ def ridge_predictor_transfer(spark, sf):
     rows = inputs.records(spark, sf)
     edges = graph.neighbour_table(rows).select("unit", "a", "b", "length", F.col("mid")[0].alias("mx"), F.col("mid")[1].alias("my"), "turnover")
     roles = panels.half_split(rows.select("unit").distinct(), "split").select("unit", "role")
-    out = rounded(dyadic.competing_spaces(*_roles(edges.join(roles, "unit")), "turnover", {"place": ["mx", "my"], "length": ["length"]}), "place", "length")
+    edges = kept(edges.join(roles, "unit"), "edges")  # read for each space, twice
+    out = rounded(dyadic.competing_spaces(*_roles(edges), "turnover", {"place": ["mx", "my"], "length": ["length"]}), "place", "length")
     return rounded(out.withColumn("increment", F.col("place") - F.col("length")), "increment")
 
 
