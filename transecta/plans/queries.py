@@ -150,7 +150,7 @@ def midpoint_coherence(spark, sf):
 )
 def training_strength(spark, sf):
     rows = inputs.records(spark, sf)
-    found = rounded(graph.midpoint_coherence(graph.neighbour_table(rows)), "coherence")
+    found = rounded(graph.midpoint_coherence(graph.neighbour_table(rows), most=4 * graph.largest(rows)), "coherence")
     return rounded(found.agg(F.avg("coherence").alias("strength"), F.count(F.lit(1)).alias("units")), "strength")
 
 
