@@ -274,15 +274,25 @@ def profiled_p(references: DataFrame, statistic: float, strength: float, profile
     return found.withColumn("chosen_p", F.max("p").over(Window.partitionBy()))
 
 
+#: Rows of all replicates that a task shuffles within units, on average.
+SHUFFLED = 1 << 20
+
+
 def permuted(records: DataFrame, replicates: int, by: list[str], trait: str, seed: int = 0) -> DataFrame:
-    """records once for each replicate, from 0, with the trait shuffled within `by` by the order of hash keys of (seed, replicate, i)."""
-    worlds = records.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    keys = ["replicate", *by]
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("i"))
+    """records once for each replicate, from 0, with the trait shuffled within `by` by the order of hash keys of (seed, replicate, i).
+
+    Rows are dealt by `by` before they are multiplied, to as many tasks as their number asks for, and nothing is dealt
+    again: at each place the row that gives its trait there comes right before the one that takes it.
+    """
+    keys, others = ["replicate", *by], [c for c in records.columns if c not in (*by, trait)]
+    parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(records.count() * replicates / SHUFFLED))
+    at = F.row_number().over(Window.partitionBy(*by).orderBy("i"))
+    worlds = records.repartition(parts, *by).withColumn("at_", at).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     source = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_key("permute", F.lit(seed), F.col("replicate"), F.col("i")), "i"))
-    places = worlds.withColumns({"at_": at, "from_": source})
-    moved = places.select(*keys, F.col("from_").alias("at_"), F.col(trait).alias("moved_"))
-    return places.drop("from_", trait).join(moved, [*keys, "at_"]).withColumnRenamed("moved_", trait).drop("at_")
+    roles = worlds.withColumn("from_", source).withColumn("takes_", F.explode(F.array(F.lit(False), F.lit(True))))
+    roles = roles.withColumn("place_", F.when(F.col("takes_"), F.col("at_")).otherwise(F.col("from_")))
+    moved = roles.withColumn("moved_", F.lag(trait).over(Window.partitionBy(*keys).orderBy("place_", "takes_"))).where("takes_")
+    return moved.select(*keys, *others, F.col("moved_").alias(trait))
 
 
 def qualification(cells: DataFrame, moderate: float, ceiling: float = 0.1, floor: float = 0.8, bounds: bool = True) -> DataFrame:
