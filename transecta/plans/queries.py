@@ -142,7 +142,7 @@ SELECT unit, count(*) AS n, round(sum(u * v) / sqrt(sum(u * u) * sum(v * v)), 6)
 @query(COHERENCE)
 def midpoint_coherence(spark, sf):
     rows = inputs.records(spark, sf)
-    return rounded(graph.midpoint_coherence(graph.neighbour_table(rows)), "coherence")
+    return rounded(graph.midpoint_coherence(graph.neighbour_table(rows), most=4 * graph.largest(rows)), "coherence")
 
 
 @query(
