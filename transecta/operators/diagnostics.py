@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_direction, spearman
 from ..functions.scalars import crossing_probability
-from . import smooth
+from . import nodes, smooth
 from .blocks import blocked, each_pair
 from .field import DIGITS, TINY, kernel_sums, own_sums, points, training
 from .graph import parted
@@ -25,6 +25,9 @@ def world_scores(train: DataFrame, held: DataFrame, bandwidth: float, strength:
 
     turnover is an array in both edge tables, one number for each world.
     """
+    near = nodes.gathered(nodes.weighed(train), bandwidth) if strength > 0 else None
+    if near:
+        return nodes.unit_scores(held, near, strength, prior, 5, TINY, DIGITS)
     edges = train.select(F.concat_ws("|", "unit", "a", "b").alias("row"), "mid", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("unit"))).alias("w"), F.col("turnover").alias("u"))
     sums = smooth.gaussian_sums(points(held), edges, bandwidth, ["unit", "a", "b"])
     value = F.transform("tops", lambda top: (top + strength * prior) / F.greatest(F.col("low") + strength, F.lit(TINY)))
