@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import rank01
 from ..functions.scalars import dissimilarity, relative_state
-from . import inference
+from . import graph, inference
 from .diagnostics import world_scores
 
 TINY = 2.2250738585072014e-308
@@ -30,11 +30,27 @@ def paired_edges(records: DataFrame, edges: DataFrame, mismatch: Column | None =
     mean. The mismatch of a record's states is their distance and their relation the vector between them,
     unless columns over records say otherwise.
     """
+    ends = _states(records, mismatch, relation).select("unit", "i", "coords", "m", "r", "g")
+    rows = edges.select("unit", "a", "b").join(ends.toDF("unit", "a", "start", "m_a", "r_a", "g_a"), ["unit", "a"]).join(ends.toDF("unit", "b", "end", "m_b", "r_b", "g_b"), ["unit", "b"])
+    return _paired(rows)
+
+
+def neighbour_pairs(records: DataFrame, k: int = 4, mismatch: Column | None = None, relation: Column | None = None) -> DataFrame:
+    """paired_edges() of the k nearest neighbours, whose edges bring their ends along."""
+    rows = graph.knn_edges(_states(records, mismatch, relation), k, carry=["coords", "m", "r", "g"])
+    ends = [F.col(f"{x}.{c}").alias(name) for x, end, first in (("l", "a", "start"), ("r", "b", "end")) for c, name in (("coords", first), ("m", f"m_{end}"), ("r", f"r_{end}"), ("g", f"g_{end}"))]
+    return _paired(rows.select("unit", "a", "b", *ends))
+
+
+def _states(records: DataFrame, mismatch: Column | None, relation: Column | None) -> DataFrame:
+    """(unit, i, coords, m, r, g): a record's mismatch, relation and orientation."""
     m = dissimilarity(F.col("state_a"), F.col("state_b"), True) if mismatch is None else mismatch
     r = relative_state(F.col("state_a"), F.col("state_b")) if relation is None else relation
     oriented = F.col("orientation") if "orientation" in records.columns else F.lit(None).cast("double")
-    ends = records.select("unit", "i", "coords", m.alias("m"), r.alias("r"), oriented.alias("g"))
-    rows = edges.select("unit", "a", "b").join(ends.toDF("unit", "a", "start", "m_a", "r_a", "g_a"), ["unit", "a"]).join(ends.toDF("unit", "b", "end", "m_b", "r_b", "g_b"), ["unit", "b"])
+    return records.select("unit", "i", "coords", m.alias("m"), r.alias("r"), oriented.alias("g"))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"by_mismatch": F.abs(F.col("m_a") - F.col("m_b")), "difference": dissimilarity(F.col("r_a"), F.col("r_b"), True)})
     turnover = F.array(rank01(F.col("by_mismatch"), F.col("unit")), rank01(F.col("difference"), F.col("unit")))
     return rows.withColumn("turnover", turnover).select(
