@@ -7,6 +7,8 @@ come from sums over every training edge at the nodes of their cells (smooth), an
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import spearman
 from ..sources.shared import kept
-from . import pairwise, smooth
+from . import nodes, pairwise, smooth
 from .blocks import BLOCK, blocked, each_pair
 
 TINY = 2.2250738585072014e-308
@@ -97,12 +99,26 @@ def exposures(at: DataFrame, sums: DataFrame, strength: float, prior: float, key
 
 def transfer_scores(train: DataFrame, held: DataFrame, bandwidth: float, strength: float = 0.25, prior: float = 0.5, segment_points: int = 5, response: str = "turnover") -> DataFrame:
     """(unit, n, score): rank correlation of exposure and turnover for each unit of `held` edges; NaN under three edges."""
+    near = nodes.gathered(nodes.weighed(train, response), bandwidth) if strength > 0 else None
+    if near:
+        return nodes.unit_scores(held, near, strength, prior, segment_points, TINY, DIGITS, response).select("unit", "n", "score")
     sums = smooth.gaussian_sums(points(held, segment_points), training(train, response).withColumn("u", F.array("u")), bandwidth, ["unit", "a", "b"])
     field = (F.col("tops")[0] + strength * prior) / F.greatest(F.col("low") + strength, F.lit(TINY))
     found = sums.groupBy("unit", "a", "b").agg(F.round(F.avg(field), DIGITS).alias("exposure"))
     return spearman(found.join(held.select("unit", "a", "b", response), ["unit", "a", "b"]), "exposure", response, ["unit"], "score")
 
 
+def response_scores(train: DataFrame, held: DataFrame, bandwidth: float, responses: dict[str, float], strength: float = 0.25, segment_points: int = 5) -> DataFrame:
+    """(unit, a column for each response): transfer_scores() of the held units' turnover under fields of several training responses, each with its prior, from one geometry."""
+    near = nodes.gathered(nodes.weighed(train.withColumn("u_", F.array(*(F.col(c).cast("double") for c in responses))), "u_"), bandwidth) if strength > 0 else None
+    if near:
+        scores = nodes.unit_scores(held, near, strength, list(responses.values()), segment_points, TINY, DIGITS)
+        return scores.groupBy("unit").agg(*(F.max(F.when(F.col("world") == k, F.col("score"))).alias(c) for k, c in enumerate(responses)))
+    plain = lambda c: train.withColumn("turnover", F.col(c))
+    each = [transfer_scores(plain(c), held, bandwidth, strength, prior, segment_points).select("unit", F.col("score").alias(c)) for c, prior in responses.items()]
+    return reduce(lambda x, y: x.join(y, "unit"), each)
+
+
 def statistic(scores: DataFrame, score: str = "score") -> DataFrame:
     """(units, statistic): mean of the finite scores."""
     finite = scores.where(~F.isnan(score) & F.col(score).isNotNull())

@@ -10,7 +10,7 @@ from ..operators import diagnostics, direction, dyadic, field, graph, inference,
 from ..sources import strict
 from . import calibration, inputs
 from .inputs import DYADS, EDGES, FREE, HALF, KERNEL, RECORDS, ROLES, TRAIN, sql_fields, sql_near, sql_points, sql_projected, sql_rank, sql_spearman, table
-from .queries import ABSORBED, _edges, _roles, query, rounded
+from .queries import ABSORBED, _halves, query, rounded
 from .transfer import TransferPlan
 
 # ---- paired states and fronts ------------------------------------------------------------------
@@ -23,9 +23,7 @@ edge_table AS (SELECT *, ({sql_rank('dm', 'unit')} - {HALF}) / count(*) OVER (PA
 
 
 def _paired_edges(spark, sf):
-    rows = inputs.paired(spark, sf)
-    roles = panels.half_split(rows.select("unit").distinct(), "split").select("unit", "role")
-    return _roles(direction.paired_edges(rows, graph.knn_edges(rows)).join(roles, "unit"))
+    return tuple(direction.neighbour_pairs(rows) for rows in TransferPlan().record_halves(inputs.paired(spark, sf)))
 
 
 @query(f"WITH {PAIRED} SELECT unit, a, b, round(turnover, 8) AS mismatch, round(coupling, 8) AS coupling FROM edge_table")
@@ -100,7 +98,7 @@ one AS ({sql_spearman('scored', 'x0', 'turnover', out='score')}), other AS ({sql
 SELECT unit, one.score AS normalized, other.score AS unscaled, round(one.score - other.score, 6) AS difference FROM one JOIN other USING (unit)"""
 )
 def normalization_bias(spark, sf):
-    return rounded(TransferPlan().normalization_bias(_edges(spark, sf)), "difference")
+    return rounded(TransferPlan().normalization_bias(_halves(spark, sf)), "difference")
 
 
 @query(
@@ -111,7 +109,7 @@ scored AS (SELECT x.*, e.turnover FROM exposed x JOIN edge_table e ON x.unit = e
 SELECT CAST(source AS VARCHAR) AS source, count(*) AS units, round(avg(score), 5) AS statistic FROM s WHERE NOT isnan(score) GROUP BY 1"""
 )
 def leave_one_out_statistics(spark, sf):
-    return rounded(field.leave_one_out(*_roles(_edges(spark, sf)), 0.25), "statistic", digits=5)
+    return rounded(field.leave_one_out(*_halves(spark, sf), 0.25), "statistic", digits=5)
 
 
 @query(
@@ -119,7 +117,7 @@ def leave_one_out_statistics(spark, sf):
     f"named AS (SELECT * REPLACE (CAST(source AS VARCHAR) AS source) FROM scored) {sql_spearman('named', 'exposure', 'turnover', by='unit, source', out='score')}"
 )
 def listed_pair_scores(spark, sf):
-    train, held = _roles(_edges(spark, sf))
+    train, held = _halves(spark, sf)
     sources = train.select(F.col("unit").alias("source")).distinct()
     pairs = held.select("unit").distinct().join(sources.withColumn("k", F.pmod(-F.col("source"), F.lit(7))), F.pmod("unit", F.lit(7)) == F.col("k")).select("unit", "source")
     return rounded(field.pair_scores(train, held, 0.25, pairs=pairs), "score")
@@ -139,7 +137,7 @@ one AS ({sql_spearman('sa', 'exposure', 'turnover', out='score')}), other AS ({s
 SELECT unit, round(one.score - other.score, 6) AS increment FROM one JOIN other USING (unit)"""
 )
 def pool_differences(spark, sf):
-    train, held = _roles(_edges(spark, sf))
+    train, held = _halves(spark, sf)
     targets, sources = held.select(F.col("unit").alias("target")).distinct(), train.select(F.col("unit").alias("source")).distinct()
     rest = [F.pmod(c, F.lit(3)) for c in ("target", "source")]
     scores = [rounded(field.pooled_transfer_scores(train, held, targets.join(sources, on), 0.25), "score") for on in (rest[0] == rest[1], rest[0] <= rest[1])]

@@ -161,18 +161,22 @@ def _edges(spark, sf) -> DataFrame:
     return TransferPlan().edges(inputs.records(spark, sf))
 
 
+def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return TransferPlan().halves(inputs.records(spark, sf))
+
+
 def _roles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(edges.where(F.col("role") == r).drop("role") for r in ("train", "held"))
 
 
 @query(f"WITH {EDGES}, {ROLES}, {SCORES} {sql_spearman('scored', 'exposure', 'turnover', out='score')}")
 def transfer_scores(spark, sf):
-    return rounded(TransferPlan().scores(_edges(spark, sf)), "score")
+    return rounded(TransferPlan().scores(_halves(spark, sf)), "score")
 
 
 @query(f"WITH {EDGES}, {ROLES}, {SCORES}, by_unit AS ({sql_spearman('scored', 'exposure', 'turnover', out='score')}) SELECT count(*) AS units, round(avg(score), 6) AS statistic FROM by_unit WHERE NOT isnan(score)")
 def transfer_statistic(spark, sf):
-    return rounded(field.statistic(rounded(TransferPlan().scores(_edges(spark, sf)), "score")), "statistic")
+    return rounded(field.statistic(rounded(TransferPlan().scores(_halves(spark, sf)), "score")), "statistic")
 
 
 @query(
@@ -191,7 +195,7 @@ def length_orthogonalized_turnover(spark, sf):
     f"WITH {EDGES}, {ROLES}, {FREE}, {sql_points()}, {sql_fields({'exposure': ('free', 0.0)})} {sql_spearman('scored', 'exposure', 'turnover', out='score')}"
 )
 def length_conditioned_scores(spark, sf):
-    return rounded(TransferPlan().length_conditioned_scores(_edges(spark, sf)), "score")
+    return rounded(TransferPlan().length_conditioned_scores(_halves(spark, sf)), "score")
 
 
 @query()
@@ -207,7 +211,7 @@ pool AS (SELECT target, source, (SELECT count(DISTINCT unit) FROM train) / CAST(
 {sql_fields({'exposure': ('turnover', 0.125)}, 'points q JOIN pool o ON q.unit = o.target JOIN train t ON t.unit = o.source', weight='scale * w')} {sql_spearman('scored', 'exposure', 'turnover', out='score')}"""
 )
 def pooled_transfer_scores(spark, sf):
-    train, held = _roles(_edges(spark, sf))
+    train, held = _halves(spark, sf)
     middle = lambda e: e.select("unit", F.concat_ws("|", "unit", "a", "b").alias("i"), F.col("mid")[0].alias("x"), F.col("mid")[1].alias("y"))
     pool = joins.pools(joins.pair_coverage(middle(held), middle(train), ["x", "y"], 0.05), 0.5, 5).select("target", "source")
     return rounded(field.pooled_transfer_scores(train, held, pool, 0.25), "score")
@@ -230,7 +234,7 @@ def pool_geometry_features(spark, sf):
 
 def _pool_features(spark, sf) -> DataFrame:
     rows = inputs.records(spark, sf)
-    train, held = _roles(_edges(spark, sf))
+    train, held = _halves(spark, sf)
     middle = lambda e: kept(e.select("unit", F.concat_ws("|", "unit", "a", "b").alias("i"), F.col("mid")[0].alias("x"), F.col("mid")[1].alias("y")), "middles")
     places = rows.groupBy("unit").agg(F.count_distinct("coords").alias("n"))
     return joins.pool_features(middle(held), middle(train), places, places, ["x", "y"], 0.05, 0.5)
@@ -247,7 +251,7 @@ def geometry_matched_pools(spark, sf):
     f"WITH {EDGES}, {ROLES}, {TRAIN}, {sql_points()}, {sql_fields({'exposure': ('turnover', 0.0)}, keys=', t.unit AS source')}, named AS (SELECT * REPLACE (CAST(source AS VARCHAR) AS source) FROM scored) {sql_spearman('named', 'exposure', 'turnover', by='unit, source', out='score')}"
 )
 def pair_transfer_scores(spark, sf):
-    train, held = _roles(_edges(spark, sf))
+    train, held = _halves(spark, sf)
     return rounded(field.pair_scores(train, held, 0.25), "score")
 
 
@@ -257,7 +261,7 @@ h AS (SELECT source, CASE WHEN sum(low) OVER (PARTITION BY unit, a, b, p) > 0 TH
 SELECT CAST(source AS VARCHAR) AS source, round(avg(share), 6) AS mean_share, round(max(share), 6) AS max_share FROM h GROUP BY 1"""
 )
 def training_leverage(spark, sf):
-    return rounded(field.training_leverage(*_roles(_edges(spark, sf)), 0.25), "mean_share", "max_share")
+    return rounded(field.training_leverage(*_halves(spark, sf), 0.25), "mean_share", "max_share")
 
 
 @query(
@@ -266,7 +270,7 @@ m AS (SELECT unit, a, b, p, sum(low) AS mass, sum(low * low) AS squares FROM s G
 SELECT unit, round(avg(mass), 6) AS mean_opportunity, round(avg(CASE WHEN squares > 0 THEN mass * mass / squares ELSE 0 END), 6) AS effective_sources FROM m GROUP BY unit"""
 )
 def support_overlap(spark, sf):
-    return rounded(field.support_overlap(*_roles(_edges(spark, sf)), 0.25), "mean_opportunity", "effective_sources")
+    return rounded(field.support_overlap(*_halves(spark, sf), 0.25), "mean_opportunity", "effective_sources")
 
 
 def _residual_sql() -> str:
@@ -318,17 +322,20 @@ def response_world_scores(spark, sf):
 def _two_worlds(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(train, held) edges with turnover, an array of two responses."""
     rows = inputs.records(spark, sf)
-    roles = panels.half_split(rows.select("unit").distinct(), TransferPlan().tag).select("unit", "role")
-    edges = graph.knn_edges(rows)
-    made = [graph.edge_table(rows, edges, difference=d).withColumnRenamed("turnover", f"t{k}") for k, d in enumerate((F.abs(F.col("l.trait") - F.col("r.trait")), F.pow(F.col("l.trait"), 2) + F.col("r.trait")))]
-    both = made[0].join(made[1].select("unit", "a", "b", "t1"), ["unit", "a", "b"]).withColumn("turnover", F.array("t0", "t1")).join(roles, "unit")
-    return _roles(both)
+    differences = F.abs(F.col("l.trait") - F.col("r.trait")), F.pow(F.col("l.trait"), 2) + F.col("r.trait")
+    return tuple(_with_ends(part).withColumn("turnover", F.array(*(ranks.rank01(d, F.col("unit")) for d in differences))).drop("l", "r") for part in TransferPlan().record_halves(rows))
+
+
+def _with_ends(rows: DataFrame) -> DataFrame:
+    """Edges of the nearest neighbours with start, end, mid and the ends' own l and r."""
+    mid = F.zip_with("l.coords", "r.coords", lambda x, y: (x + y) / 2)
+    return graph.knn_edges(rows, carry=["coords", "trait"]).withColumns({"start": F.col("l.coords"), "end": F.col("r.coords"), "mid": mid})
 
 
 @query(ORACLE_SQL["response_world_scores"])
 def stored_response_scores(spark, sf):
     """The same from a store of points, whose responses come later."""
-    train, held = (kept(x, "edges") for x in _two_worlds(spark, sf))
+    train, held = _two_worlds(spark, sf)
     store = projection.prepared_points(train, held, TransferPlan().bandwidth)
     return rounded(projection.point_scores(store, train, held), "score")
 
@@ -340,12 +347,8 @@ WORLDS = 64
 def stored_world_scores(spark, sf):
     """64 responses, tones of the trait, on one store: what a batch of a calibration costs."""
     tone = lambda k: F.abs(F.cos((k + 1) * F.col("l.trait") / 50.0 + k * F.col("l.coords")[0]) - F.cos((k + 1) * F.col("r.trait") / 50.0 + k * F.col("r.coords")[0]))
-    rows = inputs.records(spark, sf)
-    edges = _edges(spark, sf).drop("turnover", "difference", "length")
-    ends = rows.select("unit", "i", "coords", "trait")
-    l, r = (ends.select("unit", F.col("i").alias(c), F.struct("coords", "trait").alias(n)) for c, n in (("a", "l"), ("b", "r")))
-    responses = edges.join(l, ["unit", "a"]).join(r, ["unit", "b"]).withColumn("turnover", F.array(*(F.round(tone(k), 9) for k in range(WORLDS)))).drop("l", "r")
-    train, held = _roles(kept(responses, "edges"))
+    responses = F.array(*(F.round(tone(k), 9) for k in range(WORLDS)))  # of edges that have been dealt by unit, so that they stay where they are made
+    train, held = (_with_ends(part).repartition("unit").withColumn("turnover", responses).drop("l", "r") for part in TransferPlan().record_halves(inputs.records(spark, sf)))
     store = projection.prepared_points(train, held, TransferPlan().bandwidth)
     return rounded(projection.point_scores(store, train, held), "score")
 
@@ -356,9 +359,7 @@ base AS ({sql_spearman('scored', 'x0', 'turnover', out='score')}), other AS ({sq
 SELECT unit, round(other.score - base.score, 6) AS increment FROM base JOIN other USING (unit)"""
 )
 def conditioning_increments(spark, sf):
-    edges = _edges(spark, sf)
-    plan = TransferPlan()
-    return rounded(diagnostics.increments(rounded(plan.scores(edges), "score"), rounded(plan.length_conditioned_scores(edges), "score"), ["unit"]), "increment")
+    return rounded(TransferPlan().conditioning_increments(_halves(spark, sf)), "increment")
 
 
 @query(
@@ -380,7 +381,7 @@ w AS (SELECT unit, h / t / sum(h / t) OVER (PARTITION BY unit) AS w FROM t JOIN
 SELECT unit, count(*) AS edges, round(sum(w) * sum(w) / sum(w * w), 6) AS effective FROM w GROUP BY unit"""
 )
 def transport_target_ratio(spark, sf):
-    train, held = _roles(_edges(spark, sf))
+    train, held = _halves(spark, sf)
     return rounded(diagnostics.effective_edges(diagnostics.transport_weights(train, held, 0.25, "ratio")), "effective")
 
 
