@@ -21,7 +21,7 @@ def test_coverage_both_ways_without_a_count_dealt(spark, least):
     rows, df = points(spark)
     own = {u: np.array([r[2:] for r in rows if r[0] == u]) for u in range(12)}
     size = {u: len(x) + (u in (3, 4)) for u, x in own.items()}
-    near = lambda a, b: int((((own[a][:, None] - own[b][None]) ** 2).sum(2) <= 0.01).any(1).sum())
+    near = lambda a, b: int((((own[a][:, None] - own[b][None]) ** 2).sum(2) <= 0.1 * 0.1).any(1).sum())
     want = {(t, s): (near(t, s), near(t, s) / size[t], near(s, t) / size[s]) for t in own for s in own if t != s and near(t, s) and near(t, s) / size[t] >= least}
     found = joins.mutual_coverage(df, df, ["x", "y"], 0.1, least)
     assert {(r["target"], r["source"]): (r["covered"], r["coverage"], r["reverse"]) for r in found.collect()} == want
